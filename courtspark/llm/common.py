@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def local(spark: SparkSession, rows: Iterable[tuple], **columns: pa.DataType) -> DataFrame:
+    """A few rows from the driver, handed over as one Arrow table, so no Python runs on the executors for it."""
+    of = list(zip(*rows, strict=True)) or [[] for _ in columns]
+    return spark.createDataFrame(pa.table({n: pa.array(v, t) for (n, t), v in zip(columns.items(), of, strict=True)}))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

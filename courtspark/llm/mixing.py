@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, shuffle_width, small, text_of, unit
+from .common import documents, local, shuffle_width, small, text_of, unit
 
 #: A source's rate is dealt in parts of at most this much, each with a uniform number of its own: a sum of Poisson
 #: counts is a Poisson count of the summed rate, and no tail of exp(-rate) underflows.
@@ -29,7 +30,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float
     if targets is None:
         weight = F.pow("bytes", F.lit(alpha))
     else:
-        pairs = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "name string, weight double")
+        pairs = local(docs.sparkSession, [(k, float(v)) for k, v in targets.items()], name=pa.string(), weight=pa.float64())
         per = per.join(F.broadcast(pairs), F.coalesce("source", F.lit("")) == F.col("name"), "left").drop("name")
         weight = F.coalesce("weight", F.lit(0.0))
     per = per.withColumn("w", weight)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, table, text_of, unit
+from .common import documents, local, table, text_of, unit
 
 DIMS = ("d0", "d1", "d2", "d3")
 #: A group of equal texts heavier than this part of a shard is placed before the tree is built. At most
@@ -66,7 +67,7 @@ def _split(light: DataFrame, shards: int, room: list[float]) -> DataFrame:
                 c.high += max(1e-9, abs(c.high) * 1e-12)
                 c.aim = r["w"] * sum(room[s] for s in half) / (sum(room[s] for s in c.leaves) or 1.0)
         for _ in range(REFINE):
-            grid = spark.createDataFrame([(c.id, c.dim, c.low, (c.high - c.low) / BINS) for c in cut], "cell int, dim int, low double, step double")
+            grid = local(spark, [(c.id, c.dim, c.low, (c.high - c.low) / BINS) for c in cut], cell=pa.int32(), dim=pa.int32(), low=pa.float64(), step=pa.float64())
             bins = cells.join(F.broadcast(grid), "cell").withColumn("bin", F.floor((x - F.col("low")) / F.col("step"))).where(f"bin between 0 and {BINS - 1}")
             found: dict[int, dict[int, int]] = {}
             for r in bins.groupBy("cell", "bin").agg(F.sum("bytes").alias("w")).collect():
@@ -85,10 +86,10 @@ def _split(light: DataFrame, shards: int, room: list[float]) -> DataFrame:
             cuts.append((c.id, c.dim, c.high, number, number + 1))
             front += [Cell(number, c.leaves[:half]), Cell(number + 1, c.leaves[half:])]
             number += 2
-        at = F.broadcast(spark.createDataFrame(cuts, "cell int, dim int, at double, below int, above int"))
+        at = F.broadcast(local(spark, cuts, cell=pa.int32(), dim=pa.int32(), at=pa.float64(), below=pa.int32(), above=pa.int32()))
         to = F.when(F.col("at").isNull(), F.col("cell")).otherwise(F.when(x < F.col("at"), F.col("below")).otherwise(F.col("above")))
         cells = cells.join(at, "cell", "left").withColumn("cell", to).drop("dim", "at", "below", "above")
-    leaf = F.broadcast(spark.createDataFrame([(c.id, c.leaves[0]) for c in front], "cell int, shard int"))
+    leaf = F.broadcast(local(spark, [(c.id, c.leaves[0]) for c in front], cell=pa.int32(), shard=pa.int32()))
     return cells.join(leaf, "cell")
 
 
@@ -133,7 +134,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         placed.append((key, s))
     room = _room(loads, total - sum(loads))
     light = _split(groups.where(F.col("bytes") <= bound), shards, room)
-    first = F.broadcast(docs.sparkSession.createDataFrame(placed, "text_key binary, shard int"))
+    first = F.broadcast(local(docs.sparkSession, [(bytes(k), s) for k, s in placed], text_key=pa.binary(), shard=pa.int32()))
     by_group = light.select("text_key", "shard").unionByName(first)
     of_rows = table(rows.join(by_group, "text_key").select("doc_id", "size", "text_crc32", "shard", "row"), "sharded")
     return _slots(of_rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

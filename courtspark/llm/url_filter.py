@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import local, small, table
 from .graph import connected_components
 
 #: (host, path prefix, action)
@@ -78,7 +79,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([tuple(r) for r in rules], "rule_host string, rule_path string, action string")
+        rules = local(spark, [tuple(r) for r in rules], rule_host=pa.string(), rule_path=pa.string(), action=pa.string())
     rules = rules.select("rule_host", "rule_path", "action", F.concat("rule_host", "rule_path").alias("rule"))
     url = F.col("url")
     link = lambda mark, tag, at: F.when(F.col("html").contains(mark), F.regexp_extract(F.regexp_extract("html", tag, 0), at, 1))
