@@ -83,7 +83,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CH
     keep_id and keeps its rows.
     """
     named = identities(docs, text, block_chars, hash_bits)
+    named = table(named, "identities")
     groups = named.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = table(groups, "groups")  # read back, both sides of the join below are plain shuffles, which are split at a hot group
     return named.join(groups, ["n", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
