@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, license_scan, mixing, sharding, token_counts, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, license_scan, mixing, sharding, token_counts, url_filter
 
-MODULES = (mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, sharding)
+MODULES = (mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, decontaminate, sharding)
 
 
 def queries() -> dict:
