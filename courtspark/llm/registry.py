@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, license_scan, mixing, sharding, token_counts, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, license_scan, mixing, pseudo_likelihood, sharding, token_counts, toxicity, url_filter
 
-MODULES = (mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, decontaminate, sharding)
+MODULES = (pseudo_likelihood, mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, decontaminate, toxicity, sharding)
 
 
 def queries() -> dict:
