@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,19 +136,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     in blocks, each with readings of its own, so a task holds one block and one text. Null texts count as empty and
     match nothing, as do items without words; repeated rows are reported each.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_of(text).cast("binary").alias("text"))
-    out = None
+    kind = "doc_id long, item_id long, n_seeds long, score double, first_word long, end_word long"
+    found = [rows.mapInArrow(_aligner(rare, threshold), kind) for rare in _readings(rows, benchmark)]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], kind)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that repeat no item, with all their columns."""
+    for rare in _readings(docs.select(F.lit(0), text_of(text).cast("binary").alias("text")), benchmark):
+        docs = docs.where(~_repeats(rare, threshold)(text_of(text).cast("binary")))
+    return docs
+
+
+def _repeats(rare, threshold: float):
+    @F.pandas_udf("boolean")
+    def repeats(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(align(t, rare.value, threshold)) for t in texts], dtype=bool)
+
+    return repeats
+
+
+def _readings(rows: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Block by block of the benchmark, a broadcast of its items with the seeds that a reading of ``rows`` shows rare."""
+    context = rows.sparkSession.sparkContext
     for block in _blocks(benchmark):
         bench = Benchmark(block)
-        held = spark.sparkContext.broadcast(bench)
-        bench.keep_rare(_seed_counts(rows, held))
-        rare = spark.sparkContext.broadcast(bench)
-        found = rows.mapInArrow(_aligner(rare, threshold), "doc_id long, item_id long, n_seeds long, score double, first_word long, end_word long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_seeds long, score double, first_word long, end_word long")
-    return out
+        bench.keep_rare(_seed_counts(rows, context.broadcast(bench)))
+        yield context.broadcast(bench)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:

@@ -13,9 +13,9 @@ from . import grams
 from .common import documents, shuffle_width, small, table, text_of
 from .graph import connected_components
 
-WORDS = 4
+WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
-PERCENT = 85
+PERCENT = 80
 #: Counters of the frequency sketch that orders n-grams from rare to frequent. It has this size for any corpus.
 SKETCH = 1 << 18
 #: An n-gram's list of documents is multiplied in tiles of at most about this many documents a side.
@@ -176,9 +176,10 @@ def _candidates(reps: DataFrame, components: DataFrame, percent: int, tile: int)
     return table(counted.where(F.col("c") + F.greatest(beyond("na"), beyond("nb")) >= need).select("a", "b"), "candidates")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links).
+def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row per document: doc_id, text_hash, n (size of its set), component_id, stays.
 
+    ``component_id`` is the least doc_id reachable by links; one row of each component ``stays``, one with that id.
     A-Z is lower-cased; words are what white space separates; a set holds the distinct runs of ``words`` words, or
     the whole sequence where there are fewer. Sets link when 100 * intersection >= percent * union.
 
@@ -191,12 +192,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     different components: a group of copies thus costs rows in proportion to its size, and no link between
     components is lost.
 
-    Sets are kept as 64-bit hashes. A null or blank text has no set and is its own component; repeated rows share
-    one; null doc_ids are members that lend no id (a component of nothing else has a null id).
+    Sets are kept as 64-bit hashes. A null or blank text has no set, is its own component and stays; repeated rows
+    share one; null doc_ids are members that lend no id (a component of nothing else has a null id).
     """
     d = _described(docs, text, words, percent)
-    classes = d.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
-    classes = table(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = d.where("n > 0").groupBy("n", "s1", "s2").agg(first.alias("first"))
+    classes = table(classes.select("n", "s1", "s2", "first", F.col("first.row").alias("row")), "classes")
     reps = table(d.select("row", "n", "mins", "prefix").join(classes.select("row"), "row"), "representatives")
 
     links = _verified(docs, text, words, percent, d, table(_stars(reps, percent), "stars"))
@@ -205,15 +207,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     whole = connected_components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     named = classes.join(whole.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = table(named.join(least, "component").select("n", "s1", "s2", "component_id"), "component-ids")
-    full = d.where("n > 0").select("doc_id", "n", "s1", "s2").join(ids, ["n", "s1", "s2"]).select("doc_id", "n", "component_id")
-    none = d.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    ids = named.join(least, "component").select("n", "s1", "s2", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("staying"))
+    full = d.where("n > 0").select("doc_id", "text_hash", "n", "s1", "s2", "row").join(table(ids, "component-ids"), ["n", "s1", "s2"])
+    full = full.select("doc_id", "text_hash", "n", "component_id", (F.col("row") == F.col("staying")).alias("stays"))
+    none = d.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return full.unionByName(none)
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component, with all their columns."""
+    key = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_hash") == F.xxhash64(text_of())]
+    found = jaccard_rows(docs, words, percent).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    found = table(found.agg(F.max("stays").alias("stays"), F.count("*").alias("times"), F.max("n").alias("n")), "decisions")
+    kept = docs.join(small(found.where("not stays").select("_id", "_hash")), key, "left_anti")
+    repeated = found.where("stays and times > 1 and n > 0").select("_id", "_hash")
+    if repeated.isEmpty():
+        return kept
+    repeated = small(repeated)
+    return kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    """Runs of four words, linked from 85 % on."""
+    return jaccard_rows(documents(spark, sf_dir), 4, 85).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 OP6_SQL = r"""

@@ -51,7 +51,7 @@ def _split(light: DataFrame, shards: int, room: list[float]) -> DataFrame:
     """
     spark = light.sparkSession
     x = F.element_at(F.array(*DIMS), F.col("dim") + 1)
-    cells, front, number = light.withColumn("cell", F.lit(0)), [Cell(0, list(range(shards)))], 1
+    cells, front, number = light.withColumn("cell", (F.col("bytes") * 0).cast("int")), [Cell(0, list(range(shards)))], 1
     spans: list[float] = []
     while any(len(c.leaves) > 1 for c in front):
         ends = [f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]
