@@ -72,7 +72,7 @@ def _split(light: DataFrame, shards: int, room: list[float]) -> DataFrame:
             found: dict[int, dict[int, int]] = {}
             for r in bins.groupBy("cell", "bin").agg(F.sum("bytes").alias("w")).collect():
                 found.setdefault(r["cell"], {})[r["bin"]] = r["w"]
-            for c in cut:
+            for c in (c for c in cut if c.aim > 0):  # else nothing goes below ``low``
                 step, at = (c.high - c.low) / BINS, BINS - 1
                 for b, w in sorted(found.get(c.id, {}).items()):
                     if c.under + w >= c.aim:
@@ -83,7 +83,7 @@ def _split(light: DataFrame, shards: int, room: list[float]) -> DataFrame:
         cuts, front = [], [c for c in front if len(c.leaves) == 1]
         for c in cut:
             half = len(c.leaves) // 2
-            cuts.append((c.id, c.dim, c.high, number, number + 1))
+            cuts.append((c.id, c.dim, c.high if c.aim > 0 else c.low, number, number + 1))
             front += [Cell(number, c.leaves[:half]), Cell(number + 1, c.leaves[half:])]
             number += 2
         at = F.broadcast(local(spark, cuts, cell=pa.int32(), dim=pa.int32(), at=pa.float64(), below=pa.int32(), above=pa.int32()))
