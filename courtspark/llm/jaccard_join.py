@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import grams
@@ -20,18 +21,20 @@ PERCENT = 80
 SKETCH = 1 << 18
 #: An n-gram's list of documents is multiplied in tiles of at most about this many documents a side.
 TILE = 4096
+#: Linked pairs share at least this many n-grams more than one within their prefixes, which are longer by as many.
+MORE = 4
 MINHASHES, STARS, AGREE = 8, 4, 6
 _MULT = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k & ((1 << 64) - 1) | 1 for k in range(1, MINHASHES + 1)], np.uint64)
 
 
-def least_overlap(na, nb, percent: int):
-    """The least intersection with which sets of these sizes link: i with 100 i >= percent (na + nb - i)."""
-    return -(-percent * (na + nb) // (100 + percent))
+def least_overlap(sizes, percent: int):
+    """The least intersection with which sets of these summed sizes link: i with 100 i >= percent (sizes - i)."""
+    return -(-percent * sizes // (100 + percent))
 
 
 def prefix_length(n, percent: int):
-    """So many of a set's rarest n-grams hold one of any linked set's."""
-    return n - -(-percent * n // 100) + 1
+    """So many of a set's rarest n-grams hold ``MORE`` + 1 of any linked set's, or all that they share."""
+    return n - -(-percent * n // 100) + 1 + MORE
 
 
 def _sets(batch: pa.RecordBatch, col: int, words: int) -> Iterator[np.ndarray]:
@@ -106,14 +109,32 @@ def _verified(docs: DataFrame, text: str, words: int, percent: int, described: D
     return table(both.where((100 + percent) * overlap >= percent * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
 
 
-def _stars(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that join most near copies at once: each set with the least row that shares a minhash and looks alike.
+def _shared(reps: DataFrame) -> DataFrame:
+    """The prefixes' n-grams that stand in several prefixes: gram, c (prefixes), row, n, at (place), before (such ones
+    before it). One alone in its list is shared with no set that this one meets further on, so it counts for none."""
+    entries = reps.select(F.posexplode("prefix").alias("at", "gram"), "row", "n")
+    lists = table(entries.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "lists")
+    before = F.row_number().over(Window.partitionBy("row").orderBy("at")) - 1
+    return table(table(entries.join(lists, "gram"), "entries").withColumn("before", before), "shared")
 
-    At most ``STARS`` pairs a set, so their number is linear in any group of near copies.
+
+def _stars(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs that join most near copies at once: each set with the most typical one of about its size that shares a
+    minhash.
+
+    Most typical is the set with the least part of its prefix to itself: the text that others were edited from, if it
+    is there. At most ``STARS`` pairs a set, so their number is linear in any group of near copies. Sizes count as
+    alike within steps of half the ratio that a link allows, shifted by half a step for every other minhash.
     """
-    keys = reps.select("row", F.posexplode(F.slice("mins", 1, STARS)).alias("k", "v"))
-    centres = table(keys.groupBy("k", "v").agg(F.min("row").alias("b"), F.count("*").alias("c")).where("c > 1").select("k", "v", "b"), "centres")
-    pairs = keys.join(centres, ["k", "v"]).where("row <> b").select(F.col("row").alias("a"), "b").distinct()
+    step = F.floor(F.log("n") * (2 / math.log(100 / percent)) + F.col("k") % 2 / 2) if percent < 100 else F.col("n")
+    typical = shared.groupBy("row").agg(F.count("*").alias("held"))
+    of = reps.join(typical, "row").select("row", "n", "mins", (F.col("held") / F.size("prefix")).alias("typical"))
+    keys = of.select("row", "n", "typical", F.posexplode(F.slice("mins", 1, STARS)).alias("k", "v")).select("row", "typical", "k", "v", step.alias("step"))
+    keys = table(keys, "minhashes")
+    best = F.max(F.struct("typical", (-F.col("row")).alias("minus"))).alias("best")
+    centres = keys.groupBy("k", "v", "step").agg(best, F.count("*").alias("c")).where("c > 1")
+    centres = table(centres.select("k", "v", "step", (-F.col("best.minus")).alias("b")), "centres")
+    pairs = keys.join(centres, ["k", "v", "step"]).where("row <> b").select(F.col("row").alias("a"), "b").distinct()
     info = lambda x: reps.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("mins").alias(f"m{x}"))
     near = table(pairs, "star-pairs").join(info("a"), "a").join(info("b"), "b")
     same = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda e: e))
@@ -122,8 +143,10 @@ def _stars(reps: DataFrame, percent: int) -> DataFrame:
 
 def _multiplied(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (gram, tile, n): one row (a, b, na, nb) for each n-gram that two documents of different
-    components share, if their sizes allow a link. Only the last, unfinished tile is held from batch to batch."""
-    names = ["gram", "t1", "t2", "block", "n", "row", "component"]
+    components share, if their sizes allow a link, the n-gram stands, in both, within the prefix that a link of these
+    sizes must meet, and what can be shared before and after it suffices. Only the last, unfinished tile is held from
+    batch to batch."""
+    names = ["gram", "t1", "t2", "block", "n", "at", "before", "row", "component"]
 
     def product(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         size = len(c["row"])
@@ -138,7 +161,11 @@ def _multiplied(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             at, other = at[inside], other[inside]
             ok = (of[at] == of[other]) & (100 * c["n"][at] >= percent * c["n"][other])
             at, other = at[ok], other[ok]
-            out = (c["component"][at] != c["component"][other]) & ((c["t1"][at] == c["t2"][at]) | (c["block"][at] != c["block"][other])) & (c["row"][at] != c["row"][other])
+            need = least_overlap(c["n"][at].astype(np.int64) + c["n"][other], percent)
+            rest = np.minimum(c["n"][at] - c["at"][at], c["n"][other] - c["at"][other])
+            out = np.minimum(c["before"][at], c["before"][other]) + rest >= need
+            out &= (c["at"][at] - MORE <= c["n"][at] - need) & (c["at"][other] - MORE <= c["n"][other] - need)
+            out &= (c["component"][at] != c["component"][other]) & ((c["t1"][at] == c["t2"][at]) | (c["block"][at] != c["block"][other])) & (c["row"][at] != c["row"][other])
             i, j = at[out], other[out]
             if len(i):
                 swap = c["row"][i] > c["row"][j]
@@ -158,22 +185,18 @@ def _multiplied(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield from product(held)
 
 
-def _candidates(reps: DataFrame, components: DataFrame, percent: int, tile: int) -> DataFrame:
+def _candidates(shared: DataFrame, components: DataFrame, percent: int, tile: int) -> DataFrame:
     """Pairs of sets of different components whose overlap within their prefixes allows a link."""
-    spark = reps.sparkSession
-    of = reps.select("row", "n", "prefix").join(components.select(F.col("node").alias("row"), "component"), "row", "left")
-    entries = of.select(F.explode("prefix").alias("gram"), "row", "n", F.coalesce("component", "row").alias("component"))
-    long = table(reps.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > tile), "long-lists")
-    blocks = F.coalesce(F.ceil(F.col("c") / tile), F.lit(1)).cast("int")
-    cut = entries.join(small(long), "gram", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    spark = shared.sparkSession
+    shared = shared.join(components.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    cut = shared.withColumn("blocks", F.ceil(F.col("c") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = met.select("gram", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "n", "row", "component")
+    tiles = met.select("gram", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "n", "at", "before", "row", "component")
     sorted_ = tiles.repartition(shuffle_width(spark), "gram", "t1", "t2").sortWithinPartitions("gram", "t1", "t2", "n")
-    shared = sorted_.mapInArrow(lambda batches: _multiplied(batches, percent), "a long, b long, na int, nb int")
-    counted = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    beyond = lambda n: F.ceil(percent * F.col(n) / 100) - 1  # noqa: E731  what of a set lies outside its prefix
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return table(counted.where(F.col("c") + F.greatest(beyond("na"), beyond("nb")) >= need).select("a", "b"), "candidates")
+    products = sorted_.mapInArrow(lambda batches: _multiplied(batches, percent), "a long, b long, na int, nb int")
+    counted = products.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    need = F.expr(f"least({MORE} + 1, ({percent} * (na + nb) + {99 + percent}) div {100 + percent})")
+    return table(counted.where(F.col("c") >= need).select("a", "b"), "candidates")
 
 
 def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", tile: int = TILE) -> DataFrame:
@@ -201,9 +224,11 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
     classes = table(classes.select("n", "s1", "s2", "first", F.col("first.row").alias("row")), "classes")
     reps = table(d.select("row", "n", "mins", "prefix").join(classes.select("row"), "row"), "representatives")
 
-    links = _verified(docs, text, words, percent, d, table(_stars(reps, percent), "stars"))
+    shared = _shared(reps)
+
+    links = _verified(docs, text, words, percent, d, table(_stars(reps, shared, percent), "stars"))
     joined = table(connected_components(links), "joined")
-    more = _verified(docs, text, words, percent, d, _candidates(reps, joined, percent, tile))
+    more = _verified(docs, text, words, percent, d, _candidates(shared, joined, percent, tile))
     whole = connected_components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     named = classes.join(whole.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
