@@ -51,7 +51,7 @@ def formation_scenes(formations: DataFrame, fps: DataFrame, stride: int = 5, lea
     """Runs of equal known labels of a team that last: scene_id counts per match over teams in order."""
     r = islands(formations, ["match_id", "team"], "frame_id", changed("formation", ["match_id", "team"], "frame_id"))
     s = r.groupBy("match_id", "team", "island").agg(F.first("formation").alias("formation"), F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"))
-    s = s.where((F.col("formation") != "unknown") & (F.col("end_frame") - F.col("start_frame") + stride >= least)).join(F.broadcast(fps), "match_id")
+    s = s.where((F.col("formation") != "unknown") & (F.col("end_frame") - F.col("start_frame") + stride >= least)).join(fps, "match_id")
     t = lambda c: F.floor(c / F.col("fps") * 1000 + 0.5).cast("double") / 1000.0
     rank = F.row_number().over(Window.partitionBy("match_id").orderBy("team", "start_frame")) - 1
     return s.select("match_id", rank.cast("long").alias("scene_id"), "team", "formation", "start_frame", "end_frame", t(F.col("start_frame")).alias("start_time_s"), t(F.col("end_frame") + stride).alias("end_time_s"))
@@ -69,7 +69,7 @@ def _kept(runs: DataFrame, min_s: float) -> DataFrame:
 
 def possession_phases(series: DataFrame, fps: DataFrame, min_s: float = 1.5, gap_s: float = 1.0) -> DataFrame:
     """Phases of one team in possession, bridging pauses of up to ``gap_s`` seconds."""
-    s = series.join(F.broadcast(fps), "match_id").withColumn("team", F.when(F.col("team").isin("A", "B"), F.col("team")))
+    s = series.join(fps, "match_id").withColumn("team", F.when(F.col("team").isin("A", "B"), F.col("team")))
     return _kept(runs_with_gaps(s, ["match_id", "fps"], "frame_id", "team", F.floor(F.col("fps") * gap_s)), min_s)
 
 
@@ -90,14 +90,14 @@ def phase_evidence(frames: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def phase_hysteresis(evidence: DataFrame, fps: DataFrame, hold_s: float = 0.5) -> DataFrame:
-    e = evidence.join(F.broadcast(fps), "match_id")
+    e = evidence.join(fps, "match_id")
     return hysteresis(e, ["match_id"], "frame_id", "goal", "seen_team", F.greatest(F.lit(1), F.floor(F.col("fps") * hold_s)), "offense_team").drop("fps")
 
 
 def team_phases(frames: DataFrame, players: DataFrame, fps: DataFrame, min_s: float = 3.0, gap_s: float = 2.0, least: int = 3, hold_s: float = 0.5) -> DataFrame:
     """Attack phases from team centroids: evidence, hysteresis, merged runs."""
     labels = phase_hysteresis(phase_evidence(frames, team_centroids(players, least)), fps, hold_s)
-    s = labels.select(*FRAME, "timestamp_s", F.col("offense_team").alias("team")).join(F.broadcast(fps), "match_id")
+    s = labels.select(*FRAME, "timestamp_s", F.col("offense_team").alias("team")).join(fps, "match_id")
     k = _kept(runs_with_gaps(s, ["match_id", "fps"], "frame_id", "team", F.floor(F.col("fps") * gap_s)), min_s)
     return k.withColumnRenamed("team", "offense_team").withColumn("defense_team", F.when(F.col("offense_team") == "A", "B").otherwise("A")).withColumn("phase_type", F.lit("attack"))
 

@@ -115,7 +115,7 @@ def interpolate_tracks(players: DataFrame, frames: DataFrame) -> DataFrame:
 def compute_velocities(players: DataFrame, fps: DataFrame) -> DataFrame:
     """Court metres a second since the track's row before; 0 where any value is missing."""
     w = Window.partitionBy(*TRACK).orderBy("frame_id")
-    j = players.drop("fps").join(F.broadcast(fps.select("match_id", "fps")), "match_id", "left")
+    j = players.drop("fps").join(fps.select("match_id", "fps"), "match_id", "left")
     v = lambda c: F.coalesce((F.col(c) - F.lag(c).over(w)) / (F.col("frame_id") - F.lag("frame_id").over(w)) * F.col("fps"), F.lit(0.0))
     return j.withColumns({"velocity_x": v("court_x"), "velocity_y": v("court_y")}).drop("fps")
 

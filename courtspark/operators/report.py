@@ -48,7 +48,7 @@ def density_grid(points: DataFrame, cell_m: float = 1.0, reach: int = 3, digits:
     for z, s in SPREADS.items():
         spread = F.when(zone == z, s).otherwise(spread)
     n = points.groupBy("match_id", "team").agg(F.count("*").alias("n"))
-    p = points.join(F.broadcast(n), ["match_id", "team"]).withColumn("radius", spread * 1.2)
+    p = points.join(n, ["match_id", "team"]).withColumn("radius", spread * 1.2)
     p = p.withColumn("peak", F.least(F.lit(0.6), F.greatest(F.lit(0.015), F.lit(120.0) / F.col("n"))))
     for c, size in (("x", 40), ("y", 20)):
         at = F.floor(F.col(f"court_{c}") / cell_m).cast("int")
@@ -143,7 +143,7 @@ def time_bars(items: DataFrame, durations: DataFrame) -> DataFrame:
     d = F.col("seconds")
     width = F.least(F.lit(100.0), F.greatest(F.lit(0.8), (F.col("end_s") - F.col("start_s")) / d * 100))
     left = F.least(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("start_s") / d * 100)), 100 - width)
-    return items.join(F.broadcast(durations), "match_id").where(d > 0).select("match_id", "lane", "id", left.alias("left_pct"), width.alias("width"))
+    return items.join(durations, "match_id").where(d > 0).select("match_id", "lane", "id", left.alias("left_pct"), width.alias("width"))
 
 
 def phase_at(times: DataFrame, phases: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def phase_points(players: DataFrame, phases: DataFrame, every: int = 4, width: i
 def window_points(players: DataFrame, matches: DataFrame, start_s: float, end_s: float) -> DataFrame:
     """Positions of a time window, in frames: max(0, int(start fps)) to min(total, int(end fps))."""
     m = matches.select("match_id", "total_frames", F.coalesce(F.nullif("fps", F.lit(0.0)), F.lit(25.0)).alias("fps"))
-    j = _in_court(players).join(F.broadcast(m), "match_id")
+    j = _in_court(players).join(m, "match_id")
     low, high = F.greatest(F.lit(0), F.floor(F.col("fps") * start_s)), F.least(F.col("total_frames"), F.floor(F.col("fps") * end_s))
     return j.where(F.col("frame_id").between(low, high)).select(*FRAME, "track_id", "court_x", "court_y", team_bucket(F.col("team")).alias("team"))
 

@@ -74,6 +74,26 @@ SELECT concat('m', cast(c_custkey % 8 AS string)) AS match_id, cast(floor(c_cust
   CASE WHEN c_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS offense_team, CASE WHEN c_nationkey % 2 = 0 THEN 'B' ELSE 'A' END AS defense_team, 'attack' AS phase_type,
   cast(floor(c_custkey / 8) * 12 AS int) AS start_frame, cast(floor(c_custkey / 8) * 12 + 2 + c_nationkey % 9 AS int) AS end_frame,
   floor(c_custkey / 8) * 12 / 32e0 AS start_time_s, (floor(c_custkey / 8) * 12 + 2 + c_nationkey % 9) / 32e0 AS end_time_s FROM {customer}""",
+    "waypoints": """
+SELECT * FROM (VALUES (0, 1, 'A', 0, 16, 29e0, 6e0, 29e0, 6e0), (0, 1, 'A', 16, 48, 29e0, 6e0, 31.5e0, 14e0), (0, 1, 'A', 48, 80, 31.5e0, 14e0, 31.5e0, 14e0),
+  (0, 2, 'A', 0, 16, 29.5e0, 12.25e0, 29.5e0, 12.25e0), (0, 2, 'A', 16, 48, 29.5e0, 12.25e0, 31e0, 4.25e0), (0, 2, 'A', 48, 80, 31e0, 4.25e0, 31e0, 4.25e0),
+  (1, 1, 'A', 0, 16, 29e0, 10e0, 29e0, 10e0), (1, 1, 'A', 16, 48, 29e0, 10e0, 34e0, 10e0), (1, 1, 'A', 48, 80, 34e0, 10e0, 34e0, 10e0), (1, 2, 'A', 0, 80, 29e0, 15e0, 29e0, 15e0),
+  (2, 1, 'A', 0, 16, 29e0, 8e0, 29e0, 8e0), (2, 1, 'A', 16, 32, 29e0, 8e0, 33e0, 8e0), (2, 1, 'A', 32, 80, 33e0, 8e0, 33e0, 8e0),
+  (2, 2, 'A', 0, 16, 29e0, 12e0, 29e0, 12e0), (2, 2, 'A', 16, 32, 29e0, 12e0, 33e0, 12e0), (2, 2, 'A', 32, 80, 33e0, 12e0, 33e0, 12e0),
+  (3, 1, 'A', 0, 64, 8e0, 4e0, 32e0, 4e0), (3, 2, 'A', 0, 64, 8e0, 8e0, 32e0, 8e0), (3, 3, 'A', 0, 64, 8e0, 12e0, 32e0, 12e0), (3, 4, 'A', 0, 64, 8e0, 16e0, 32e0, 16e0),
+  (3, 11, 'B', 0, 64, 20e0, 6e0, 36e0, 6e0), (3, 12, 'B', 0, 64, 20e0, 10e0, 36e0, 10e0), (3, 13, 'B', 0, 64, 20e0, 14e0, 36e0, 14e0)) w(scenario, track_id, team, f0, f1, x0, y0, x1, y1)
+UNION ALL SELECT s AS scenario, t AS track_id, 'B' AS team, 0 AS f0, 80 AS f1, 36.5e0 AS x0, 4e0 + 2.5e0 * (t - 11) AS y0, 36.5e0 AS x1, 4e0 + 2.5e0 * (t - 11) AS y1
+  FROM (VALUES (0), (1), (2)) a(s) CROSS JOIN (VALUES (11), (12), (13), (14), (15), (16)) b(t)
+UNION ALL SELECT s AS scenario, t AS track_id, 'A' AS team, 0 AS f0, 80 AS f1, 29e0 AS x0, CASE t WHEN 21 THEN 2.5e0 ELSE 17.5e0 END AS y0, 29e0 AS x1, CASE t WHEN 21 THEN 2.5e0 ELSE 17.5e0 END AS y1
+  FROM (VALUES (0), (1), (2)) a(s) CROSS JOIN (VALUES (21), (22)) b(t)""",
+    "play_rows": """
+SELECT concat('p', cast(k AS string)) AS match_id, f AS frame_id, f / 8e0 AS timestamp_s, track_id, team,
+  CASE WHEN k % 8 >= 4 THEN 40e0 - (x0 + (x1 - x0) * (f - f0) / (f1 - f0)) ELSE x0 + (x1 - x0) * (f - f0) / (f1 - f0) END AS x,
+  CASE WHEN k % 8 >= 4 THEN 20e0 - (y0 + (y1 - y0) * (f - f0) / (f1 - f0)) ELSE y0 + (y1 - y0) * (f - f0) / (f1 - f0) END AS y
+FROM (SELECT s_suppkey AS k, cast(s_suppkey % 4 AS int) AS scenario, max(s_nationkey) AS n FROM {supplier} GROUP BY s_suppkey) m
+JOIN {waypoints} w ON w.scenario = m.scenario
+JOIN (SELECT cast(a * 10 + b AS int) AS f FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) x(a) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) y(b)) t ON f >= f0 AND f < f1
+WHERE NOT (track_id = 16 AND f % 40 BETWEEN 10 AND 10 + n % 16)""",
     "statuses": """
 SELECT concat('m', cast(s_suppkey % 12 AS string)) AS match_id, min(CASE s_suppkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'unknown' END) AS status
 FROM {supplier} GROUP BY s_suppkey % 12""",
