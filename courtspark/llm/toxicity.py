@@ -24,6 +24,8 @@ THRESHOLD = 0.7
 LOG_ODDS, CONTEXTS = 3.5, 3
 STEMS = (4, 5, 6)
 FOLDS = 3
+#: Unit counts that a task holds before it hands them on; Spark adds them up.
+HELD = 200_000
 
 THREATS = ("kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "töten", "umbringen", "tuer", "tuerai", "frapper", "matar", "golpear")
 TARGETS = ("you", "your", "he", "she", "they", "them", "this", "these", "those", "people", "du", "ihr", "dich", "euch", "tu", "vous", "toi", "ils", "tú", "vosotros", "ustedes", "ellos")
@@ -131,17 +133,25 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
         clean: Counter[tuple[str, int]] = Counter()
         toxic: Counter[tuple[str, int]] = Counter()
         before: set[tuple[str, int, str]] = set()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            rows = [(*k, toxic[k], clean[k], None) for k in {*toxic, *clean}] + [(u, k, 0, 0, p) for u, k, p in before]
+            for held in (clean, toxic, before):
+                held.clear()
+            for i in range(0, len(rows), 20_000):
+                cols = list(zip(*rows[i : i + 20_000], strict=True))
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["unit", "fold", "toxic", "clean", "before"])
+
         for b in batches:
             for text, bad, fold in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = WORD.findall(text.lower())
                 (toxic if bad else clean).update((u, fold) for u in {u for w in set(words) for u in units(w)})
                 if bad:
                     before.update((u, fold, p) for p, w in zip(["", *words], words, strict=False) for u in units(w))
-        rows = [(*k, toxic[k], clean[k], None) for k in {*toxic, *clean}] + [(u, k, 0, 0, p) for u, k, p in before]
-        for i in range(0, len(rows), 50_000):
-            cols = list(zip(*rows[i : i + 50_000], strict=True))
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["unit", "fold", "toxic", "clean", "before"])
+                if len(toxic) + len(clean) + len(before) > HELD:
+                    yield from told()
+        yield from told()
 
     rows = sample.select("text", "toxic", "fold").mapInArrow(count, "unit string, fold int, toxic long, clean long, before string")
     once = rows.groupBy("unit", "fold", "before").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
