@@ -195,3 +195,20 @@ def nearest_in_time(a: DataFrame, b: DataFrame) -> DataFrame:
     j = both.withColumn("before", F.last(o, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first(o, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     pick = F.when(F.col("before").isNull() | (F.col("after.t") - F.col("t") < F.col("t") - F.col("before.t")), F.col("after")).otherwise(F.col("before"))
     return j.where("own = 1").select("match_id", "id", pick["other"].alias("nearest"), F.abs(pick["t"] - F.col("t")).alias("apart_s"))
+
+
+def density_points(points: DataFrame, portrait: bool = False, margin_m: float = 1.5, px: float = 20.0) -> DataFrame:
+    """Points on the drawing surface: pixels, and the stamp's radius from the zone's spread."""
+    spread: Column = F.lit(1.0)
+    for z, s in SPREADS.items():
+        spread = F.when(zone_of(F.col("court_x"), F.col("court_y")) == z, s).otherwise(spread)
+    x, y = (F.col("court_x") + margin_m) * px, (20.0 - F.col("court_y") + margin_m) * px
+    return points.select("match_id", "frame_id", "track_id", (y if portrait else x).alias("px"), (x if portrait else y).alias("py"), F.floor(spread * 1.2 * px + 0.5).cast("long").alias("radius"))
+
+
+def play_trajectories(events: DataFrame) -> DataFrame:
+    """Tracks of events' details with two points at least: from and to in seconds, the goal's end, whether it is a
+    team's centroid (track -1)."""
+    t = events.select("match_id", "event_id", F.col("details.goal_x").alias("goal_x"), F.explode("details.tracks").alias("tr")).where(F.size("tr.points") >= 2)
+    ends = [F.element_at("tr.points", 1)[0].alias("from_s"), F.element_at("tr.points", -1)[0].alias("to_s")]
+    return t.select("match_id", "event_id", F.col("tr.track_id").alias("track_id"), *ends, F.size("tr.points").alias("n_points"), F.when(F.col("goal_x") < 20, "left").otherwise("right").alias("goal_end"), (F.col("tr.track_id") == -1).alias("centroid"))

@@ -151,3 +151,29 @@ def movement_bounds(segments: DataFrame, rest: float = 0.8, reach_s: float = 3.0
     resting = F.first(still, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     t = F.col("timestamp_s")
     return segments.withColumn("move_start", F.greatest(F.coalesce(rested, first), t - reach_s)).withColumn("move_end", F.least(F.coalesce(resting, last), t + reach_s))
+
+
+def position_at(segments: DataFrame, times: DataFrame) -> DataFrame:
+    """Each segment's first sample at or after a time, else its last: times (match_id, seg_id, t) with x, y there."""
+    j = times.join(segments.select(*SEG, "timestamp_s", "x", "y"), SEG)
+    sample = F.struct("timestamp_s", "x", "y")
+    g = j.groupBy(*times.columns).agg(F.min(F.when(F.col("timestamp_s") >= F.col("t"), sample)).alias("a"), F.max(sample).alias("z"))
+    p = F.coalesce("a", "z")
+    return g.select(*times.columns, p["timestamp_s"].alias("seen_s"), p["x"].alias("x"), p["y"].alias("y"))
+
+
+def displacement(segments: DataFrame, spans: DataFrame) -> DataFrame:
+    """Straight distance between a segment's positions at t0 and t1: spans (match_id, seg_id, t0, t1)."""
+    end = lambda c: position_at(segments, spans.select(*SEG, F.col(c).alias("t")).distinct()).select(*SEG, F.col("t").alias(c), F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}"))
+    j = spans.join(end("t0"), [*SEG, "t0"]).join(end("t1"), [*SEG, "t1"])
+    dx, dy = F.col("x_t1") - F.col("x_t0"), F.col("y_t1") - F.col("y_t0")
+    return j.select(*SEG, "t0", "t1", F.sqrt(dx * dx + dy * dy).alias("moved"))
+
+
+def trajectories(segments: DataFrame, most: int = 25) -> DataFrame:
+    """Each segment as at most ``most`` evenly chosen points [t, x, y], rounded to centimetres."""
+    r = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("double") / 100.0
+    g = segments.groupBy(*SEG, "track_id").agg(F.array_sort(F.collect_list(F.array(r("timestamp_s"), r("x"), r("y")))).alias("ps"))
+    n = F.size("ps")
+    chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get("ps", F.bround(i * (n - 1) / (most - 1)).cast("int")))
+    return g.select(*SEG, "track_id", F.when(n > most, chosen).otherwise(F.col("ps")).alias("points"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.views import Tables, with_views
 
-MODULES = ("maintenance", "tracking", "statistics", "reports", "models", "plays")
+MODULES = ("maintenance", "tracking", "statistics", "reports", "models", "plays", "clusters")
 
 
 def _plans() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
