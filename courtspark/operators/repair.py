@@ -95,12 +95,13 @@ def interpolate_tracks(players: DataFrame, frames: DataFrame) -> DataFrame:
     gaps = life.join(grid, "match_id").where("frame_id between lo and hi").select(*FRAME, "ord", "track_id").join(players.select(*FRAME, "track_id"), [*FRAME, "track_id"], "left_anti")
     rows = players.join(grid, FRAME).withColumn("_own", F.lit(True)).unionByName(gaps.withColumn("_own", F.lit(False)), allowMissingColumns=True)
     t = Window.partitionBy(*TRACK).orderBy("ord")
-    back, ahead = t.rowsBetween(Window.unboundedPreceding, 0), t.rowsBetween(0, Window.unboundedFollowing)
+    back = t.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*TRACK).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)  # running, where a frame to the end is quadratic
 
     def filled(c: str):
         at = F.when(F.col(c).isNotNull(), F.col("ord"))
-        v0, v1 = F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)
-        o0, o1 = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
+        v0, v1 = F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead)
+        o0, o1 = F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(ahead)
         return F.when(v0.isNull(), None).when(v1.isNull() | (o1 == o0), v0).otherwise(v0 + (v1 - v0) * (F.col("ord") - o0) / (o1 - o0))
 
     linear = ["pixel_foot_x", "pixel_foot_y", "confidence", "court_x", "court_y"]

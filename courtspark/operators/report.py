@@ -192,7 +192,7 @@ def nearest_in_time(a: DataFrame, b: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("match_id").orderBy("t", "own", "other")
     o = F.when(F.col("own") == 0, F.struct("t", "other"))
-    j = both.withColumn("before", F.last(o, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first(o, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    j = both.withColumn("before", F.last(o, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.last(o, ignorenulls=True).over(Window.partitionBy("match_id").orderBy(F.desc("t"), F.desc("own"), F.desc("other")).rowsBetween(Window.unboundedPreceding, -1)))
     pick = F.when(F.col("before").isNull() | (F.col("after.t") - F.col("t") < F.col("t") - F.col("before.t")), F.col("after")).otherwise(F.col("before"))
     return j.where("own = 1").select("match_id", "id", pick["other"].alias("nearest"), F.abs(pick["t"] - F.col("t")).alias("apart_s"))
 

@@ -148,7 +148,7 @@ def movement_bounds(segments: DataFrame, rest: float = 0.8, reach_s: float = 3.0
     still = F.when(speed() < rest, F.col("timestamp_s"))
     first, last = F.min("timestamp_s").over(Window.partitionBy(*SEG)), F.max("timestamp_s").over(Window.partitionBy(*SEG))
     rested = F.last(still, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    resting = F.first(still, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    resting = F.last(still, ignorenulls=True).over(Window.partitionBy(*SEG).orderBy(F.desc("frame_id")).rowsBetween(Window.unboundedPreceding, 0))
     t = F.col("timestamp_s")
     return segments.withColumn("move_start", F.greatest(F.coalesce(rested, first), t - reach_s)).withColumn("move_end", F.least(F.coalesce(resting, last), t + reach_s))
 
