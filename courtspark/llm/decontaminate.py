@@ -16,8 +16,6 @@ from .common import documents, text_of
 
 #: Words of a seed.
 SEED = 4
-#: An item's seeds are used if they occur at most so many times as often as its median seed.
-RARE = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A passage repeats an item if its alignment scores at least this part of the item's own.
 THRESHOLD = 0.5
@@ -66,20 +64,18 @@ class Benchmark:
         self.seed = np.concatenate([*seeds, np.empty(0, np.uint64)])
         self.item = np.repeat(np.arange(len(items)), size)
         self.place = np.concatenate([*map(np.arange, size), np.empty(0, np.int64)]).astype(np.int64)
-        self._sort(np.argsort(self.seed, kind="stable"))
-
-    def _sort(self, order: np.ndarray) -> None:
+        order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
+        #: Lengths of seeds: an item shorter than ``SEED`` is one seed of its own length.
+        self.lengths = sorted({min(SEED, len(w)) for w in self.words})
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
 
-    def keep_rare(self, found: dict[int, int]) -> None:
-        """Drop seeds that occur more than ``RARE`` times as often in the corpus as their item's median seed."""
-        often = np.array([found.get(s, 0) for s in self.seed.tolist()], np.int64)
-        by_item = np.lexsort((often, self.item))
-        start = np.flatnonzero(np.diff(self.item[by_item], prepend=-1))
-        size = np.diff(np.append(start, len(by_item)))
-        median = np.maximum(1, often[by_item][start + (size - 1) // 2])
-        keep = by_item[often[by_item] <= RARE * np.repeat(median, size)]
-        self._sort(np.sort(keep))
+    def shared(self, i: int, window: np.ndarray) -> int:
+        """Words that item ``i`` and a window have in common, repeats counted: no alignment matches more."""
+        words, often = self.bags[i]
+        at = np.searchsorted(words, window)
+        at[at == len(words)] = 0
+        return int(np.minimum(often, np.bincount(at[words[at] == window], minlength=len(words))).sum())
 
     def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``seeds`` and in the sorted seed table that agree, each pair of them."""
@@ -104,22 +100,29 @@ def _windows(diagonals: np.ndarray, length: int) -> Iterator[tuple[int, int, int
 def align(text: bytes, bench: Benchmark, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """Passages of a text that repeat an item: (item, seeds, score, first word, end word), best passage of each item.
 
-    Every rare seed shared with an item proposes a diagonal; each run of diagonals is aligned in the window of words
-    that the item can reach from there.
+    Every seed shared with an item proposes a diagonal; each run of diagonals is aligned in the window of words that
+    the item can reach from there, unless the words they have in common are too few for the threshold in any order.
     """
     words = _document_words(text)
-    at, entry = bench.hits(grams.gram_hashes(words, SEED))
+    met = [bench.hits(grams.gram_hashes(words, n)) for n in bench.lengths if n <= len(words)]
     found = []
-    item, diagonal = bench.item[entry], at - bench.place[entry]
-    for i in np.unique(item):
+    if not met:
+        return found
+    at, entry = (np.concatenate(x) for x in zip(*met, strict=True))
+    order = np.argsort(bench.item[entry], kind="stable")
+    item, diagonal = bench.item[entry][order], (at - bench.place[entry])[order]
+    start = np.flatnonzero(np.diff(item, prepend=-1))
+    for i, diagonals in zip(item[start].tolist(), np.split(diagonal, start[1:]), strict=False):
         own, best = bench.words[i], None
-        for first, last, seeds in _windows(diagonal[item == i], len(own)):
+        for first, last, seeds in _windows(diagonals, len(own)):
             pad = 4 + len(own) // 3
             low, high = max(0, first - pad), min(len(words), last + len(own) + pad)
-            score, start, end = smith_waterman(own, words[low:high])
+            if bench.shared(i, words[low:high]) < threshold * len(own):
+                continue
+            score, begin, end = smith_waterman(own, words[low:high])
             share = score / (MATCH * len(own))
             if share >= threshold and (best is None or share > best[2]):
-                best = (bench.ids[i], seeds, share, low + start, low + end)
+                best = (bench.ids[i], seeds, share, low + begin, low + end)
         if best:
             found.append(best)
     return found
@@ -129,41 +132,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """One row per document and item it repeats: doc_id, item_id, n_seeds, score, first_word, end_word.
 
     Texts and items are compared by words (runs of digits, letters and what lies outside ASCII, A-Z lower-cased).
-    A first reading of the corpus counts the items' seeds of ``SEED`` words; those much more frequent than the rest
-    of their item are dropped, so every item keeps at least half of its own, however often it is repeated. A second
-    reading joins on the rare seeds and aligns with Smith-Waterman; ``score`` is the alignment's part of the item's
-    full score. Items shorter than a seed are searched as one seed. Benchmarks beyond ``ITEM_WORDS`` words are taken
-    in blocks, each with readings of its own, so a task holds one block and one text. Null texts count as empty and
-    match nothing, as do items without words; repeated rows are reported each.
+    Every text that shares a seed of ``SEED`` words with an item, however frequent the seed, is aligned with it by
+    Smith-Waterman; ``score`` is the alignment's part of the item's full score. Items shorter than a seed are searched
+    as one seed of their own length. Benchmarks beyond ``ITEM_WORDS`` words are taken in blocks, each with a reading
+    of its own, so a task holds one block and one text. Null texts count as empty and match nothing, as do items
+    without words; repeated rows are reported each.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_of(text).cast("binary").alias("text"))
     kind = "doc_id long, item_id long, n_seeds long, score double, first_word long, end_word long"
-    found = [rows.mapInArrow(_aligner(rare, threshold), kind) for rare in _readings(rows, benchmark)]
+    found = [rows.mapInArrow(_aligner(held, threshold), kind) for held in _readings(rows.sparkSession, benchmark)]
     return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], kind)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that repeat no item, with all their columns."""
-    for rare in _readings(docs.select(F.lit(0), text_of(text).cast("binary").alias("text")), benchmark):
-        docs = docs.where(~_repeats(rare, threshold)(text_of(text).cast("binary")))
+    for held in _readings(docs.sparkSession, benchmark):
+        docs = docs.where(~_repeats(held, threshold)(text_of(text).cast("binary")))
     return docs
 
 
-def _repeats(rare, threshold: float):
+def _repeats(held, threshold: float):
     @F.pandas_udf("boolean")
     def repeats(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(align(t, rare.value, threshold)) for t in texts], dtype=bool)
+        return pd.Series([bool(align(t, held.value, threshold)) for t in texts], dtype=bool)
 
     return repeats
 
 
-def _readings(rows: DataFrame, benchmark: DataFrame) -> Iterator:
-    """Block by block of the benchmark, a broadcast of its items with the seeds that a reading of ``rows`` shows rare."""
-    context = rows.sparkSession.sparkContext
+def _readings(spark: SparkSession, benchmark: DataFrame) -> Iterator:
+    """Block by block of the benchmark, a broadcast of its items."""
     for block in _blocks(benchmark):
-        bench = Benchmark(block)
-        bench.keep_rare(_seed_counts(rows, context.broadcast(bench)))
-        yield context.broadcast(bench)
+        yield spark.sparkContext.broadcast(Benchmark(block))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -182,27 +181,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
-def _seed_counts(rows: DataFrame, held) -> dict[int, int]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = held.value
-        distinct = np.unique(bench.seed)
-        total = np.zeros(len(distinct), np.int64)
-        for b in batches:
-            for t in b.column(1).to_pylist():
-                s = grams.gram_hashes(_document_words(t), SEED)
-                at = np.searchsorted(distinct, s)
-                at[at == len(distinct)] = 0
-                np.add.at(total, at[distinct[at] == s], 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[seen].view(np.int64)), pa.array(total[seen])], ["seed", "n"])
-
-    counts = rows.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"] & ((1 << 64) - 1): r["n"] for r in counts.toLocalIterator()}
-
-
-def _aligner(rare, threshold: float):
+def _aligner(held, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = rare.value
+        bench = held.value
         names = ["doc_id", "item_id", "n_seeds", "score", "first_word", "end_word"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         for b in batches:

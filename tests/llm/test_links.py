@@ -134,6 +134,16 @@ def test_an_item_repeated_everywhere_is_found_everywhere(docs, spark):
     assert D.decontaminate(docs([f"x{i} {item} y{i}" for i in range(80)]), bench).count() == 80
 
 
+def test_an_edited_item_repeated_everywhere_and_short_items_are_found_everywhere(docs, spark):
+    words = [f"word{i}" for i in range(15)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "never anywhere in any text"), (3, "two short"), (4, "one")], "item_id long, text string")
+    words[4] = words[9] = "edited"
+    texts = [f"x{i} {' '.join(words)} y{i}" for i in range(3000)] + ["here are Two, short words", "two", "short two", "one"]
+    found = D.decontaminate(docs(texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in found) == [*((i, 1, 0.8) for i in range(3000)), (3000, 3, 1.0), (3003, 4, 1.0)]
+    assert [r["doc_id"] for r in D.clean(docs(texts), bench).collect()] == [3001, 3002]
+
+
 def test_decontaminate_of_nulls_blocks_and_nothing(docs, spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"item {i} has these words of its own {i}") for i in range(9)], "item_id long, text string")
     monkeypatch.setattr(D, "ITEM_WORDS", 20)
