@@ -44,12 +44,27 @@ def address(url: Column) -> Column:
     return F.when(host_of(url) != "", name)
 
 
-def _target(link: Column, host: Column) -> Column:
-    """A link's absolute url; null for one relative to the page's folder or of another scheme."""
+def _plain(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` steps."""
+    steps = F.split(F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    walked = F.aggregate(
+        F.slice(steps, 2, F.size(steps)),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+    )
+    return F.concat(F.lit("/"), F.array_join(walked, "/"))
+
+
+def _target(link: Column, url: Column) -> Column:
+    """A link's absolute url, seen from its page; null for an empty one or one of another scheme, and without a host."""
+    path, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
+    own = F.when(rest.startswith("#"), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)).otherwise("")
+    there = F.when(path.startswith("/"), _plain(path)).when(path == "", F.concat(path_of(url), own)).otherwise(_plain(F.concat(folder, path)))
     return (
         F.when(link.rlike("(?i)^https?://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host, link))
+        .when((link != "") & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & (host_of(url) != ""), F.concat(F.lit("http://"), host_of(url), there, rest))
     )
 
 
@@ -72,6 +87,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins (allow on a tie),
     and decides for its page. Spellings of one address, canonical links and refresh redirects in ``html``, and pairs
     (from_url, to_url) of ``redirects`` make addresses equivalent; classes are connected components of these links.
+    Tags may be written in either case, and targets are resolved against their page.
     A page that no rule fits is blocked if a rule blocks any address of its class, unless a rule allows one: an
     explicit allow takes precedence. Others are allowed. Link targets that are no pages themselves count as
     addresses. A null url or one without ``://`` has an empty host and path, no class and is allowed; null html has
@@ -82,11 +98,11 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
         rules = local(spark, [tuple(r) for r in rules], rule_host=pa.string(), rule_path=pa.string(), action=pa.string())
     rules = rules.select("rule_host", "rule_path", "action", F.concat("rule_host", "rule_path").alias("rule"))
     url = F.col("url")
-    link = lambda mark, tag, at: F.when(F.col("html").contains(mark), F.regexp_extract(F.regexp_extract("html", tag, 0), at, 1))
+    link = lambda tag, at: F.regexp_extract(F.regexp_extract("html", tag, 0), at, 1)
     of = pages.select("page_id", url, F.coalesce("html", F.lit("")).alias("html"))
-    rows = of.select(
+    rows = of.select("page_id", "url", link(LINK, HREF).alias("canonical"), link(META, TO).alias("refresh")).select(
         F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"),
-        _target(link("canonical", LINK, HREF), host_of(url)).alias("canonical"), _target(link("refresh", META, TO), host_of(url)).alias("refresh"),
+        _target(F.col("canonical"), url).alias("canonical"), _target(F.col("refresh"), url).alias("refresh"),
     )
     rows = table(rows, "pages")
     ruled = table(rows.select("row", "page_id", "host", "path", "address").join(_ruled(rows, rules), "row", "left"), "ruled")

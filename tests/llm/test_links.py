@@ -177,6 +177,25 @@ def test_url_classes(spark):
     assert url_filter(df.limit(0)).count() == 0
 
 
+def test_tags_in_capitals_and_targets_relative_to_the_page_are_links(spark):
+    pages = [
+        (1, "http://a.org/x", '<META HTTP-EQUIV="Refresh" CONTENT="0; URL=http://b.net/es/1">'),
+        (2, "http://c.org/x", '<LINK REL="Canonical" HREF="http://b.net/es/2">'),
+        (3, "http://d.org/one/two/p.html?q", '<link rel="canonical" href="page2.html">'),
+        (4, "http://d.org/one/two/page2.html", '<meta http-equiv="REFRESH" content="1;url=../../up/./z?k=1#f">'),
+        (5, "https://d.org/up/z?k=1", '<link rel="canonical" href="http://b.net/fr/">'),
+        (6, "http://e.org", '<link rel="canonical" href="f">'),
+        (7, "http://e.org/f", '<link rel="canonical" href="?k=2">'),
+        (8, "http://e.org/f?k=2", '<link rel="canonical" href="/../a/..//g/.">'),
+        (9, "http://e.org//g/", '<link rel="canonical" href="//b.net/fr/">'),
+        (10, "http://g.org/a", '<link rel="canonical" href="#top">'),
+        (11, "http://g.org/b", '<link rel="canonical" href="javascript:b"><meta http-equiv=refresh content=5>'),
+    ]
+    got = {r["page_id"]: r for r in url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i: got[i]["verdict"] for i in got} == {i: "block" if i < 10 else "allow" for i in range(1, 12)}
+    assert got[10]["component"] == "g.org/a" and got[11]["component"] == "g.org/b"
+
+
 def test_an_explicit_allow_in_a_class_takes_precedence(spark):
     link = lambda to: f'<link href="{to}" rel=canonical>'
     pages = [(1, "http://a.org/", link("http://b.org/")), (2, "http://b.org/", link("http://c.com/")), (3, "http://z.net/es/", link("http://a.org/"))]
