@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from . import grams
 from .common import documents, table, text_of
 
-#: Frequent words with an id of their own; all others share ``BUCKETS`` ids by hash. The vocabulary is classes of SIDE ids.
+#: Frequent words with an id of their own; all others share ``BUCKETS`` ids by hash, and are told apart within their id
+#: by their counts. The network's vocabulary is classes of SIDE ids.
 FREQUENT, BUCKETS, SIDE = 896, 128, 32
 VOCABULARY = FREQUENT + BUCKETS
 OFFSETS = (-2, -1, 1, 2)
@@ -128,10 +129,15 @@ class Trainer:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Word hashes of the frequent words (sorted) with their ids by frequency."""
+    """Word hashes of the frequent words (sorted) with their ids by frequency; occurrences by bucket of all others.
+
+    ``counts`` holds the occurrences of every word of the corpus (word, n); it stays a table, of any size.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
+    buckets: np.ndarray
+    counts: DataFrame | None = None
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
         rest = FREQUENT + (words >> np.uint64(40)).astype(np.int64) % BUCKETS
@@ -141,6 +147,13 @@ class Vocabulary:
         at[at == len(self.hashes)] = 0
         return np.where(self.hashes[at] == words, self.ids[at], rest)
 
+    def bucket_logs(self, ids: np.ndarray) -> np.ndarray:
+        """Log of what a word's occurrences are divided by to give p(word | id); 0 for frequent words.
+
+        Each bucket has room for one occurrence more, that of words which the corpus does not hold.
+        """
+        return np.concatenate((np.zeros(FREQUENT), np.log(self.buckets + 1.0)))[ids]
+
 
 def contexts(ids: np.ndarray, first: int = 0, step: int = 1) -> np.ndarray:
     """Ids at each offset from every ``step``-th position; places outside the text hold the padding id."""
@@ -166,8 +179,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
 
     Words are counted over all documents. In each round every partition trains a copy of the shared network on the
     masked positions of all its documents, and Spark averages the copies, weighted by positions; a round masks every
-    ``MASK``-th position of each text, the next round others. What reaches the driver is the vocabulary and one
-    network, whatever the corpus.
+    ``MASK``-th position of each text, the next round others. What reaches the driver is the frequent words and one
+    network, whatever the corpus; the counts of all words stay a table.
     """
     spark = docs.sparkSession
     texts = docs.select(text_of(text).cast("binary").alias("text"))
@@ -175,14 +188,16 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
-    vocabulary = Vocabulary(words[order], order.astype(np.int64))
     frequency = np.zeros(VOCABULARY)
     frequency[: len(top)] = [r["n"] for r in top]
-    rest = counts.agg(F.sum("n")).first()[0] or 0
-    frequency[FREQUENT:] = max(0, rest - frequency.sum()) / BUCKETS
+    bucket = F.shiftrightunsigned("word", 40) % BUCKETS
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        frequency[FREQUENT + r["bucket"]] = r["n"]
+    np.subtract.at(frequency, FREQUENT + (words >> np.uint64(40)).astype(np.int64) % BUCKETS, frequency[: len(top)].copy())
+    vocabulary = Vocabulary(words[order], order.astype(np.int64), frequency[FREQUENT:].copy(), counts)
     network = Network.initial(frequency)
     for k in range(rounds):
-        held = spark.sparkContext.broadcast((vocabulary, network.flat()))
+        held = spark.sparkContext.broadcast((replace(vocabulary, counts=None), network.flat()))
         parts = texts.mapInArrow(_train_partition(held, k * MASK // rounds), "i int, w double, n long")
         mean = parts.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow()
         if mean.num_rows:
@@ -229,37 +244,58 @@ def _train_partition(held, first: int):
 
 def score_text(text: bytes, vocabulary: Vocabulary, network: Network, block: int = 1 << 15) -> tuple[int, float]:
     """Number of tokens and the sum of their conditional log probabilities; long texts go block by block."""
-    ids = vocabulary(grams.word_hashes(text))
+    words = grams.word_hashes(text)
+    ids = vocabulary(words)
     around = contexts(ids)
-    return len(ids), sum(float(network.log_probabilities(ids[a : a + block], around[:, a : a + block]).sum(dtype=np.float64)) for a in range(0, len(ids), block))
+    total = sum(float(network.log_probabilities(ids[a : a + block], around[:, a : a + block]).sum(dtype=np.float64)) for a in range(0, len(ids), block))
+    rare, n = np.unique(words[ids >= FREQUENT].view(np.int64), return_counts=True)
+    if len(rare):
+        known = {r["word"]: r["n"] for r in vocabulary.counts.where(F.col("word").isin(rare.tolist())).collect()}
+        total += sum(k * np.log(known.get(w, 1)) for w, k in zip(rare.tolist(), n.tolist(), strict=True)) - float(vocabulary.bucket_logs(ids).sum())
+    return len(ids), total
 
 
 def pseudo_likelihood(docs: DataFrame, vocabulary: Vocabulary, network: Network, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, log_likelihood (sum of log p(token | both sides)), per_token.
 
-    Texts are predicted whole, token by token, from the two words on either side. A null or blank text has no tokens,
+    Texts are predicted whole, token by token, from the two words on either side. The network gives p(id | both
+    sides); for words that share an id, p(word | id) follows from the word's count in the corpus, which a join brings
+    to each document's words, and a word not met in the corpus counts as met once. A null or blank text has no tokens,
     log likelihood 0 and a null mean; repeated rows are scored each. Documents are stacked for speed, but no token
     sees another document.
     """
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat()))
+    held = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, counts=None), network.flat()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = held.value
         net = Network.from_flat(flat)
         for b in batches:
-            n, total = [], []
-            for part in _stacks([vocabulary(grams.word_hashes(t)) for t in b.column(1).to_pylist()]):
-                ids, around = np.concatenate(part), np.concatenate([contexts(p) for p in part], axis=1)
+            n, total, rare, times, ends_rare = [], [], [], [], [0]
+            for part in _stacks([grams.word_hashes(t) for t in b.column(2).to_pylist()]):
+                own = [vocabulary(w) for w in part]
+                ids, around = np.concatenate(own), np.concatenate([contexts(p) for p in own], axis=1)
                 got = np.concatenate([net.log_probabilities(ids[a : a + (1 << 15)], around[:, a : a + (1 << 15)]) for a in range(0, len(ids), 1 << 15)] or [np.empty(0)])
-                sums = np.concatenate(([0.0], np.cumsum(got, dtype=np.float64)))
+                sums = np.concatenate(([0.0], np.cumsum(got - vocabulary.bucket_logs(ids), dtype=np.float64)))
                 ends = np.cumsum([len(p) for p in part])
                 n += [len(p) for p in part]
                 total += (sums[ends] - sums[ends - [len(p) for p in part]]).tolist()
-            mean = [t / k if k else None for t, k in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), text_of(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+                for w, i in zip(part, own, strict=True):
+                    words, often = np.unique(w[i >= FREQUENT], return_counts=True)
+                    rare.append(words)
+                    times.append(often)
+                    ends_rare.append(ends_rare[-1] + len(words))
+            words = pa.array(np.concatenate([*rare, np.empty(0, np.uint64)]).view(np.int64))
+            pairs = pa.StructArray.from_arrays([words, pa.array(np.concatenate([*times, np.empty(0, np.int64)]).astype(np.int32))], ["word", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(ends_rare, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64()), lists], ["row", "doc_id", "n_tokens", "by_id", "rare"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_of(text).cast("binary").alias("text"))
+    scored = table(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, by_id double, rare array<struct<word: long, times: int>>"), "scored")
+    # a word met once adds log 1, so only words met more often need to be found
+    rare = scored.select("row", F.inline("rare")).join(vocabulary.counts.where("n > 1"), "word")
+    within = rare.groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n").cast("double"))).alias("within"))
+    total = F.col("by_id") + F.coalesce("within", F.lit(0.0))
+    return scored.drop("rare").join(within, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"))
 
 
 def _stacks(texts: list[np.ndarray], size: int = 1 << 15) -> Iterator[list[np.ndarray]]:

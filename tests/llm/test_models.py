@@ -69,6 +69,23 @@ def test_scores_are_those_of_single_texts_and_order_matters(trained, docs):
     assert better >= 18
 
 
+def test_every_word_is_scored_as_itself(docs, spark):
+    own = [" ".join([f"f{i}" for i in range(P.FREQUENT)] * 9)] + [" ".join(f"r{i}" for i in range(3000) for _ in range(1 + i % 6))]
+    vocabulary, network = P.train(docs(own))
+    counts = {r["word"]: r["n"] for r in vocabulary.counts.collect()}
+    words = np.array([w for w in counts if counts[w] < 9], np.int64).view(np.uint64)
+    assert len(words) == 3000 and vocabulary.buckets.sum() == sum(1 + i % 6 for i in range(3000))
+    ids, n = vocabulary(words), np.array([counts[w] for w in words.view(np.int64).tolist()])
+    inside = np.bincount(ids, n * np.exp(-vocabulary.bucket_logs(ids)), P.VOCABULARY)[P.FREQUENT :]
+    assert inside + 1 / (vocabulary.buckets + 1) == pytest.approx(1)
+    bucket = {t: int(vocabulary(P.grams.word_hashes(t.encode()))[0]) for t in [f"r{i}" for i in range(3000)] + [f"unseen{i}" for i in range(3000)]}
+    often, once, unseen = (next(t for t in bucket if t.startswith(k) and bucket[t] == bucket["r5"] and (k == "u" or int(t[1:]) % 6 == m)) for k, m in (("r", 5), ("r", 0), ("u", 0)))
+    texts = [often, once, unseen, f"{often} {once} {unseen} {often}"]
+    got = {r["doc_id"]: r["log_likelihood"] for r in P.pseudo_likelihood(docs(texts), vocabulary, network).collect()}
+    assert got[0] == pytest.approx(got[1] + np.log(6)) and got[1] == pytest.approx(got[2])
+    assert [got[i] for i in range(4)] == pytest.approx([P.score_text(t.encode(), vocabulary, network)[1] for t in texts])
+
+
 def test_nothing_to_learn_from(docs):
     empty = docs([])
     model = P.train(empty)
