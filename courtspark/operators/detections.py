@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME = ["match_id", "frame_id"]
+#: A game clock, seconds to 59: fixed value.
+CLOCK = r"\b\d{1,2}:[0-5]\d\b"
 H = [f"h{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
 
 
@@ -78,12 +80,13 @@ def reprojection_quality(correspondences: DataFrame, calibrations: DataFrame, th
 
 
 def parse_scoreboard(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Clock and score of a scoreboard's text: numbers after letters first, else the first two free numbers."""
+    """Clock and score of a scoreboard's text: numbers after letters first, else the first free numbers; one alone is
+    the home score."""
     t = F.col(text)
-    time = F.regexp_extract(t, r"\b(\d{1,2}:[0-5]\d)\b", 1)
+    time = F.regexp_extract(t, f"({CLOCK})", 1)
     rest = F.regexp_replace(t, r"\d{1,2}:\d{2}", " ")
     named, free = F.regexp_extract_all(rest, F.lit(r"[A-Za-z]+\s*(\d{1,2})\b"), F.lit(1)), F.regexp_extract_all(rest, F.lit(r"\b(\d{1,2})\b"), F.lit(1))
-    two = F.when(F.size(named) >= 1, named).when(F.size(free) >= 2, free)
+    two = F.when(F.size(named) >= 1, named).otherwise(free)
     return texts.withColumns({"game_time": F.when(time != "", time), "score_home": F.get(two, F.lit(0)).cast("int"), "score_away": F.get(two, F.lit(1)).cast("int")})
 
 
@@ -92,6 +95,6 @@ def scoreboard_plausible(candidates: DataFrame, text: str = "text") -> DataFrame
     least beside the clock."""
     t = F.col(text)
     free = F.size(F.regexp_extract_all(F.regexp_replace(t, r"\d{1,2}:\d{2}", " "), F.lit(r"\b(\d{1,2})\b"), F.lit(1)))
-    ok = candidates.withColumn("has_clock", t.rlike(r"\d{1,2}:\d{2}")).where(free >= 2)
+    ok = candidates.withColumn("has_clock", t.rlike(CLOCK)).where(free >= 2)
     rank = F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("has_clock"), "ordinal"))
     return ok.withColumn("_rn", rank).where("_rn = 1").drop("_rn")

@@ -11,10 +11,10 @@ from ..operators import tables as O
 HOMOGRAPHY = {"h11": "0.03125e0", "h12": "0e0", "h13": "-4e0", "h21": "0e0", "h22": "0.015625e0", "h23": "2e0", "h31": "0e0", "h32": "0e0", "h33": "1e0"}
 CALIBRATIONS = f"SELECT match_id, frame_id, {', '.join(f'{v} AS {k}' if k != 'h13' else '-4e0 + frame_id % 3 AS h13' for k, v in HOMOGRAPHY.items())} FROM {{frames}} WHERE frame_id % 7 = 3"
 OCR = """SELECT match_id, frame_number AS frame_id, CASE frame_number % 5 WHEN 0 THEN concat('HOME ', cast(frame_number % 40 AS string), ' AWAY ', cast(frame_number % 33 AS string), ' ', cast(frame_number % 60 AS string), ':', cast(10 + frame_number % 60 AS string))
- WHEN 1 THEN concat(cast(frame_number % 40 AS string), ' - ', cast(frame_number % 31 AS string)) WHEN 2 THEN concat('TOR ', cast(frame_number % 28 AS string)) WHEN 3 THEN concat('12:', cast(frame_number % 90 AS string), ' no score') ELSE '' END AS text FROM {scoreboard_readings}"""
+ WHEN 1 THEN concat(cast(frame_number % 40 AS string), ' - ', cast(frame_number % 31 AS string)) WHEN 2 THEN concat('TOR ', cast(frame_number % 28 AS string)) WHEN 3 THEN concat('12:', cast(frame_number % 90 AS string), ' ', cast(frame_number % 7 AS string), ' ', cast(frame_number % 9 AS string)) ELSE cast(frame_number % 50 AS string) END AS text FROM {scoreboard_readings}"""
 RANKED = "SELECT match_id, frame_id, track_id, class_name, confidence, row_number() OVER (PARTITION BY match_id, frame_id{by} ORDER BY confidence DESC, track_id) AS rn FROM {{players}}"
 KEYPOINTS = """SELECT match_id, frame_id, track_id AS court_id, confidence AS court_confidence, l AS keypoint, (track_id * 3 + l * 5 + frame_id) % 8 / 8e0 AS visibility,
- (frame_id * 7 + l * 11) % 64 * 1e0 AS x, (frame_id * 5 + l * 13) % 32 * 1e0 AS y FROM {players} CROSS JOIN (SELECT DISTINCT track_id AS l FROM {players}) WHERE frame_id % 4 = 0 AND track_id <= 2"""
+ (frame_id * 7 + l * 11) % 64 * 1e0 AS x, (frame_id * 5 + l * 13) % 32 * 1e0 AS y FROM {players} CROSS JOIN (SELECT DISTINCT track_id AS l FROM {players})"""
 SEEN = "SELECT match_id, frame_id, track_id, confidence FROM {players}"
 
 
@@ -121,12 +121,12 @@ SELECT * FROM pick""",
     "b10_parse_scoreboard": (
         lambda t: D.parse_scoreboard(sql_view(t, OCR)),
         rf"""WITH o AS ({OCR}), p AS (SELECT *, nullif(regexp_extract(text, '\b(\d{{1,2}}:[0-5]\d)\b', 1), '') AS game_time, regexp_replace(text, '\d{{1,2}}:\d{{2}}', ' ', 'g') AS rest FROM o),
- n AS (SELECT *, regexp_extract_all(rest, '[A-Za-z]+\s*(\d{{1,2}})\b', 1) AS named, regexp_extract_all(rest, '\b(\d{{1,2}})\b', 1) AS free FROM p), w AS (SELECT *, CASE WHEN len(named) >= 1 THEN named WHEN len(free) >= 2 THEN free END AS two FROM n)
+ n AS (SELECT *, regexp_extract_all(rest, '[A-Za-z]+\s*(\d{{1,2}})\b', 1) AS named, regexp_extract_all(rest, '\b(\d{{1,2}})\b', 1) AS free FROM p), w AS (SELECT *, CASE WHEN len(named) >= 1 THEN named ELSE free END AS two FROM n)
  SELECT match_id, frame_id, text, game_time, cast(two[1] AS int) AS score_home, cast(two[2] AS int) AS score_away FROM w""",
     ),
     "b11_scoreboard_plausible": (
         lambda t: D.scoreboard_plausible(sql_view(t, OCR).withColumn("ordinal", F.col("frame_id") % 100).withColumn("frame_id", F.floor(F.col("frame_id") / 100).cast("int"))).select("match_id", "frame_id", "ordinal", "has_clock"),
-        rf"""WITH o AS (SELECT match_id, frame_id % 100 AS ordinal, frame_id // 100 AS frame_id, text FROM ({OCR})), p AS (SELECT *, regexp_matches(text, '\d{{1,2}}:\d{{2}}') AS has_clock, len(regexp_extract_all(regexp_replace(text, '\d{{1,2}}:\d{{2}}', ' ', 'g'), '\b(\d{{1,2}})\b', 1)) AS n FROM o)
+        rf"""WITH o AS (SELECT match_id, frame_id % 100 AS ordinal, frame_id // 100 AS frame_id, text FROM ({OCR})), p AS (SELECT *, regexp_matches(text, '\b\d{{1,2}}:[0-5]\d\b') AS has_clock, len(regexp_extract_all(regexp_replace(text, '\d{{1,2}}:\d{{2}}', ' ', 'g'), '\b(\d{{1,2}})\b', 1)) AS n FROM o)
  SELECT match_id, frame_id, ordinal, has_clock FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_id ORDER BY has_clock DESC, ordinal) AS rn FROM p WHERE n >= 2) WHERE rn = 1""",
     ),
 }
