@@ -73,6 +73,43 @@ def sample_points(players: DataFrame, every: int = 100, n: int = 12_000) -> Data
     return s.select(*FRAME, "track_id", "court_x", "court_y", team_bucket(F.col("team")).alias("team"))
 
 
+def court_points(players: DataFrame) -> DataFrame:
+    """All positions inside the court."""
+    return _in_court(players).select(*FRAME, "track_id", "court_x", "court_y", team_bucket(F.col("team")).alias("team"))
+
+
+def heatmap_points(
+    players: DataFrame, matches: DataFrame, phases: DataFrame, phase_id: int | None = None, tracks: list[int] | None = None, perspective: str = "both",
+    window: tuple[float, float] | None = None, every: int = 100, n: int = 12_000, width: int = 250,
+) -> DataFrame:
+    """Points of a match's density map: positions on every ``every``-th frame, the first ``n`` of a match.
+
+    ``phase_id`` keeps one phase of each match; ``perspective`` (offense, defense) the team in that role, in the phase
+    or, without one, in whatever phase covers the frame; ``tracks`` some tracks. A ``window`` of seconds is taken in
+    frames: of the match, or, clamped to the phase, in proportion of its frames to its duration.
+    """
+    p = _in_court(players).where(F.col("frame_id") % every == 0)
+    p = p.where(F.col("track_id").isin(tracks)) if tracks else p
+    side = {"offense": "offense_team", "defense": "defense_team"}.get(perspective)
+    if window and phase_id is None:
+        m = matches.select("match_id", "total_frames", F.coalesce(F.nullif("fps", F.lit(0.0)), F.lit(25.0)).alias("fps"))
+        low, high = F.greatest(F.lit(0), F.floor(F.col("fps") * window[0])), F.least(F.col("total_frames"), F.floor(F.col("fps") * window[1]))
+        p = p.join(m, "match_id").where(F.col("frame_id").between(low, high))
+    if phase_id is not None or side:
+        h = phases if phase_id is None else phases.where(F.col("phase_id") == phase_id)
+        h = h.withColumns({"low": F.col("start_frame"), "high": F.col("end_frame")})
+        if window and phase_id is not None:
+            frames, seconds = F.col("end_frame") - F.col("start_frame"), F.col("end_time_s") - F.col("start_time_s")
+            at = lambda s: F.floor(F.col("start_frame") + (s - F.col("start_time_s")) * (frames / seconds))
+            cut = (frames > 0) & (seconds > 0)
+            first, last = at(F.greatest(F.lit(window[0]), "start_time_s")), at(F.least(F.lit(window[1]), "end_time_s"))
+            h = h.withColumns({"low": F.when(cut, F.greatest("low", first)).otherwise(F.col("low")), "high": F.when(cut, F.least("high", last)).otherwise(F.col("high"))})
+        p = in_intervals(p, h.where("low <= high").select("match_id", "offense_team", "defense_team", "low", "high"), ["match_id"], "frame_id", "low", "high", width)
+        p = p.where(F.col("team") == F.col(side)) if side else p
+    rank = F.row_number().over(Window.partitionBy("match_id").orderBy("frame_id", "track_id"))
+    return p.withColumn("_rn", rank).where(F.col("_rn") <= n).select(*FRAME, "track_id", "court_x", "court_y", team_bucket(F.col("team")).alias("team"))
+
+
 def phase_points(players: DataFrame, phases: DataFrame, every: int = 4, width: int = 250) -> DataFrame:
     """Positions within team phases, with the phase and whether the player's team is its offence or defence."""
     p = _in_court(players).where(F.col("frame_id") % every == 0).select(*FRAME, "track_id", "court_x", "court_y", team_bucket(F.col("team")).alias("team"))

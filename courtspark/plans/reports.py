@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.court import clock
 from ..operators import report as P
 from ..operators import stats as S
 from ..operators import tables as O
 from .statistics import BUCKET, COUNT_F, COUNTS, INSIDE, INTENSITY, SHARE, STATS, SUMMARY, TRACKS, ZONE
 
-POINTS = f"pn AS (SELECT match_id, frame_id, track_id, court_x, court_y, {BUCKET} AS team FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_id, track_id) AS rn FROM {{players}} WHERE {INSIDE} AND frame_id % 10 = 0) WHERE rn <= 500)"
+POINTS = f"pn AS (SELECT match_id, frame_id, track_id, court_x, court_y, {BUCKET} AS team FROM {{players}} WHERE {INSIDE})"
 PN_ZONE = f"pz AS (SELECT match_id, half, {ZONE} AS zone, team FROM (SELECT *, CASE WHEN court_x < 20 THEN 'left' ELSE 'right' END AS half, CASE WHEN court_x < 20 THEN court_x ELSE 40 - court_x END AS u, CASE WHEN court_x < 20 THEN court_y ELSE 20 - court_y END AS v FROM pn))"
 DIST = f"""{POINTS}, {PN_ZONE}, gd AS (SELECT match_id, half, zone FROM {{matches}} CROSS JOIN (VALUES ('left'), ('right')) h(half) CROSS JOIN (VALUES ('LA'), ('RL'), ('RM'), ('RR'), ('RA'), ('KL')) z(zone)),
 di AS (SELECT gd.match_id, gd.half, gd.zone, count(*) FILTER (team = 'A') AS a, count(*) FILTER (team = 'B') AS b, count(*) FILTER (team = 'U') AS u, count(team) AS total FROM gd LEFT JOIN pz USING (match_id, half, zone) GROUP BY ALL)"""
@@ -22,12 +23,12 @@ TITLES = """me AS (SELECT match_id, arg_max(display_name, seq) FILTER (display_n
 ti AS (SELECT match_id, status, display_name, file_name, coalesce(nullif(trim(display_name), ''), nullif(trim(file_name), ''), match_id) AS title FROM {statuses} LEFT JOIN me USING (match_id))"""
 ITEMS = """it AS (SELECT match_id, 'phase' AS lane, 'phase-' || phase_id AS id, start_time_s AS start_s, end_time_s AS end_s, phase_type AS label, offense_team AS team FROM {team_phases}
  UNION ALL SELECT match_id, 'play', 'play-' || event_id, start_time_s, end_time_s, play_type, team FROM {play_events}
- UNION ALL SELECT match_id, 'goal', 'goal-' || frame_number, timestamp_sec, timestamp_sec, game_time, CASE WHEN score_home > score_away THEN 'home' ELSE 'away' END FROM {scoreboard_readings} WHERE frame_number % 97 = 0 AND score_home IS NOT NULL)"""
+ UNION ALL SELECT match_id, 'goal', 'goal-' || frame_number, timestamp_sec, timestamp_sec, game_time, CASE WHEN score_home > score_away THEN 'home' ELSE 'away' END FROM {scoreboard_readings} WHERE score_home IS NOT NULL)"""
 CLOCK = "(CASE WHEN {s} // 60 < 10 THEN '0' ELSE '' END || {s} // 60 || ':' || lpad(cast({s} % 60 AS varchar), 2, '0'))"
 
 
 def points(t):
-    return S.sample_points(t.players, 10, 500)
+    return S.court_points(t.players)
 
 
 def titles(t):
@@ -35,7 +36,7 @@ def titles(t):
 
 
 def items(t):
-    goals = t.scoreboard_readings.where("frame_number % 97 = 0 and score_home is not null").withColumn("team", F.when(F.col("score_home") > F.col("score_away"), "home").otherwise("away"))
+    goals = t.scoreboard_readings.where("score_home is not null").withColumn("team", F.when(F.col("score_home") > F.col("score_away"), "home").otherwise("away"))
     none = t.team_phases.limit(0).selectExpr("match_id", "phase_id as scene_id", "offense_team as team", "'' as formation", "start_time_s", "end_time_s")
     return P.timeline_items(goals, t.team_phases, t.play_events, none)
 
@@ -79,8 +80,8 @@ PLANS = {
     "h16_match_list_summary": (lambda t: P.match_list_summary(S.match_duration(t.matches)), "SELECT count(*) AS matches, cast(floor(sum(floor(total_frames / coalesce(nullif(fps, 0), 1e0))) / 60 + 0.5) AS bigint) AS minutes FROM {matches}"),
     "h17_timeline_items": (items, f"WITH {ITEMS} SELECT * FROM it"),
     "h18_phase_at": (
-        lambda t: P.phase_at(t.frames.where("frame_id % 3 = 0").selectExpr("match_id", "frame_id", "timestamp_s as t"), t.team_phases).select("match_id", "frame_id", "t", "phase_id"),
-        "SELECT f.match_id, f.frame_id, f.timestamp_s AS t, CASE WHEN f.timestamp_s < p.end_time_s THEN phase_id END AS phase_id FROM (SELECT * FROM {frames} WHERE frame_id % 3 = 0) f ASOF LEFT JOIN {team_phases} p ON p.match_id = f.match_id AND f.timestamp_s >= p.start_time_s",
+        lambda t: P.phase_at(t.frames.selectExpr("match_id", "frame_id", "timestamp_s as t"), t.team_phases).select("match_id", "frame_id", "t", "phase_id"),
+        "SELECT f.match_id, f.frame_id, f.timestamp_s AS t, CASE WHEN f.timestamp_s < p.end_time_s THEN phase_id END AS phase_id FROM {frames} f ASOF LEFT JOIN {team_phases} p ON p.match_id = f.match_id AND f.timestamp_s >= p.start_time_s",
     ),
     "h19_time_bars": (
         lambda t: P.time_bars(items(t), t.matches.select("match_id", (F.col("total_frames") / 32).alias("seconds"))),
@@ -88,10 +89,14 @@ PLANS = {
     ),
     "h20_interval_durations": (lambda t: P.interval_durations(t.team_phases).select("match_id", "phase_id", "seconds"), "SELECT match_id, phase_id, greatest(0, end_time_s - start_time_s) AS seconds FROM {team_phases}"),
     "h21_final_score": (
-        lambda t: P.final_score(t.scoreboard_readings.where("frame_number % 5 = 0")),
-        "SELECT match_id, score_home || ':' || score_away AS score FROM {scoreboard_readings} WHERE frame_number % 5 = 0",
+        lambda t: P.final_score(t.scoreboard_readings),
+        "SELECT match_id, score_home || ':' || score_away AS score FROM {scoreboard_readings}",
     ),
     "h22_team_names": (lambda t: P.team_names(t.matches), "SELECT match_id, coalesce(nullif(trim(team_a_name), ''), 'A') AS team_a, coalesce(nullif(trim(team_b_name), ''), 'B') AS team_b FROM {matches}"),
+    "h23_format_clock": (
+        lambda t: t.scoreboard_readings.select("match_id", "frame_number", clock(F.col("timestamp_sec") * 8 - 100).alias("clock")),
+        f"SELECT match_id, frame_number, {CLOCK.format(s='greatest(0, cast(floor(timestamp_sec * 8 - 100) AS bigint))')} AS clock FROM {{scoreboard_readings}}",
+    ),
     "h24_nearest_in_time": (
         lambda t: P.nearest_in_time(items(t).where("lane = 'play'"), items(t).where("lane = 'phase'")),
         f"WITH {ITEMS} SELECT match_id, id, nearest, apart_s FROM (SELECT a.match_id, a.id, b.id AS nearest, abs(b.start_s - a.start_s) AS apart_s, row_number() OVER (PARTITION BY a.match_id, a.id ORDER BY abs(b.start_s - a.start_s), b.start_s) AS rn FROM it a JOIN it b ON b.match_id = a.match_id AND b.lane = 'phase' WHERE a.lane = 'play') WHERE rn = 1",

@@ -57,8 +57,8 @@ PLANS = {
     "g5_zone_intensity": (lambda t: S.zone_intensity(t.players, t.matches), f"WITH {INTENSITY} SELECT * FROM zi"),
     "g6_zone_counts_by_team": (lambda t: S.zone_counts(t.players, t.matches), f"WITH {COUNTS} SELECT * FROM zc"),
     "g7_sample_points": (
-        lambda t: S.sample_points(t.players, 10, 500),
-        f"SELECT match_id, frame_id, track_id, court_x, court_y, {BUCKET} AS team FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_id, track_id) AS rn FROM {{players}} WHERE {INSIDE} AND frame_id % 10 = 0) WHERE rn <= 500",
+        lambda t: S.sample_points(t.players),
+        f"SELECT match_id, frame_id, track_id, court_x, court_y, {BUCKET} AS team FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_id, track_id) AS rn FROM {{players}} WHERE {INSIDE} AND frame_id % 100 = 0) WHERE rn <= 12000",
     ),
     "g8_phase_points": (
         lambda t: S.phase_points(t.players, t.team_phases),
@@ -68,6 +68,16 @@ PLANS = {
         lambda t: S.window_points(t.players, t.matches, 1.3, 4.7),
         f"SELECT p.match_id, frame_id, track_id, court_x, court_y, {BUCKET} AS team FROM {{players}} p JOIN {{matches}} m USING (match_id) WHERE {INSIDE} AND frame_id BETWEEN greatest(0, floor({FPS25} * 1.3e0)) AND least(total_frames, floor({FPS25} * 4.7e0))",
     ),
+    "g8_heatmap_phase": (
+        lambda t: S.heatmap_points(t.players, t.matches, t.team_phases, phase_id=8, perspective="defense", window=(2.5, 3.2)),
+        f"""WITH h AS (SELECT *, greatest(start_frame, floor(start_frame + (greatest(2.5, start_time_s) - start_time_s) * ((end_frame - start_frame) / (end_time_s - start_time_s)))) AS low, least(end_frame, floor(start_frame + (least(3.2, end_time_s) - start_time_s) * ((end_frame - start_frame) / (end_time_s - start_time_s)))) AS high FROM {{team_phases}} WHERE phase_id = 8)
+ SELECT p.match_id, frame_id, track_id, court_x, court_y, {BUCKET} AS team FROM {{players}} p JOIN h ON h.match_id = p.match_id AND frame_id BETWEEN low AND high AND p.team = defense_team WHERE {INSIDE} AND frame_id % 100 = 0""",
+    ),
+    "g8_heatmap_match": (
+        lambda t: S.heatmap_points(t.players, t.matches, t.team_phases, tracks=[1, 2, 3, 4, 5], perspective="offense", window=(0.0, 21.5)),
+        f"""SELECT match_id, frame_id, track_id, court_x, court_y, team FROM (SELECT p.match_id, frame_id, track_id, court_x, court_y, {BUCKET} AS team, row_number() OVER (PARTITION BY p.match_id ORDER BY frame_id, track_id) AS rn FROM {{players}} p JOIN {{matches}} m USING (match_id)
+ JOIN {{team_phases}} h ON h.match_id = p.match_id AND frame_id BETWEEN start_frame AND end_frame AND p.team = offense_team WHERE {INSIDE} AND frame_id % 100 = 0 AND track_id <= 5 AND frame_id BETWEEN 0 AND least(total_frames, floor({FPS25} * 21.5e0))) WHERE rn <= 12000""",
+    ),
     "g9_available_tracks": (
         lambda t: S.available_tracks(t.players, t.matches),
         f"""WITH g AS (SELECT match_id, track_id, {BUCKET} AS team, min(frame_id) AS f, max(frame_id) AS l, count(*) AS points FROM {{players}} WHERE {INSIDE} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY match_id, track_id ORDER BY points DESC, team) AS rn FROM g)
@@ -75,14 +85,14 @@ PLANS = {
     ),
     "g10_scoreboard": (lambda t: S.scoreboard(t.scoreboard_readings), "SELECT * FROM {scoreboard_readings} WHERE game_time IS NOT NULL"),
     "g11_scoreboard_summary": (
-        lambda t: S.scoreboard_summary(t.scoreboard_readings, t.scoreboard_readings.where("frame_number % 100 = 5 and match_id <> 'm2'")),
-        """WITH l AS (SELECT match_id, count(*) AS readings, max(frame_number) FILTER (score_home IS NOT NULL AND score_away IS NOT NULL) AS f FROM {scoreboard_readings} GROUP BY match_id), g AS (SELECT match_id, count(*) AS goals, max(frame_number) AS last_goal_frame FROM {scoreboard_readings} WHERE frame_number % 100 = 5 AND match_id <> 'm2' GROUP BY match_id)
- SELECT l.match_id, readings, score_home, score_away, game_time, coalesce(goals, 0) AS goals, last_goal_frame FROM l LEFT JOIN {scoreboard_readings} s ON s.match_id = l.match_id AND s.frame_number = f LEFT JOIN g ON g.match_id = l.match_id""",
+        lambda t: S.scoreboard_summary(t.scoreboard_readings, goals(t)),
+        f"""WITH RECURSIVE {GOALS}, l AS (SELECT match_id, count(*) AS readings, max(frame_number) FILTER (score_home IS NOT NULL AND score_away IS NOT NULL) AS f FROM {{scoreboard_readings}} GROUP BY match_id), g AS (SELECT match_id, count(*) AS goals, max(frame_number) AS last_goal_frame FROM gs WHERE goal IS NOT NULL GROUP BY match_id)
+ SELECT l.match_id, readings, score_home, score_away, game_time, coalesce(goals, 0) AS goals, last_goal_frame FROM l LEFT JOIN {{scoreboard_readings}} x ON x.match_id = l.match_id AND x.frame_number = f LEFT JOIN g ON g.match_id = l.match_id""",
     ),
-    "g12_goals": (lambda t: goals(t).where("frame_number >= 500").select("match_id", "frame_number", "team", "score_home", "score_away"), f"WITH RECURSIVE {GOALS} SELECT match_id, frame_number, goal AS team, h AS score_home, a AS score_away FROM s WHERE goal IS NOT NULL AND frame_number >= 500"),
+    "g12_goals": (lambda t: goals(t).select("match_id", "frame_number", "team", "score_home", "score_away"), f"WITH RECURSIVE {GOALS} SELECT match_id, frame_number, goal AS team, h AS score_home, a AS score_away FROM gs WHERE goal IS NOT NULL"),
     "g13_formations_with_source": (
-        lambda t: S.formations_with_source(t.formation_labels.where("match_id in ('m1', 'm5') and frame_id % 10 = 0"), t.formation_labels),
-        "SELECT *, 'embedding' AS source FROM {formation_labels} WHERE match_id IN ('m1', 'm5') AND frame_id % 10 = 0 UNION ALL SELECT *, 'rules' AS source FROM {formation_labels} WHERE match_id NOT IN ('m1', 'm5')",
+        lambda t: S.formations_with_source(t.formation_labels.join(t.matches.where("team_a_name is not null").select("match_id"), "match_id", "left_semi").where("formation <> 'unknown'"), t.formation_labels),
+        "WITH e AS (SELECT * FROM {formation_labels} WHERE formation <> 'unknown' AND match_id IN (SELECT match_id FROM {matches} WHERE team_a_name IS NOT NULL)) SELECT *, 'embedding' AS source FROM e UNION ALL SELECT *, 'rules' AS source FROM {formation_labels} WHERE match_id NOT IN (SELECT match_id FROM e)",
     ),
     "g14_formation_summary": (flat_summary, f"WITH {COUNT_F} SELECT match_id, team, any_value(formation) FILTER (dominant) AS dominant, cast(count(*) AS int) AS kinds, any_value(n) FILTER (formation = '6-0') AS n_60 FROM fd GROUP BY match_id, team"),
     "g14_formation_counts": (lambda t: S.formation_counts(t.formation_labels), f"WITH {COUNT_F} SELECT * FROM fd"),

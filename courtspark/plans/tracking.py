@@ -11,7 +11,7 @@ from .maintenance import sql_view
 
 FPS = "fps AS (SELECT match_id, coalesce(nullif(fps, 0), 30e0) AS fps FROM {matches})"
 #: Short tracks and long ones, with jumps: tracks of one match are cut into pieces of varying length.
-TRACKS = """SELECT match_id, frame_id, track_id * 100 + cast(floor(frame_id / CASE WHEN track_id % 3 = 0 THEN 9 ELSE 60 END) AS int) AS track_id, bbox_x1, bbox_y1, bbox_x2, bbox_y2 FROM {players} WHERE frame_id % 2 = 0"""
+TRACKS = """SELECT match_id, frame_id, track_id * 100 + cast(floor(frame_id / CASE WHEN track_id % 3 = 0 THEN 9 ELSE 60 END) AS int) AS track_id, bbox_x1, bbox_y1, bbox_x2, bbox_y2 FROM {players}"""
 CENTRED = "(bbox_x1 + bbox_x2) / 2 AS cx, (bbox_y1 + bbox_y2) / 2 AS cy"
 
 
@@ -55,10 +55,10 @@ x AS (SELECT *, last_value(court_x IGNORE NULLS) OVER b AS v0, last_value(CASE W
   FROM al WINDOW b AS (PARTITION BY match_id, track_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY match_id, track_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 GOALS = """
-r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_number) AS i, last_value(game_time IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS clock FROM {scoreboard_readings} WHERE score_home IS NOT NULL AND score_away IS NOT NULL),
-s(match_id, i, h, a, goal, frame_number, timestamp_sec, clock) AS (SELECT match_id, i, score_home, score_away, cast(NULL AS varchar), frame_number, timestamp_sec, clock FROM r WHERE i = 1
+gr AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_number) AS i, last_value(game_time IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS clock FROM {scoreboard_readings} WHERE score_home IS NOT NULL AND score_away IS NOT NULL),
+gs(match_id, i, h, a, goal, frame_number, timestamp_sec, clock) AS (SELECT match_id, i, score_home, score_away, cast(NULL AS varchar), frame_number, timestamp_sec, clock FROM gr WHERE i = 1
  UNION ALL SELECT r.match_id, r.i, CASE WHEN g THEN r.score_home ELSE s.h END, CASE WHEN g THEN r.score_away ELSE s.a END, CASE WHEN g THEN CASE WHEN r.score_home > s.h THEN 'home' ELSE 'away' END END, r.frame_number, r.timestamp_sec, r.clock
- FROM s JOIN r ON r.match_id = s.match_id AND r.i = s.i + 1, LATERAL (SELECT (r.score_home - s.h = 1 AND r.score_away = s.a) OR (r.score_home = s.h AND r.score_away - s.a = 1) AS g))"""
+ FROM gs s JOIN gr r ON r.match_id = s.match_id AND r.i = s.i + 1, LATERAL (SELECT (r.score_home - s.h = 1 AND r.score_away = s.a) OR (r.score_home = s.h AND r.score_away - s.a = 1) AS g))"""
 
 KEEPER = "gk AS (SELECT match_id, frame_id, cx AS gk_x, cy AS gk_y FROM (SELECT *, (bbox_x1 + bbox_x2) / 2 AS cx, (bbox_y1 + bbox_y2) / 2 AS cy, row_number() OVER (PARTITION BY match_id, frame_id ORDER BY (bbox_x2 - bbox_x1) * (bbox_y2 - bbox_y1) DESC, track_id) AS rn FROM {players} WHERE class_name = 'goalkeeper') WHERE rn = 1)"
 
@@ -112,7 +112,7 @@ PLANS = {
     ),
     "c7_detect_goals": (
         lambda t: R.detect_goals(t.scoreboard_readings),
-        f"WITH RECURSIVE {GOALS} SELECT match_id, frame_number, timestamp_sec, clock AS game_time, goal AS team, h AS score_home, a AS score_away FROM s WHERE goal IS NOT NULL",
+        f"WITH RECURSIVE {GOALS} SELECT match_id, frame_number, timestamp_sec, clock AS game_time, goal AS team, h AS score_home, a AS score_away FROM gs WHERE goal IS NOT NULL",
     ),
     "c8_goalkeeper_centres": (lambda t: R.goalkeeper_centres(t.players), f"WITH {KEEPER} SELECT * FROM gk"),
     "c9_detect_throws": (
@@ -123,8 +123,8 @@ PLANS = {
  SELECT match_id, frame_id, track_id, d AS start_distance, min(later) AS least_distance FROM a GROUP BY match_id, frame_id, track_id, d HAVING d - min(later) >= 30 AND count(*) >= 2 AND count(*) FILTER (falls) >= greatest(1, (count(*) - 1) * 6 // 10)""",
     ),
     "d1_classify_formation": (
-        lambda t: P.classify_formation(t.players.where("team in ('A', 'B') and court_x is not null and frame_id % 3 = 0").withColumn("defends_left", F.col("team") == "A").withColumn("frame_id", F.floor(F.col("frame_id") / 9).cast("int"))),
-        """WITH d AS (SELECT match_id, frame_id // 9 AS frame_id, team, court_x AS x, court_y AS y, CASE team WHEN 'A' THEN 0 ELSE 40 END AS o FROM {players} WHERE team IN ('A', 'B') AND court_x IS NOT NULL AND frame_id % 3 = 0), e AS (SELECT *, sqrt((x - o) * (x - o) + (y - 10) * (y - 10)) AS d, sqrt((x - 40 + o) * (x - 40 + o) + (y - 10) * (y - 10)) AS a FROM d),
+        lambda t: P.classify_formation(t.players.where("team in ('A', 'B') and court_x is not null").withColumn("defends_left", F.col("team") == "A").withColumn("frame_id", F.floor(F.col("frame_id") / 3).cast("int"))),
+        """WITH d AS (SELECT match_id, frame_id // 3 AS frame_id, team, court_x AS x, court_y AS y, CASE team WHEN 'A' THEN 0 ELSE 40 END AS o FROM {players} WHERE team IN ('A', 'B') AND court_x IS NOT NULL), e AS (SELECT *, sqrt((x - o) * (x - o) + (y - 10) * (y - 10)) AS d, sqrt((x - 40 + o) * (x - 40 + o) + (y - 10) * (y - 10)) AS a FROM d),
  g AS (SELECT match_id, frame_id, team, max(gap) AS gap FROM (SELECT *, d - lag(d) OVER (PARTITION BY match_id, frame_id, team ORDER BY d) AS gap FROM e WHERE d <= 14) GROUP BY ALL),
  c AS (SELECT match_id, frame_id, team, count(*) AS n, count(*) FILTER (a <= 14) AS up, count(*) FILTER (d < 20) AS back, count(*) FILTER (d <= 14) AS near, max(y) FILTER (d <= 14) - min(y) FILTER (d <= 14) AS spread FROM e GROUP BY ALL)
  SELECT c.match_id, c.frame_id, c.team, CASE WHEN n < 4 THEN 'unknown' WHEN up >= n - 1 THEN 'attack' WHEN back < n - 2 THEN 'transition' WHEN near < 4 THEN 'transition' WHEN spread <= 10 AND coalesce(gap, 0) <= 2 THEN '6-0' WHEN coalesce(gap, 0) >= 3 AND near >= 5 THEN '5-1' ELSE '4-2' END AS formation FROM c LEFT JOIN g USING (match_id, frame_id, team)""",

@@ -1,7 +1,8 @@
 """Tracking tables derived from the given tables, each as one SQL text that Spark and DuckDB both run.
 
 A text names its inputs in braces. ``VIEWS`` is ordered: a view only uses given tables and views above it. All
-coordinates are multiples of 1/8 and all confidences of 1/64, so sums and means are exact in either engine.
+coordinates are multiples of 1/256 and all confidences of 1/64, so sums and means are exact in either engine. A match
+takes a bounded range of keys, so that larger tables hold more matches, not longer ones.
 """
 
 from __future__ import annotations
@@ -12,12 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
+
+
+def match(key: str, span: int) -> str:
+    """The match of a key: eight matches share each ``span`` keys in turn."""
+    return f"concat('m', cast(8 * cast(floor({key} / {span}) AS bigint) + {key} % 8 AS string))"
+
+
 VIEWS = {
     "keys": """
 SELECT l_orderkey AS o, l_linenumber AS l, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS flag
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
-    "players": """
-SELECT concat('m', cast(o % 8 AS string)) AS match_id, cast(floor(o / 8) AS int) AS frame_id, l AS track_id,
+    "players": f"""
+SELECT {match("o", 8192)} AS match_id, cast(floor(o % 8192 / 8) AS int) AS frame_id, l AS track_id,
   CASE flag WHEN 'A' THEN 'A' WHEN 'R' THEN 'B' ELSE 'unknown' END AS team,
   CASE WHEN p % 11 = 0 THEN NULL ELSE (p * 7 + o * 3) % 336 / 8e0 - 1e0 END AS court_x,
   CASE WHEN p % 11 = 0 THEN NULL ELSE (p * 5 + o * 11) % 176 / 8e0 - 1e0 END AS court_y,
@@ -27,39 +35,39 @@ SELECT concat('m', cast(o % 8 AS string)) AS match_id, cast(floor(o / 8) AS int)
   cast((p * 13 + o) % 1920 - 20 AS int) AS bbox_x1, cast((p * 17 + o * 3) % 1080 - 80 AS int) AS bbox_y1,
   cast((p * 13 + o) % 1920 + 20 AS int) AS bbox_x2, cast((p * 17 + o * 3) % 1080 AS int) AS bbox_y2,
   CASE WHEN p % 7 = 0 THEN 'goalkeeper' WHEN p % 7 = 1 THEN 'referee' ELSE 'player' END AS class_name
-FROM {keys}""",
+FROM {{keys}}""",
     "frames": """
 SELECT match_id, frame_id, frame_id / 32e0 AS timestamp_s, cast(count(*) AS int) AS player_count,
   cast(sum(CASE WHEN on_court THEN 1 ELSE 0 END) AS int) AS on_court_count FROM {players} GROUP BY match_id, frame_id""",
-    "ball": """
-SELECT concat('m', cast(o_orderkey % 8 AS string)) AS match_id, cast(floor(o_orderkey / 8) AS int) AS frame_id,
+    "ball": f"""
+SELECT {match("o_orderkey", 8192)} AS match_id, cast(floor(o_orderkey % 8192 / 8) AS int) AS frame_id,
   CASE WHEN min(o_custkey) % 7 = 0 THEN NULL ELSE (min(o_custkey) * 5 + o_orderkey * 3) % 336 / 8e0 - 1e0 END AS court_x,
   CASE WHEN min(o_custkey) % 7 = 0 THEN NULL ELSE (min(o_custkey) * 3 + o_orderkey) % 176 / 8e0 - 1e0 END AS court_y,
   (min(o_custkey) * 11 + o_orderkey) % 1920 * 1e0 AS pixel_x, (min(o_custkey) * 7 + o_orderkey * 5) % 1080 * 1e0 AS pixel_y,
-  min(o_custkey) % 64 / 64e0 AS confidence FROM {orders} WHERE o_orderkey % 5 <> 0 GROUP BY o_orderkey""",
+  min(o_custkey) % 64 / 64e0 AS confidence FROM {{orders}} WHERE o_orderkey % 5 <> 0 GROUP BY o_orderkey""",
     "matches": """
 SELECT match_id, concat('/videos/', match_id, '.mp4') AS video_path,
   CASE WHEN match_id = 'm3' THEN NULL WHEN match_id = 'm5' THEN 0e0 ELSE 32e0 END AS fps,
   cast(max(frame_id) + 1 AS int) AS total_frames, CASE WHEN match_id IN ('m1', 'm2') THEN ' Lions ' WHEN match_id = 'm4' THEN ' ' END AS team_a_name,
   CASE WHEN match_id IN ('m1', 'm6') THEN 'Bears' END AS team_b_name FROM {frames} GROUP BY match_id""",
-    "scoreboard_readings": """
-SELECT concat('m', cast(user_id % 8 AS string)) AS match_id, cast(event_id AS int) AS frame_number, event_id / 4e0 AS timestamp_sec,
-  CASE WHEN event_id % 6 = 0 THEN NULL ELSE concat(cast(cast(floor(event_id / 60) AS bigint) AS string), ':', cast(10 + event_id % 50 AS string)) END AS game_time,
-  cast(CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 77 ELSE floor(event_id / 160) END AS int) AS score_home,
-  cast(CASE WHEN event_id % 11 = 0 THEN NULL ELSE floor((event_id + 57) / 230) END AS int) AS score_away
-FROM {events}""",
+    "scoreboard_readings": f"""
+SELECT match_id, n AS frame_number, n / 4e0 AS timestamp_sec,
+  CASE WHEN n % 6 = 0 THEN NULL ELSE concat(cast(cast(floor(n / 60) AS bigint) AS string), ':', cast(10 + n % 50 AS string)) END AS game_time,
+  cast(CASE WHEN n % 11 = 0 THEN NULL WHEN n % 13 = 0 THEN 77 ELSE floor(n / 160) END AS int) AS score_home,
+  cast(CASE WHEN n % 11 = 0 THEN NULL ELSE floor((n + 57) / 230) END AS int) AS score_away
+FROM (SELECT concat('m', cast(8 * cast(floor(event_id / 8192) AS bigint) + user_id % 8 AS string)) AS match_id, cast(event_id % 8192 AS int) AS n FROM {{events}}) e""",
     "carriers": """
 SELECT match_id, frame_id, min(team) AS team FROM {players}
 WHERE has_ball AND team IN ('A', 'B') AND frame_id % 24 < 15 GROUP BY match_id, frame_id""",
     "formation_labels": """
 SELECT match_id, frame_id, team, CASE WHEN x % 5 = 0 THEN 'unknown' WHEN frame_id % 60 < 35 THEN '6-0' WHEN x % 3 = 0 THEN '5-1' ELSE '4-2' END AS formation
 FROM (SELECT match_id, frame_id, team, cast(sum(track_id) AS bigint) AS x FROM {players} WHERE team <> 'unknown' AND frame_id % 5 = 0 GROUP BY match_id, frame_id, team)""",
-    "play_events": """
-SELECT concat('m', cast(c_custkey % 8 AS string)) AS match_id, cast(floor(c_custkey / 8) AS int) AS event_id,
-  CASE c_nationkey % 4 WHEN 0 THEN 'swap' WHEN 1 THEN 'run_in' WHEN 2 THEN 'push' ELSE 'fast_break' END AS play_type,
-  CASE WHEN c_nationkey % 3 = 0 THEN 'A' ELSE 'B' END AS team, cast(c_custkey * 3 AS int) AS start_frame, cast(c_custkey * 3 + c_nationkey * 4 AS int) AS end_frame,
-  c_custkey * 3 / 32e0 AS start_time_s, (c_custkey * 3 + c_nationkey * 4) / 32e0 AS end_time_s, (32 + c_nationkey) / 64e0 AS confidence,
-  cast(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE floor(c_custkey / 40) END AS int) AS sequence_id FROM {customer}""",
+    "play_events": f"""
+SELECT match_id, event_id, CASE n % 4 WHEN 0 THEN 'swap' WHEN 1 THEN 'run_in' WHEN 2 THEN 'push' ELSE 'fast_break' END AS play_type,
+  CASE WHEN n % 3 = 0 THEN 'A' ELSE 'B' END AS team, cast(c * 3 AS int) AS start_frame, cast(c * 3 + n * 4 AS int) AS end_frame,
+  c * 3 / 32e0 AS start_time_s, (c * 3 + n * 4) / 32e0 AS end_time_s, (32 + n) / 64e0 AS confidence,
+  cast(CASE WHEN c % 5 = 0 THEN NULL ELSE floor(c / 40) END AS int) AS sequence_id
+FROM (SELECT {match("c_custkey", 1024)} AS match_id, c_custkey % 1024 AS c, cast(floor(c_custkey % 1024 / 8) AS int) AS event_id, c_nationkey AS n FROM {{customer}}) e""",
     "attack_sequences": """
 SELECT match_id, sequence_id, min(team) AS team, CASE WHEN sequence_id % 2 = 0 THEN 0e0 ELSE 40e0 END AS goal_x,
   min(start_frame) AS start_frame, max(end_frame) AS end_frame, min(start_time_s) AS start_time_s, max(end_time_s) AS end_time_s,
@@ -69,36 +77,33 @@ FROM {play_events} WHERE sequence_id IS NOT NULL GROUP BY match_id, sequence_id"
 SELECT match_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'confirmed' ELSE 'rejected' END AS verdict,
   start_frame + 7 * (event_id % 2) AS labeled_at FROM {play_events} WHERE event_id % 2 = 0
 UNION ALL SELECT match_id, event_id, 'confirmed' AS verdict, start_frame + 3 AS labeled_at FROM {play_events} WHERE event_id % 4 = 0""",
-    "team_phases": """
-SELECT concat('m', cast(c_custkey % 8 AS string)) AS match_id, cast(floor(c_custkey / 8) AS int) AS phase_id,
-  CASE WHEN c_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS offense_team, CASE WHEN c_nationkey % 2 = 0 THEN 'B' ELSE 'A' END AS defense_team, 'attack' AS phase_type,
-  cast(floor(c_custkey / 8) * 12 AS int) AS start_frame, cast(floor(c_custkey / 8) * 12 + 2 + c_nationkey % 9 AS int) AS end_frame,
-  floor(c_custkey / 8) * 12 / 32e0 AS start_time_s, (floor(c_custkey / 8) * 12 + 2 + c_nationkey % 9) / 32e0 AS end_time_s FROM {customer}""",
+    "team_phases": f"""
+SELECT match_id, phase_id, CASE WHEN n % 2 = 0 THEN 'A' ELSE 'B' END AS offense_team, CASE WHEN n % 2 = 0 THEN 'B' ELSE 'A' END AS defense_team, 'attack' AS phase_type,
+  phase_id * 12 AS start_frame, phase_id * 12 + 2 + n % 9 AS end_frame, phase_id * 12 / 32e0 AS start_time_s, (phase_id * 12 + 2 + n % 9) / 32e0 AS end_time_s
+FROM (SELECT {match("c_custkey", 1024)} AS match_id, cast(floor(c_custkey % 1024 / 8) AS int) AS phase_id, cast(c_nationkey AS int) AS n FROM {{customer}}) c""",
+    # A supplier's line items in turn are the next second's places of six players a side. The sides take turns to
+    # attack for twelve seconds, and run to the other goal in the first eight; where a player stands, what is not seen
+    # and which labels are lost follows from the item.
+    "places": """
+SELECT k, tr, i, p, tr % 6 AS slot, q, (tr < 6) = (q % 2 = 0) AS attacks, 6 + (p * 7 + o) % 48 / 8e0 AS far, 4 + p % 16 / 8e0 AS near,
+  CASE WHEN q = 0 OR i % 12 >= 7 THEN 1e0 ELSE (i % 12 + 1) / 8e0 END AS done, ((p * 5 + o * 3) % 80 - 40) / 8e0 AS wide, (o % 16 - 8) / 8e0 AS narrow
+FROM (SELECT s AS k, o, p, cast(rn % 12 AS int) AS tr, cast(floor(rn / 12) AS int) AS i, cast(floor(rn / 144) AS int) AS q
+  FROM (SELECT s, o, p, row_number() OVER (PARTITION BY s ORDER BY o, l) - 1 AS rn FROM {keys}) n) d""",
     "waypoints": """
-SELECT * FROM (VALUES (0, 1, 'A', 0, 16, 29e0, 6e0, 29e0, 6e0), (0, 1, 'A', 16, 48, 29e0, 6e0, 31.5e0, 14e0), (0, 1, 'A', 48, 80, 31.5e0, 14e0, 31.5e0, 14e0),
-  (0, 2, 'A', 0, 16, 29.5e0, 12.25e0, 29.5e0, 12.25e0), (0, 2, 'A', 16, 48, 29.5e0, 12.25e0, 31e0, 4.25e0), (0, 2, 'A', 48, 80, 31e0, 4.25e0, 31e0, 4.25e0),
-  (1, 1, 'A', 0, 16, 29e0, 10e0, 29e0, 10e0), (1, 1, 'A', 16, 48, 29e0, 10e0, 34e0, 10e0), (1, 1, 'A', 48, 80, 34e0, 10e0, 34e0, 10e0), (1, 2, 'A', 0, 80, 29e0, 15e0, 29e0, 15e0),
-  (2, 1, 'A', 0, 16, 29e0, 8e0, 29e0, 8e0), (2, 1, 'A', 16, 32, 29e0, 8e0, 33e0, 8e0), (2, 1, 'A', 32, 80, 33e0, 8e0, 33e0, 8e0),
-  (2, 2, 'A', 0, 16, 29e0, 12e0, 29e0, 12e0), (2, 2, 'A', 16, 32, 29e0, 12e0, 33e0, 12e0), (2, 2, 'A', 32, 80, 33e0, 12e0, 33e0, 12e0),
-  (3, 1, 'A', 0, 64, 8e0, 4e0, 32e0, 4e0), (3, 2, 'A', 0, 64, 8e0, 8e0, 32e0, 8e0), (3, 3, 'A', 0, 64, 8e0, 12e0, 32e0, 12e0), (3, 4, 'A', 0, 64, 8e0, 16e0, 32e0, 16e0),
-  (3, 11, 'B', 0, 64, 20e0, 6e0, 36e0, 6e0), (3, 12, 'B', 0, 64, 20e0, 10e0, 36e0, 10e0), (3, 13, 'B', 0, 64, 20e0, 14e0, 36e0, 14e0)) w(scenario, track_id, team, f0, f1, x0, y0, x1, y1)
-UNION ALL SELECT s AS scenario, t AS track_id, 'B' AS team, 0 AS f0, 80 AS f1, 36.5e0 AS x0, 4e0 + 2.5e0 * (t - 11) AS y0, 36.5e0 AS x1, 4e0 + 2.5e0 * (t - 11) AS y1
-  FROM (VALUES (0), (1), (2)) a(s) CROSS JOIN (VALUES (11), (12), (13), (14), (15), (16)) b(t)
-UNION ALL SELECT s AS scenario, t AS track_id, 'A' AS team, 0 AS f0, 80 AS f1, 29e0 AS x0, CASE t WHEN 21 THEN 2.5e0 ELSE 17.5e0 END AS y0, 29e0 AS x1, CASE t WHEN 21 THEN 2.5e0 ELSE 17.5e0 END AS y1
-  FROM (VALUES (0), (1), (2)) a(s) CROSS JOIN (VALUES (21), (22)) b(t)""",
+SELECT k, tr, i, p, old + (new - old) * done AS x, y FROM (
+  SELECT k, tr, i, p, done, CASE WHEN q % 2 = 0 THEN 40 - d1 ELSE d1 END AS new, CASE WHEN q % 2 = 0 THEN d0 ELSE 40 - d0 END AS old, y FROM (
+    SELECT k, tr, i, p, q, done, CASE WHEN attacks THEN far ELSE near END AS d1, CASE WHEN attacks THEN near ELSE far END AS d0,
+      CASE WHEN attacks THEN 1.5e0 + slot * 3.25e0 + wide ELSE 3 + slot * 2.75e0 + narrow END AS y FROM {places}) a) b""",
     "play_rows": """
-SELECT concat('p', cast(k AS string)) AS match_id, f AS frame_id, f / 8e0 AS timestamp_s, track_id, team,
-  CASE WHEN k % 8 >= 4 THEN 40e0 - (x0 + (x1 - x0) * (f - f0) / (f1 - f0)) ELSE x0 + (x1 - x0) * (f - f0) / (f1 - f0) END AS x,
-  CASE WHEN k % 8 >= 4 THEN 20e0 - (y0 + (y1 - y0) * (f - f0) / (f1 - f0)) ELSE y0 + (y1 - y0) * (f - f0) / (f1 - f0) END AS y
-FROM (SELECT s_suppkey AS k, cast(s_suppkey % 4 AS int) AS scenario, max(s_nationkey) AS n FROM {supplier} GROUP BY s_suppkey) m
-JOIN {waypoints} w ON w.scenario = m.scenario
-JOIN (SELECT cast(a * 10 + b AS int) AS f FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) x(a) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) y(b)) t ON f >= f0 AND f < f1
-WHERE NOT (track_id = 16 AND f % 40 BETWEEN 10 AND 10 + n % 16)""",
+SELECT concat('p', cast(k AS string)) AS match_id, i * 4 + f AS frame_id, (i * 4 + f) / 4e0 AS timestamp_s, tr + 1 + 20 * cast(floor(i / 17) AS int) AS track_id,
+  CASE WHEN p % 23 = 0 THEN 'unknown' WHEN tr < 6 THEN 'A' ELSE 'B' END AS team, x + (nx - x) * f / 4e0 AS x, y + (ny - y) * f / 4e0 AS y
+FROM (SELECT *, lead(x) OVER (PARTITION BY k, tr ORDER BY i) AS nx, lead(y) OVER (PARTITION BY k, tr ORDER BY i) AS ny FROM {waypoints}) w
+CROSS JOIN (VALUES (0), (1), (2), (3)) v(f) WHERE nx IS NOT NULL AND p % 19 <> 0 AND NOT (p % 17 = 0 AND f IN (1, 2))""",
     "statuses": """
-SELECT concat('m', cast(s_suppkey % 12 AS string)) AS match_id, min(CASE s_suppkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'unknown' END) AS status
-FROM {supplier} GROUP BY s_suppkey % 12""",
+SELECT concat('m', cast(s_suppkey AS string)) AS match_id, min(CASE s_suppkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'unknown' END) AS status
+FROM {supplier} GROUP BY s_suppkey""",
     "meta_updates": """
-SELECT concat('m', cast(s_suppkey % 8 AS string)) AS match_id, s_suppkey AS seq, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('Match ', cast(s_suppkey AS string)) END AS display_name,
+SELECT concat('m', cast(8 * cast(floor(s_suppkey / 32) AS bigint) + s_suppkey % 8 AS string)) AS match_id, s_suppkey AS seq, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('Match ', cast(s_suppkey AS string)) END AS display_name,
   CASE WHEN s_suppkey % 4 = 1 THEN concat('f', cast(s_suppkey AS string), '.mp4') END AS file_name FROM {supplier}""",
 }
 
