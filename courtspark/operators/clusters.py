@@ -38,19 +38,24 @@ def features_2d(vectors: DataFrame) -> DataFrame:
 
 def reassign_noise(labelled: DataFrame) -> DataFrame:
     """Vectors of label -1 go to the nearest centroid, with a confidence that falls with their distance against the
-    cluster's mean spread; others keep their label with confidence 1."""
+    deviation of all the cluster's numbers; others keep their label with confidence 1."""
     sure = labelled.where("label <> -1")
     centroids = cluster_centroids(sure)
-    spread = centroids.groupBy("label").agg(F.avg("std").alias("spread"))
+    spread = sure.select("label", F.explode("vector").alias("v")).groupBy("label").agg((F.stddev_pop("v") + 1e-8).alias("spread"))
     noise = nearest_centroid(labelled.where("label = -1"), centroids).join(spread, "label")
-    prob = F.when(F.col("spread") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.05), 1 - F.col("distance") / (2 * F.col("spread"))))).otherwise(0.05)
+    prob = F.least(F.lit(1.0), F.greatest(F.lit(0.05), 1 - F.col("distance") / (2 * F.col("spread"))))
     return sure.select("vec_id", "label", F.lit(1.0).alias("prob")).unionByName(noise.select("vec_id", "label", prob.alias("prob")))
 
 
 def cluster_places(labelled: DataFrame, dim: int) -> DataFrame:
     """Per cluster: size, its part of all, mean and deviation of the place in dimension ``dim``."""
     g = labelled.groupBy("label").agg(F.count("*").alias("size"), F.avg(F.col("vector")[dim]).alias("mean_x"), F.stddev_pop(F.col("vector")[dim]).alias("std_x"))
-    return g.withColumn("part", F.col("size") / F.sum("size").over(Window.partitionBy()))
+    return with_parts(g)
+
+
+def with_parts(places: DataFrame) -> DataFrame:
+    """Adds each cluster's part of all; there are as few rows as clusters."""
+    return places.withColumn("part", F.col("size") / F.sum("size").over(Window.partitionBy()))
 
 
 def assign_cluster_roles(places: DataFrame) -> DataFrame:

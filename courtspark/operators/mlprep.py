@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +13,16 @@ from .phases import ACTIONS
 FRAME = ["match_id", "frame_id"]
 SAMPLE = ["match_id", "frame_id", "track_id"]
 
-#: Shapes as (depth from the own goal, lateral place), seven players from the left wing to the right and the keeper.
+#: Shapes as (depth, lateral place) in parts of the court around the team's middle: fixed values.
 SHAPES = {
-    "6-0": [(7, 3), (7, 6), (7, 9), (7, 11), (7, 14), (7, 17), (1, 10)],
-    "5-1": [(7, 3), (7, 6.5), (7, 10), (7, 13.5), (7, 17), (10, 10), (1, 10)],
-    "4-2": [(7, 4), (7, 8), (7, 12), (7, 16), (10, 7), (10, 13), (1, 10)],
-    "3-2-1": [(7, 5), (7, 10), (7, 15), (9, 7), (9, 13), (11, 10), (1, 10)],
-    "3-3": [(7, 5), (7, 10), (7, 15), (11, 5), (11, 10), (11, 15), (1, 10)],
+    "6-0": [(0.0, -0.4), (0.0, -0.24), (0.0, -0.08), (0.0, 0.08), (0.0, 0.24), (0.0, 0.4)],
+    "5-1": [(0.0, -0.35), (0.0, -0.175), (0.0, 0.0), (0.0, 0.175), (0.0, 0.35), (0.15, 0.0)],
+    "4-2": [(-0.05, -0.3), (-0.05, -0.1), (-0.05, 0.1), (-0.05, 0.3), (0.12, -0.15), (0.12, 0.15)],
+    "3-2-1": [(-0.1, -0.3), (-0.1, 0.0), (-0.1, 0.3), (0.05, -0.15), (0.05, 0.15), (0.2, 0.0)],
+    "3-3": [(-0.1, -0.25), (-0.1, 0.0), (-0.1, 0.25), (0.1, -0.25), (0.1, 0.0), (0.1, 0.25)],
 }
+#: Shapes without a form: six players drawn from these ranges of depth and lateral place.
+DRAWN = {"attack": ((0.1, 0.45), (-0.45, 0.45)), "transition": ((-0.4, 0.4), (-0.45, 0.45))}
 
 
 def training_samples(labels: DataFrame, frames: DataFrame, window: int = 25) -> DataFrame:
@@ -69,13 +72,14 @@ def formation_samples(players: DataFrame, stride: int = 5, least: int = 4, size:
     return g.select(*FRAME, "team", F.concat(flat, F.array_repeat(F.lit(0.0), 2 * size - 2 * n)).alias("vector"), n.alias("n_valid"))
 
 
-def reference_formations(spark: SparkSession) -> DataFrame:
-    """The canonical shapes as centred vectors: label, vector."""
-    rows = []
-    for label, shape in SHAPES.items():
-        xs, ys = [x / 40 for x, _ in shape], [y / 20 for _, y in shape]
-        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
-        rows.append((label, [v for x, y in zip(xs, ys, strict=True) for v in (x - mx, y - my)]))
+def reference_formations(spark: SparkSession, per_class: int = 50, seed: int = 0) -> DataFrame:
+    """``per_class`` vectors of each shape: label, vector; drawn shapes are drawn from ``seed``."""
+    rng = np.random.default_rng(seed)
+    held = {label: np.tile(np.array(shape).ravel(), (per_class, 1)) for label, shape in SHAPES.items()}
+    for label, ranges in DRAWN.items():
+        low, high = np.array(ranges).T
+        held[label] = rng.uniform(low, high, (per_class, 6, 2)).reshape(per_class, -1)
+    rows = [(label, [*map(float, v), 0.0, 0.0]) for label, vs in held.items() for v in vs]
     return spark.createDataFrame(rows, "label string, vector array<double>")
 
 
@@ -97,6 +101,18 @@ def knn_classify(vectors: DataFrame, refs: DataFrame, keys: list[str], k: int =
     return votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("v"), "minus", "label")).alias("b")).select(*keys, F.col("b.label").alias("label"))
 
 
+def knn_formation_rows(samples: DataFrame, refs: DataFrame, keys: list[str], k: int = 5, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Formation labels by the nearest shapes: (formations, formation_embeddings).
+
+    Every vector is labelled, ``unknown`` where fewer than ``least`` of its points are valid; the embeddings hold the
+    known ones with their first two numbers.
+    """
+    near = knn_classify(samples.where(F.col("n_valid") >= least), refs, keys, k)
+    rows = samples.join(near, keys, "left").withColumn("formation", F.coalesce("label", F.lit("unknown")))
+    shown = rows.where("formation <> 'unknown'").select(*keys, "formation", F.col("vector")[0].cast("float").alias("emb_0"), F.col("vector")[1].cast("float").alias("emb_1"))
+    return rows.select(*keys, "formation"), shown
+
+
 def augment_formations(samples: DataFrame, seed: int = 0, views: int = 2) -> DataFrame:
     """Noisy views of each shape: scaled, rotated by up to 3 degrees, jittered; drawn by hash, so reruns agree.
 

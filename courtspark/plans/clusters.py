@@ -19,7 +19,7 @@ ROLE = "row_number() OVER (ORDER BY size DESC, label) AS r"
 def places(t):
     from .maintenance import sql_view
 
-    return sql_view(t, PLACES).withColumn("part", F.col("size") / t.supplier.count())
+    return C.with_parts(sql_view(t, PLACES))
 
 
 def colours(t):
@@ -47,12 +47,13 @@ TRACKS = "s AS (SELECT DISTINCT match_id, track_id FROM {play_rows})"
 ENDS = f"{TRACKS}, en AS (SELECT match_id, track_id, coalesce({AT.format(t='1.03')}, {LAST}) AS a, coalesce({AT.format(t='7.7')}, {LAST}) AS b FROM s)".replace("{{", "{").replace("}}", "}")
 
 PLANS = {
-    "b13_cluster_kmeans": (lambda t: C.cluster_kmeans(vectors(t)).groupBy("label").agg(F.count("*").alias("n")), None),
+    "b13_cluster_kmeans": (lambda t: C.cluster_kmeans(vectors(t)).select("vec_id", "label"), None),
     "b14_silhouette": (lambda t: C.silhouette(vectors(t)), None),
     "b16_reassign_noise": (
-        lambda t: C.reassign_noise(noisy(t)).select("vec_id", "label"),
+        lambda t: C.reassign_noise(noisy(t)).select("vec_id", "label", (F.floor(F.col("prob") * 1e6 + 0.5) / 1e6).alias("prob")),
         f"""WITH v AS ({QUANTISED}), c AS (SELECT label, list(mean ORDER BY d) AS c FROM (SELECT label, d, avg(v[d]) AS mean FROM v CROSS JOIN range(1, 65) r(d) WHERE vec_id % 10 <> 0 GROUP BY ALL) GROUP BY label)
- SELECT vec_id, label FROM v WHERE vec_id % 10 <> 0 UNION ALL SELECT vec_id, arg_min(c.label, list_distance(v, c)) AS label FROM v CROSS JOIN c WHERE vec_id % 10 = 0 GROUP BY vec_id""",
+ , sp AS (SELECT label, stddev_pop(x) + 1e-8 AS spread FROM (SELECT label, unnest(v) AS x FROM v WHERE vec_id % 10 <> 0) GROUP BY label), nn AS (SELECT vec_id, arg_min(c.label, list_distance(v, c)) AS label, min(list_distance(v, c)) AS d FROM v CROSS JOIN c WHERE vec_id % 10 = 0 GROUP BY vec_id)
+ SELECT vec_id, label, 1e0 AS prob FROM v WHERE vec_id % 10 <> 0 UNION ALL SELECT vec_id, nn.label, floor(least(1, greatest(0.05, 1 - d / (2 * spread))) * 1e6 + 0.5) / 1e6 AS prob FROM nn JOIN sp ON sp.label = nn.label""",
     ),
     "b17_assign_cluster_roles": (
         lambda t: C.assign_cluster_roles(places(t)),
@@ -66,9 +67,10 @@ PLANS = {
     ),
     "b22_features_2d": (lambda t: C.features_2d(vectors(t)), None),
     "e12_trajectories": (
-        lambda t: S.trajectories(direct(t)).select("match_id", "seg_id", F.size("points").alias("n"), F.col("points")[1][0].alias("t1"), F.element_at("points", -1)[1].alias("x_end")),
-        """WITH p AS (SELECT match_id, track_id AS seg_id, floor(timestamp_s * 100 + 0.5) / 100e0 AS t, floor(x * 100 + 0.5) / 100e0 AS x, row_number() OVER (PARTITION BY match_id, track_id ORDER BY timestamp_s) - 1 AS i, count(*) OVER (PARTITION BY match_id, track_id) AS n FROM {play_rows})
- SELECT match_id, seg_id, cast(least(any_value(n), 25) AS int) AS n, max(t) FILTER (i = CASE WHEN n > 25 THEN cast(round_even((n - 1) / 24, 0) AS bigint) ELSE 1 END) AS t1, max(x) FILTER (i = n - 1) AS x_end FROM p GROUP BY match_id, seg_id""",
+        lambda t: S.trajectories(direct(t)).select("match_id", "seg_id", F.posexplode("points").alias("place", "p")).select("match_id", "seg_id", "place", F.col("p")[0].alias("t"), F.col("p")[1].alias("x"), F.col("p")[2].alias("y")),
+        """WITH p AS (SELECT match_id, track_id AS seg_id, floor(timestamp_s * 100 + 0.5) / 100e0 AS t, floor(x * 100 + 0.5) / 100e0 AS x, floor(y * 100 + 0.5) / 100e0 AS y, row_number() OVER (PARTITION BY match_id, track_id ORDER BY timestamp_s) - 1 AS i, count(*) OVER (PARTITION BY match_id, track_id) AS n FROM {play_rows}),
+ c AS (SELECT match_id, seg_id, n, cast(place AS int) AS place, CASE WHEN n > 25 THEN cast(round_even(place * (n - 1) / 24, 0) AS bigint) ELSE place END AS i FROM (SELECT DISTINCT match_id, seg_id, n FROM p) CROSS JOIN range(0, 25) r(place) WHERE place < n)
+ SELECT c.match_id, c.seg_id, place, t, x, y FROM c JOIN p ON p.match_id = c.match_id AND p.seg_id = c.seg_id AND p.i = c.i""",
     ),
     "e15_position_at": (
         lambda t: S.position_at(direct(t), spans(t).select("match_id", "seg_id", F.col("t1").alias("t"))).select("match_id", "seg_id", "seen_s", "x", "y"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import mlprep as M
 from .maintenance import sql_view
 
-LABELS = "SELECT match_id, frame_id, track_id, CASE (frame_id + track_id) % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'shot' WHEN 2 THEN 'dribble' WHEN 3 THEN 'hold' ELSE 'other' END AS action FROM {players} WHERE frame_id % 31 = 0"
+LABELS = "SELECT match_id, frame_id, track_id, CASE (frame_id + track_id) % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'shot' WHEN 2 THEN 'dribble' WHEN 3 THEN 'hold' ELSE 'other' END AS action FROM {players} WHERE has_ball"
 SAMPLES = f"sa AS (SELECT match_id, frame_id, track_id, action, cast(list_position(['pass', 'shot', 'dribble', 'hold'], action) - 1 AS int) AS label FROM ({LABELS}) SEMI JOIN {{frames}} USING (match_id, frame_id) WHERE frame_id >= 24 AND action <> 'other')"
 PREDICTIONS = "SELECT match_id, frame_id, track_id, cast((frame_id + track_id) % 4 AS int) AS label, cast((frame_id * 3 + track_id) % 4 AS int) AS predicted FROM {players}"
 WINDOWS = f"{SAMPLES}, wi AS (SELECT s.match_id, s.frame_id AS centre, s.track_id AS actor, cast(s.frame_id - o AS int) AS frame_id FROM sa s CROSS JOIN range(0, 25) r(o)), fw AS (SELECT wi.match_id, centre, actor, wi.frame_id, p.track_id, team, court_x, court_y, velocity_x, velocity_y FROM wi LEFT JOIN (SELECT * FROM {{players}} WHERE court_x IS NOT NULL) p ON p.match_id = wi.match_id AND p.frame_id = wi.frame_id)"
@@ -27,13 +27,17 @@ def vectors(t):
     return t.embeddings.select("vec_id", "label", F.transform("embedding", lambda v: F.floor(v.cast("double") * 64) / 64.0).alias("vector"))
 
 
-def split_counts(t):
-    return M.train_val_split(t.players.select("match_id", "frame_id", "track_id"), ["match_id", "frame_id", "track_id"]).groupBy("split").agg(F.count("*").alias("n"))
+def split_rows(t):
+    return M.train_val_split(t.players.select("match_id", "frame_id", "track_id"), ["match_id", "frame_id", "track_id"])
 
 
-def first_point(t):
+def knn_rows(t):
+    return M.knn_formation_rows(M.formation_samples(t.players, 1, 2), M.reference_formations(t.spark), ["match_id", "frame_id", "team"])
+
+
+def whole_vectors(t):
     f = M.formation_samples(t.players, 1, 2)
-    return f.select("match_id", "frame_id", "team", "n_valid", F.size("vector").alias("size"), F.col("vector")[0].alias("x"), F.col("vector")[3].alias("y2"))
+    return f.select("match_id", "frame_id", "team", "n_valid", F.posexplode("vector").alias("i", "v"))
 
 
 PLANS = {
@@ -52,18 +56,20 @@ PLANS = {
  d AS (SELECT *, sqrt(dx * dx + dy * dy) AS distance FROM e) SELECT match_id, frame_id, src, dst, dx, dy, distance, same_team FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_id, src ORDER BY distance, dst) AS rn FROM d) WHERE rn <= 2""",
     ),
     "i5_formation_samples": (
-        first_point,
+        whole_vectors,
         """WITH p AS (SELECT match_id, frame_id, team, track_id, court_x AS x, court_y AS y FROM {players} WHERE on_court AND team IN ('A', 'B') AND court_x IS NOT NULL), g AS (SELECT match_id, frame_id, team, avg(x) AS mx, avg(y) AS my, count(*) AS n, list({'t': track_id, 'x': x, 'y': y} ORDER BY track_id) AS ps FROM p GROUP BY ALL HAVING count(*) >= 2)
- SELECT match_id, frame_id, team, cast(least(n, 7) AS int) AS n_valid, 14 AS size, (ps[1].x - mx) / 40 AS x, (ps[2].y - my) / 20 AS y2 FROM g""".replace("{'t': track_id, 'x': x, 'y': y}", "struct_pack(t := track_id, x := x, y := y)"),
+ SELECT match_id, frame_id, team, cast(least(n, 7) AS int) AS n_valid, cast(i AS int) AS i, CASE WHEN i // 2 >= n THEN 0 WHEN i % 2 = 0 THEN (ps[i // 2 + 1].x - mx) / 40 ELSE (ps[i // 2 + 1].y - my) / 20 END AS v FROM g CROSS JOIN range(0, 14) r(i)""".replace("{'t': track_id, 'x': x, 'y': y}", "struct_pack(t := track_id, x := x, y := y)"),
     ),
-    "i7_knn_classify": (lambda t: M.knn_classify(M.formation_samples(t.players, 1, 2), M.reference_formations(t.spark), ["match_id", "frame_id", "team"], 1), None),
+    "i7_knn_classify": (lambda t: M.knn_classify(M.formation_samples(t.players, 1, 2), M.reference_formations(t.spark), ["match_id", "frame_id", "team"]), None),
+    "d11b_knn_formations": (lambda t: knn_rows(t)[0], None),
+    "d11b_knn_embeddings": (lambda t: knn_rows(t)[1], None),
     "i8_augment_formations": (lambda t: M.augment_formations(M.formation_samples(t.players, 1, 2)).select("match_id", "frame_id", "team", "view", "n_valid", F.size("vector").alias("size")), "WITH g AS (SELECT match_id, frame_id, team, cast(least(count(*), 7) AS int) AS n_valid FROM {players} WHERE on_court AND team IN ('A', 'B') AND court_x IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) SELECT match_id, frame_id, team, cast(v AS int) AS view, n_valid, 14 AS size FROM g CROSS JOIN range(0, 2) r(v)"),
-    "i9_train_val_split": (split_counts, "SELECT 'val' AS split, cast(greatest(1, floor(count(*) * 0.2e0)) AS bigint) AS n FROM {players} UNION ALL SELECT 'train', count(*) - cast(greatest(1, floor(count(*) * 0.2e0)) AS bigint) FROM {players}"),
+    "i9_train_val_split": (lambda t: split_rows(t).groupBy("split").agg(F.count("*").alias("n")), "SELECT 'val' AS split, cast(greatest(1, floor(count(*) * 0.2e0)) AS bigint) AS n FROM {players} UNION ALL SELECT 'train', count(*) - cast(greatest(1, floor(count(*) * 0.2e0)) AS bigint) FROM {players}"),
     "i10_accuracy": (lambda t: M.accuracy(predictions(t)), f"SELECT count(*) AS n, avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END) AS accuracy FROM ({PREDICTIONS})"),
     "i11_confusion_matrix": (lambda t: M.confusion_matrix(predictions(t)), f"SELECT label, count(*) FILTER (predicted = 0) AS p0, count(*) FILTER (predicted = 1) AS p1, count(*) FILTER (predicted = 2) AS p2, count(*) FILTER (predicted = 3) AS p3 FROM ({PREDICTIONS}) GROUP BY label"),
     "b12_scaled_features": (
-        lambda t: M.scaled_features(vectors(t), 4).select("vec_id", *[(F.floor(F.col("vector")[i] * 1e6 + 0.5) / 1e6).alias(f"z{i}") for i in range(2)]),
-        f"WITH v AS ({QUANTISED}), s AS (SELECT avg(v[1]) AS m0, stddev_pop(v[1]) AS s0, avg(v[2]) AS m1, stddev_pop(v[2]) AS s1 FROM v) SELECT vec_id, floor((v[1] - m0) / s0 * 1e6 + 0.5) / 1e6 AS z0, floor((v[2] - m1) / s1 * 1e6 + 0.5) / 1e6 AS z1 FROM v CROSS JOIN s",
+        lambda t: M.scaled_features(vectors(t), 19, 2).select("vec_id", F.posexplode("vector").alias("i", "z")).select("vec_id", "i", (F.floor(F.col("z") * 1e6 + 0.5) / 1e6).alias("z")),
+        f"WITH v AS (SELECT vec_id, cast(i AS int) AS i, v[i + 1] AS x FROM ({QUANTISED}) CROSS JOIN range(0, 21) r(i)), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM v GROUP BY i) SELECT vec_id, v.i, floor(CASE WHEN v.i >= 19 THEN x ELSE (x - m) / s END * 1e6 + 0.5) / 1e6 AS z FROM v JOIN s ON s.i = v.i",
     ),
     "b15_cluster_centroids": (
         lambda t: M.cluster_centroids(vectors(t)).select("label", "d", "mean", "size"),
