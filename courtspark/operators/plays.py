@@ -1,97 +1,239 @@
-"""Play events from segments and contexts."""
+"""Play events from segments and contexts.
+
+Detectors take segments with their movement bounds (``segments.with_movement``) and return events of one shape:
+``EVENT`` columns, with exact times t0 and t1, the segments that take part, and measures by name.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .islands import changed, islands
-from .segments import context_at, smooth, speed
+from ..sources.shared import written
+from .islands import changed, in_intervals, islands
+from .segments import (
+    attack_contexts,
+    attack_hysteresis,
+    attack_verdicts,
+    build_segments,
+    context_at,
+    displacement,
+    frame_positions,
+    goal_distance,
+    position_at,
+    smooth,
+    speed,
+    trajectories,
+    with_movement,
+)
 
 SEG = ["match_id", "seg_id"]
+ROLES_HELD = "array<struct<track_id: int, from_role: string, to_role: string>>"
+EVENT = ("match_id", "play_type", "team", "start_frame", "end_frame", "t0", "t1", "confidence", "seg_ids", "track_ids", "goal_x", "variant", "measures", "roles")
+#: Names of plays and variants in results: fixed values.
+SWAP, RUN_IN, PUSH, BREAK = "kreuzen", "einlaeufer", "parallelstoss", "tempogegenstoss"
+SCISSORS, SEQUENTIAL = "kreuzen", "positionswechsel"
+
+
+def measured(**of: Column) -> Column:
+    """Numbers of an event by name."""
+    return F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v.cast("double"))])
 
 
-def swap_candidates(segments: DataFrame, around_s: float = 2.0, apart: float = 1.5, fast: float = 1.0, near: float = 4.0) -> DataFrame:
-    """Flips of the lateral order of two team mates: (seg_a, seg_b, frame, time, separation before and after, speeds).
+def event(found: DataFrame, play_type: str, segs: list[str], tracks: list[str], measures: Column, variant: Column | None = None, roles: Column | None = None) -> DataFrame:
+    """Detections in the common shape; ``segs`` and ``tracks`` name the columns of those that take part."""
+    ids = lambda cols: F.array(*cols).cast("array<int>")
+    none = F.lit(None)
+    made = {"play_type": F.lit(play_type), "seg_ids": ids(segs), "track_ids": ids(tracks), "measures": measures, "variant": (none if variant is None else variant).cast("string"), "roles": (none if roles is None else roles).cast(ROLES_HELD)}
+    return found.withColumns(made | ({} if "goal_x" in found.columns else {"goal_x": none.cast("double")})).select(*EVENT)
 
-    Pairs meet on their frames, an equi-join within a match and team; a dozen players share a frame.
+
+def team_pairs(segments: DataFrame, overlap_s: float) -> DataFrame:
+    """Samples of two team mates in the same frames: columns of either segment end in _a and _b, seg_id_a < seg_id_b.
+
+    Segments meet on their frames, an equi-join within a match and team; a dozen players share a frame.
     """
-    s = segments.select("match_id", "team", "frame_id", "timestamp_s", "seg_id", "track_id", "x", "y", "vy", speed().alias("v"))
-    a = s.select("match_id", "team", "frame_id", "timestamp_s", *[F.col(c).alias(f"{c}_a") for c in ("seg_id", "track_id", "x", "y", "vy", "v")])
-    b = s.select("match_id", "team", "frame_id", *[F.col(c).alias(f"{c}_b") for c in ("seg_id", "track_id", "x", "y", "vy", "v")])
-    p = a.join(b, ["match_id", "team", "frame_id"]).where("seg_id_a < seg_id_b and track_id_a <> track_id_b").withColumn("dy", F.col("y_a") - F.col("y_b"))
-    pair = Window.partitionBy("match_id", "seg_id_a", "seg_id_b")
-    w = pair.orderBy("frame_id")
-    p = p.withColumns({"prev_dy": F.lag("dy").over(w), "prev_t": F.lag("timestamp_s").over(w), "span": F.max("timestamp_s").over(pair) - F.min("timestamp_s").over(pair)})
-    ms = F.floor(F.col("timestamp_s") * 1000).cast("long")
-    p = p.withColumn("ms", ms)
-    reach = int(around_s * 1000)
-    before, after = pair.orderBy("ms").rangeBetween(-reach, -1), pair.orderBy("ms").rangeBetween(1, reach)
-    up, down = F.greatest(F.col("dy"), F.lit(0.0)), F.greatest(-F.col("dy"), F.lit(0.0))
-    p = p.withColumns({"up_0": F.max(up).over(before), "down_0": F.max(down).over(before), "up_1": F.max(up).over(after), "down_1": F.max(down).over(after)})
-    flip = p.where((F.col("dy") * F.col("prev_dy") < 0) & (F.col("span") >= 0.8))
-    rising = F.col("dy") > 0
-    flip = flip.withColumn("sep_before", F.when(rising, F.col("down_0")).otherwise(F.col("up_0"))).withColumn("sep_after", F.when(rising, F.greatest("up_1", F.abs("dy"))).otherwise(F.greatest("down_1", F.abs("dy"))))
-    d = F.sqrt((F.col("x_a") - F.col("x_b")) * (F.col("x_a") - F.col("x_b")) + F.col("dy") * F.col("dy"))
-    flip = flip.withColumn("distance", d).withColumn("t_cross", (F.col("timestamp_s") + F.col("prev_t")) / 2)
-    return flip.where((F.col("sep_before") >= apart) & (F.col("sep_after") >= apart) & (F.greatest("v_a", "v_b") >= fast) & (F.col("distance") <= near))
-
-
-def detect_swaps(segments: DataFrame, contexts: DataFrame, rearm_s: float = 1.0) -> DataFrame:
-    """Position swaps of the attacking team, 4 to 17 m from the goal it attacks; of flips closer than ``rearm_s`` to the
-    last one taken, none counts."""
-    c = context_at(swap_candidates(segments), contexts, "t_cross")
-    gd = lambda s: F.sqrt((F.col(f"x_{s}") - F.col("ctx_goal")) * (F.col(f"x_{s}") - F.col("ctx_goal")) + (F.col(f"y_{s}") - 10) * (F.col(f"y_{s}") - 10))
-    c = c.where((F.col("ctx_team") == F.col("team")) & gd("a").between(4, 17) & gd("b").between(4, 17))
+    cols = ["seg_id", "track_id", "x", "y", "vx", "vy", "seg_start", "seg_end", "move_start", "move_end"]
+    s = segments.where("team in ('A', 'B')").select("match_id", "team", "frame_id", "timestamp_s", *cols, speed().alias("v"))
+    side = lambda x: s.select("match_id", "team", "frame_id", *(["timestamp_s"] if x == "a" else []), *[F.col(c).alias(f"{c}_{x}") for c in (*cols, "v")])
+    p = side("a").join(side("b"), ["match_id", "team", "frame_id"]).where("seg_id_a < seg_id_b and track_id_a <> track_id_b")
+    shared = F.least("seg_end_a", "seg_end_b") - F.greatest("seg_start_a", "seg_start_b")
+    return p.where(shared >= overlap_s).withColumn("dy", F.col("y_a") - F.col("y_b"))
+
+
+PAIR = ["match_id", "seg_id_a", "seg_id_b"]
+
+
+def swap_candidates(segments: DataFrame, around_s: float = 2.0, apart: float = 1.5, fast: float = 1.0, near: float = 4.0, window_s: float = 3.5) -> DataFrame:
+    """Flips of the lateral order of two team mates who run, pass closely, and are clearly apart before and after.
+
+    A flip is seen against the pair's frame before. Only flips fast and near enough meet the samples around them
+    again, by bins of ``window_s``; there the separations and the frames of the event's window are found.
+    """
+    p = team_pairs(segments, 0.8)
+    w = Window.partitionBy(*PAIR).orderBy("frame_id")
+    dx, dy = F.col("x_a") - F.col("x_b"), F.col("dy")
+    p = p.withColumns({"dy0": F.lag("dy").over(w), "t_before": F.lag("timestamp_s").over(w), "distance": F.sqrt(dx * dx + dy * dy)})
+    flips = p.where((F.col("dy0") * dy < 0) & (F.greatest("v_a", "v_b") >= fast) & (F.col("distance") <= near))
+    flips = flips.withColumn("t_cross", (F.col("t_before") + F.col("timestamp_s")) / 2)
+    t0, t1 = F.least("move_start_a", "move_start_b"), F.greatest("move_end_a", "move_end_b")
+    flips = flips.withColumns({"t0": F.greatest(t0, F.col("t_cross") - window_s), "t1": F.least(t1, F.col("t_cross") + window_s)})
+    keep = ["team", "frame_id", "timestamp_s", "t_cross", "t0", "t1", "distance", *[f"{c}_{x}" for x in "ab" for c in ("track_id", "x", "y", "vy", "v")]]
+    flips = flips.select(*PAIR, *keep, F.col("dy0").alias("_dy0"), F.col("dy").alias("_dy"))
+
+    bins = F.sequence(F.floor((F.col("t_cross") - window_s) / window_s), F.floor((F.col("t_cross") + window_s) / window_s))
+    f = flips.select(*PAIR, "frame_id", "t_cross", "t0", "t1", "_dy0", "_dy", F.explode(bins).alias("_bin")).withColumnRenamed("frame_id", "flip")
+    own = segments.select("match_id", F.col("seg_id").alias("seg_id_a"), F.floor(F.col("timestamp_s") / window_s).alias("_bin"), "frame_id", "timestamp_s", F.col("y").alias("_ya"))
+    other = segments.select("match_id", F.col("seg_id").alias("seg_id_b"), "frame_id", F.col("y").alias("_yb"))
+    s = f.join(own, ["match_id", "seg_id_a", "_bin"]).join(other, ["match_id", "seg_id_b", "frame_id"]).withColumn("_d", F.col("_ya") - F.col("_yb"))
+    t, tc = F.col("timestamp_s"), F.col("t_cross")
+    before = F.max(F.when((t >= tc - around_s) & (t < tc) & (F.col("_d") * F.col("_dy0") > 0), F.abs("_d")))
+    after = F.max(F.when((t > tc) & (t <= tc + around_s) & (F.col("_d") * F.col("_dy") > 0), F.abs("_d")))
+    inside = F.when(t.between(F.col("t0"), F.col("t1")), F.col("frame_id"))
+    seps = s.groupBy(*PAIR, "flip").agg(before.alias("sep_before"), after.alias("sep_after"), F.min(inside).alias("start_frame"), F.max(inside).alias("end_frame"))
+    seps = seps.where((F.col("sep_before") >= apart) & (F.col("sep_after") >= apart)).withColumnRenamed("flip", "frame_id")
+    return flips.drop("_dy0", "_dy").join(seps, [*PAIR, "frame_id"]).withColumns({c: F.coalesce(c, "frame_id") for c in ("start_frame", "end_frame")})
+
+
+def swap_goal(candidates: DataFrame, contexts: DataFrame, positions: DataFrame, zone: tuple[float, float] = (4.0, 17.0), screen: int = 2) -> DataFrame:
+    """Candidates with the goal they attack (goal_x): the context's, if it is their team's attack; without a context
+    the goal of their half, if ``screen`` opponents stand closer to it than both. Both must be in the ``zone``."""
+    c = context_at(candidates, contexts, "t_cross").withColumn("goal_x", F.coalesce("ctx_goal", F.when(F.col("x_a") + F.col("x_b") < 40, 0.0).otherwise(40.0)))
+    d = [goal_distance(F.col(f"x_{s}"), F.col(f"y_{s}"), F.col("goal_x")) for s in "ab"]
+    c = c.where(d[0].between(*zone) & d[1].between(*zone) & (F.col("ctx_team").isNull() | (F.col("ctx_team") == F.col("team"))))
+    opponents = positions.select("match_id", "frame_id", F.when(F.col("team") == "A", "B").otherwise("A").alias("team"), "positions")
+    closer = F.filter("positions", lambda p: goal_distance(p["x"], p["y"], F.col("goal_x")) < F.least(*d))
+    c = c.join(opponents, ["match_id", "frame_id", "team"], "left").where(F.col("ctx_team").isNotNull() | (F.size(closer) >= screen))
+    return c.drop("positions", "ctx_goal", "ctx_team")
+
+
+def detect_swaps(segments: DataFrame, contexts: DataFrame, positions: DataFrame, rearm_s: float = 1.0, moved: float = 1.0) -> DataFrame:
+    """Position swaps of two attackers who both move ``moved`` metres in the event; of a pair's flips closer than
+    ``rearm_s`` to the last one taken, none counts."""
+    c = swap_goal(swap_candidates(segments), contexts, positions)
+    spans = lambda s: c.select("match_id", F.col(f"seg_id_{s}").alias("seg_id"), "t0", "t1")
+    gone = displacement(segments, spans("a").unionByName(spans("b")).distinct())
+    for s in "ab":
+        c = c.join(gone.select("match_id", F.col("seg_id").alias(f"seg_id_{s}"), "t0", "t1", F.col("moved").alias(f"moved_{s}")), ["match_id", f"seg_id_{s}", "t0", "t1"])
+    c = c.where(F.least("moved_a", "moved_b") >= moved)
     scissors = (F.least("v_a", "v_b") >= 1.2) & (F.col("vy_a") * F.col("vy_b") < 0) & (F.col("distance") <= 2.5)
-    vmax, sep = F.greatest("v_a", "v_b"), F.least("sep_before", "sep_after")
-    conf = F.least(F.lit(0.95), 0.45 + 0.2 * F.least(F.lit(1.0), vmax / 3) + 0.15 * F.least(F.lit(1.0), sep / 3) + F.when(scissors, 0.15).otherwise(0.0))
-    c = c.withColumn("confidence", conf).withColumn("variant", F.when(scissors, "scissors").otherwise("sequential"))
-    rows = F.array_sort(F.collect_list(F.struct("t_cross", "frame_id", "confidence", "variant", "ctx_goal")))
-    g = c.groupBy("match_id", "team", "seg_id_a", "seg_id_b", "track_id_a", "track_id_b").agg(rows.alias("rows"))
-    kind = "array<struct<t_cross:double,frame_id:int,confidence:double,variant:string,ctx_goal:double>>"
-    start = F.struct(F.lit(float("-inf")).alias("next"), F.array().cast(kind).alias("out"))
-    fold = F.aggregate("rows", start, lambda a, r: F.when(r["t_cross"] >= a["next"], F.struct((r["t_cross"] + rearm_s).alias("next"), F.concat(a["out"], F.array(r)).alias("out"))).otherwise(a), lambda a: a["out"])
-    e = g.select("match_id", "team", "track_id_a", "track_id_b", F.explode(fold).alias("e"))
-    return e.select("match_id", F.lit("swap").alias("play_type"), "team", F.col("e.frame_id").alias("frame_id"), F.col("e.t_cross").alias("t_cross"), "e.confidence", "e.variant", F.col("e.ctx_goal").alias("goal_x"), F.array_sort(F.array("track_id_a", "track_id_b")).alias("track_ids"))
+    sure = 0.45 + 0.2 * F.least(F.lit(1.0), F.greatest("v_a", "v_b") / 3) + 0.15 * F.least(F.lit(1.0), F.least("sep_before", "sep_after") / 3) + F.when(scissors, 0.15).otherwise(0.0)
+    c = c.withColumns({"confidence": F.least(F.lit(0.95), sure), "scissors": scissors})
+    kept = ["team", "start_frame", "end_frame", "t0", "t1", "confidence", "goal_x", "scissors", "distance", "track_id_a", "track_id_b"]
+    g = c.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("timestamp_s", "t_cross", F.struct(*kept).alias("of")))).alias("flips"))
+    taken = F.lit(float("-inf"))
+    free = F.aggregate(F.transform("flips", lambda f: F.struct(f["timestamp_s"], f["t_cross"])), F.struct(taken.alias("next"), F.array().cast("array<boolean>").alias("out")),
+                       lambda a, f: F.struct(F.when(f["timestamp_s"] >= a["next"], f["t_cross"] + rearm_s).otherwise(a["next"]).alias("next"), F.concat(a["out"], F.array(f["timestamp_s"] >= a["next"])).alias("out")), lambda a: a["out"])
+    e = g.withColumn("_free", free).select(*PAIR, F.inline(F.arrays_zip("flips", "_free"))).where("_free").select(*PAIR, "flips.t_cross", "flips.of.*")
+    variant = F.when(F.col("scissors"), SCISSORS).otherwise(SEQUENTIAL)
+    return event(e, SWAP, ["seg_id_a", "seg_id_b"], ["track_id_a", "track_id_b"], measured(cross_time_s=F.col("t_cross"), pair_distance_m=F.col("distance")), variant)
+
+
+RUN_IN_SCAN = "match_id string, seg_id int, start_frame int, end_frame int, t0 double, t1 double, confidence double, goal_x double, start_dist_m double, end_dist_m double"
 
 
 def detect_run_ins(segments: DataFrame, contexts: DataFrame) -> DataFrame:
     """Runs of an attacker from the back line (9.5 to 17 m) to within 7.5 m of the goal, held there for a second.
 
-    A scan over one segment's samples at a time; only segments that start far enough and come close enough get there.
+    Contexts are met in Spark; the scan, whose steps depend on where the last run ended, sees one segment's samples at
+    a time, and only of segments that are in their attack far enough out and come near a goal.
     """
-    s = context_at(segments, contexts).where("ctx_team = team")
-    d = F.sqrt((F.col("x") - F.col("ctx_goal")) * (F.col("x") - F.col("ctx_goal")) + (F.col("y") - 10) * (F.col("y") - 10))
-    s = s.withColumn("d", d)
-    near = s.groupBy(*SEG).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < 7.5 and hi > 9.5").select(*SEG)
-    s = s.join(near, SEG).select(*SEG, "track_id", "team", "frame_id", "timestamp_s", "d", F.col("ctx_goal").alias("goal_x"))
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id")
-        t, d, f = pdf["timestamp_s"].to_numpy(), pdf["d"].to_numpy(), pdf["frame_id"].to_numpy()
-        out, i = [], 0
-        while i < len(t):
-            if 9.5 < d[i] <= 17:
-                reach = np.flatnonzero((t > t[i]) & (t <= t[i] + 5.0) & (d < 7.5))
-                if len(reach):
-                    j = reach[0]
-                    steps = np.diff(d[i : j + 1])
-                    deep = np.flatnonzero((t >= t[j]) & (t <= t[j] + 1.0))
-                    m = deep[d[deep].argmin()]
-                    hold = np.flatnonzero((t >= t[m]) & (t <= t[m] + 1.0))
-                    if d[i] - d[m] >= 3.0 and (steps <= 0.15).mean() >= 0.7 and (d[hold] <= 8.5).all() and t[hold[-1]] - t[m] >= 0.5:
-                        conf = max(0.3, min(0.95, 0.5 + 0.2 * min(1.0, (d[i] - d[m]) / 6) + 0.2 * min(1.0, (7.5 - d[m]) / 3)))
-                        r = pdf.iloc[i]
-                        out.append((r.match_id, int(r.seg_id), int(r.track_id), r.team, int(f[i]), int(f[hold[-1]]), float(t[i]), float(t[hold[-1]]), float(r.goal_x), float(conf)))
-                        i = hold[-1]
-            i += 1
-        return pd.DataFrame(out, columns=["match_id", "seg_id", "track_id", "team", "start_frame", "end_frame", "start_time_s", "end_time_s", "goal_x", "confidence"])
-
-    kind = "match_id string, seg_id int, track_id int, team string, start_frame int, end_frame int, start_time_s double, end_time_s double, goal_x double, confidence double"
-    return s.groupBy(*SEG).applyInPandas(scan, kind)
+    s = context_at(segments.where("team in ('A', 'B')"), contexts).withColumn("goal_x", F.when(F.col("ctx_team") == F.col("team"), F.col("ctx_goal")))
+    d = {g: goal_distance(F.col("x"), F.col("y"), F.lit(g)) for g in (0.0, 40.0)}
+    s = s.withColumns({"d0": d[0.0], "d40": d[40.0]})
+    own = F.when(F.col("goal_x") == 0, F.col("d0")).otherwise(F.col("d40"))
+    near = s.groupBy(*SEG).agg(F.max(F.when(F.col("goal_x").isNotNull(), own)).alias("far"), F.min(F.least("d0", "d40")).alias("near")).where("far > 9.5 and near < 7.5")
+    rows = s.join(near.select(*SEG), SEG).select(*SEG, "frame_id", "timestamp_s", "goal_x", "d0", "d40", "move_start", "move_start_frame")
+    e = rows.groupBy(*SEG).applyInPandas(_run_ins, RUN_IN_SCAN)
+    who = segments.select(*SEG, "track_id", "team").distinct()
+    return event(e.join(who, SEG), RUN_IN, ["seg_id"], ["track_id"], measured(start_dist_m=F.col("start_dist_m"), end_dist_m=F.col("end_dist_m")))
+
+
+def _arrival(t: np.ndarray, d: np.ndarray, i: int) -> tuple[int, int] | None:
+    """Arrival and last held sample of a run that begins at ``i``: the first arrival whose deepest point is held."""
+    calm = np.concatenate(([0], np.cumsum(np.diff(d[i:]) <= 0.15)))
+    for j in i + np.flatnonzero((t[i:] - t[i] <= 5.0) & (d[i:] < 7.5) & (d[i] - d[i:] >= 3.0)):
+        if j == i or calm[j - i] / (j - i) < 0.7:
+            continue
+        m = j + int(d[j : np.searchsorted(t - t[j], 1.0, "right")].argmin())
+        end = np.searchsorted(t - t[m], 1.0, "right") - 1
+        if (d[m + 1 : end + 1] <= 8.5).all() and t[end] - t[m] >= 0.5:
+            return int(j), int(end)
+    return None
+
+
+def _run_ins(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("frame_id")
+    t, goal, f = (pdf[c].to_numpy() for c in ("timestamp_s", "goal_x", "frame_id"))
+    to = {0.0: pdf["d0"].to_numpy(), 40.0: pdf["d40"].to_numpy()}
+    out, i = [], 0
+    while i < len(t):
+        d = to.get(goal[i])
+        hit = _arrival(t, d, i) if d is not None and 9.5 < d[i] <= 17 else None
+        if hit:
+            j, end = hit
+            sure = 0.5 + 0.2 * min(1.0, (d[i] - d[j]) / 6) + 0.2 * min(1.0, (7.5 - d[j]) / 3)
+            r = pdf.iloc[i]
+            out.append((r.match_id, int(r.seg_id), int(r.move_start_frame), int(f[end]), float(r.move_start), float(t[end]), max(0.3, min(0.95, sure)), float(goal[i]), float(d[i]), float(d[j])))
+            i = end
+        i += 1
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RUN_IN_SCAN.split(", ")])
+
+
+PUSH_SCAN = "match_id string, seg_id_a int, seg_id_b int, from_s double, hit_s double, t0 double, t1 double, confidence double, goal_x double, approach_m double, from_frame int, hit_frame int"
+
+
+def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Two attackers side by side (1.5 to 8 m apart, 7 to 17 m out) who both near the goal by 2 m within 2.5 s, each at
+    1.2 m a second at some time, in the order they began.
+
+    Pairs and contexts are formed in Spark, and pairs without a place to start dropped; one pair's samples are scanned
+    at a time.
+    """
+    p = team_pairs(segments, 1.0)
+    p = context_at(p, contexts).withColumn("goal_x", F.when(F.col("ctx_team") == F.col("team"), F.col("ctx_goal")))
+    p = p.withColumns({f"d{g:.0f}_{s}": goal_distance(F.col(f"x_{s}"), F.col(f"y_{s}"), F.lit(g)) for g in (0.0, 40.0) for s in "ab"})
+    own = lambda s: F.when(F.col("goal_x") == 0, F.col(f"d0_{s}")).otherwise(F.col(f"d40_{s}"))
+    start = F.col("goal_x").isNotNull() & own("a").between(7, 17) & own("b").between(7, 17) & F.abs("dy").between(1.5, 8)
+    p = p.withColumn("start", start)
+    able = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("start").alias("any"), F.max("v_a").alias("va"), F.max("v_b").alias("vb")).where("n >= 5 and any and va >= 1.2 and vb >= 1.2")
+    cols = ["frame_id", "timestamp_s", "dy", "start", "goal_x", "d0_a", "d0_b", "d40_a", "d40_b", "v_a", "v_b", "move_start_a", "move_start_b", "move_end_a", "move_end_b"]
+    e = p.join(able.select(*PAIR), PAIR).select(*PAIR, *cols).groupBy(*PAIR).applyInPandas(_pushes, PUSH_SCAN)
+    samples = p.select(*PAIR, "team", "track_id_a", "track_id_b", "frame_id", "timestamp_s")
+    e = e.join(samples, PAIR).groupBy(*PAIR, *[c.split()[0] for c in PUSH_SCAN.split(", ")[3:]], "team", "track_id_a", "track_id_b")
+    inside = F.when(F.col("timestamp_s").between(F.col("t0"), F.col("t1")), F.col("frame_id"))
+    e = e.agg(F.coalesce(F.min(inside), F.first("from_frame")).alias("start_frame"), F.coalesce(F.max(inside), F.first("hit_frame")).alias("end_frame"))
+    return event(e, PUSH, ["seg_id_a", "seg_id_b"], ["track_id_a", "track_id_b"], measured(approach_m=F.col("approach_m")))
+
+
+def _pushes(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("frame_id")
+    t, dy, start, goal, va, vb, f = (pdf[c].to_numpy() for c in ("timestamp_s", "dy", "start", "goal_x", "v_a", "v_b", "frame_id"))
+    to = {0.0: pdf[["d0_a", "d0_b"]].to_numpy(), 40.0: pdf[["d40_a", "d40_b"]].to_numpy()}
+    out, k = [], 0
+    while k < len(t):
+        m = None
+        if start[k]:
+            d = to[goal[k]]
+            part = slice(k + 1, np.searchsorted(t - t[k], 2.5, "right"))
+            kept = np.logical_and.accumulate(dy[part] * dy[k] > 0)
+            gain = (d[k] - d[part]).min(axis=1)
+            pace = np.minimum(np.maximum.accumulate(va[part]), np.maximum.accumulate(vb[part]))
+            hits = np.flatnonzero(kept & (gain >= 2.0) & (pace >= 1.2))
+            m = k + 1 + int(hits[-1]) if len(hits) else None
+        if m is None:
+            k += 1
+            continue
+        r, g, v = pdf.iloc[m], gain[m - k - 1], pace[m - k - 1]
+        t0, t1 = max(min(r.move_start_a, r.move_start_b), t[k] - 3.0), min(max(r.move_end_a, r.move_end_b), t[m] + 3.0)
+        sure = min(0.95, 0.45 + 0.2 * min(1.0, g / 4) + 0.15 * min(1.0, v / 3))
+        out.append((r.match_id, int(r.seg_id_a), int(r.seg_id_b), float(t[k]), float(t[m]), float(t0), float(t1), float(sure), float(goal[k]), float(g), int(f[k]), int(f[m])))
+        k = max(k + 1, int(np.searchsorted(t, t[m] + 1.0)))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in PUSH_SCAN.split(", ")])
 
 
 def centroid_series(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -101,130 +243,309 @@ def centroid_series(rows: DataFrame, least: int = 3) -> DataFrame:
     return smooth(g.withColumn("_n", long).where("_n >= 5").drop("_n", "n"), ["match_id", "team"], ["x"])
 
 
+def attacking_after(points: DataFrame, contexts: DataFrame, at: str = "timestamp_s", wait_s: float = 4.0) -> DataFrame:
+    """Adds next_team and next_goal: those of the first attack that ends after a time, if it begins up to ``wait_s``
+    after it; null otherwise.
+
+    Contexts are laid among the points by their ends, and each point takes the next one: a union and one window
+    instead of a range join.
+    """
+    end = contexts.select("match_id", F.col("end_s").alias(at), F.struct("start_s", F.col("team").alias("t"), F.col("goal").alias("g")).alias("_next"))
+    both = points.withColumn("_point", F.lit(1)).unionByName(end.withColumn("_point", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("match_id").orderBy(F.desc(at), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0)
+    p = both.withColumn("_next", F.last("_next", ignorenulls=True).over(w)).where("_point = 1")
+    soon = F.col("_next.start_s") <= F.col(at) + wait_s
+    return p.withColumns({"next_team": F.when(soon, F.col("_next.t")), "next_goal": F.when(soon, F.col("_next.g"))}).drop("_next", "_point")
+
+
+BREAK_SCAN = "match_id string, team string, start_frame int, end_frame int, t0 double, t1 double, confidence double, goal_x double, distance_m double, mean_speed_ms double"
+
+
 def detect_fast_breaks(series: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Runs of a team's centroid over the middle at 2 m a second or more, 12 m in up to 10 s.
+    """Runs of a team's centroid over the middle at 2 m a second or more, 12 m in up to 10 s, after which the first
+    attack within 4 s is that team's on that goal, or none is seen.
 
-    A scan over one team's centroid series; a run counts if the next attack to start within 4 s is its own.
+    What comes after each sample is found in Spark; the scan sees one team's centroid series of one match at a time.
+    """
+    ready = attacking_after(series, contexts)
+    e = ready.groupBy("match_id", "team").applyInPandas(_breaks, BREAK_SCAN)
+    return event(e, BREAK, [], [], measured(distance_m=F.col("distance_m"), mean_speed_ms=F.col("mean_speed_ms")))
+
+
+def _breaks(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("frame_id")
+    t, x, f, team, goal = (pdf[c].to_numpy() for c in ("timestamp_s", "x", "frame_id", "next_team", "next_goal"))
+    n, own = len(t), pdf["team"].iloc[0]
+    dt = np.diff(t)
+    tempo = np.divide(np.diff(x), dt, out=np.zeros(n - 1), where=dt > 0)
+    apart = np.append(np.flatnonzero((dt <= 0) | (dt > 1.2)), n - 1)
+
+    def run_end(i: int, sign: int) -> int:
+        """The last fast sample before the run pauses for more than 0.6 s or the series breaks."""
+        last = apart[np.searchsorted(apart, i)]
+        chain = np.concatenate(([i], i + 1 + np.flatnonzero(sign * tempo[i:last] >= 2.0)))
+        pauses = np.flatnonzero(t[chain[1:] - 1] - t[chain[:-1]] > 0.6)
+        return int(chain[pauses[0]] if len(pauses) else chain[-1])
+
+    out, i = [], 0
+    while i < n - 1:
+        for sign, to in ((1, 40.0), (-1, 0.0)):
+            if sign * (x[i] - 20) >= 0:
+                continue
+            end = run_end(i, sign)
+            gone, took = sign * (x[end] - x[i]), t[end] - t[i]
+            after = not isinstance(team[end], str) or (team[end] == own and goal[end] == to)
+            if gone >= 12 and 0 < took <= 10 and sign * (x[end] - 20) > 2 and gone / took <= 7 and after:
+                sure = min(0.95, 0.5 + 0.2 * min(1.0, gone / took / 4) + 0.2 * gone / 30)
+                out.append((pdf["match_id"].iloc[0], own, int(f[i]), int(f[end]), float(t[i]), float(t[end]), float(sure), to, float(gone), float(gone / took)))
+                i = end
+                break
+        i += 1
+    return pd.DataFrame(out, columns=[c.split()[0] for c in BREAK_SCAN.split(", ")])
+
+
+#: Attack positions as (depth from the goal, lateral offset to the attacker's right): fixed values.
+SLOTS = {"LA": (3.0, -8.0), "RL": (10.5, -4.5), "RM": (11.5, 0.0), "RR": (10.5, 4.5), "RA": (3.0, 8.0), "KM": (6.0, 0.0)}
+PIVOT = "KM"
+BACK = [r for r in SLOTS if r != PIVOT]
+
+
+def role_slot(role: str, goal_x: float) -> tuple[float, float]:
+    """Where a role stands on the court in an attack on a goal; left is the attacker's, facing the goal."""
+    depth, right = SLOTS[role]
+    return (depth, 10.0 - right) if goal_x == 0 else (40.0 - depth, 10.0 + right)
+
+
+def role_template(spark: SparkSession) -> DataFrame:
+    """The twelve places of the six roles: goal_x, role, x, y."""
+    return spark.createDataFrame([(g, r, *role_slot(r, g)) for g in (0.0, 40.0) for r in SLOTS], "goal_x double, role string, x double, y double")
+
+
+def assign_roles(segments: DataFrame, contexts: DataFrame, bin_s: float = 0.5, most: float = 8.0) -> DataFrame:
+    """Roles of the attacking team's segments in the middle of each half second: match_id, seg_id, t, role.
+
+    Each bin's players take the six slots so that the distances add up to the least; one beyond ``most`` metres of its
+    slot, or without one, has a null role. A sample stands for the bins between the sample before and itself, so
+    players and contexts meet on bin numbers.
     """
+    middle = lambda b: (b + 0.5) * bin_s
+    number = lambda c: c / bin_s - 0.5
+    c = contexts.select("match_id", "team", F.col("goal").alias("goal_x"), F.explode(F.sequence(F.ceil(number(F.col("start_s"))), F.ceil(number(F.col("end_s"))) - 1)).alias("bin"))
+    w = Window.partitionBy(*SEG).orderBy("frame_id")
+    first = F.coalesce(F.floor(number(F.lag("timestamp_s").over(w))) + 1, F.ceil(number(F.col("timestamp_s"))))
+    s = segments.where("team in ('A', 'B')").select(*SEG, "team", "x", "y", first.alias("b0"), F.floor(number(F.col("timestamp_s"))).alias("b1")).where("b0 <= b1")
+    s = s.select(*SEG, "team", "x", "y", F.explode(F.sequence("b0", "b1")).alias("bin")).join(c, ["match_id", "team", "bin"])
+    far = lambda at: F.sqrt((F.col("x") - at[0]) * (F.col("x") - at[0]) + (F.col("y") - at[1]) * (F.col("y") - at[1]))
+    costs = F.when(F.col("goal_x") == 0, F.array(*[far(role_slot(r, 0.0)) for r in SLOTS])).otherwise(F.array(*[far(role_slot(r, 40.0)) for r in SLOTS]))
+    g = s.groupBy("match_id", "bin").agg(F.array_sort(F.collect_list(F.struct("seg_id", costs.alias("costs")))).alias("players"))
+    g = g.withColumn("slot", _least_total(F.transform("players", lambda p: p["costs"])))
+    p = g.select("match_id", middle(F.col("bin")).alias("t"), F.inline(F.arrays_zip(F.col("players.seg_id").alias("seg_id"), F.col("players.costs").alias("costs"), "slot")))
+    role = F.when(F.get("costs", "slot") <= most, F.get(F.array(*[F.lit(r) for r in SLOTS]), F.col("slot")))
+    return p.select("match_id", "seg_id", "t", role.alias("role"))
+
+
+def _least_total(costs: Column) -> Column:
+    """The slot (or -1) of each player of a bin, with the least total cost: an exact subset recursion over 64 sets."""
+
+    @F.pandas_udf("array<int>")
+    def matched(bins: pd.Series) -> pd.Series:
+        size = bins.map(len)
+        out: dict = {}
+        for n in size.unique():
+            at = size.index[size == n]
+            cost = np.array([[list(p) for p in bins[i]] for i in at])
+            for i, row in zip(at, slots_of_least_total(cost), strict=True):
+                out[i] = row.tolist()
+        return pd.Series([out[i] for i in bins.index], index=bins.index)
+
+    return matched(costs)
+
+
+def slots_of_least_total(cost: np.ndarray) -> np.ndarray:
+    """For each of several bins, players by slots of costs: each player's slot, -1 where slots run out."""
+    bins, n, k = cost.shape
+    sets = np.arange(1 << k)
+    held = np.array([bin(x).count("1") for x in sets])
+    best, steps = np.where(sets == 0, 0.0, np.inf) * np.ones((bins, 1)), []
+    for p in range(n):
+        ways = np.concatenate([best[:, None, :], np.full((bins, k, len(sets)), np.inf)], axis=1)
+        for r in range(k):
+            with_r = sets[sets >> r & 1 == 1]
+            ways[:, r + 1, with_r] = best[:, with_r ^ (1 << r)] + cost[:, p, r, None]
+        steps.append(ways.argmin(axis=1))
+        best = ways.min(axis=1)
+    at = np.where(held == min(n, k), best, np.inf).argmin(axis=1)
+    out = np.empty((bins, n), int)
+    for p in range(n - 1, -1, -1):
+        out[:, p] = steps[p][np.arange(bins), at] - 1
+        at = np.where(out[:, p] >= 0, at ^ (1 << np.maximum(out[:, p], 0)), at)
+    return out
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id")
-        t, x, f = pdf["timestamp_s"].to_numpy(), pdf["x"].to_numpy(), pdf["frame_id"].to_numpy()
-        out, i = [], 0
-        while i < len(t) - 1:
-            took = None
-            for sign in (1, -1):
-                j, last, slow = i, i, 0.0
-                while j + 1 < len(t) and t[j + 1] - t[j] <= 1.2:
-                    dt = t[j + 1] - t[j]
-                    if sign * (x[j + 1] - x[j]) / dt >= 2.0:
-                        slow, last = 0.0, j + 1
-                    else:
-                        slow += dt
-                        if slow > 0.6:
-                            break
-                    j += 1
-                gone, dur = sign * (x[last] - x[i]), t[last] - t[i]
-                if gone >= 12 and 0 < dur <= 10 and (x[i] < 20 if sign > 0 else x[i] > 20) and sign * (x[last] - 20) > 2 and gone / dur <= 7:
-                    took = (last, 40.0 if sign > 0 else 0.0, gone, gone / dur)
-                    break
-            if took:
-                last, goal, gone, v = took
-                out.append((pdf.match_id.iloc[0], pdf.team.iloc[0], int(f[i]), int(f[last]), float(t[i]), float(t[last]), goal, float(min(0.95, 0.5 + 0.2 * min(1.0, v / 4) + 0.2 * min(1.0, gone / 30)))))
-                i = last
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=["match_id", "team", "start_frame", "end_frame", "start_time_s", "end_time_s", "goal_x", "confidence"])
-
-    runs = series.groupBy("match_id", "team").applyInPandas(scan, "match_id string, team string, start_frame int, end_frame int, start_time_s double, end_time_s double, goal_x double, confidence double")
-    return attacking_after(runs, contexts)
-
-
-def attacking_after(runs: DataFrame, contexts: DataFrame, wait_s: float = 4.0) -> DataFrame:
-    """Runs after which the first attack within ``wait_s`` is that team's on that goal, or none is seen."""
-    c = contexts.select(F.col("match_id").alias("m"), "start_s", "end_s", F.struct("start_s", F.col("team").alias("t"), F.col("goal").alias("g")).alias("c"))
-    j = runs.join(c, (F.col("match_id") == F.col("m")) & (F.col("end_s") > F.col("end_time_s")) & (F.col("start_s") <= F.col("end_time_s") + wait_s), "left")
-    g = j.groupBy(*runs.columns).agg(F.min("c").alias("c"))
-    return g.where(F.col("c").isNull() | ((F.col("c.t") == F.col("team")) & (F.col("c.g") == F.col("goal_x")))).drop("c")
 
+def stable_runs(timeline: DataFrame, least_s: float = 0.9, gap_s: float = 1.5) -> DataFrame:
+    """Runs of one role of a segment over its timeline (match_id, seg_id, t, role); null roles are not kept."""
+    w = Window.partitionBy(*SEG).orderBy("t")
+    r = islands(timeline, SEG, "t", changed("role", SEG, "t") | (F.col("t") - F.lag("t").over(w) > gap_s))
+    g = r.groupBy(*SEG, "island").agg(F.first("role").alias("role"), F.min("t").alias("start_s"), F.max("t").alias("end_s"))
+    return g.where(F.col("role").isNotNull() & (F.col("end_s") - F.col("start_s") >= least_s)).drop("island")
+
+
+def role_transitions(runs: DataFrame, gap_s: float = 3.0) -> DataFrame:
+    """Consecutive runs of a segment in different roles, at most ``gap_s`` apart."""
+    w = Window.partitionBy(*SEG).orderBy("start_s")
+    n = runs.withColumns({"to_role": F.lead("role").over(w), "to_start_s": F.lead("start_s").over(w), "to_end_s": F.lead("end_s").over(w)})
+    return n.where((F.col("to_role") != F.col("role")) & (F.col("to_start_s") - F.col("end_s") <= gap_s)).select(*SEG, F.col("role").alias("from_role"), "to_role", "end_s", "to_start_s", "to_end_s")
+
+
+def _seen(df: DataFrame, segments: DataFrame, seg: str, at: str, **take: str) -> DataFrame:
+    """``df`` with columns of segment ``seg`` as it is at time ``at``: new name = column."""
+    times = df.select("match_id", F.col(seg).alias("seg_id"), F.col(at).alias("t")).distinct()
+    p = position_at(segments, times, tuple(take.values()))
+    return df.join(p.select("match_id", F.col("seg_id").alias(seg), F.col("t").alias(at), *[F.col(c).alias(n) for n, c in take.items()]), ["match_id", seg, at])
+
+
+def _exchanges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Transitions between the same two roles, each with the first later one the other way by another segment."""
+    rows = pdf.sort_values(["seg_id", "end_s"]).reset_index(drop=True)
+    mid, free, out = (rows["end_s"] + rows["to_start_s"]) / 2, np.ones(len(rows), bool), []
+    for i, r in enumerate(rows.itertuples()):
+        if not free[i]:
+            continue
+        fits = free & (rows.index > i) & (rows["seg_id"] != r.seg_id) & (rows["from_role"] == r.to_role) & ((mid - mid[i]).abs() <= 3.0)
+        if fits.any():
+            j = int(np.flatnonzero(fits)[0])
+            o = rows.loc[j]
+            free[i] = free[j] = False
+            out.append((r.match_id, r.team, int(r.seg_id), int(o.seg_id), r.from_role, r.to_role, r.end_s, r.to_start_s, o.end_s, o.to_start_s, 0.75 if abs(mid[i] - mid[j]) <= 1.5 else 0.6))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in EXCHANGE.split(", ")])
+
+
+EXCHANGE = "match_id string, team string, seg_id_a int, seg_id_b int, from_role string, to_role string, leave_a double, settle_a double, leave_b double, settle_b double, confidence double"
 
-def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Two attackers side by side (1.5 to 8 m apart) who both near the goal by 2 m within 2.5 s at 1.2 m a second.
 
-    Pairs are formed in Spark; one pair's samples are scanned at a time.
+def detect_role_swaps(segments: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Two team mates who exchange back roles within 3 s of each other; each transition counts once.
+
+    Only transitions between the same two roles compete, so these are taken in turn, in the order of segments.
+    """
+    who = segments.select(*SEG, "team", "track_id").distinct()
+    back = transitions.where(F.col("from_role").isin(BACK) & F.col("to_role").isin(BACK)).join(who.drop("track_id"), SEG)
+    back = back.withColumns({"_r0": F.least("from_role", "to_role"), "_r1": F.greatest("from_role", "to_role")})
+    e = back.groupBy("match_id", "team", "_r0", "_r1").applyInPandas(_exchanges, EXCHANGE)
+    for s in "ab":
+        e = _seen(_seen(e, segments, f"seg_id_{s}", f"leave_{s}", **{f"t0_{s}": "move_start"}), segments, f"seg_id_{s}", f"settle_{s}", **{f"t1_{s}": "move_end"})
+        e = e.join(who.select("match_id", F.col("seg_id").alias(f"seg_id_{s}"), F.col("track_id").alias(f"track_id_{s}")), ["match_id", f"seg_id_{s}"])
+    e = e.withColumns({"t0": F.least("t0_a", "t0_b"), "t1": F.greatest("t1_a", "t1_b")})
+    e = _seen(_seen(e, segments, "seg_id_a", "t0", start_frame="frame_id"), segments, "seg_id_a", "t1", end_frame="frame_id")
+    held = lambda t, a, b: F.struct(F.col(t).alias("track_id"), F.col(a).alias("from_role"), F.col(b).alias("to_role"))
+    roles = F.array(held("track_id_a", "from_role", "to_role"), held("track_id_b", "to_role", "from_role"))
+    return event(e, SWAP, ["seg_id_a", "seg_id_b"], ["track_id_a", "track_id_b"], F.lit(None).cast("map<string, double>"), F.lit("rollentausch"), roles)
+
+
+def detect_role_runins(segments: DataFrame, transitions: DataFrame, hold_s: float = 1.2) -> DataFrame:
+    """Segments that change from a back role to the pivot's and keep that for ``hold_s``."""
+    who = segments.select(*SEG, "team", "track_id", "seg_end").distinct()
+    e = transitions.where(F.col("from_role").isin(BACK) & (F.col("to_role") == PIVOT) & (F.col("to_end_s") - F.col("to_start_s") >= hold_s)).join(who, SEG)
+    e = _seen(_seen(e, segments, "seg_id", "end_s", t0="move_start"), segments, "seg_id", "to_start_s", t1="move_end")
+    e = e.withColumn("t1", F.greatest("t1", F.least(F.col("to_start_s") + 1.0, "seg_end"))).withColumn("confidence", F.lit(0.65))
+    e = _seen(_seen(e, segments, "seg_id", "t0", start_frame="frame_id"), segments, "seg_id", "t1", end_frame="frame_id")
+    return event(e, RUN_IN, ["seg_id"], ["track_id"], F.lit(None).cast("map<string, double>"), F.lit("rollenwechsel"), F.array(F.struct("track_id", "from_role", "to_role")))
+
+
+def with_tracks(events: DataFrame, segments: DataFrame, series: DataFrame) -> DataFrame:
+    """Adds ``tracks``: what each segment of an event did in its time, as points [t, x, y]; the team's centroid, as
+    track -1 at half width, where no segment takes part. Events are told apart by ``key``."""
+    spans = events.select("match_id", "key", "t0", "t1", F.posexplode("seg_ids").alias("place", "seg_id"))
+    lines = trajectories(segments, spans).select("match_id", "key", "place", "track_id", "points")
+    alone = events.where(F.size("seg_ids") == 0).select("match_id", "team", "key", "t0", "t1")
+    team = series.join(alone, ["match_id", "team"]).where(F.col("timestamp_s").between(F.col("t0"), F.col("t1")))
+    team = team.select("match_id", F.col("key").alias("seg_id"), F.lit(-1).alias("track_id"), "timestamp_s", "x", F.lit(10.0).alias("y"))
+    lines = lines.unionByName(trajectories(team).select("match_id", F.col("seg_id").alias("key"), F.lit(0).alias("place"), "track_id", "points"))
+    drawn = lines.groupBy("match_id", "key").agg(F.sort_array(F.collect_list(F.struct("place", "track_id", "points"))).alias("t"))
+    tracks = drawn.select("match_id", "key", F.transform("t", lambda x: F.struct(x["track_id"].alias("track_id"), x["points"].alias("points"))).alias("tracks"))
+    return events.join(tracks, ["match_id", "key"], "left")
+
+
+def merge_events(events: DataFrame, pause_s: float = 1.0, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Events of a type and team that follow within ``pause_s`` as one, numbered by start.
+
+    It has the start of the first, the latest end, the best confidence, the details of the (first) event that has it,
+    and all tracks in order of appearance. ``order`` breaks ties of starts; details and tracks are merged where the
+    events have them.
     """
-    s = context_at(segments, contexts).where("ctx_team = team")
-    d = F.sqrt((F.col("x") - F.col("ctx_goal")) * (F.col("x") - F.col("ctx_goal")) + (F.col("y") - 10) * (F.col("y") - 10))
-    s = s.select("match_id", "team", "frame_id", "timestamp_s", "seg_id", "track_id", "y", speed().alias("v"), d.alias("d"), F.col("ctx_goal").alias("goal_x"))
-    moving = s.groupBy(*SEG).agg((F.max("d") - F.min("d")).alias("m"), F.max("v").alias("v")).where("m >= 2 and v >= 1.2").select(*SEG)
-    s = s.join(moving, SEG)
-    b = s.select("match_id", "frame_id", "team", *[F.col(c).alias(f"{c}_b") for c in ("seg_id", "track_id", "y", "v", "d")])
-    p = s.join(b, ["match_id", "frame_id", "team"]).where("seg_id < seg_id_b and track_id <> track_id_b")
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id")
-        t, ya, yb, da, db, va, vb = (pdf[c].to_numpy() for c in ("timestamp_s", "y", "y_b", "d", "d_b", "v", "v_b"))
-        out, i = [], 0
-        while i < len(t) and len(t) >= 5 and t[-1] - t[0] >= 1.0:
-            if 7 <= da[i] <= 17 and 7 <= db[i] <= 17 and 1.5 <= abs(ya[i] - yb[i]) <= 8:
-                hit, fa, fb = None, 0.0, 0.0
-                for j in range(i + 1, len(t)):
-                    if t[j] > t[i] + 2.5 or (ya[j] - yb[j]) * (ya[i] - yb[i]) < 0:
-                        break
-                    fa, fb = max(fa, va[j]), max(fb, vb[j])
-                    gain = min(da[i] - da[j], db[i] - db[j])
-                    if gain >= 2.0 and min(fa, fb) >= 1.2:
-                        hit = (j, gain, min(fa, fb))
-                if hit:
-                    j, gain, v = hit
-                    r = pdf.iloc[i]
-                    out.append((r.match_id, r.team, int(min(r.track_id, r.track_id_b)), int(max(r.track_id, r.track_id_b)), float(t[i]), float(t[j]), float(r.goal_x), float(min(0.95, 0.45 + 0.2 * min(1.0, gain / 4) + 0.15 * min(1.0, v / 3)))))
-                    i = int(np.searchsorted(t, t[j] + 1.0))
-                    continue
-            i += 1
-        return pd.DataFrame(out, columns=["match_id", "team", "track_a", "track_b", "start_time_s", "end_time_s", "goal_x", "confidence"])
-
-    return p.groupBy("match_id", "seg_id", "seg_id_b").applyInPandas(scan, "match_id string, team string, track_a int, track_b int, start_time_s double, end_time_s double, goal_x double, confidence double")
-
-
-def merge_events(events: DataFrame, pause_s: float = 1.0) -> DataFrame:
-    """Events of a type and team that follow within ``pause_s`` as one: start of the first, latest end, best confidence."""
     keys = ["match_id", "play_type", "team"]
-    w = Window.partitionBy(*keys).orderBy("start_time_s", "event_id")
+    by = ["start_time_s", *order]
+    w = Window.partitionBy(*keys).orderBy(*by)
     top = F.max("end_time_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = islands(events, keys, ["start_time_s", "event_id"], F.col("start_time_s") > top + pause_s)
-    g = r.groupBy(*keys, "island").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.min("start_time_s").alias("start_time_s"), F.max("end_time_s").alias("end_time_s"), F.max("confidence").alias("confidence"), F.count("*").alias("merged"))
-    rank = F.row_number().over(Window.partitionBy("match_id").orderBy("start_time_s", "play_type", "team")) - 1
+    r = islands(events, keys, by, F.col("start_time_s") > top + pause_s).withColumn("_place", F.row_number().over(w))
+    details = [c for c in ("goal_x", "variant", "measures", "roles", "tracks") if c in events.columns]
+    best = F.struct("confidence", (-F.col("_place")).alias("p"))
+    aggs = [F.min_by("start_frame", "_place").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.min("start_time_s").alias("start_time_s"), F.max("end_time_s").alias("end_time_s"), F.max("confidence").alias("confidence"), F.count("*").alias("merged")]
+    aggs += [F.max_by(F.struct(*details), best).alias("_details")] if details else []
+    aggs += [F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.struct("_place", "track_ids")))["track_ids"])).alias("track_ids")] if "track_ids" in events.columns else []
+    g = r.groupBy(*keys, "island").agg(*aggs)
+    g = g.select("*", "_details.*").drop("_details") if details else g
+    rank = F.row_number().over(Window.partitionBy("match_id").orderBy("start_time_s", "play_type", "team", "island")) - 1
     return g.withColumn("event_id", rank.cast("long")).drop("island")
 
 
+def frame_at(points: DataFrame, frames: DataFrame, at: str, out: str) -> DataFrame:
+    """Adds the first frame at or after a time, else the match's last: a union and one window."""
+    seen = frames.select("match_id", F.col("timestamp_s").alias(at), F.col("frame_id").alias(out)).distinct()
+    both = points.withColumn("_point", F.lit(1)).unionByName(seen.withColumn("_point", F.lit(0)), allowMissingColumns=True)
+    match = Window.partitionBy("match_id")
+    later = F.last(out, ignorenulls=True).over(match.orderBy(F.desc(at), "_point", F.desc(out)).rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_last", F.max(out).over(match)).withColumn(out, F.coalesce(later, "_last")).where("_point = 1").drop("_point", "_last")
+
+
 def attack_sequences(contexts: DataFrame, goals: DataFrame, readings: DataFrame, least_s: float = 4.0, after_s: float = 6.0) -> DataFrame:
     """Long contexts numbered in order, with their outcome: unknown without a scoreboard, else goal or no_goal."""
     c = contexts.where(F.col("end_s") - F.col("start_s") >= least_s)
     c = c.withColumn("sequence_id", (F.row_number().over(Window.partitionBy("match_id").orderBy("start_s")) - 1).cast("long"))
     seen = readings.select("match_id", F.lit(True).alias("read")).distinct()
-    g = goals.select(F.col("match_id").alias("gm"), "timestamp_sec")
-    hit = c.join(g, (F.col("match_id") == F.col("gm")) & F.col("timestamp_sec").between(F.col("start_s"), F.col("end_s") + after_s), "left_semi").select("match_id", "sequence_id", F.lit(True).alias("hit"))
+    late = c.select("match_id", "sequence_id", F.col("start_s").alias("_from"), (F.col("end_s") + after_s).alias("_to"))
+    hit = in_intervals(goals.select("match_id", "timestamp_sec"), late, ["match_id"], "timestamp_sec", "_from", "_to", 10).select("match_id", "sequence_id", F.lit(True).alias("hit")).distinct()
     j = c.join(seen, "match_id", "left").join(hit, ["match_id", "sequence_id"], "left")
     return j.withColumn("outcome", F.when(F.col("read").isNull(), "unknown").when(F.col("hit"), "goal").otherwise("no_goal")).drop("read", "hit")
 
 
-def link_events(events: DataFrame, sequences: DataFrame, lead_s: float = 2.0) -> DataFrame:
-    """Each event's sequence: the first of its team that runs at its start, or begins up to ``lead_s`` after it."""
-    s = sequences.select(F.col("match_id").alias("m"), F.col("team").alias("t"), F.col("start_time_s").alias("s0"), F.col("end_time_s").alias("s1"), F.col("sequence_id").alias("seq"))
-    cond = (F.col("match_id") == F.col("m")) & (F.col("team") == F.col("t")) & (F.col("s1") >= F.col("start_time_s") - lead_s) & (F.col("s0") <= F.col("start_time_s"))
-    return events.join(s, cond, "left").groupBy("match_id", "event_id").agg(F.min("seq").alias("sequence_id"))
+def link_events(events: DataFrame, sequences: DataFrame, lead_s: float = 2.0, width: int = 10) -> DataFrame:
+    """Each event's sequence: the first of its team that it touches, or that begins up to ``lead_s`` after its end.
 
+    Events and sequences are laid out over bins of ``width`` seconds and meet there.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width))).alias("bin")
+    e = events.select("match_id", "event_id", "team", "start_time_s", "end_time_s", bins(F.col("start_time_s"), F.col("end_time_s") + lead_s))
+    s = sequences.select("match_id", "team", F.col("start_time_s").alias("s0"), F.col("end_time_s").alias("s1"), "sequence_id", bins(F.col("start_time_s"), F.col("end_time_s")))
+    met = e.join(s, ["match_id", "team", "bin"]).where((F.col("end_time_s") >= F.col("s0") - lead_s) & (F.col("start_time_s") <= F.col("s1")))
+    first = met.groupBy("match_id", "event_id").agg(F.min("sequence_id").alias("sequence_id"))
+    return events.select("match_id", "event_id").join(first, ["match_id", "event_id"], "left")
 
-def stable_runs(timeline: DataFrame, least_s: float = 0.9, gap_s: float = 1.5) -> DataFrame:
-    """Runs of one role of a segment over its timeline (match_id, seg_id, t, role); null roles are not kept."""
-    w = Window.partitionBy(*SEG).orderBy("t")
-    r = islands(timeline, SEG, "t", changed("role", SEG, "t") | (F.col("t") - F.lag("t").over(w) > gap_s))
-    g = r.groupBy(*SEG, "island").agg(F.first("role").alias("role"), F.min("t").alias("start_s"), F.max("t").alias("end_s"))
-    return g.where(F.col("role").isNotNull() & (F.col("end_s") - F.col("start_s") >= least_s)).drop("island")
 
+def analyze_match(rows: DataFrame, goals: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All plays and attack sequences of many matches: (events, sequences).
 
-def role_transitions(runs: DataFrame, gap_s: float = 3.0) -> DataFrame:
-    w = Window.partitionBy(*SEG).orderBy("start_s")
-    n = runs.withColumns({"to_role": F.lead("role").over(w), "to_start_s": F.lead("start_s").over(w)})
-    return n.where((F.col("to_role") != F.col("role")) & (F.col("to_start_s") - F.col("end_s") <= gap_s)).select(*SEG, F.col("role").alias("from_role"), "to_role", "end_s", "to_start_s")
+    rows: match_id, frame_id, timestamp_s, track_id, team, x, y; goals: match_id, timestamp_sec; readings: the matches
+    with a scoreboard. Segments, contexts, centroids and detections are written to the shared folder, since each has
+    several uses. Events carry their details, tracks and sequence; sequences their frames, outcome and event_count.
+    """
+    segments = written(with_movement(build_segments(rows)), "segments")
+    contexts = written(attack_contexts(attack_hysteresis(attack_verdicts(rows))), "contexts")
+    series = written(centroid_series(rows), "centroids")
+    transitions = written(role_transitions(stable_runs(assign_roles(segments, contexts))), "transitions")
+    found = [
+        detect_swaps(segments, contexts, frame_positions(rows)), detect_run_ins(segments, contexts), detect_pushes(segments, contexts), detect_fast_breaks(series, contexts),
+        detect_role_swaps(segments, transitions), detect_role_runins(segments, transitions),
+    ]
+    events = reduce(DataFrame.unionByName, [e.withColumn("source", F.lit(k)) for k, e in enumerate(found)])
+    key = F.row_number().over(Window.partitionBy("match_id").orderBy("source", "t0", "seg_ids", "t1"))
+    events = with_tracks(written(events.withColumn("key", key), "detections"), segments, series)
+    rest = [c for c in events.columns if c not in ("t0", "t1", "confidence")]
+    events = events.select(*rest, *[F.round(c, 3).alias(n) for c, n in (("t0", "start_time_s"), ("t1", "end_time_s"), ("confidence", "confidence"))])
+    merged = written(merge_events(events, order=("source", "key")), "events")
+    c = attack_sequences(contexts.withColumnRenamed("goal", "goal_x"), goals, readings)
+    c = frame_at(frame_at(c, rows, "start_s", "start_frame"), rows, "end_s", "end_frame").withColumnsRenamed({"start_s": "start_time_s", "end_s": "end_time_s"})
+    sequences = written(c, "sequences")
+    events = merged.join(link_events(merged, sequences), ["match_id", "event_id"])
+    counts = events.groupBy("match_id", "sequence_id").agg(F.count("*").alias("event_count"))
+    return events, sequences.join(counts, ["match_id", "sequence_id"], "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)).cast("long"))

@@ -10,6 +10,8 @@ from .islands import hysteresis, islands
 
 TRACK = ["match_id", "track_id"]
 SEG = ["match_id", "seg_id"]
+#: Rows at a chain's end that tell its team.
+TAIL = 15
 
 
 def play_rows(players: DataFrame, frames: DataFrame, fps: DataFrame) -> DataFrame:
@@ -34,40 +36,50 @@ def stitch_fragments(fragments: DataFrame) -> DataFrame:
     """Adds ``seg_id``: fragments are hung on the chain that ended just before, in order of start.
 
     A chain takes a fragment 0 to 0.7 s after its last point and within min(1 + 2.5 gap, 2.5) m, if their teams do
-    not clash and no other chain is nearly as close (0.8 m). Each choice moves a chain's end, so the fragments of a
-    match are taken in turn; they come as endpoints, not rows.
+    not clash and no other chain is nearly as close (0.8 m). A chain's team is the commonest of its last 15 rows. Each
+    choice moves a chain's end, so the fragments of a match are taken in turn; they come as endpoints with the teams
+    of their last rows, and chains that ended too long ago are dropped on the way.
     """
     keys = [*TRACK, "fragment"]
-    ends = fragments.groupBy(*keys).agg(
-        F.min(F.struct("timestamp_s", "x", "y")).alias("a"), F.max(F.struct("timestamp_s", "x", "y")).alias("b"), F.count("*").alias("n")
-    ).join(majority_team(fragments, keys), keys)
-    ends = ends.select(*keys, "team", "n", F.col("a.timestamp_s").alias("t0"), F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.timestamp_s").alias("t1"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        chains: list[list] = []
-        out = []
-        for r in pdf.sort_values(["t0", "track_id", "fragment"]).itertuples():
-            near = []
-            for k, (t, x, y, team) in enumerate(chains):
-                gap = r.t0 - t
-                if 0 < gap <= 0.7 and not ({team, r.team} == {"A", "B"}):
-                    d = ((r.x0 - x) ** 2 + (r.y0 - y) ** 2) ** 0.5
-                    if d <= min(1.0 + 2.5 * gap, 2.5):
-                        near.append((d, k))
-            near.sort()
-            if near and (len(near) == 1 or near[1][0] - near[0][0] >= 0.8):
-                k = near[0][1]
-                chains[k] = [r.t1, r.x1, r.y1, r.team]
-            else:
-                k = len(chains)
-                chains.append([r.t1, r.x1, r.y1, r.team])
-            out.append((r.match_id, r.track_id, r.fragment, k))
-        return pd.DataFrame(out, columns=["match_id", "track_id", "fragment", "seg_id"])
-
-    ids = ends.groupBy("match_id").applyInPandas(stitch, "match_id string, track_id int, fragment long, seg_id int")
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("frame_id")))
+    tail = F.sort_array(F.collect_list(F.when(F.col("_back") <= TAIL, F.struct("frame_id", "team"))))
+    point = F.struct("timestamp_s", "x", "y")
+    ends = fragments.withColumn("_back", back).groupBy(*keys).agg(F.min(point).alias("a"), F.max(point).alias("b"), tail["team"].alias("tail"))
+    ends = ends.join(majority_team(fragments, keys), keys)
+    at = lambda e, n: [F.col(f"{e}.timestamp_s").alias(f"t{n}"), F.col(f"{e}.x").alias(f"x{n}"), F.col(f"{e}.y").alias(f"y{n}")]
+    ends = ends.select(*keys, "team", "tail", *at("a", 0), *at("b", 1))
+    ids = ends.groupBy("match_id").applyInPandas(_chains, "match_id string, track_id int, fragment long, seg_id int")
     return fragments.join(ids, keys)
 
 
+def _commonest(teams: list[str]) -> str:
+    return max(dict.fromkeys(teams), key=teams.count)
+
+
+def _chains(ends: pd.DataFrame) -> pd.DataFrame:
+    """Chain numbers of one match's fragments."""
+    open_: dict[int, tuple] = {}
+    out: list[tuple] = []
+    n = 0
+    for r in ends.sort_values(["t0", "track_id", "fragment"]).itertuples():
+        open_ = {k: c for k, c in open_.items() if r.t0 - c[0] <= 0.7}
+        near = []
+        for k, (t, x, y, tail) in open_.items():
+            gap, d = r.t0 - t, ((r.x0 - x) ** 2 + (r.y0 - y) ** 2) ** 0.5
+            if 0 < gap and d <= min(1.0 + 2.5 * gap, 2.5) and {_commonest(tail), r.team} != {"A", "B"}:
+                near.append((d, k))
+        near.sort()
+        tail = list(r.tail)
+        if near and (len(near) == 1 or near[1][0] - near[0][0] >= 0.8):
+            k = near[0][1]
+            tail = (open_[k][3] + tail)[-TAIL:]
+        else:
+            k, n = n, n + 1
+        open_[k] = (r.t1, r.x1, r.y1, tail)
+        out.append((r.match_id, r.track_id, r.fragment, k))
+    return pd.DataFrame(out, columns=["match_id", "track_id", "fragment", "seg_id"])
+
+
 def smooth(rows: DataFrame, keys: list[str], cols: list[str], half: int = 2) -> DataFrame:
     """Centred moving averages that shrink at the ends; series of one or two points stay."""
     w = Window.partitionBy(*keys).orderBy("frame_id")
@@ -128,13 +140,26 @@ def attack_contexts(bins: DataFrame, bin_s: float = 1.0, pause_s: float = 2.0) -
 
 
 def context_at(points: DataFrame, contexts: DataFrame, at: str = "timestamp_s") -> DataFrame:
-    """Points with the context that holds them, if any: contexts of a match never overlap, and are joined by the second."""
-    c = contexts.withColumn("_bin", F.explode(F.sequence(F.floor("start_s"), F.floor(F.col("end_s")))))
-    j = points.withColumn("_bin", F.floor(at)).join(c.select("match_id", "_bin", "start_s", "end_s", F.col("goal").alias("ctx_goal"), F.col("team").alias("ctx_team")), ["match_id", "_bin"], "left")
-    inside = (F.col(at) >= F.col("start_s")) & (F.col(at) < F.col("end_s"))
-    j = j.withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("ctx_goal", F.when(F.col("_in"), F.col("ctx_goal"))).withColumn("ctx_team", F.when(F.col("_in"), F.col("ctx_team")))
-    best = Window.partitionBy(*points.columns).orderBy(F.desc("_in"))
-    return j.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn", "_in", "_bin", "start_s", "end_s")
+    """Points with the context that holds them, if any, as ctx_goal and ctx_team.
+
+    Contexts of a match never overlap, so each point meets at most one; they are joined by the second. Repeated points
+    stay repeated.
+    """
+    seconds = F.explode(F.sequence(F.floor("start_s"), F.floor("end_s")))
+    c = contexts.select(F.col("match_id").alias("_match"), seconds.alias("_second"), F.col("start_s").alias("_from"), F.col("end_s").alias("_to"), F.col("goal").alias("ctx_goal"), F.col("team").alias("ctx_team"))
+    inside = (F.col("match_id") == F.col("_match")) & (F.floor(at) == F.col("_second")) & (F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_to"))
+    return points.join(c, inside, "left").drop("_match", "_second", "_from", "_to")
+
+
+def frame_positions(rows: DataFrame) -> DataFrame:
+    """Where each team's players stand in each frame: match_id, frame_id, team (A or B), positions (x, y)."""
+    at = F.sort_array(F.collect_list(F.struct("x", "y")))
+    return rows.where("team in ('A', 'B')").groupBy("match_id", "frame_id", "team").agg(at.alias("positions"))
+
+
+def goal_distance(x: Column, y: Column, goal: Column) -> Column:
+    """Distance to the middle of a goal."""
+    return F.sqrt((x - goal) * (x - goal) + (y - 10) * (y - 10))
 
 
 def speed() -> Column:
@@ -142,24 +167,41 @@ def speed() -> Column:
 
 
 def movement_bounds(segments: DataFrame, rest: float = 0.8, reach_s: float = 3.0) -> DataFrame:
-    """Adds move_start and move_end: how far a sample's movement reaches either way, while it is faster than ``rest``
-    and within ``reach_s`` seconds."""
+    """Adds where a sample's movement begins and ends: move_start, move_end (times) and their frames.
+
+    From a sample the walk goes on to the next one while that is faster than ``rest`` and within ``reach_s`` seconds.
+    The walk back thus ends at the later of two samples: the last one, up to here, that follows a slow sample (or
+    none), and the first one within reach; the walk on mirrors it.
+    """
     w = Window.partitionBy(*SEG).orderBy("frame_id")
-    still = F.when(speed() < rest, F.col("timestamp_s"))
-    first, last = F.min("timestamp_s").over(Window.partitionBy(*SEG)), F.max("timestamp_s").over(Window.partitionBy(*SEG))
-    rested = F.last(still, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    resting = F.last(still, ignorenulls=True).over(Window.partitionBy(*SEG).orderBy(F.desc("frame_id")).rowsBetween(Window.unboundedPreceding, 0))
-    t = F.col("timestamp_s")
-    return segments.withColumn("move_start", F.greatest(F.coalesce(rested, first), t - reach_s)).withColumn("move_end", F.least(F.coalesce(resting, last), t + reach_s))
-
-
-def position_at(segments: DataFrame, times: DataFrame) -> DataFrame:
-    """Each segment's first sample at or after a time, else its last: times (match_id, seg_id, t) with x, y there."""
-    j = times.join(segments.select(*SEG, "timestamp_s", "x", "y"), SEG)
-    sample = F.struct("timestamp_s", "x", "y")
+    back = Window.partitionBy(*SEG).orderBy(F.desc("frame_id"))
+    ms, reach = F.round(F.col("timestamp_s") * 1000).cast("long"), int(reach_s * 1000)
+    by_ms = Window.partitionBy(*SEG).orderBy("_ms")
+    fast = speed() >= rest
+    so_far, ahead = w.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, 0)
+    s = segments.withColumns({"_ms": ms, "_begins": ~F.coalesce(F.lag(fast).over(w), F.lit(False)), "_ends": ~F.coalesce(F.lead(fast).over(w), F.lit(False))})
+    for col, out in (("timestamp_s", ""), ("frame_id", "_frame")):
+        start = F.greatest(F.last(F.when(F.col("_begins"), F.col(col)), ignorenulls=True).over(so_far), F.min(col).over(by_ms.rangeBetween(-reach, 0)))
+        end = F.least(F.last(F.when(F.col("_ends"), F.col(col)), ignorenulls=True).over(ahead), F.max(col).over(by_ms.rangeBetween(0, reach)))
+        s = s.withColumns({f"move_start{out}": start, f"move_end{out}": end})
+    return s.drop("_ms", "_begins", "_ends")
+
+
+def with_movement(segments: DataFrame) -> DataFrame:
+    """Segments with their first and last time (seg_start, seg_end) and their movement bounds."""
+    whole = Window.partitionBy(*SEG)
+    return movement_bounds(segments.withColumns({"seg_start": F.min("timestamp_s").over(whole), "seg_end": F.max("timestamp_s").over(whole)}))
+
+
+def position_at(segments: DataFrame, times: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Each segment's first sample at or after a time, else its last: times (match_id, seg_id, t) with seen_s, x, y and
+    the columns named in ``also`` there."""
+    cols = ["x", "y", *also]
+    j = times.join(segments.select(*SEG, "timestamp_s", *cols), SEG)
+    sample = F.struct("timestamp_s", *cols)
     g = j.groupBy(*times.columns).agg(F.min(F.when(F.col("timestamp_s") >= F.col("t"), sample)).alias("a"), F.max(sample).alias("z"))
     p = F.coalesce("a", "z")
-    return g.select(*times.columns, p["timestamp_s"].alias("seen_s"), p["x"].alias("x"), p["y"].alias("y"))
+    return g.select(*times.columns, p["timestamp_s"].alias("seen_s"), *[p[c].alias(c) for c in cols])
 
 
 def displacement(segments: DataFrame, spans: DataFrame) -> DataFrame:
@@ -170,10 +212,15 @@ def displacement(segments: DataFrame, spans: DataFrame) -> DataFrame:
     return j.select(*SEG, "t0", "t1", F.sqrt(dx * dx + dy * dy).alias("moved"))
 
 
-def trajectories(segments: DataFrame, most: int = 25) -> DataFrame:
-    """Each segment as at most ``most`` evenly chosen points [t, x, y], rounded to centimetres."""
+def trajectories(segments: DataFrame, spans: DataFrame | None = None, most: int = 25) -> DataFrame:
+    """Segments as at most ``most`` evenly chosen points [t, x, y], rounded to centimetres: whole ones, or what lies in
+    ``spans`` (match_id, seg_id, t0, t1 and further columns, which stay)."""
     r = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("double") / 100.0
-    g = segments.groupBy(*SEG, "track_id").agg(F.array_sort(F.collect_list(F.array(r("timestamp_s"), r("x"), r("y")))).alias("ps"))
+    keys = [*SEG, "track_id"]
+    if spans is not None:
+        segments = segments.select(*keys, "timestamp_s", "x", "y").join(spans, SEG).where(F.col("timestamp_s").between(F.col("t0"), F.col("t1")))
+        keys += [c for c in spans.columns if c not in SEG]
+    g = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.array(r("timestamp_s"), r("x"), r("y")))).alias("ps"))
     n = F.size("ps")
     chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get("ps", F.bround(i * (n - 1) / (most - 1)).cast("int")))
-    return g.select(*SEG, "track_id", F.when(n > most, chosen).otherwise(F.col("ps")).alias("points"))
+    return g.select(*keys, F.when(n > most, chosen).otherwise(F.col("ps")).alias("points"))

@@ -1,13 +1,16 @@
-"""Queries over segments, contexts and play events, on scripted scenes of one match per supplier."""
+"""Queries over segments, contexts and play events, on one match for each supplier's line items."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import plays as P
 from ..operators import segments as S
+from ..sources.shared import written
 from .maintenance import sql_view
-from .tracking import FPS, fps
+from .statistics import goals
+from .tracking import FPS, GOALS, fps
 
 ROWS = "pr AS (SELECT p.match_id, p.frame_id, coalesce(timestamp_s, p.frame_id / fps) AS timestamp_s, track_id, team, court_x AS x, court_y AS y FROM {players} p JOIN fps USING (match_id) LEFT JOIN {frames} f ON f.match_id = p.match_id AND f.frame_id = p.frame_id WHERE on_court AND court_x IS NOT NULL)"
 FRAGMENTS = "fg AS (SELECT *, sum(n) OVER (PARTITION BY match_id, track_id ORDER BY frame_id) AS fragment FROM (SELECT *, CASE WHEN timestamp_s - lag(timestamp_s) OVER (PARTITION BY match_id, track_id ORDER BY frame_id) <= 1 THEN 0 ELSE 1 END AS n FROM {play_rows}))"
@@ -29,6 +32,23 @@ TIMELINE = "SELECT match_id, track_id AS seg_id, timestamp_s AS t, CASE WHEN y <
 RUNS = f"tr AS (SELECT *, CASE WHEN role = lag(role) OVER w AND t - lag(t) OVER w <= 1.5 THEN 0 ELSE 1 END AS n FROM ({TIMELINE}) WINDOW w AS (PARTITION BY match_id, seg_id ORDER BY t)), ti AS (SELECT *, sum(n) OVER (PARTITION BY match_id, seg_id ORDER BY t) AS i FROM tr), rs AS (SELECT match_id, seg_id, role, min(t) AS start_s, max(t) AS end_s FROM ti GROUP BY match_id, seg_id, role, i HAVING max(t) - min(t) >= 0.9)"
 
 
+#: One segment a track, unsmoothed, with its team, velocities and movement bounds.
+MOVING = """tm AS (SELECT match_id, track_id, coalesce(max(CASE WHEN team <> 'unknown' THEN team END), 'unknown') AS team, min(timestamp_s) AS seg_start, max(timestamp_s) AS seg_end FROM {play_rows} GROUP BY ALL),
+vl AS (SELECT match_id, track_id, frame_id, timestamp_s, x, y, CASE WHEN t1 > t0 THEN (x1 - x0) / (t1 - t0) ELSE 0 END AS vx, CASE WHEN t1 > t0 THEN (y1 - y0) / (t1 - t0) ELSE 0 END AS vy FROM (SELECT *, coalesce(lead(timestamp_s) OVER w, timestamp_s) AS t1, coalesce(lag(timestamp_s) OVER w, timestamp_s) AS t0, coalesce(lead(x) OVER w, x) AS x1, coalesce(lag(x) OVER w, x) AS x0, coalesce(lead(y) OVER w, y) AS y1, coalesce(lag(y) OVER w, y) AS y0 FROM {play_rows} WINDOW w AS (PARTITION BY match_id, track_id ORDER BY frame_id))),
+mv AS (SELECT v.*, track_id AS seg_id, team, seg_start, seg_end, sqrt(vx * vx + vy * vy) AS v, cast(round(timestamp_s * 1000) AS bigint) AS ms FROM vl v JOIN tm USING (match_id, track_id)),
+nb AS (SELECT *, coalesce(lag(v) OVER w >= 0.8, false) AS pf, coalesce(lead(v) OVER w >= 0.8, false) AS nf FROM mv WINDOW w AS (PARTITION BY match_id, seg_id ORDER BY frame_id)),
+mb AS (SELECT *, greatest(last_value(CASE WHEN NOT pf THEN timestamp_s END IGNORE NULLS) OVER (PARTITION BY match_id, seg_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(timestamp_s) OVER (PARTITION BY match_id, seg_id ORDER BY ms RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW)) AS move_start,
+ least(first_value(CASE WHEN NOT nf THEN timestamp_s END IGNORE NULLS) OVER (PARTITION BY match_id, seg_id ORDER BY frame_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(timestamp_s) OVER (PARTITION BY match_id, seg_id ORDER BY ms RANGE BETWEEN CURRENT ROW AND 3000 FOLLOWING)) AS move_end FROM nb)"""
+#: Flips of two team mates' lateral order, with how far they are apart before and after.
+FLIPS = f"""{MOVING}, pr AS (SELECT a.match_id, a.team, a.seg_id AS seg_id_a, b.seg_id AS seg_id_b, a.frame_id, a.timestamp_s AS t, a.y - b.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance, greatest(a.v, b.v) AS v, a.x + b.x AS xx, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb
+ FROM mb a JOIN mb b ON b.match_id = a.match_id AND b.team = a.team AND b.frame_id = a.frame_id AND a.seg_id < b.seg_id WHERE a.team IN ('A', 'B') AND least(a.seg_end, b.seg_end) - greatest(a.seg_start, b.seg_start) >= 0.8),
+fl AS (SELECT *, (t + t0) / 2 AS t_cross FROM (SELECT *, lag(dy) OVER w AS dy0, lag(t) OVER w AS t0 FROM pr WINDOW w AS (PARTITION BY match_id, seg_id_a, seg_id_b ORDER BY frame_id)) WHERE dy0 * dy < 0 AND v >= 1 AND distance <= 4),
+sw AS (SELECT fl.*, max(abs(p.dy)) FILTER (p.t >= t_cross - 2 AND p.t < t_cross AND p.dy * fl.dy0 > 0) AS sep_before, max(abs(p.dy)) FILTER (p.t > t_cross AND p.t <= t_cross + 2 AND p.dy * fl.dy > 0) AS sep_after FROM fl JOIN pr p ON p.match_id = fl.match_id AND p.seg_id_a = fl.seg_id_a AND p.seg_id_b = fl.seg_id_b AND abs(p.t - t_cross) <= 2 GROUP BY ALL),
+ok AS (SELECT * FROM sw WHERE sep_before >= 1.5 AND sep_after >= 1.5)"""
+RIGHT = "(CASE role WHEN 'LA' THEN -8e0 WHEN 'RL' THEN -4.5e0 WHEN 'RR' THEN 4.5e0 WHEN 'RA' THEN 8e0 ELSE 0e0 END)"
+DEPTH = "(CASE role WHEN 'LA' THEN 3e0 WHEN 'RA' THEN 3e0 WHEN 'RM' THEN 11.5e0 WHEN 'KM' THEN 6e0 ELSE 10.5e0 END)"
+
+
 def contexts(t):
     return S.attack_contexts(S.attack_hysteresis(S.attack_verdicts(t.play_rows)))
 
@@ -37,10 +57,38 @@ def segments(t):
     return S.build_segments(t.play_rows)
 
 
+def moving(t):
+    """One segment a track, unsmoothed, with velocities and movement bounds."""
+    team = F.coalesce(F.max(F.when(F.col("team") != "unknown", F.col("team"))).over(Window.partitionBy("match_id", "track_id")), F.lit("unknown"))
+    one = t.play_rows.withColumn("team", team).withColumn("seg_id", F.col("track_id"))
+    return S.with_movement(S.central_velocity(one, S.SEG))
+
+
+def prepared(t):
+    """Segments, contexts and the transitions between roles, each written once."""
+    s, c = written(S.with_movement(segments(t)), "segments"), written(contexts(t), "contexts")
+    return s, c
+
+
+def transitions(s, c):
+    return P.role_transitions(P.stable_runs(P.assign_roles(s, c)))
+
+
+def scored(t):
+    """Detected goals of the scoreboards, by the matches of the play rows."""
+    return goals(t).select(F.regexp_replace("match_id", "m", "p").alias("match_id"), "timestamp_sec")
+
+
+def read(t):
+    return t.scoreboard_readings.select(F.regexp_replace("match_id", "m", "p").alias("match_id"))
+
+
 def sequences(t):
-    c = contexts(t).withColumnRenamed("goal", "goal_x")
-    goals = t.scoreboard_readings.where("frame_number % 40 = 7").withColumn("match_id", F.regexp_replace("match_id", "m", "p"))
-    return P.attack_sequences(c, goals, t.scoreboard_readings.withColumn("match_id", F.regexp_replace("match_id", "m", "p")))
+    return P.attack_sequences(contexts(t).withColumnRenamed("goal", "goal_x"), scored(t), read(t))
+
+
+def with_prepared(detect):
+    return lambda t: detect(t, *prepared(t))
 
 
 PLANS = {
@@ -64,18 +112,47 @@ PLANS = {
         lambda t: S.context_at(t.play_rows.select("match_id", "frame_id", "timestamp_s", "track_id"), contexts(t)),
         f"WITH RECURSIVE {CONTEXTS} SELECT r.match_id, r.frame_id, r.timestamp_s, r.track_id, goal AS ctx_goal, ct.team AS ctx_team FROM {{play_rows}} r LEFT JOIN ct ON ct.match_id = r.match_id AND timestamp_s >= start_s AND timestamp_s < end_s",
     ),
-    "e14_movement_bounds": (lambda t: S.movement_bounds(segments(t)).select("match_id", "seg_id", "frame_id", "move_start", "move_end"), None),
-    "f1_swap_candidates": (lambda t: P.swap_candidates(segments(t)).select("match_id", "seg_id_a", "seg_id_b", "frame_id", "t_cross", "distance"), None),
-    "f3_detect_swaps": (lambda t: P.detect_swaps(segments(t), contexts(t)), None),
-    "f4_detect_run_ins": (lambda t: P.detect_run_ins(segments(t), contexts(t)), None),
-    "f5_detect_pushes": (lambda t: P.detect_pushes(segments(t), contexts(t)), None),
+    "e11_frame_positions": (
+        lambda t: S.frame_positions(t.play_rows).select("match_id", "frame_id", "team", F.posexplode("positions").alias("place", "p")).select("match_id", "frame_id", "team", "place", "p.x", "p.y"),
+        "SELECT match_id, frame_id, team, cast(row_number() OVER (PARTITION BY match_id, frame_id, team ORDER BY x, y) - 1 AS int) AS place, x, y FROM {play_rows} WHERE team IN ('A', 'B')",
+    ),
+    "e13_goal_distance": (
+        lambda t: moving(t).select("match_id", "seg_id", "frame_id", S.speed().alias("speed"), S.goal_distance(F.col("x"), F.col("y"), F.lit(40.0)).alias("goal_distance")),
+        f"WITH {MOVING} SELECT match_id, seg_id, frame_id, v AS speed, sqrt((x - 40) * (x - 40) + (y - 10) * (y - 10)) AS goal_distance FROM mv",
+    ),
+    "e14_movement_bounds": (lambda t: moving(t).select("match_id", "seg_id", "frame_id", "move_start", "move_end"), f"WITH {MOVING} SELECT match_id, seg_id, frame_id, move_start, move_end FROM mb"),
+    "f1_swap_candidates": (
+        lambda t: P.swap_candidates(moving(t)).select("match_id", "seg_id_a", "seg_id_b", "frame_id", "t_cross", "distance", "sep_before", "sep_after"),
+        f"WITH {FLIPS} SELECT match_id, seg_id_a, seg_id_b, frame_id, t_cross, distance, sep_before, sep_after FROM ok",
+    ),
+    "f2_swap_goal": (
+        lambda t: P.swap_goal(P.swap_candidates(moving(t)), contexts(t), S.frame_positions(t.play_rows)).select("match_id", "seg_id_a", "seg_id_b", "frame_id", "goal_x"),
+        f"""WITH RECURSIVE {CONTEXTS}, {FLIPS}, go AS (SELECT ok.*, goal, ct.team AS ct, coalesce(goal, CASE WHEN xx < 40 THEN 0e0 ELSE 40e0 END) AS goal_x FROM ok LEFT JOIN ct ON ct.match_id = ok.match_id AND t_cross >= start_s AND t_cross < end_s),
+ gd AS (SELECT *, sqrt((xa - goal_x) * (xa - goal_x) + (ya - 10) * (ya - 10)) AS da, sqrt((xb - goal_x) * (xb - goal_x) + (yb - 10) * (yb - 10)) AS db FROM go)
+ SELECT match_id, seg_id_a, seg_id_b, frame_id, goal_x FROM gd WHERE da BETWEEN 4 AND 17 AND db BETWEEN 4 AND 17 AND (ct = team OR ct IS NULL AND (SELECT count(*) FROM {{play_rows}} r WHERE r.match_id = gd.match_id AND r.frame_id = gd.frame_id AND r.team = CASE gd.team WHEN 'A' THEN 'B' ELSE 'A' END AND sqrt((x - goal_x) * (x - goal_x) + (y - 10) * (y - 10)) < least(da, db)) >= 2)""",
+    ),
+    "f3_detect_swaps": (with_prepared(lambda t, s, c: P.detect_swaps(s, c, S.frame_positions(t.play_rows)).drop("measures", "roles")), None),
+    "f4_detect_run_ins": (with_prepared(lambda t, s, c: P.detect_run_ins(s, c).drop("measures", "roles")), None),
+    "f5_detect_pushes": (with_prepared(lambda t, s, c: P.detect_pushes(s, c).drop("measures", "roles")), None),
     "f6_centroid_series": (lambda t: P.centroid_series(t.play_rows), f"WITH {SERIES} SELECT match_id, team, frame_id, timestamp_s, x FROM cm WHERE m >= 5"),
-    "f7_detect_fast_breaks": (lambda t: P.detect_fast_breaks(P.centroid_series(t.play_rows), contexts(t)), None),
+    "f7_detect_fast_breaks": (lambda t: P.detect_fast_breaks(P.centroid_series(t.play_rows), contexts(t)).drop("measures", "roles"), None),
+    "f8_attacking_after": (
+        lambda t: P.attacking_after(P.centroid_series(t.play_rows), contexts(t)).select("match_id", "team", "frame_id", "next_team", "next_goal"),
+        f"""WITH RECURSIVE {CONTEXTS}, {SERIES}, nx AS (SELECT cm.match_id, cm.team, frame_id, timestamp_s, min(struct_pack(s := start_s, t := ct.team, g := goal)) AS c FROM cm LEFT JOIN ct ON ct.match_id = cm.match_id AND end_s > timestamp_s WHERE m >= 5 GROUP BY ALL)
+ SELECT match_id, team, frame_id, CASE WHEN c.s <= timestamp_s + 4 THEN c.t END AS next_team, CASE WHEN c.s <= timestamp_s + 4 THEN c.g END AS next_goal FROM nx""",
+    ),
+    "f9_role_places": (
+        lambda t: contexts(t).select("match_id", "start_s", F.col("goal").alias("goal_x")).join(F.broadcast(P.role_template(t.spark)), "goal_x"),
+        f"WITH RECURSIVE {CONTEXTS} SELECT match_id, start_s, goal AS goal_x, role, CASE WHEN goal = 0 THEN {DEPTH} ELSE 40 - {DEPTH} END AS x, CASE WHEN goal = 0 THEN 10 - {RIGHT} ELSE 10 + {RIGHT} END AS y FROM ct CROSS JOIN (VALUES ('LA'), ('RL'), ('RM'), ('RR'), ('RA'), ('KM')) r(role)",
+    ),
+    "f10_assign_roles": (with_prepared(lambda t, s, c: P.assign_roles(s, c)), None),
     "f11_stable_runs": (lambda t: P.stable_runs(sql_view(t, TIMELINE)), f"WITH {RUNS} SELECT * FROM rs"),
     "f12_role_transitions": (
         lambda t: P.role_transitions(P.stable_runs(sql_view(t, TIMELINE))),
-        f"WITH {RUNS} SELECT match_id, seg_id, role AS from_role, to_role, end_s, to_start_s FROM (SELECT *, lead(role) OVER w AS to_role, lead(start_s) OVER w AS to_start_s FROM rs WINDOW w AS (PARTITION BY match_id, seg_id ORDER BY start_s)) WHERE to_role <> role AND to_start_s - end_s <= 3",
+        f"WITH {RUNS} SELECT match_id, seg_id, role AS from_role, to_role, end_s, to_start_s, to_end_s FROM (SELECT *, lead(role) OVER w AS to_role, lead(start_s) OVER w AS to_start_s, lead(end_s) OVER w AS to_end_s FROM rs WINDOW w AS (PARTITION BY match_id, seg_id ORDER BY start_s)) WHERE to_role <> role AND to_start_s - end_s <= 3",
     ),
+    "f13_detect_role_swaps": (with_prepared(lambda t, s, c: P.detect_role_swaps(s, transitions(s, c)).drop("measures")), None),
+    "f14_detect_role_runins": (with_prepared(lambda t, s, c: P.detect_role_runins(s, transitions(s, c)).drop("measures")), None),
     "f15_merge_events": (
         lambda t: P.merge_events(t.play_events, 0.25),
         """WITH w AS (SELECT *, max(end_time_s) OVER (PARTITION BY match_id, play_type, team ORDER BY start_time_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {play_events}), i AS (SELECT *, sum(CASE WHEN start_time_s <= top + 0.25 THEN 0 ELSE 1 END) OVER (PARTITION BY match_id, play_type, team ORDER BY start_time_s, event_id) AS isl FROM w),
@@ -83,11 +160,14 @@ PLANS = {
     ),
     "f16_attack_sequences": (
         sequences,
-        f"""WITH RECURSIVE {CONTEXTS}, q AS (SELECT match_id, goal AS goal_x, team, start_s, end_s, row_number() OVER (PARTITION BY match_id ORDER BY start_s) - 1 AS sequence_id FROM ct WHERE end_s - start_s >= 4), rd AS (SELECT replace(match_id, 'm', 'p') AS match_id, timestamp_sec, frame_number FROM {{scoreboard_readings}})
- SELECT *, CASE WHEN match_id NOT IN (SELECT match_id FROM rd) THEN 'unknown' WHEN EXISTS (SELECT 1 FROM rd WHERE rd.match_id = q.match_id AND frame_number % 40 = 7 AND timestamp_sec BETWEEN start_s AND end_s + 6) THEN 'goal' ELSE 'no_goal' END AS outcome FROM q""",
+        f"""WITH RECURSIVE {CONTEXTS}, {GOALS},
+ q AS (SELECT match_id, goal AS goal_x, team, start_s, end_s, row_number() OVER (PARTITION BY match_id ORDER BY start_s) - 1 AS sequence_id FROM ct WHERE end_s - start_s >= 4)
+ SELECT *, CASE WHEN replace(match_id, 'p', 'm') NOT IN (SELECT match_id FROM {{scoreboard_readings}}) THEN 'unknown' WHEN EXISTS (SELECT 1 FROM gs WHERE gs.match_id = replace(q.match_id, 'p', 'm') AND gs.goal IS NOT NULL AND timestamp_sec BETWEEN start_s AND end_s + 6) THEN 'goal' ELSE 'no_goal' END AS outcome FROM q""",
     ),
     "f17_link_events": (
-        lambda t: P.link_events(t.play_events.select("match_id", "event_id", "team", "start_time_s"), t.attack_sequences),
-        "SELECT e.match_id, e.event_id, min(s.sequence_id) AS sequence_id FROM {play_events} e LEFT JOIN {attack_sequences} s ON s.match_id = e.match_id AND s.team = e.team AND s.end_time_s >= e.start_time_s - 2 AND s.start_time_s <= e.start_time_s GROUP BY ALL",
+        lambda t: P.link_events(t.play_events, t.attack_sequences),
+        "SELECT e.match_id, e.event_id, min(s.sequence_id) AS sequence_id FROM {play_events} e LEFT JOIN {attack_sequences} s ON s.match_id = e.match_id AND s.team = e.team AND e.end_time_s >= s.start_time_s - 2 AND e.start_time_s <= s.end_time_s GROUP BY ALL",
     ),
+    "f18_analyze_events": (lambda t: P.analyze_match(t.play_rows, scored(t), read(t))[0].select("match_id", "event_id", "play_type", "team", "start_frame", "end_frame", "start_time_s", "end_time_s", "confidence", "sequence_id", "merged", "track_ids", F.size("tracks").alias("n_tracks")), None),
+    "f18_analyze_sequences": (lambda t: P.analyze_match(t.play_rows, scored(t), read(t))[1], None),
 }

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtspark.functions.court import clock, zone_of
+from courtspark.operators import detections as D
 from courtspark.operators import islands as I
 from courtspark.operators import mlprep as M
 from courtspark.operators import phases as P
-from courtspark.operators import plays as Y
 from courtspark.operators import repair as R
 from courtspark.operators import segments as S
 from courtspark.operators import tables as T
@@ -119,19 +119,6 @@ def test_stitching(spark, jump, team, segments):
     assert f.select("seg_id").distinct().count() == segments
 
 
-def test_scripted_scenes_give_their_plays(spark, sf_dir):
-    from courtspark.plans.plays import contexts, segments
-    from courtspark.sources.views import Tables
-
-    t = Tables(spark, sf_dir)
-    seg, ctx = segments(t).cache(), contexts(t).cache()
-    scene = lambda df: {int(r["match_id"][1:]) % 4 for r in df.select("match_id").distinct().collect()}
-    assert scene(Y.detect_swaps(seg, ctx)) == {0}
-    assert 1 in scene(Y.detect_run_ins(seg, ctx))
-    assert 2 in scene(Y.detect_pushes(seg, ctx))
-    assert scene(Y.detect_fast_breaks(Y.centroid_series(t.play_rows), ctx)) == {3}
-
-
 def test_formations(spark):
     wall = [(7, 4 + 2.4 * i) for i in range(6)]
     cases = {1: wall, 2: [(x + 26, y) for x, y in wall], 3: wall[:3], 4: wall[:5] + [(13, 10)]}
@@ -165,6 +152,14 @@ def test_augmented_shapes_stay_near_and_padding_stays_zero(spark):
 
 def test_knn_finds_its_own_shape(spark):
     refs = M.reference_formations(spark)
-    own = refs.selectExpr("label as want", "vector")
-    got = M.knn_classify(own, refs, ["want"], 1).collect()
+    own = refs.where("label not in ('attack', 'transition')").dropDuplicates(["label"]).selectExpr("label as want", "vector")
+    got = M.knn_classify(own, refs, ["want"]).collect()
     assert len(got) == 5 and all(r["want"] == r["label"] for r in got)
+
+
+def test_scoreboard_texts(spark):
+    texts = ["7", "TVB 27 THW 21", "12:75 8", "7 TVB 27 THW", "08 09 12:30", ""]
+    got = [(r["game_time"], r["score_home"], r["score_away"]) for r in D.parse_scoreboard(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert got == [(None, 7, None), (None, 27, 21), (None, 8, None), (None, 27, None), ("12:30", 8, 9), (None, None, None)]
+    seen = spark.createDataFrame([("m", 1, 0, "25:70 5 3"), ("m", 1, 1, "12:30 5 3"), ("m", 2, 0, "5 3"), ("m", 2, 1, "4")], "match_id string, frame_id int, ordinal int, text string")
+    assert sorted((r["frame_id"], r["ordinal"], r["has_clock"]) for r in D.scoreboard_plausible(seen).collect()) == [(1, 1, True), (2, 0, False)]
