@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.court import distance
+from .islands import in_intervals
 
 FRAME = ["match_id", "frame_id"]
 TRACK = ["match_id", "track_id"]
@@ -21,13 +22,15 @@ def ghost_assignments(players: DataFrame, threshold: int = 10, max_dist: float =
 
     A ghost's track has fewer frames than ``threshold``. Candidates are stable tracks not in that frame; the nearest
     mean position within ``max_dist`` wins (ties: lowest id). A stable track takes one ghost a frame, the lowest
-    track id; the others are dropped. Distances are kept within a match, and a ghost meets stable tracks, not rows.
+    track id; the others are dropped. Ghosts meet the mean positions of stable tracks, of which there is one a track,
+    in cells of ``max_dist``: a mean is known in its own cell and the eight around it.
     """
-    n = players.groupBy(*TRACK).agg(F.count_distinct("frame_id").alias("n"))
-    stable_rows = _centred(players.join(n.where(F.col("n") >= threshold), TRACK, "left_semi"))
-    stable = stable_rows.groupBy(*TRACK).agg(F.avg("cx").alias("mx"), F.avg("cy").alias("my")).withColumnRenamed("track_id", "target")
-    ghosts = _centred(players.join(n.where(F.col("n") < threshold), TRACK, "left_semi")).select(*FRAME, "track_id", "cx", "cy")
-    pairs = ghosts.join(stable, "match_id").withColumn("dist", distance(F.col("cx"), F.col("cy"), F.col("mx"), F.col("my"))).where(F.col("dist") <= max_dist)
+    tracks = _centred(players).groupBy(*TRACK).agg(F.count_distinct("frame_id").alias("n"), F.avg("cx").alias("mx"), F.avg("cy").alias("my"))
+    cell = lambda c: F.floor(F.col(c) / max_dist)
+    near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    stable = tracks.where(F.col("n") >= threshold).withColumnRenamed("track_id", "target").withColumn("gx", near("mx")).withColumn("gy", near("my")).drop("n")
+    ghosts = _centred(players.join(tracks.where(F.col("n") < threshold), TRACK, "left_semi")).select(*FRAME, "track_id", "cx", "cy", cell("cx").alias("gx"), cell("cy").alias("gy"))
+    pairs = ghosts.join(stable, ["match_id", "gx", "gy"]).withColumn("dist", distance(F.col("cx"), F.col("cy"), F.col("mx"), F.col("my"))).where(F.col("dist") <= max_dist)
     present = players.select(*FRAME, F.col("track_id").alias("target"))
     pairs = pairs.join(present, [*FRAME, "target"], "left_anti")
     nearest = pairs.groupBy(*FRAME, "track_id").agg(F.min(F.struct("dist", "target")).alias("b")).select(*FRAME, "track_id", F.col("b.target").alias("target"))
@@ -92,7 +95,8 @@ def interpolate_tracks(players: DataFrame, frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("frame_id")
     grid = frames.select(*FRAME).withColumn("ord", F.row_number().over(w))
     life = players.groupBy(*TRACK).agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"))
-    gaps = life.join(grid, "match_id").where("frame_id between lo and hi").select(*FRAME, "ord", "track_id").join(players.select(*FRAME, "track_id"), [*FRAME, "track_id"], "left_anti")
+    lived = in_intervals(grid, life, ["match_id"], "frame_id", "lo", "hi", 64).select(*FRAME, "ord", "track_id")
+    gaps = lived.join(players.select(*FRAME, "track_id"), [*FRAME, "track_id"], "left_anti")
     rows = players.join(grid, FRAME).withColumn("_own", F.lit(True)).unionByName(gaps.withColumn("_own", F.lit(False)), allowMissingColumns=True)
     t = Window.partitionBy(*TRACK).orderBy("ord")
     back = t.rowsBetween(Window.unboundedPreceding, 0)

@@ -116,6 +116,47 @@ def stream_status_changes(statuses: DataFrame) -> DataFrame:
     return of.transformWithStateInPandas(_Status(), "match_id string, seq long, status string", "Append", "None")
 
 
+class _Possession(StatefulProcessor):
+    """The open run of a match's ball-carrying team, and how many phases it has had."""
+
+    def __init__(self, gap: int, least: int):
+        self.gap, self.least = gap, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run", "team string, start_frame int, start_s double, last_frame int, last_s double, phases int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        team, f0, t0, f1, t1, n = self.state.get() if self.state.exists() else (None, None, None, None, None, 0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("frame_id").itertuples():
+            carried = r.team if r.team in ("A", "B") else None
+            if team and (carried not in (None, team) or (carried is None and r.frame_id - f1 > self.gap)):
+                if f1 - f0 >= self.least:
+                    out.append((key[0], n, team, f0, f1, t0, t1))
+                    n += 1
+                team = None
+            if carried:
+                if team is None:
+                    team, f0, t0 = carried, int(r.frame_id), float(r.timestamp_s)
+                f1, t1 = int(r.frame_id), float(r.timestamp_s)
+        self.state.update((team, f0, t0, f1, t1, n))
+        yield pd.DataFrame(out, columns=["match_id", "phase_id", "team", "start_frame", "end_frame", "start_time_s", "end_time_s"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_possession(series: DataFrame, fps: float = 25.0, least_s: float = 1.5, gap_s: float = 1.0) -> DataFrame:
+    """Possession phases of frames with their ball carrier's team (or null) that arrive in order of frames per match.
+
+    A phase is emitted when a later frame closes it: the other team has the ball, or nobody for longer than ``gap_s``.
+    The state of a match is its open run.
+    """
+    of = series.select("match_id", "frame_id", "timestamp_s", "team").groupBy("match_id")
+    kind = "match_id string, phase_id int, team string, start_frame int, end_frame int, start_time_s double, end_time_s double"
+    return of.transformWithStateInPandas(_Possession(int(gap_s * fps), int(least_s * fps)), kind, "Append", "None")
+
+
 def write_states(states: DataFrame, folder: str, checkpoint: str):
     """Sink of nested frame states: three tables per micro-batch, each batch in a folder of its own, so a batch that
     runs again replaces itself."""

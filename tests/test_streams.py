@@ -1,6 +1,7 @@
 """Each stream gives what its batch operator gives."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from courtspark.operators import phases as P
 from courtspark.operators import repair as R
@@ -55,6 +56,17 @@ def test_status_changes(spark, tmp_path):
     assert rows(got, ["match_id", "seq", "status"]) == [("a", 1, "processing"), ("a", 3, "done"), ("b", 2, "failed")]
 
 
+def test_possession_but_for_the_open_run(spark, tables, tmp_path):
+    series = P.carrier_series(tables.frames, tables.carriers).select("match_id", "frame_id", "timestamp_s", "team")
+    fps = tables.matches.selectExpr("match_id", "16.0D as fps")
+    end = series.groupBy("match_id").agg(F.max("frame_id").alias("f")).selectExpr("match_id", "f + 1000 as frame_id", "1e9D as timestamp_s", "cast(null as string) as team")
+    cols = ["match_id", "team", "start_frame", "end_frame"]
+    got = through(spark, series.unionByName(end), tmp_path, "possession", lambda s: S.stream_possession(s, 16.0, 0.25, 0.5))
+    want = P.possession_phases(series, fps, 0.25, 0.5)
+    assert rows(got, cols) == rows(want, cols) != []
+    assert {r["match_id"]: r["n"] for r in got.groupBy("match_id").agg((F.max("phase_id") + 1).alias("n")).collect()} == {r["match_id"]: r["n"] for r in got.groupBy("match_id").agg(F.count("*").alias("n")).collect()}
+
+
 def test_states_land_in_three_tables(spark, tables, tmp_path):
     states = O.frame_states(tables.frames, tables.players, tables.ball).where("match_id in ('m1', 'm2')")
     states.write.parquet(str(tmp_path / "in"))
