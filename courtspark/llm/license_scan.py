@@ -78,7 +78,8 @@ class Scanner:
                     i = line.find(piece, i + 1)
             hits: dict[tuple[int, int], int] = {}
             for s in sorted(starts):
-                m = fuzzy.search(line, max(0, s - notice.errors), min(len(line), s + len(phrase) + notice.errors + 1))
+                # one byte of room before: a match may not begin with an insertion at the very start of the search
+                m = fuzzy.search(line, max(0, s - notice.errors - 1), min(len(line), s + len(phrase) + notice.errors + 1))
                 if m:
                     hits[m.span()] = min(sum(m.fuzzy_counts), hits.get(m.span(), len(phrase)))
             best = self._apart(hits)
@@ -102,7 +103,9 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, text: s
     """One row per document: doc_id, n_words, matches (label, base, first_word, words, errors, share).
 
     A-Z is lower-cased and words are runs of digits, letters and anything outside ASCII. ``share`` is the part of the
-    notice's bytes left unedited. A null or empty text has no words and no matches; repeated rows are scanned each.
+    notice's bytes left unedited. A null or empty text has no words and no matches; repeated rows are scanned each; an
+    empty table gives no rows; other columns of ``docs`` play no part. Texts are scanned whole, however long; of edited
+    matches of one notice that overlap, the one with fewest edits counts, of equals the first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +124,7 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, text: s
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notices of every document; the base columns count exact base phrases only, ``labels`` all matches."""
     found = license_scan(documents(spark, sf_dir))
     exact = F.filter("matches", lambda m: m["base"] & (m["errors"] == 0))
     starts = F.transform(exact, lambda m: m["first_word"].cast("long"))

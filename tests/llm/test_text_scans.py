@@ -4,6 +4,7 @@ import re
 import pytest
 
 from courtspark.llm import grams
+from courtspark.llm.license_scan import WORDS as LINE_WORDS
 from courtspark.llm.license_scan import Notice, Scanner, license_scan, op3_license_scan
 from courtspark.llm.token_counts import TOKENIZER, _counter, token_counts
 
@@ -57,6 +58,34 @@ def test_any_planted_edit_is_found():
         assert len(found) == 1
 
 
+def edited(rng, phrase, edits):
+    """``phrase`` with up to that many bytes inserted, deleted or replaced anywhere, ends included."""
+    s = list(phrase)
+    for _ in range(edits):
+        kind, i = rng.choice("ids"), rng.randrange(len(s) + 1)
+        if kind == "i":
+            s.insert(i, rng.choice("abcxyz "))
+        elif i < len(s):
+            s[i : i + 1] = rng.choice("abcxyz") if kind == "s" else ""
+    return re.sub(" +", " ", "".join(s)).strip()
+
+
+def test_edits_at_every_place_are_found_as_an_unseeded_search_finds_them():
+    rng = random.Random(11)
+    scanner = Scanner()
+    lost = found = 0
+    for k in range(3000):
+        notice, _, _, fuzzy = scanner.notices[k % len(scanner.notices)]
+        text = ("some noise a " * rng.randrange(3) + edited(rng, notice.phrase, notice.errors) + " and more " * rng.randrange(2)).encode()
+        line = b" ".join(LINE_WORDS(text))
+        want = fuzzy.search(line) is not None
+        got = any(n is notice for n, *_ in scanner.spans(text)[1])
+        assert got <= want
+        found += want
+        lost += want and not got
+    assert found > 2000 and lost == 0
+
+
 def test_scan_of_nulls_repeats_and_nothing(docs):
     rows = license_scan(docs([(1, None), (1, "mit license"), (1, "mit license"), (None, "x" * 100000)])).collect()
     assert sorted((r["n_words"], len(r["matches"])) for r in rows) == [(0, 0), (1, 0), (2, 1), (2, 1)]
