@@ -19,9 +19,11 @@ FREQUENT, BUCKETS, SIDE = 896, 128, 32
 VOCABULARY = FREQUENT + BUCKETS
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
-#: Each training round masks every MASK-th position of every document, and averages the networks of all partitions.
-ROUNDS, MASK = 2, 8
-BATCH, RATE = 1024, 0.1
+#: Each round masks every position of every document in turn, and averages the networks of all partitions.
+ROUNDS = 1
+BATCH, RATE = 4096, 0.4
+#: Positions that wait for a step, but for the rest of the text they come with.
+WAITING = 8 * BATCH
 SHAPES = {"embed": (len(OFFSETS), VOCABULARY + 1, WIDTH), "bias": (WIDTH,), "top": (WIDTH, SIDE), "top_bias": (SIDE,), "low": (SIDE, WIDTH, SIDE), "low_bias": (SIDE, SIDE)}
 
 
@@ -74,37 +76,44 @@ class Network:
         return out
 
     def gradients(self, ids: np.ndarray, context: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability."""
+        """Of the mean negative log probability. Positions are sorted by their ids, so that classes are slices."""
         n = len(ids)
+        order = np.argsort(ids, kind="stable")
+        ids, context = ids[order], context[:, order]
         h = self.hidden(context)
-        group, word = ids // SIDE, ids % SIDE
+        group, word = (ids // SIDE).astype(np.intp), (ids % SIDE).astype(np.intp)
+        ends = np.searchsorted(group, np.arange(SIDE + 1)).tolist()
         d = _softmax(h @ self.top + self.top_bias)
         d[np.arange(n), group] -= 1
-        g = {"top": h.T @ d / n, "top_bias": d.sum(0) / n, "low": np.zeros_like(self.low), "low_bias": np.zeros_like(self.low_bias)}
+        g = {"top": h.T @ d, "top_bias": d.sum(0), "low": np.zeros_like(self.low), "low_bias": np.zeros_like(self.low_bias)}
         dh = d @ self.top.T
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(SIDE + 1))
         for k in range(SIDE):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                d = _softmax(h[at] @ self.low[k] + self.low_bias[k])
-                d[np.arange(len(at)), word[at]] -= 1
-                g["low"][k], g["low_bias"][k] = h[at].T @ d / n, d.sum(0) / n
-                dh[at] += d @ self.low[k].T
-        dz = dh * (1 - h * h) / n
+            a, b = ends[k], ends[k + 1]
+            if a < b:
+                d = _softmax(h[a:b] @ self.low[k] + self.low_bias[k])
+                d[np.arange(b - a), word[a:b]] -= 1
+                g["low"][k], g["low_bias"][k] = h[a:b].T @ d, d.sum(0)
+                dh[a:b] += d @ self.low[k].T
+        dz = dh * (1 - h * h)
         g["bias"] = dz.sum(0)
         g["embed"] = np.zeros_like(self.embed)
         for k, c in enumerate(context):
             order = np.argsort(c, kind="stable")
-            start = np.flatnonzero(np.diff(c[order], prepend=-1))
-            g["embed"][k][c[order][start]] = np.add.reduceat(dz[order], start)
+            at = c[order]
+            start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            g["embed"][k][at[start]] = np.add.reduceat(dz[order], start)
         g["embed"][:, VOCABULARY] = 0
+        for v in g.values():
+            v /= n
         return g
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """Softmax along rows; ``x`` is used up."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -115,7 +124,7 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Adagrad on one partition's masked positions, starting from a shared network."""
+    """Adagrad on one partition's positions, starting from a shared network."""
 
     def __init__(self, network: Network):
         self.network, self.squares, self.seen = network, {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}, 0
@@ -155,11 +164,12 @@ class Vocabulary:
         return np.concatenate((np.zeros(FREQUENT), np.log(self.buckets + 1.0)))[ids]
 
 
-def contexts(ids: np.ndarray, first: int = 0, step: int = 1) -> np.ndarray:
-    """Ids at each offset from every ``step``-th position; places outside the text hold the padding id."""
+def contexts(ids: np.ndarray) -> np.ndarray:
+    """Ids at each offset from every position; places outside the text hold the padding id."""
     pad = max(map(abs, OFFSETS))
-    wide = np.concatenate([np.full(pad, VOCABULARY), ids, np.full(pad, VOCABULARY)])
-    return np.stack([wide[pad + o : pad + o + len(ids)][first::step] for o in OFFSETS])
+    wide = np.full(len(ids) + 2 * pad, VOCABULARY, ids.dtype)
+    wide[pad : pad + len(ids)] = ids
+    return np.stack([wide[pad + o : pad + o + len(ids)] for o in OFFSETS])
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -177,10 +187,11 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     """Vocabulary and network from the whole corpus.
 
-    Words are counted over all documents. In each round every partition trains a copy of the shared network on the
-    masked positions of all its documents, and Spark averages the copies, weighted by positions; a round masks every
-    ``MASK``-th position of each text, the next round others. What reaches the driver is the frequent words and one
-    network, whatever the corpus; the counts of all words stay a table.
+    Words are counted over all documents. In each round every partition trains a copy of the shared network on every
+    position of all its documents, masked in turn, and Spark averages the copies, weighted by positions. The weights
+    thus depend a little on how rows lie in partitions: the same layout gives the same network. What reaches the
+    driver is the frequent words and one network, whatever the corpus; the counts of all words stay a table. Null and
+    blank texts teach nothing; an empty table gives the initial network.
     """
     spark = docs.sparkSession
     texts = docs.select(text_of(text).cast("binary").alias("text"))
@@ -196,9 +207,9 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     np.subtract.at(frequency, FREQUENT + (words >> np.uint64(40)).astype(np.int64) % BUCKETS, frequency[: len(top)].copy())
     vocabulary = Vocabulary(words[order], order.astype(np.int64), frequency[FREQUENT:].copy(), counts)
     network = Network.initial(frequency)
-    for k in range(rounds):
+    for _ in range(rounds):
         held = spark.sparkContext.broadcast((replace(vocabulary, counts=None), network.flat()))
-        parts = texts.mapInArrow(_train_partition(held, k * MASK // rounds), "i int, w double, n long")
+        parts = texts.mapInArrow(_train_partition(held), "i int, w double, n long")
         mean = parts.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow()
         if mean.num_rows:
             flat = np.empty(mean.num_rows)
@@ -207,7 +218,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     return vocabulary, network
 
 
-def _train_partition(held, first: int):
+def _train_partition(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = held.value
         trainer = Trainer(Network.from_flat(flat.copy()))
@@ -222,13 +233,12 @@ def _train_partition(held, first: int):
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                own = vocabulary(grams.word_hashes(t))
+                own = vocabulary(grams.word_hashes(t)).astype(np.uint16)
                 if len(own):
-                    start = min(first, len(own) - 1)
-                    ids.append(own[start::MASK])
-                    around.append(contexts(own, start, MASK))
-                    size += len(ids[-1])
-                if size >= BATCH:
+                    ids.append(own)
+                    around.append(contexts(own))
+                    size += len(own)
+                if size >= WAITING:
                     learn()
                     ids, around, size = [], [], 0
         if size:
@@ -261,8 +271,9 @@ def pseudo_likelihood(docs: DataFrame, vocabulary: Vocabulary, network: Network,
     Texts are predicted whole, token by token, from the two words on either side. The network gives p(id | both
     sides); for words that share an id, p(word | id) follows from the word's count in the corpus, which a join brings
     to each document's words, and a word not met in the corpus counts as met once. A null or blank text has no tokens,
-    log likelihood 0 and a null mean; repeated rows are scored each. Documents are stacked for speed, but no token
-    sees another document.
+    log likelihood 0 and a null mean; repeated rows are scored each, alike; an empty table gives no rows; other columns
+    of ``docs`` play no part. Long texts are scored block by block. Documents are stacked for speed, but no token sees
+    another document.
     """
     held = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, counts=None), network.flat()))
 
@@ -312,6 +323,7 @@ def _stacks(texts: list[np.ndarray], size: int = 1 << 15) -> Iterator[list[np.nd
 
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a network and counts of all documents: doc_id, n_tokens, log_likelihood, per_token."""
     docs = documents(spark, sf_dir)
     return pseudo_likelihood(docs, *train(docs))
 
