@@ -47,12 +47,14 @@ def _room(loads: list[int], total: int) -> list[float]:
 def _split(light: DataFrame, shards: int, room: list[float]) -> DataFrame:
     """``light`` with the column ``shard``: all cells of a depth are cut at once, until each has one shard.
 
-    A depth is three aggregations and a join with its cuts (at most ``shards`` rows, broadcast).
+    A depth is three aggregations and a join with its cuts (at most ``shards`` rows, broadcast); every other depth's
+    cells are written, so that no depth repeats the joins of all before it.
     """
     spark = light.sparkSession
     x = F.element_at(F.array(*DIMS), F.col("dim") + 1)
     cells, front, number = light.withColumn("cell", (F.col("bytes") * 0).cast("int")), [Cell(0, list(range(shards)))], 1
     spans: list[float] = []
+    depth = 0
     while any(len(c.leaves) > 1 for c in front):
         ends = [f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]
         stats = {r["cell"]: r for r in cells.groupBy("cell").agg(*ends, F.sum("bytes").alias("w")).collect()}
@@ -89,6 +91,9 @@ def _split(light: DataFrame, shards: int, room: list[float]) -> DataFrame:
         at = F.broadcast(local(spark, cuts, cell=pa.int32(), dim=pa.int32(), at=pa.float64(), below=pa.int32(), above=pa.int32()))
         to = F.when(F.col("at").isNull(), F.col("cell")).otherwise(F.when(x < F.col("at"), F.col("below")).otherwise(F.col("above")))
         cells = cells.join(at, "cell", "left").withColumn("cell", to).drop("dim", "at", "below", "above")
+        if depth % 2:
+            cells = table(cells, "cells")
+        depth += 1
     leaf = F.broadcast(local(spark, [(c.id, c.leaves[0]) for c in front], cell=pa.int32(), shard=pa.int32()))
     return cells.join(leaf, "cell")
 
@@ -107,7 +112,8 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     emptiest shard, and the tree levels the rest around them; a group above a shard's share fills a shard alone.
     Slots number a shard's rows by doc_id within hashed parts, with offsets from the parts' counts, so no task holds
     a shard. Size is the text's UTF-8 bytes plus 16. Null texts count as empty, null metadata as least; repeated
-    rows are rows of one group; an empty table gives no rows.
+    rows are rows of one group; a text longer than a shard's share fills a shard; an empty table gives no rows; other
+    columns of ``docs``, whatever their names, play no part.
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_of().alias("text"), F.col("source").alias("source"), F.col("lang").alias("lang"))
     rows = table(
@@ -152,6 +158,7 @@ def _slots(rows: DataFrame, part_rows: int = 200_000) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal bytes."""
     return shard(documents(spark, sf_dir))
 
 
