@@ -15,8 +15,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/courtspark-checkpoints"
+    """The folder that driver and executors share; a local one only where the session names none and runs in one
+    process, as in tests."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if spark.sparkContext.master.startswith("local["):
+        return f"{tempfile.gettempdir()}/courtspark-checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def table(df: DataFrame, what: str) -> DataFrame:

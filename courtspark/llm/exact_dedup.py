@@ -80,7 +80,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CH
     """One row per document: doc_id, keep_id (largest doc_id of its equal texts), group_size, kept, text_sha256.
 
     Of rows that repeat the largest doc_id itself all are marked kept. A group whose doc_ids are all null has a null
-    keep_id and keeps its rows.
+    keep_id and keeps its rows. Null texts count as empty; an empty table gives no rows; other columns of ``docs``,
+    whatever their names, play no part; long texts are blocks of one document.
     """
     named = identities(docs, text, block_chars, hash_bits)
     named = table(named, "identities")
@@ -90,6 +91,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CH
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts among all documents, byte for byte."""
     return exact_dedup(documents(spark, sf_dir))
 
 

@@ -105,8 +105,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = LI
 
     Whole texts are counted, without begin, end or added tokens. No piece of the vocabulary spans a word, so words
     are counted apart and each worker keeps the counts of words it has met; a text of any length is read once. A
-    null or empty text has no tokens, and repeated rows are counted each. ``path`` is a model file that all
-    executors have.
+    null or empty text has no tokens, and repeated rows are counted each; an empty table gives no rows; other columns
+    of ``docs`` play no part. ``path`` is a model file that all executors have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +120,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = LI
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the query's vocabulary."""
     import public_tokenizers
 
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))

@@ -184,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int =
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     sample = docs.select(F.col("doc_id"), text_of(text).alias("text")).join(F.broadcast(marked), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))  # as many rows as labels, also of repeated ids
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     sample = table(sample.select("text", (F.col("toxic") > 0).alias("toxic"), fold.alias("fold")), "labelled")
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
@@ -227,13 +228,18 @@ def toxicity(model: Toxicity, text: str | Column = "text") -> Column:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted (1 from ``threshold`` on). Repeated rows score alike;
-    null doc_ids are not held out and have no label."""
+    """One row per document: doc_id, held_out, score, predicted (1 from ``threshold`` on).
+
+    Repeated rows score alike; null doc_ids are not held out and have no label; a null text counts as empty and scores
+    what the curve gives no clause. Texts are read whole, clause by clause. An empty table gives no rows, empty labels
+    a model that calls nothing toxic; other columns play no part.
+    """
     scored = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), toxicity(fit(docs, labels)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the grammar fitted on labels that are not held out."""
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -36,10 +36,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def address(url: Column) -> Column:
-    """One name for spellings of an address: no scheme, fragment, tracking parameter or closing slash; null without a host."""
+def address(url: Column, tracking: str = TRACKING) -> Column:
+    """One name for spellings of an address: no scheme, fragment, ``tracking`` parts of the query or closing slash; null
+    without a host."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    kept = F.regexp_replace(F.regexp_replace(query, TRACKING, ""), "^&", "")
+    kept = F.regexp_replace(F.regexp_replace(query, tracking, ""), "^&", "") if tracking else query
     name = F.concat(host_of(url), F.regexp_replace(path_of(url), "/$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return F.when(host_of(url) != "", name)
 
@@ -81,7 +82,7 @@ def _ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("row").agg(best.alias("b")).select("row", "b.rule", "b.action")
 
 
-def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES, redirects: DataFrame | None = None, tracking: str = TRACKING) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, component.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins (allow on a tie),
@@ -91,9 +92,12 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
     A page that no rule fits is blocked if a rule blocks any address of its class, unless a rule allows one: an
     explicit allow takes precedence. Others are allowed. Link targets that are no pages themselves count as
     addresses. A null url or one without ``://`` has an empty host and path, no class and is allowed; null html has
-    no links; repeated rows are judged each. ``component`` is the least address of the class, null without a host.
+    no links; repeated rows are judged each; an empty table gives no rows; other columns of ``pages``, whatever their
+    names, play no part; html is read whole. ``component`` is the least address of the class, null without a host.
+    ``tracking`` is the pattern of query parts that leave an address what it is; none where it is empty.
     """
     spark = pages.sparkSession
+    named = lambda u: address(u, tracking)
     if not isinstance(rules, DataFrame):
         rules = local(spark, [tuple(r) for r in rules], rule_host=pa.string(), rule_path=pa.string(), action=pa.string())
     rules = rules.select("rule_host", "rule_path", "action", F.concat("rule_host", "rule_path").alias("rule"))
@@ -101,7 +105,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
     link = lambda tag, at: F.regexp_extract(F.regexp_extract("html", tag, 0), at, 1)
     of = pages.select("page_id", url, F.coalesce("html", F.lit("")).alias("html"))
     rows = of.select("page_id", "url", link(LINK, HREF).alias("canonical"), link(META, TO).alias("refresh")).select(
-        F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"),
+        F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), named(url).alias("address"),
         _target(F.col("canonical"), url).alias("canonical"), _target(F.col("refresh"), url).alias("refresh"),
     )
     rows = table(rows, "pages")
@@ -111,9 +115,9 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("from_url").alias("url"), F.col("to_url").alias("to")))
     links = table(links.where("url is not null and to is not null"), "links")
-    classes = connected_components(links.select(address(url).alias("a"), address(F.col("to")).alias("b")))
+    classes = connected_components(links.select(named(url).alias("a"), named(F.col("to")).alias("b")))
     ends = links.select(F.explode(F.array("url", "to")).alias("url")).distinct()
-    ends = ends.select(F.monotonically_increasing_id().alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"))
+    ends = ends.select(F.monotonically_increasing_id().alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), named(url).alias("address"))
     ends = table(ends, "ends")
     judged = ruled.select("address", "action").unionByName(ends.join(_ruled(ends, rules), "row").select("address", "action")).where("action is not null")
     by_address = judged.groupBy("address").agg(F.max(F.col("action") == "allow").alias("allows"), F.max(F.col("action") == "block").alias("blocks"))
@@ -126,6 +130,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages under the query's rules, with the classes that their own links and spellings make."""
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

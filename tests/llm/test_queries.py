@@ -34,3 +34,16 @@ def test_pipeline_takes_effect(spark, sf_dir):
     assert decontaminate(clean, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).count() == 0
     assert mixed.select("doc_id").distinct().join(clean, "doc_id", "left_anti").count() == 0
     assert shards.count() == mixed.count() and shards.select("shard").distinct().count() <= 40
+
+
+def test_stages_take_nulls_repeats_extra_columns_and_nothing(spark, sf_dir, docs):
+    import corpus_pipeline as C
+
+    rows = [(1, None), (1, None), (None, "the same words here and there again"), (2, ""), (3, "w " * 30_000), (4, "plain text of some words"), (4, "plain text of some words"), (5, "plain text of some words")]
+    kept = docs(rows)
+    for name, stage in C.STAGES:
+        got = stage(spark, kept, sf_dir)
+        assert got.count() >= (0 if name == "mixing sources" else 1), name
+        assert stage(spark, docs([]), sf_dir).count() == 0
+    assert {r["doc_id"] for r in C.one_of_near_copies(spark, kept, sf_dir).collect()} == {None, 1, 2, 3, 4}
+    assert C.no_benchmark_items(spark, kept, sf_dir).count() == len(rows)
