@@ -19,10 +19,12 @@ WORDS = 5
 PERCENT = 80
 #: Counters of the frequency sketch that orders n-grams from rare to frequent. It has this size for any corpus.
 SKETCH = 1 << 18
-#: An n-gram's list of documents is multiplied in tiles of at most about this many documents a side.
-TILE = 4096
+#: Blocks are multiplied in tiles of at most about this many entries a side.
+TILE = 2048
 #: Linked pairs share at least this many n-grams more than one within their prefixes, which are longer by as many.
 MORE = 4
+#: Lists up to SHORT are multiplied together; at most about PAIRS pairs and HELD entries of one block wait in a task.
+SHORT, PAIRS, HELD = 32, 1 << 20, 1 << 18
 MINHASHES, STARS, AGREE = 8, 4, 6
 _MULT = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k & ((1 << 64) - 1) | 1 for k in range(1, MINHASHES + 1)], np.uint64)
 
@@ -110,10 +112,10 @@ def _verified(docs: DataFrame, text: str, words: int, percent: int, described: D
 
 
 def _shared(reps: DataFrame) -> DataFrame:
-    """The prefixes' n-grams that stand in several prefixes: gram, c (prefixes), row, n, at (place), before (such ones
-    before it). One alone in its list is shared with no set that this one meets further on, so it counts for none."""
+    """The prefixes' n-grams that stand in several prefixes: gram, c (prefixes), anchor (the least row among them, so
+    that most of what near copies share has one anchor), row, n, at (place), before (such ones before it). One alone in its list is shared with no set that this one meets further on, so it counts for none."""
     entries = reps.select(F.posexplode("prefix").alias("at", "gram"), "row", "n")
-    lists = table(entries.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "lists")
+    lists = table(entries.groupBy("gram").agg(F.count("*").alias("c"), F.min("row").alias("anchor")).where("c > 1"), "lists")
     before = F.row_number().over(Window.partitionBy("row").orderBy("at")) - 1
     return table(table(entries.join(lists, "gram"), "entries").withColumn("before", before), "shared")
 
@@ -141,43 +143,92 @@ def _stars(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (same >= AGREE)).select("a", "b")
 
 
-def _multiplied(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, tile, n): one row (a, b, na, nb) for each n-gram that two documents of different
-    components share, if their sizes allow a link, the n-gram stands, in both, within the prefix that a link of these
-    sizes must meet, and what can be shared before and after it suffices. Only the last, unfinished tile is held from
-    batch to batch."""
-    names = ["gram", "t1", "t2", "block", "n", "at", "before", "row", "component"]
+def _pairs_of_lists(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of entries that stand in one list, on different sides of it and in different components.
+
+    Short lists are paired all at once, place by place apart; in a long one, entries outside its commonest component
+    are paired with all others, so that a list of near copies already joined costs no square.
+    """
+    size = len(c["row"])
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(c["gram"]) != 0) | (np.diff(c["tile"]) != 0))))
+    ends = np.append(start[1:], size)
+    mixed = np.minimum.reduceat(c["component"], start) != np.maximum.reduceat(c["component"], start)
+    apart = lambda i, j: (c["component"][i] != c["component"][j]) & ((c["side"][i] != c["side"][j]) | (c["side"][i] < 0))
+    short = mixed & (ends - start <= SHORT)
+    last = np.repeat(np.where(short, ends, 0), ends - start)
+    at = np.arange(size)
+    for k in range(1, SHORT):
+        at = at[at + k < last[at]]
+        if not len(at):
+            break
+        ok = apart(at, at + k)
+        yield at[ok], at[ok] + k
+    for s, e in zip(start[mixed & ~short].tolist(), ends[mixed & ~short].tolist(), strict=True):
+        kinds, often = np.unique(c["component"][s:e], return_counts=True)
+        bulk = c["component"][s:e] == kinds[often.argmax()]
+        few, rest = s + np.flatnonzero(~bulk), s + np.flatnonzero(bulk)
+        step = max(1, PAIRS // (e - s))
+        for f in range(0, len(few), step):
+            part = few[f : f + step]
+            i = np.concatenate([np.repeat(part, len(rest)), np.repeat(part, len(few))])
+            j = np.concatenate([np.tile(rest, len(part)), np.tile(few, len(part))])
+            ok = (~bulk[i - s] & bulk[j - s] | (i < j)) & apart(i, j)
+            yield i[ok], j[ok]
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (anchor, tile, gram): one row (a, b, na, nb, c) for each pair of documents of different
+    components that share ``c`` n-grams of a block, if sizes allow a link, each n-gram stands, in both, within the
+    prefix that a link of these sizes must meet, and what can be shared before and after it suffices.
+
+    With ``best`` only the pair that shares most, of such the smallest, is made of each two components that meet in a
+    block. A block is what a batch holds of whole (anchor, tile) groups; of a group beyond ``HELD`` entries, whole
+    lists at a time.
+    """
+    names = ["anchor", "tile", "side", "gram", "n", "at", "before", "row", "component"]
 
     def product(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        size = len(c["row"])
-        new = np.ones(size, bool)
-        new[1:] = (np.diff(c["gram"]) != 0) | (np.diff(c["t1"]) != 0) | (np.diff(c["t2"]) != 0)
-        of = np.cumsum(new)
-        at = np.flatnonzero(~new) - 1
-        k = 1
-        while len(at):
-            other = at + k
-            inside = other < size
-            at, other = at[inside], other[inside]
-            ok = (of[at] == of[other]) & (100 * c["n"][at] >= percent * c["n"][other])
-            at, other = at[ok], other[ok]
-            need = least_overlap(c["n"][at].astype(np.int64) + c["n"][other], percent)
-            rest = np.minimum(c["n"][at] - c["at"][at], c["n"][other] - c["at"][other])
-            out = np.minimum(c["before"][at], c["before"][other]) + rest >= need
-            out &= (c["at"][at] - MORE <= c["n"][at] - need) & (c["at"][other] - MORE <= c["n"][other] - need)
-            out &= (c["component"][at] != c["component"][other]) & ((c["t1"][at] == c["t2"][at]) | (c["block"][at] != c["block"][other])) & (c["row"][at] != c["row"][other])
-            i, j = at[out], other[out]
-            if len(i):
-                swap = c["row"][i] > c["row"][j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(c[x][y]) for x, y in (("row", i), ("row", j), ("n", i), ("n", j))], ["a", "b", "na", "nb"])
-            k += 1
+        if len(c["row"]) < 2:
+            return
+        rows, first, own = np.unique(c["row"], return_index=True, return_inverse=True)
+        sums, waiting, size = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            codes, n = np.unique(np.concatenate([sums[0], *waiting]), return_inverse=True)
+            return codes, np.bincount(n, np.concatenate([sums[1], np.ones(size, np.int64)]), len(codes)).astype(np.int64)
+
+        for i, j in _pairs_of_lists(c):
+            small, large = np.minimum(c["n"][i], c["n"][j]), np.maximum(c["n"][i], c["n"][j])
+            need = least_overlap(small.astype(np.int64) + large, percent)
+            ok = 100 * small.astype(np.int64) >= percent * large
+            ok &= np.minimum(c["before"][i], c["before"][j]) + np.minimum(c["n"][i] - c["at"][i], c["n"][j] - c["at"][j]) >= need
+            ok &= (c["at"][i] - MORE <= c["n"][i] - need) & (c["at"][j] - MORE <= c["n"][j] - need)
+            x, y = own[i[ok]], own[j[ok]]
+            waiting.append(np.minimum(x, y).astype(np.int64) * len(rows) + np.maximum(x, y))
+            size += len(x)
+            if size > PAIRS:
+                sums, waiting, size = added(), [], 0
+        codes, n = added()
+        a, b = codes // len(rows), codes % len(rows)
+        if best and len(a):
+            component = c["component"][first]
+            low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+            order = np.lexsort((c["n"][first][a] + c["n"][first][b], -n, high, low))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+            a, b, n = (v[order[new]] for v in (a, b, n))
+        sizes = c["n"][first]
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (rows[x], rows[y], sizes[x], sizes[y], n[i : i + (1 << 16)])], ["a", "b", "na", "nb", "c"])
 
     held: dict[str, np.ndarray] | None = None
     for b in batches:
         cols = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
         cols = {n: np.concatenate([held[n], cols[n]]) for n in names} if held else cols
-        last = (cols["gram"] == cols["gram"][-1]) & (cols["t1"] == cols["t1"][-1]) & (cols["t2"] == cols["t2"][-1])
+        last = (cols["anchor"] == cols["anchor"][-1]) & (cols["tile"] == cols["tile"][-1])
+        if last.sum() > HELD:
+            last &= cols["gram"] == cols["gram"][-1]
         cut = int(np.argmax(last))
         yield from product({n: v[:cut] for n, v in cols.items()})
         held = {n: v[cut:] for n, v in cols.items()}
@@ -185,16 +236,40 @@ def _multiplied(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield from product(held)
 
 
-def _candidates(shared: DataFrame, components: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Pairs of sets of different components whose overlap within their prefixes allows a link."""
+def _tiles(shared: DataFrame, heavy: DataFrame, tile: int) -> DataFrame:
+    """Entries with the tiles of their anchor's block in which they are multiplied.
+
+    A block of at most ``tile`` entries is one tile. In a larger one, of ``heavy``, rows of its commonest component
+    are dealt into tiles and meet only the others, which go to each of these; the others meet each other in tiles of a
+    side each. So a group of joined near copies is dealt out once, whatever its size, and what two rows share in a
+    block meets in one tile.
+    """
+    short = shared.join(small(heavy.select("anchor")), "anchor", "left_anti").withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(-1))
+    long = shared.join(small(heavy), "anchor")
+    by = long.groupBy("anchor", "component").agg(F.count("*").alias("k")).groupBy("anchor")
+    bulk = table(by.agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1"), "bulk")
+    long = long.join(small(bulk.select("anchor", F.col("most.component").alias("bulk"), F.col("most.k").alias("k"))), "anchor")
+    deal = lambda n: F.pmod(F.xxhash64("row"), n)
+    tiles, others = F.ceil(F.col("k") / tile), F.greatest(F.ceil((F.col("held") - F.col("k")) / tile), F.lit(1))
+    in_bulk = long.where("component = bulk").withColumn("tile", 1 + deal(tiles)).withColumn("side", F.lit(1))
+    few = long.where("component <> bulk")
+    to_bulk = few.withColumn("tile", F.explode(F.sequence(F.lit(1).cast("long"), tiles))).withColumn("side", F.lit(0))
+    own = few.withColumn("own", deal(others)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    name = -1 - (F.least("own", "other") * others + F.greatest("own", "other"))
+    each = own.withColumn("tile", name).withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")))
+    columns = ["anchor", "tile", "side", "gram", "n", "at", "before", "row", "component"]
+    return short.select(columns).unionByName(in_bulk.select(columns)).unionByName(to_bulk.select(columns)).unionByName(each.select(columns))
+
+
+def _candidates(shared: DataFrame, heavy: DataFrame, components: DataFrame, percent: int, tile: int, best: bool = False) -> DataFrame:
+    """Pairs of sets of different components whose overlap within their prefixes allows a link; of each two components
+    that meet in a block, with ``best``, the closest."""
     spark = shared.sparkSession
     shared = shared.join(components.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    cut = shared.withColumn("blocks", F.ceil(F.col("c") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = met.select("gram", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "n", "at", "before", "row", "component")
-    sorted_ = tiles.repartition(shuffle_width(spark), "gram", "t1", "t2").sortWithinPartitions("gram", "t1", "t2", "n")
-    products = sorted_.mapInArrow(lambda batches: _multiplied(batches, percent), "a long, b long, na int, nb int")
-    counted = products.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    shared = table(shared, "entries-of-components")
+    sorted_ = _tiles(shared, heavy, tile).repartition(shuffle_width(spark), "anchor", "tile").sortWithinPartitions("anchor", "tile", "gram")
+    products = sorted_.mapInArrow(lambda batches: _multiplied(batches, percent, best), "a long, b long, na int, nb int, c long")
+    counted = products.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     need = F.expr(f"least({MORE} + 1, ({percent} * (na + nb) + {99 + percent}) div {100 + percent})")
     return table(counted.where(F.col("c") >= need).select("a", "b"), "candidates")
 
@@ -208,12 +283,13 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
 
     The similarity matrix is the product of the document by n-gram incidence matrix with its transpose. Rows with
     equal sets are one row of it. N-grams are ordered from rare to frequent (by a sketch of fixed size) and each
-    row keeps the prefix that any linked row must meet; the product goes n-gram by n-gram, long lists in tiles, over
-    row pairs whose sizes allow a link; overlaps are summed by pair, and pairs below the bound that sizes and
-    prefixes set are discarded. What is left is decided on whole sets. Before the product, stars around minhash
-    centres, decided on whole sets too, join near copies into components, and the product only takes pairs of
-    different components: a group of copies thus costs rows in proportion to its size, and no link between
-    components is lost.
+    row keeps the prefix that any linked row must meet. A block holds all lists of n-grams whose least row is the
+    same, large ones in tiles; it multiplies row pairs whose sizes allow a link and adds up their overlaps, so that
+    one row for each pair leaves it; blocks' overlaps are summed, and pairs below the bound that sizes and prefixes
+    set are discarded. What is left is decided on whole sets. Before the product, stars around minhash centres join
+    near copies into components; then a product that keeps, of each two components in a block, the closest pair joins
+    what is left of them; both are decided on whole sets. The last product only takes pairs of different components:
+    a group of copies thus costs rows in proportion to its size, and no link between components is lost.
 
     Sets are kept as 64-bit hashes. A null or blank text has no set, is its own component and stays; repeated rows
     share one; null doc_ids are members that lend no id (a component of nothing else has a null id).
@@ -225,14 +301,20 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
     reps = table(d.select("row", "n", "mins", "prefix").join(classes.select("row"), "row"), "representatives")
 
     shared = _shared(reps)
+    heavy = table(shared.groupBy("anchor").agg(F.count("*").alias("held")).where(F.col("held") > tile), "heavy")
+
+    def join(pairs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+        links = _verified(docs, text, words, percent, d, pairs)
+        links = links if joined is None else links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return table(connected_components(links), "joined")
 
-    links = _verified(docs, text, words, percent, d, table(_stars(reps, shared, percent), "stars"))
-    joined = table(connected_components(links), "joined")
-    more = _verified(docs, text, words, percent, d, _candidates(shared, joined, percent, tile))
-    whole = connected_components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    joined = join(table(_stars(reps, shared, percent), "stars"))
+    joined = join(_candidates(shared, heavy, joined, percent, tile, best=True), joined)
+    whole = join(_candidates(shared, heavy, joined, percent, tile), joined)
 
     named = classes.join(whole.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    named = table(named, "named")
+    least = table(named.groupBy("component").agg(F.min("first").alias("least")), "least")
     ids = named.join(least, "component").select("n", "s1", "s2", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("staying"))
     full = d.where("n > 0").select("doc_id", "text_hash", "n", "s1", "s2", "row").join(table(ids, "component-ids"), ["n", "s1", "s2"])
     full = full.select("doc_id", "text_hash", "n", "component_id", (F.col("row") == F.col("staying")).alias("stays"))

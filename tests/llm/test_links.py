@@ -201,3 +201,68 @@ def test_an_explicit_allow_in_a_class_takes_precedence(spark):
     pages = [(1, "http://a.org/", link("http://b.org/")), (2, "http://b.org/", link("http://c.com/")), (3, "http://z.net/es/", link("http://a.org/"))]
     got = {r["page_id"]: r["verdict"] for r in url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: "allow", 2: "allow", 3: "block"}
+
+
+def test_a_large_group_of_near_copies_is_brute_force(docs):
+    rng = random.Random(8)
+    texts = [*family(rng, 250, 60, 9), *family(rng, 40, 60, 2), *[" ".join(str(rng.random()) for _ in range(30)) for _ in range(20)]]
+    got = {r["doc_id"]: (r["n"], r["component_id"]) for r in jaccard_rows(docs(texts), 5, 80, tile=64).collect()}
+    assert got == brute(list(enumerate(texts)), 5, 80)
+
+
+def test_every_passage_of_an_item_is_reported_once(docs, spark):
+    words = [f"item{i}" for i in range(12)]
+    copy = [*words]
+    copy[6] = "edited"
+    text = " ".join(["x", *words, "y z", *copy, *words])
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = D.decontaminate(docs([text, text, ""]), bench).collect()
+    assert sorted((r["doc_id"], r["first_word"], r["end_word"], r["score"] == 1) for r in found) == sorted((d, a, b, s) for d in (0, 1) for a, b, s in ((1, 13, True), (15, 27, False), (27, 39, True)))
+
+
+@pytest.mark.parametrize(("rate", "floor"), [(0.0, 1.0), (0.1, 0.97), (0.2, 0.9)])
+def test_recall_by_edit_rate(rate, floor):
+    rng = random.Random(int(rate * 100))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    items = [[word() for _ in range(rng.randrange(15, 50))] for _ in range(300)]
+    bench = D.Benchmark([(i, grams.word_hashes(" ".join(w).encode(), grams.SIGNS)) for i, w in enumerate(items)])
+    hits = 0
+    for i, w in enumerate(items):
+        copy = [word() if rng.random() < rate else x for x in w]
+        text = " ".join([word() for _ in range(40)] + copy + [word() for _ in range(40)])
+        hits += i in {m[0] for m in D.align(text.encode(), bench, D.THRESHOLD)}
+    assert hits >= floor * len(items)
+
+
+def test_very_long_texts(docs, spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    long = " ".join(f"w{i}" for i in range(120_000))
+    found = D.decontaminate(docs([f"{long} {item} {long}", "y" * 2_000_000]), bench).collect()
+    assert [(r["doc_id"], r["first_word"], r["end_word"]) for r in found] == [(0, 120_000, 120_010)]
+    pages = spark.createDataFrame([(1, "http://a.org/" + "p/" * 50_000, "z" * 3_000_000 + "<link rel=canonical href=http://b.net/es/>")], "page_id long, url string, html string")
+    assert url_filter(pages).first()["verdict"] == "block"
+
+
+def test_many_redirects_are_brute_force(spark):
+    """Chains, cycles, hubs and stray pairs over 12,000 addresses, against plain union and find."""
+    rng = random.Random(12)
+    pairs = [(i, i + 1) for i in range(0, 3000) if i % 40 != 39]
+    pairs += [(3000 + i, 3000 + (i // 30) * 30 + (i + 1) % 30) for i in range(1500)]
+    pairs += [(4500, 4501 + i) for i in range(2500)] + [(4501 + i, 7100) for i in range(0, 2500, 900)]
+    pairs += [(rng.randrange(7200, 12000), rng.randrange(7200, 12000)) for _ in range(4500)]
+    bad, good = set(rng.sample(range(12000), 300)), set(rng.sample(range(12000), 60))
+    url = lambda i: f"http://s{i}.{'net/es' if i in bad else 'com' if i in good else 'org'}/p{i}"
+    pages = spark.createDataFrame([(i, url(i), None) for i in range(12000)], "page_id long, url string, html string")
+    redirects = spark.createDataFrame([(url(a), url(b)) for a, b in pairs], "from_url string, to_url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter(pages, redirects=redirects).collect()}
+    of = classes(pairs)
+    held = {}
+    for i in range(12000):
+        held.setdefault(of.get(i, i), set()).add(i)
+    want = {}
+    for members in held.values():
+        blocked = any(i in bad for i in members) and not any(i in good and i not in bad for i in members)
+        for i in members:
+            want[i] = "block" if i in bad else "allow" if i in good else "block" if blocked else "allow"
+    assert got == want
