@@ -6,6 +6,7 @@ Detectors take segments with their movement bounds (``segments.with_movement``)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -114,7 +115,7 @@ def swap_goal(candidates: DataFrame, contexts: DataFrame, positions: DataFrame,
 def detect_swaps(segments: DataFrame, contexts: DataFrame, positions: DataFrame, rearm_s: float = 1.0, moved: float = 1.0) -> DataFrame:
     """Position swaps of two attackers who both move ``moved`` metres in the event; of a pair's flips closer than
     ``rearm_s`` to the last one taken, none counts."""
-    c = swap_goal(swap_candidates(segments), contexts, positions)
+    c = written(swap_goal(swap_candidates(segments), contexts, positions), "swap-candidates")
     spans = lambda s: c.select("match_id", F.col(f"seg_id_{s}").alias("seg_id"), "t0", "t1")
     gone = displacement(segments, spans("a").unionByName(spans("b")).distinct())
     for s in "ab":
@@ -191,8 +192,8 @@ def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
     """Two attackers side by side (1.5 to 8 m apart, 7 to 17 m out) who both near the goal by 2 m within 2.5 s, each at
     1.2 m a second at some time, in the order they began.
 
-    Pairs and contexts are formed in Spark, and pairs without a place to start dropped; one pair's samples are scanned
-    at a time.
+    Pairs and contexts are formed in Spark, and pairs without a place to start dropped; the scan, whose steps depend on
+    where the last push ended, takes the pairs of one team and match one after another.
     """
     p = team_pairs(segments, 1.0)
     p = context_at(p, contexts).withColumn("goal_x", F.when(F.col("ctx_team") == F.col("team"), F.col("ctx_goal")))
@@ -202,7 +203,7 @@ def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
     p = p.withColumn("start", start)
     able = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("start").alias("any"), F.max("v_a").alias("va"), F.max("v_b").alias("vb")).where("n >= 5 and any and va >= 1.2 and vb >= 1.2")
     cols = ["frame_id", "timestamp_s", "dy", "start", "goal_x", "d0_a", "d0_b", "d40_a", "d40_b", "v_a", "v_b", "move_start_a", "move_start_b", "move_end_a", "move_end_b"]
-    e = p.join(able.select(*PAIR), PAIR).select(*PAIR, *cols).groupBy(*PAIR).applyInPandas(_pushes, PUSH_SCAN)
+    e = p.join(able.select(*PAIR), PAIR).select(*PAIR, "team", *cols).groupBy("match_id", "team").applyInPandas(_pushes, PUSH_SCAN)
     samples = p.select(*PAIR, "team", "track_id_a", "track_id_b", "frame_id", "timestamp_s")
     e = e.join(samples, PAIR).groupBy(*PAIR, *[c.split()[0] for c in PUSH_SCAN.split(", ")[3:]], "team", "track_id_a", "track_id_b")
     inside = F.when(F.col("timestamp_s").between(F.col("t0"), F.col("t1")), F.col("frame_id"))
@@ -211,29 +212,38 @@ def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def _pushes(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("frame_id")
-    t, dy, start, goal, va, vb, f = (pdf[c].to_numpy() for c in ("timestamp_s", "dy", "start", "goal_x", "v_a", "v_b", "frame_id"))
-    to = {0.0: pdf[["d0_a", "d0_b"]].to_numpy(), 40.0: pdf[["d40_a", "d40_b"]].to_numpy()}
-    out, k = [], 0
-    while k < len(t):
-        m = None
-        if start[k]:
-            d = to[goal[k]]
-            part = slice(k + 1, np.searchsorted(t - t[k], 2.5, "right"))
-            kept = np.logical_and.accumulate(dy[part] * dy[k] > 0)
-            gain = (d[k] - d[part]).min(axis=1)
-            pace = np.minimum(np.maximum.accumulate(va[part]), np.maximum.accumulate(vb[part]))
-            hits = np.flatnonzero(kept & (gain >= 2.0) & (pace >= 1.2))
-            m = k + 1 + int(hits[-1]) if len(hits) else None
-        if m is None:
-            k += 1
+    pdf = pdf.sort_values(["seg_id_a", "seg_id_b", "frame_id"])
+    pair = pdf[["seg_id_a", "seg_id_b"]].to_numpy()
+    cuts = np.flatnonzero((pair[1:] != pair[:-1]).any(axis=1)) + 1
+    columns = {c: np.split(pdf[c].to_numpy(), cuts) for c in pdf.columns if c not in ("match_id", "team", "seg_id_a", "seg_id_b")}
+    out = []
+    for k, ids in enumerate(np.split(pair, cuts)):
+        out += [(pdf["match_id"].iloc[0], *ids[0].tolist(), *found) for found in _pair_pushes({c: v[k] for c, v in columns.items()})]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in PUSH_SCAN.split(", ")])
+
+
+def _pair_pushes(c: dict[str, np.ndarray]) -> Iterator[tuple]:
+    """Pushes of one pair, from its samples in order."""
+    t, dy = c["timestamp_s"], c["dy"]
+    to = {0.0: np.stack([c["d0_a"], c["d0_b"]], axis=1), 40.0: np.stack([c["d40_a"], c["d40_b"]], axis=1)}
+    free = -1
+    for k in np.flatnonzero(c["start"]).tolist():
+        if k < free:
+            continue
+        d = to[c["goal_x"][k]]
+        part = slice(k + 1, np.searchsorted(t - t[k], 2.5, "right"))
+        kept = np.logical_and.accumulate(dy[part] * dy[k] > 0)
+        gain = (d[k] - d[part]).min(axis=1)
+        pace = np.minimum(np.maximum.accumulate(c["v_a"][part]), np.maximum.accumulate(c["v_b"][part]))
+        hits = np.flatnonzero(kept & (gain >= 2.0) & (pace >= 1.2))
+        if not len(hits):
             continue
-        r, g, v = pdf.iloc[m], gain[m - k - 1], pace[m - k - 1]
-        t0, t1 = max(min(r.move_start_a, r.move_start_b), t[k] - 3.0), min(max(r.move_end_a, r.move_end_b), t[m] + 3.0)
+        m, g, v = k + 1 + int(hits[-1]), gain[hits[-1]], pace[hits[-1]]
+        t0 = max(min(c["move_start_a"][m], c["move_start_b"][m]), t[k] - 3.0)
+        t1 = min(max(c["move_end_a"][m], c["move_end_b"][m]), t[m] + 3.0)
         sure = min(0.95, 0.45 + 0.2 * min(1.0, g / 4) + 0.15 * min(1.0, v / 3))
-        out.append((r.match_id, int(r.seg_id_a), int(r.seg_id_b), float(t[k]), float(t[m]), float(t0), float(t1), float(sure), float(goal[k]), float(g), int(f[k]), int(f[m])))
-        k = max(k + 1, int(np.searchsorted(t, t[m] + 1.0)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PUSH_SCAN.split(", ")])
+        yield float(t[k]), float(t[m]), float(t0), float(t1), float(sure), float(c["goal_x"][k]), float(g), int(c["frame_id"][k]), int(c["frame_id"][m])
+        free = int(np.searchsorted(t, t[m] + 1.0))
 
 
 def centroid_series(rows: DataFrame, least: int = 3) -> DataFrame:
