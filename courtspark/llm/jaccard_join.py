@@ -239,10 +239,10 @@ def _multiplied(batches: Iterator[pa.RecordBatch], percent: int, best: bool) ->
 def _tiles(shared: DataFrame, heavy: DataFrame, tile: int) -> DataFrame:
     """Entries with the tiles of their anchor's block in which they are multiplied.
 
-    A block of at most ``tile`` entries is one tile. In a larger one, of ``heavy``, rows of its commonest component
-    are dealt into tiles and meet only the others, which go to each of these; the others meet each other in tiles of a
-    side each. So a group of joined near copies is dealt out once, whatever its size, and what two rows share in a
-    block meets in one tile.
+    A block of at most ``tile`` entries is one tile. In a larger one, of ``heavy``, rows of its commonest component and
+    the others are dealt into parts of about ``tile`` entries; each part of the former meets each of the latter, and
+    these meet each other. So a group of joined near copies goes out once for each part of what is not joined to it,
+    and what two rows share in a block meets in one tile.
     """
     short = shared.join(small(heavy.select("anchor")), "anchor", "left_anti").withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(-1))
     long = shared.join(small(heavy), "anchor")
@@ -251,10 +251,11 @@ def _tiles(shared: DataFrame, heavy: DataFrame, tile: int) -> DataFrame:
     long = long.join(small(bulk.select("anchor", F.col("most.component").alias("bulk"), F.col("most.k").alias("k"))), "anchor")
     deal = lambda n: F.pmod(F.xxhash64("row"), n)
     tiles, others = F.ceil(F.col("k") / tile), F.greatest(F.ceil((F.col("held") - F.col("k")) / tile), F.lit(1))
-    in_bulk = long.where("component = bulk").withColumn("tile", 1 + deal(tiles)).withColumn("side", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    in_bulk = long.where("component = bulk").withColumn("tile", every(others)).withColumn("tile", 1 + deal(tiles) * others + F.col("tile")).withColumn("side", F.lit(1))
     few = long.where("component <> bulk")
-    to_bulk = few.withColumn("tile", F.explode(F.sequence(F.lit(1).cast("long"), tiles))).withColumn("side", F.lit(0))
-    own = few.withColumn("own", deal(others)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    to_bulk = few.withColumn("tile", every(tiles)).withColumn("tile", 1 + F.col("tile") * others + deal(others)).withColumn("side", F.lit(0))
+    own = few.withColumn("own", deal(others)).withColumn("other", every(others))
     name = -1 - (F.least("own", "other") * others + F.greatest("own", "other"))
     each = own.withColumn("tile", name).withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")))
     columns = ["anchor", "tile", "side", "gram", "n", "at", "before", "row", "component"]
@@ -292,7 +293,9 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
     a group of copies thus costs rows in proportion to its size, and no link between components is lost.
 
     Sets are kept as 64-bit hashes. A null or blank text has no set, is its own component and stays; repeated rows
-    share one; null doc_ids are members that lend no id (a component of nothing else has a null id).
+    share one; null doc_ids are members that lend no id (a component of nothing else has a null id). Texts of any
+    length are taken whole; an empty table gives no rows; other columns of ``docs``, whatever their names, play no
+    part.
     """
     d = _described(docs, text, words, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -323,7 +326,8 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
+    """The rows of ``docs`` that stay, one of each component, with all their columns; rows with null or blank texts all
+    stay."""
     key = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_hash") == F.xxhash64(text_of())]
     found = jaccard_rows(docs, words, percent).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     found = table(found.agg(F.max("stays").alias("stays"), F.count("*").alias("times"), F.max("n").alias("n")), "decisions")
