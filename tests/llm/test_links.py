@@ -26,8 +26,9 @@ def classes(edges):
     return {x: find(x) for x in list(root)}
 
 
-@pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
-def test_components(spark, kind):
+@pytest.mark.parametrize(("kind", "broadcast"), [("random", True), ("path", True), ("star", False), ("random", False), ("none", True)])
+def test_components(spark, monkeypatch, kind, broadcast):
+    monkeypatch.setattr("courtspark.llm.graph.BROADCAST_ROWS", 1000 if broadcast else 0)
     rng = random.Random(2)
     edges = {
         "random": [(rng.randrange(120), rng.randrange(120)) for _ in range(90)],
