@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local folder only where the session runs in one process (tests)."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return f"{tempfile.gettempdir()}/courtspark-checkpoints"
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
