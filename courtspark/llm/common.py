@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     process, as in tests."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
-    if spark.sparkContext.master.startswith("local["):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return f"{tempfile.gettempdir()}/courtspark-checkpoints"
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
