@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, license_scan, mixing, pseudo_likelihood, sharding, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, license_scan, mixing, pseudo_likelihood, sharding, token_counts, toxicity, url_filter, whitening
 
-MODULES = (pseudo_likelihood, mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, decontaminate, toxicity, sharding)
+MODULES = (pseudo_likelihood, mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, decontaminate, toxicity, sharding, whitening)
 
 
 def queries() -> dict:
