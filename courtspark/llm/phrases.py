@@ -325,23 +325,27 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = """
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-p AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws
-  FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
-g AS (SELECT lang, m, ws[i:i + m - 1] AS ph FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p CROSS JOIN (VALUES (1), (2), (3)) AS s(m))),
-f AS (SELECT lang, m, ph, count(*) AS n FROM g GROUP BY lang, m, ph),
-total AS (SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY lang),
-cand AS (SELECT * FROM f WHERE m > 1 AND n >= 10),
-cuts AS (SELECT c.lang, c.m, c.ph, c.n AS a, k, x.n AS l, y.n AS r,
-    (1000000::HUGEINT * c.n::HUGEINT * c.n::HUGEINT) // (x.n::HUGEINT * y.n::HUGEINT) AS score
-  FROM cand c JOIN (VALUES (1), (2)) AS s(k) ON k < c.m
-  JOIN f x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[k + 1:c.m]),
-low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
-around AS (SELECT lang, ph, max(n) AS longer FROM (SELECT lang, ph[1:2] AS ph, n FROM cand WHERE m = 3 UNION ALL SELECT lang, ph[2:3], n FROM cand WHERE m = 3) GROUP BY lang, ph),
-kept AS (SELECT low.* FROM low LEFT JOIN around ON around.lang = low.lang AND around.ph = low.ph WHERE low.m = 3 OR longer IS NULL OR 100 * longer < 50 * a),
-best AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM kept)
+p AS (SELECT lang, row_number() OVER () AS piece, text FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS text FROM d)),
+w AS (SELECT lang, piece, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT lang, piece, list_filter(string_split_regex(text, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p)),
+t AS (SELECT lang, w AS w1, lead(w, 1) OVER here AS w2, lead(w, 2) OVER here AS w3 FROM w WINDOW here AS (PARTITION BY piece ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*) AS n FROM t GROUP BY lang, w1),
+f2 AS (SELECT lang, w1, w2, count(*) AS n FROM t WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS n FROM t WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+total AS (SELECT lang, sum(n) AS n FROM f1 GROUP BY lang),
+around AS (SELECT lang, w1, w2, max(n) AS longer FROM (SELECT lang, w1, w2, n FROM f3 UNION ALL SELECT lang, w2, w3, n FROM f3) GROUP BY lang, w1, w2),
+cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.n AS a, 1 AS k, x.n AS l, y.n AS r
+  FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+  LEFT JOIN around o ON o.lang = c.lang AND o.w1 = c.w1 AND o.w2 = c.w2 WHERE o.longer IS NULL OR 100 * o.longer < 50 * c.n
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.n, 1, x.n, y.n
+  FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.n, 2, x.n, y.n
+  FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (l::HUGEINT * r::HUGEINT) AS score FROM cuts),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
 SELECT best.lang, rank, phrase, a, l, r, cast(total.n AS bigint) AS n, cast(score AS bigint) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) AS best JOIN total ON total.lang = best.lang
-WHERE rank <= 2000
+FROM best JOIN total ON total.lang = best.lang WHERE rank <= 2000
 """
 
 QUERIES = {"op11_phrases": op11_phrases}
