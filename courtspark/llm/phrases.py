@@ -24,6 +24,7 @@ EDGE, DENSE, HELD = 1 << 10, 1 << 17, 1 << 21
 #: Texts of one language are scanned together up to BUFFER bytes; hashes are made in pieces; words in this number are
 #: held before a task hands its counts on; longer words than LONG bytes are hashed one by one.
 BUFFER, PIECE, WORDS, LONG = 1 << 23, 1 << 20, 500_000, 256
+LEADING = 19
 _MASK = (1 << 64) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
@@ -31,10 +32,12 @@ _APART = _BREAK | np.isin(np.arange(256), list(b" \t"))
 
 
 class Level(NamedTuple):
-    """The frequent phrases of one length: keys of those that go by rank, sorted, with their ranks; the word codes of
-    each rank; and a filter of the others' keys."""
+    """The frequent phrases of one length: keys of those that go by rank, sorted, with a greatest one behind them,
+    where the keys of each leading ``LEADING`` bits start, their ranks; the word codes of each rank; and a filter of
+    the others' keys."""
 
     keys: np.ndarray
+    starts: np.ndarray
     ranks: np.ndarray
     words: list[np.ndarray]
     others: np.ndarray
@@ -139,13 +142,19 @@ def _level(frequent: DataFrame, codes: list[str]) -> Level:
     key, n = top.column("key").to_numpy(), top.column("n").to_numpy()
     order = np.lexsort((key, -n))
     by_key = np.argsort(key[order])
-    return Level(key[order][by_key].view(np.uint64), by_key.astype(np.int64), [top.column(c).to_numpy()[order] for c in codes], membership(frequent.where(F.col("n") < least), "key"))
+    keys = key[order][by_key].view(np.uint64)
+    starts = np.searchsorted(keys, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(63 - LEADING))
+    return Level(np.append(keys, np.uint64(_MASK)), starts, by_key.astype(np.int64), [top.column(c).to_numpy()[order] for c in codes], membership(frequent.where(F.col("n") < least), "key"))
 
 
 def _coded(level: Level, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of keys: the rank, else the key below zero; and whether the phrase may be frequent."""
-    at = np.minimum(np.searchsorted(level.keys, keys), max(len(level.keys) - 1, 0))
-    ranked = level.keys[at] == keys if len(level.keys) else np.zeros(len(keys), bool)
+    at = level.starts[keys >> np.uint64(63 - LEADING)]
+    behind = np.flatnonzero(level.keys[at] < keys)
+    while len(behind):
+        at[behind] += 1
+        behind = behind[level.keys[at[behind]] < keys[behind]]
+    ranked = level.keys[at] == keys
     code = ~keys.view(np.int64)
     code[ranked] = level.ranks[at[ranked]]
     return code, ranked | may_hold(level.others, keys)
@@ -159,16 +168,15 @@ def phrase_keys(first: np.ndarray, word: np.ndarray) -> np.ndarray:
 def tile_counts(first: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Distinct pairs of ranks with their counts. A tile that holds many is counted by address in one dense bincount;
     what lies in thinly filled tiles is sorted and counted by runs."""
-    across = (1 << 40) // EDGE
+    across = RANKS // EDGE + 1
     tile = (first // EDGE) * across + word // EDGE
-    tiles, of, size = np.unique(tile, return_inverse=True, return_counts=True)
-    full = size >= DENSE
+    full = np.bincount(tile, minlength=across * across) >= DENSE
     for t in np.flatnonzero(full):
-        mine = of == t
+        mine = tile == t
         cells = np.bincount((first[mine] % EDGE) * EDGE + word[mine] % EDGE, minlength=EDGE * EDGE)
         at = np.flatnonzero(cells)
-        yield tiles[t] // across * EDGE + at // EDGE, tiles[t] % across * EDGE + at % EDGE, cells[at]
-    thin = ~full[of]
+        yield t // across * EDGE + at // EDGE, t % across * EDGE + at % EDGE, cells[at]
+    thin = ~full[tile]
     pairs, n = np.unique(first[thin] * RANKS + word[thin], return_counts=True)
     yield pairs // RANKS, pairs % RANKS, n
 
@@ -289,10 +297,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = words.where(F.col("n") >= least)
     first = _level(frequent.select("key", "n"), [])
-    ranks = local(docs.sparkSession, list(zip(first.keys.view(np.int64).tolist(), first.ranks.tolist(), strict=True)), key=pa.int64(), rank=pa.int64())
+    ranks = local(docs.sparkSession, list(zip(first.keys[:-1].view(np.int64).tolist(), first.ranks.tolist(), strict=True)), key=pa.int64(), rank=pa.int64())
     coded = frequent.join(F.broadcast(ranks), "key", "left")  # at most RANKS rows of two numbers
     coded = table(coded.select(F.coalesce("rank", F.bitwise_not("key")).alias("c0"), "lang", "word", "n"), "coded")
-    levels, counts = [first._replace(words=[np.arange(len(first.keys))])], [coded.select("c0", "n")]
+    levels, counts = [first._replace(words=[np.arange(len(first.ranks))])], [coded.select("c0", "n")]
     while len(counts) < longest:
         counts.append(_counted(texts, seed, levels, least))
         if len(counts) < longest:
