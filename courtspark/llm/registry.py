@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, license_scan, mixing, phrases, pseudo_likelihood, sharding, token_counts, toxicity, url_filter, whitening
+from . import decontaminate, exact_dedup, jaccard_join, license_scan, mixing, phrases, pseudo_likelihood, sharding, suffix_dedup, token_counts, toxicity, url_filter, whitening
 
-MODULES = (pseudo_likelihood, mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, decontaminate, toxicity, sharding, phrases, whitening)
+MODULES = (pseudo_likelihood, mixing, license_scan, exact_dedup, token_counts, jaccard_join, url_filter, decontaminate, toxicity, sharding, phrases, suffix_dedup, whitening)
 
 
 def queries() -> dict:
