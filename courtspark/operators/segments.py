@@ -12,6 +12,8 @@ TRACK = ["match_id", "track_id"]
 SEG = ["match_id", "seg_id"]
 #: Rows at a chain's end that tell its team.
 TAIL = 15
+#: A chain takes fragments up to so many seconds after its end.
+HOLD_S = 0.7
 
 
 def play_rows(players: DataFrame, frames: DataFrame, fps: DataFrame) -> DataFrame:
@@ -37,8 +39,9 @@ def stitch_fragments(fragments: DataFrame) -> DataFrame:
 
     A chain takes a fragment 0 to 0.7 s after its last point and within min(1 + 2.5 gap, 2.5) m, if their teams do
     not clash and no other chain is nearly as close (0.8 m). A chain's team is the commonest of its last 15 rows. Each
-    choice moves a chain's end, so the fragments of a match are taken in turn; they come as endpoints with the teams
-    of their last rows, and chains that ended too long ago are dropped on the way.
+    choice moves a chain's end, so fragments are taken in turn; they come as endpoints with the teams of their last
+    rows. Where all earlier fragments ended more than 0.7 s before the next one starts no chain goes on, so a match
+    falls into stretches that are taken each on its own; chains are numbered through the match afterwards.
     """
     keys = [*TRACK, "fragment"]
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("frame_id")))
@@ -48,8 +51,12 @@ def stitch_fragments(fragments: DataFrame) -> DataFrame:
     ends = ends.join(majority_team(fragments, keys), keys)
     at = lambda e, n: [F.col(f"{e}.timestamp_s").alias(f"t{n}"), F.col(f"{e}.x").alias(f"x{n}"), F.col(f"{e}.y").alias(f"y{n}")]
     ends = ends.select(*keys, "team", "tail", *at("a", 0), *at("b", 1))
-    ids = ends.groupBy("match_id").applyInPandas(_chains, "match_id string, track_id int, fragment long, seg_id int")
-    return fragments.join(ids, keys)
+    w = Window.partitionBy("match_id").orderBy("t0", "track_id", "fragment")
+    ended = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ends = islands(ends, ["match_id"], ["t0", "track_id", "fragment"], F.col("t0") - ended > HOLD_S, "stretch")
+    ids = ends.groupBy("match_id", "stretch").applyInPandas(_chains, "match_id string, stretch long, track_id int, fragment long, chain int, fresh int")
+    before = F.coalesce(F.sum("fresh").over(Window.partitionBy("match_id").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return fragments.join(ids.select(*keys, (before + F.col("chain")).cast("int").alias("seg_id")), keys)
 
 
 def _commonest(teams: list[str]) -> str:
@@ -57,12 +64,12 @@ def _commonest(teams: list[str]) -> str:
 
 
 def _chains(ends: pd.DataFrame) -> pd.DataFrame:
-    """Chain numbers of one match's fragments."""
+    """Chain numbers of one stretch's fragments, and which of them begin a chain."""
     open_: dict[int, tuple] = {}
     out: list[tuple] = []
     n = 0
     for r in ends.sort_values(["t0", "track_id", "fragment"]).itertuples():
-        open_ = {k: c for k, c in open_.items() if r.t0 - c[0] <= 0.7}
+        open_ = {k: c for k, c in open_.items() if r.t0 - c[0] <= HOLD_S}
         near = []
         for k, (t, x, y, tail) in open_.items():
             gap, d = r.t0 - t, ((r.x0 - x) ** 2 + (r.y0 - y) ** 2) ** 0.5
@@ -75,9 +82,10 @@ def _chains(ends: pd.DataFrame) -> pd.DataFrame:
             tail = (open_[k][3] + tail)[-TAIL:]
         else:
             k, n = n, n + 1
+        fresh = k == n - 1 and k not in open_
         open_[k] = (r.t1, r.x1, r.y1, tail)
-        out.append((r.match_id, r.track_id, r.fragment, k))
-    return pd.DataFrame(out, columns=["match_id", "track_id", "fragment", "seg_id"])
+        out.append((r.match_id, r.stretch, r.track_id, r.fragment, k, int(fresh)))
+    return pd.DataFrame(out, columns=["match_id", "stretch", "track_id", "fragment", "chain", "fresh"])
 
 
 def smooth(rows: DataFrame, keys: list[str], cols: list[str], half: int = 2) -> DataFrame:
@@ -107,19 +115,29 @@ def build_segments(rows: DataFrame, stitch: bool = True) -> DataFrame:
     return central_velocity(smooth(s, SEG, ["x", "y"]), SEG)
 
 
-def attack_verdicts(rows: DataFrame, bin_s: float = 1.0, least: int = 3, near: float = 14.0) -> DataFrame:
-    """Per bin of time: the goal that the players are near, the team farther from it, and by how much."""
-    bins = rows.groupBy("match_id").agg(F.max("timestamp_s").alias("t")).select("match_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("t") / bin_s).cast("int"))).alias("bin"))
-    p = rows.where("team in ('A', 'B')").withColumn("bin", F.floor(F.col("timestamp_s") / bin_s).cast("int"))
+def verdict_aggregates() -> list[Column]:
+    """What a verdict needs of the A and B rows of one bin."""
     own = lambda t, c: F.when(F.col("team") == t, c)
-    g = p.groupBy("match_id", "bin").agg(
+    return [
         F.array_sort(F.collect_list("x")).alias("xs"), *[F.count_if(F.col("team") == t).alias(f"n_{t}") for t in "AB"],
         *[F.avg(own(t, F.abs(F.col("x") - z))).alias(f"d_{t}_{z}") for t in "AB" for z in (0, 40)],
-    ).where((F.col("n_A") >= least) & (F.col("n_B") >= least))
+    ]
+
+
+def verdicts_of(bins: DataFrame, keys: list[str], least: int = 3, near: float = 14.0) -> DataFrame:
+    """Goal, team farther from it and margin, from ``verdict_aggregates`` by bin; bins with too few rows go."""
+    g = bins.where((F.col("n_A") >= least) & (F.col("n_B") >= least))
     mid = F.element_at("xs", F.floor(F.size("xs") / 2).cast("int") + 1)
     goal = F.when(mid < near, 0.0).when(mid > 40 - near, 40.0)
     a, b = F.when(goal == 0, F.col("d_A_0")).otherwise(F.col("d_A_40")), F.when(goal == 0, F.col("d_B_0")).otherwise(F.col("d_B_40"))
-    v = g.select("match_id", "bin", goal.alias("goal"), F.when(goal.isNotNull(), F.when(a > b, "A").otherwise("B")).alias("ahead"), F.when(goal.isNotNull(), F.abs(a - b)).alias("margin"))
+    return g.select(*keys, goal.alias("goal"), F.when(goal.isNotNull(), F.when(a > b, "A").otherwise("B")).alias("ahead"), F.when(goal.isNotNull(), F.abs(a - b)).alias("margin"))
+
+
+def attack_verdicts(rows: DataFrame, bin_s: float = 1.0, least: int = 3, near: float = 14.0) -> DataFrame:
+    """Per bin of time: the goal that the players are near, the team farther from it, and by how much."""
+    bins = rows.groupBy("match_id").agg(F.max("timestamp_s").alias("t")).select("match_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("t") / bin_s).cast("int"))).alias("bin"))
+    p = rows.where("team in ('A', 'B')").withColumn("bin", F.floor(F.col("timestamp_s") / bin_s).cast("int"))
+    v = verdicts_of(p.groupBy("match_id", "bin").agg(*verdict_aggregates()), ["match_id", "bin"], least, near)
     return bins.join(v, ["match_id", "bin"], "left")
 
 
@@ -195,13 +213,22 @@ def with_movement(segments: DataFrame) -> DataFrame:
 
 def position_at(segments: DataFrame, times: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Each segment's first sample at or after a time, else its last: times (match_id, seg_id, t) with seen_s, x, y and
-    the columns named in ``also`` there."""
-    cols = ["x", "y", *also]
-    j = times.join(segments.select(*SEG, "timestamp_s", *cols), SEG)
+    the columns named in ``also`` there. Repeated times count once; a null time takes the last sample.
+
+    Samples and times of a segment are merged in one falling order, in which the sample seen last before a time is the
+    one wanted, so no time meets every sample.
+    """
+    cols, asked = ["x", "y", *also], [c for c in times.columns if c not in SEG]
+    times = times.distinct()
     sample = F.struct("timestamp_s", *cols)
-    g = j.groupBy(*times.columns).agg(F.min(F.when(F.col("timestamp_s") >= F.col("t"), sample)).alias("a"), F.max(sample).alias("z"))
-    p = F.coalesce("a", "z")
-    return g.select(*times.columns, p["timestamp_s"].alias("seen_s"), *[p[c].alias(c) for c in cols])
+    s = segments.join(times.select(*SEG).distinct(), SEG, "left_semi").select(*SEG, F.col("timestamp_s").alias("_at"), F.lit(0).alias("_asked"), sample.alias("_sample"), F.lit(None).cast(times.select(F.struct(*asked)).schema[0].dataType).alias("_row"))
+    q = times.select(*SEG, F.coalesce("t", F.lit(float("inf"))).alias("_at"), F.lit(1).alias("_asked"), F.lit(None).cast(s.schema["_sample"].dataType).alias("_sample"), F.struct(*asked).alias("_row"))
+    w = Window.partitionBy(*SEG)
+    falling = w.orderBy(F.desc("_at"), "_asked", F.desc("_sample")).rowsBetween(Window.unboundedPreceding, 0)
+    p = F.coalesce("_seen", "_last")
+    both = s.unionByName(q).withColumns({"_seen": F.last("_sample", ignorenulls=True).over(falling), "_last": F.max("_sample").over(w)}).where("_asked = 1")
+    both = both.where(p.isNotNull())
+    return both.select(*[c if c in SEG else F.col(f"_row.{c}").alias(c) for c in times.columns], p["timestamp_s"].alias("seen_s"), *[p[c].alias(c) for c in cols])
 
 
 def displacement(segments: DataFrame, spans: DataFrame) -> DataFrame:
