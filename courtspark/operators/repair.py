@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.court import distance
+from ..sources.shared import written
+from .components import chain_roots
 from .islands import in_intervals
 
 FRAME = ["match_id", "frame_id"]
@@ -61,28 +63,44 @@ def detect_id_switches(players: DataFrame, max_gap: int = 8, max_dist: float = 1
 
 
 def merge_id_switches(players: DataFrame, switches: DataFrame) -> DataFrame:
-    """Rename new tracks to the old ones they continue, nearest pairs first, unless the two then share a frame.
+    """Rename new tracks to the first track of the chain they continue, unless the two then share a frame.
 
-    A merge changes later overlap tests, so the pairs of a match are taken in turn; only the tracks that occur in a
-    pair come together, as distinct frames, and only a mapping comes back.
+    Pairs count nearest first. A new track's target is found by following the pairs before its own, skipped ones too;
+    then the new tracks are renamed in that order, and one that shares a frame with what its target has become stays.
+    An earlier renaming changes later tests, but only among tracks that pairs connect: each such group is folded on
+    its own, as distinct frames, and only a mapping comes back. Of several pairs of one new track the nearest counts.
     """
-    ids = switches.select("match_id", F.explode(F.array("old_id", "new_id")).alias("track_id")).distinct()
-    spans = players.join(ids, TRACK, "left_semi").groupBy(*TRACK).agg(F.sort_array(F.collect_set("frame_id")).alias("frames"))
+    best = F.min(F.struct("dist", "old_id")).alias("b")
+    pairs = switches.where("old_id <> new_id").groupBy("match_id", "new_id").agg(best).select("match_id", "new_id", F.col("b.old_id").alias("old_id"), F.col("b.dist").alias("dist"))
+    pairs = written(pairs, "switches")
+    roots = chain_roots(pairs, ["match_id"], "new_id", "old_id")
+    pairs = pairs.join(roots, ["match_id", "new_id"])
+    ids = pairs.select("match_id", "root", F.explode(F.array("old_id", "new_id")).alias("track_id")).distinct()
+    spans = players.select(*FRAME, "track_id").join(ids, TRACK).groupBy("match_id", "root", "track_id").agg(F.collect_set("frame_id").alias("frames"))
 
     def merge(pairs: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
         held = {t: set(f) for t, f in zip(tracks["track_id"], tracks["frames"], strict=True)}
-        root = {t: t for t in held}
-        for _, p in pairs.sort_values(["dist", "old_id", "new_id"]).iterrows():
-            a, b = root.get(p["old_id"]), root.get(p["new_id"])
-            if a is None or b is None or a == b or held[a] & held[b]:
-                continue
-            held[a] |= held.pop(b)
-            root = {t: a if r == b else r for t, r in root.items()}
-        moved = [(tracks["match_id"].iloc[0], t, r) for t, r in root.items() if t != r] if len(tracks) else []
-        return pd.DataFrame(moved, columns=["match_id", "track_id", "to"])
+        target: dict[int, int] = {}
+        for old, new in pairs.sort_values(["dist", "old_id", "new_id"])[["old_id", "new_id"]].itertuples(index=False):
+            while old in target:
+                old = target[old]
+            target[new] = old
+        moved: dict[int, int] = {}
+        for new, old in target.items():
+            small, large = sorted((held.get(new, set()), held.get(old, set())), key=len)
+            if small.isdisjoint(large):
+                large |= small
+                held[old], held[new], moved[new] = large, set(), old
+        out = []
+        for track in moved:
+            to = track
+            while to in moved:
+                to = moved[to]
+            out.append((pairs["match_id"].iloc[0], track, to))
+        return pd.DataFrame(out, columns=["match_id", "track_id", "to"])
 
     spans = spans.toDF(*spans.columns)  # its own column ids: both sides stem from the same rows
-    mapping = switches.groupBy("match_id").cogroup(spans.groupBy("match_id")).applyInPandas(merge, "match_id string, track_id int, to int")
+    mapping = pairs.groupBy("match_id", "root").cogroup(spans.groupBy("match_id", "root")).applyInPandas(merge, "match_id string, track_id int, to int")
     return players.join(mapping, TRACK, "left").withColumn("track_id", F.coalesce("to", "track_id")).drop("to")
 
 
