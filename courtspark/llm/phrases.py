@@ -20,7 +20,7 @@ LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
 #: So many of the most frequent words, and of the phrases of each length, go by rank; the others by hash.
 RANKS = 1 << 18
 #: A tile is EDGE x EDGE pairs of ranks. In one flush of HELD pairs a tile of at least DENSE is counted by address.
-EDGE, DENSE, HELD = 1 << 10, 1 << 16, 1 << 20
+EDGE, DENSE, HELD = 1 << 10, 1 << 16, 1 << 19
 #: Texts of one language are scanned together up to BUFFER bytes; hashes are made in pieces; words in this number are
 #: held before a task hands its counts on; longer words than LONG bytes are hashed one by one.
 BUFFER, PIECE, WORDS, LONG = 1 << 21, 1 << 20, 200_000, 256
@@ -76,7 +76,7 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes
     """Whole texts of one language, lower-cased, a line end between any two."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
-    for b in batches:
+    for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             held.setdefault(lang, []).append(t)
             size[lang] = size.get(lang, 0) + len(t)
