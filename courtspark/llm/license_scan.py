@@ -82,17 +82,21 @@ class Scanner:
                 m = fuzzy.search(line, max(0, s - notice.errors - 1), min(len(line), s + len(phrase) + notice.errors + 1))
                 if m:
                     hits[m.span()] = min(sum(m.fuzzy_counts), hits.get(m.span(), len(phrase)))
-            best = self._apart(hits)
-            found += [(notice, line.count(b" ", 0, a), line.count(b" ", a, b) + 1, e) for (a, b), e in best]
+            first = at = 0  # the words before ``at``, counted on from match to match
+            for (a, b), e in self._apart(hits, len(line)):
+                first, at = first + line.count(b" ", at, a), a
+                found.append((notice, first, line.count(b" ", a, b) + 1, e))
         return len(words), found
 
     @staticmethod
-    def _apart(hits: dict[tuple[int, int], int]) -> list[tuple[tuple[int, int], int]]:
-        """All exact matches, and of edited ones those that overlap no better match."""
+    def _apart(hits: dict[tuple[int, int], int], size: int) -> list[tuple[tuple[int, int], int]]:
+        """All exact matches, and of edited ones those that overlap no better match; places taken are marked."""
         kept: list[tuple[tuple[int, int], int]] = []
+        taken = bytearray(size)
         for (a, b), e in sorted(hits.items(), key=lambda x: (x[1], x[0])):
-            if e == 0 or all(b <= c or d <= a for (c, d), _ in kept):
+            if e == 0 or taken.find(1, a, b) < 0:
                 kept.append(((a, b), e))
+                taken[a:b] = b"\1" * (b - a)
         return sorted(kept)
 
 

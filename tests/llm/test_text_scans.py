@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -86,6 +87,37 @@ def test_edits_at_every_place_are_found_as_an_unseeded_search_finds_them():
     assert found > 2000 and lost == 0
 
 
+def test_places_and_edits_are_those_of_an_unseeded_search():
+    rng = random.Random(23)
+    scanner = Scanner()
+    seen = 0
+    for k in range(600):
+        notice, _, _, fuzzy = scanner.notices[k % len(scanner.notices)]
+        parts = [edited(rng, notice.phrase, rng.randrange(notice.errors + 1)) for _ in range(rng.randrange(1, 4))]
+        text = "".join(f"{'quux zork vim ' * rng.randrange(4, 9)}{p} " for p in parts) + "zork quux"
+        line = b" ".join(LINE_WORDS(text.encode()))
+        want = []
+        for m in fuzzy.finditer(line):
+            want.append((line[: m.start()].count(b" "), m.group().count(b" ") + 1, sum(m.fuzzy_counts)))
+        got = [(w, n, e) for x, w, n, e in scanner.spans(text.encode())[1] if x is notice]
+        if len(want) == len(got) == len(parts):
+            seen += 1
+            assert [(w, e) for w, _, e in got] == [(w, e) for w, _, e in want], text
+    assert seen > 350  # in the others an edit joined or split words at an edge
+
+
+def test_many_matches_in_one_text_take_linear_time():
+    scanner, took = Scanner(), []
+    for n in (11_000, 88_000):
+        text = b"mit licence mit license " * (n // 2)
+        began = time.process_time()
+        words, found = scanner.spans(text)
+        took.append(time.process_time() - began)
+        own = [(w, e) for x, w, _, e in found if x.label == "mit"]
+        assert words == 2 * n and own == [(2 * i, 1 - i % 2) for i in range(n)]
+    assert len(text) > 1_000_000 and took[1] < 20 * took[0]
+
+
 def test_scan_of_nulls_repeats_and_nothing(docs):
     rows = license_scan(docs([(1, None), (1, "mit license"), (1, "mit license"), (None, "x" * 100000)])).collect()
     assert sorted((r["n_words"], len(r["matches"])) for r in rows) == [(0, 0), (1, 0), (2, 1), (2, 1)]
