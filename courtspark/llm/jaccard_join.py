@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import documents, shuffle_width, small, table, text_of
+from .common import documents, free_names, shuffle_width, small, table, text_of
 from .graph import connected_components
 
 WORDS = 5
@@ -26,6 +26,9 @@ MORE = 4
 #: Lists up to SHORT are multiplied together; at most about PAIRS pairs and HELD entries of one block wait in a task.
 SHORT, PAIRS, HELD = 32, 1 << 20, 1 << 18
 MINHASHES, STARS, AGREE = 8, 4, 6
+#: Components of at least so many sets are tested against each other as wholes; at most so many pairs of them are
+#: handed to every task (16 MB).
+MANY, EXCLUDED = 8, 1 << 20
 _MULT = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k & ((1 << 64) - 1) | 1 for k in range(1, MINHASHES + 1)], np.uint64)
 
 
@@ -91,10 +94,9 @@ def _described(docs: DataFrame, text: str, words: int, percent: int) -> DataFram
     return table(out.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
-def _verified(docs: DataFrame, text: str, words: int, percent: int, described: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b, rows of ``described``) that link, decided on whole sets made anew from the texts."""
-    want = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    want = table(described.select("row", "doc_id", "text_hash").join(want, "row"), "wanted")
+def _whole_sets(docs: DataFrame, text: str, words: int, described: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, set) of the asked ``rows`` of ``described``, made anew from the texts."""
+    want = table(described.select("row", "doc_id", "text_hash").join(rows, "row"), "wanted")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,13 +106,48 @@ def _verified(docs: DataFrame, text: str, words: int, percent: int, described: D
 
     d = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of(text)).alias("h"), text_of(text).cast("binary").alias("text"))
     texts = d.join(small(want), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("row", "text")
-    sets = table(texts.mapInArrow(make, "row long, set array<long>").dropDuplicates(["row"]), "whole-sets")
+    return table(texts.mapInArrow(make, "row long, set array<long>").dropDuplicates(["row"]), "whole-sets")
+
+
+def _verified(docs: DataFrame, text: str, words: int, percent: int, described: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b, rows of ``described``) that link, decided on whole sets."""
+    sets = _whole_sets(docs, text, words, described, pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
     left, right = sets.select(F.col("row").alias("a"), F.col("set").alias("sa")), sets.select(F.col("row").alias("b"), F.col("set").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
     return table(both.where((100 + percent) * overlap >= percent * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
 
 
+def _unlinked(docs: DataFrame, text: str, words: int, percent: int, described: DataFrame, components: DataFrame, met: DataFrame) -> np.ndarray:
+    """Of pairs of components that ``met`` (rows a, b of different ones), those that no link can join: sorted (p, q).
+
+    What a set shares with one of another component it shares with the union of that component's sets. If no set of
+    the one shares as much with the other's union as a link of these sizes takes, there is no link between them. That
+    takes one count for each member, not one for each two members. Components of fewer than ``MANY`` sets cost no
+    square and are left out; at most ``EXCLUDED`` pairs, of the largest, are kept.
+    """
+    size = components.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") >= MANY)
+    of = lambda x, c: components.join(size, "component").select(F.col("node").alias(x), F.col("component").alias(c), F.col("members").alias(f"{c}_members"))
+    pairs = met.join(of("a", "p"), "a").join(of("b", "q"), "b").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), (F.col("p_members") * F.col("q_members")).alias("square")).distinct()
+    pairs = table(pairs, "met")
+    if pairs.isEmpty():
+        return np.empty((0, 2), np.int64)
+    ways = table(pairs.select(F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("w")).select("w.p", "w.q"), "ways")
+    members = table(components.join(small(ways.select(F.col("p").alias("component")).distinct()), "component", "left_semi").select(F.col("node").alias("row"), F.col("component").alias("p")), "members")
+    sets = _whole_sets(docs, text, words, described, members.select("row")).join(members, "row")
+    sets = table(sets.select("row", "p", F.size("set").alias("n"), "set"), "member-sets")
+    union = table(sets.select(F.col("p").alias("q"), F.explode("set").alias("gram")).distinct(), "unions")
+    least = sets.groupBy(F.col("p").alias("q")).agg(F.min("n").alias("least"))
+    entries = sets.select("row", "p", "n", F.explode("set").alias("gram")).join(small(ways), "p")
+    shared = entries.join(union, ["q", "gram"]).groupBy("row", "p", "q", "n").agg(F.count("*").alias("o")).join(least, "q")
+    other = F.greatest("least", F.expr(f"({percent} * n + 99) div 100"))
+    may = table(shared.where((100 + percent) * F.col("o") >= percent * (F.col("n") + other)).select("p", "q").distinct(), "may-link")
+    both = may.join(may.select(F.col("q").alias("p"), F.col("p").alias("q")), ["p", "q"])
+    none = pairs.join(both, ["p", "q"], "left_anti").orderBy(F.desc("square"), "p", "q").limit(EXCLUDED).toArrow()
+    found = np.column_stack([none.column("p").to_numpy(), none.column("q").to_numpy()]).astype(np.int64)
+    return found[np.lexsort((found[:, 1], found[:, 0]))]
+
+
 def _shared(reps: DataFrame) -> DataFrame:
     """The prefixes' n-grams that stand in several prefixes: gram, c (prefixes), anchor (the least row among them, so
     that most of what near copies share has one anchor), row, n, at (place), before (such ones before it). One alone in its list is shared with no set that this one meets further on, so it counts for none."""
@@ -143,8 +180,27 @@ def _stars(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (same >= AGREE)).select("a", "b")
 
 
-def _pairs_of_lists(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of entries that stand in one list, on different sides of it and in different components.
+class Excluded:
+    """Pairs of components between which there is no link."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.ids = np.unique(pairs)
+        place = np.searchsorted(self.ids, pairs)
+        self.codes = np.sort(place[:, 0] * len(self.ids) + place[:, 1])
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(np.broadcast(x, y).shape, bool)
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        i, j = (np.minimum(np.searchsorted(self.ids, v), len(self.ids) - 1) for v in (low, high))
+        code = i * len(self.ids) + j
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return (self.ids[i] == low) & (self.ids[j] == high) & (self.codes[at] == code)
+
+
+def _pairs_of_lists(c: dict[str, np.ndarray], excluded: Excluded) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of entries that stand in one list, on different sides of it and in different components that may
+    be linked.
 
     Short lists are paired all at once, place by place apart; in a long one, entries outside its commonest component
     are paired with all others, so that a list of near copies already joined costs no square.
@@ -153,7 +209,7 @@ def _pairs_of_lists(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.n
     start = np.flatnonzero(np.concatenate(([True], (np.diff(c["gram"]) != 0) | (np.diff(c["tile"]) != 0))))
     ends = np.append(start[1:], size)
     mixed = np.minimum.reduceat(c["component"], start) != np.maximum.reduceat(c["component"], start)
-    apart = lambda i, j: (c["component"][i] != c["component"][j]) & ((c["side"][i] != c["side"][j]) | (c["side"][i] < 0))
+    apart = lambda i, j: (c["component"][i] != c["component"][j]) & ((c["side"][i] != c["side"][j]) | (c["side"][i] < 0)) & ~excluded(c["component"][i], c["component"][j])
     short = mixed & (ends - start <= SHORT)
     last = np.repeat(np.where(short, ends, 0), ends - start)
     at = np.arange(size)
@@ -165,6 +221,8 @@ def _pairs_of_lists(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.n
         yield at[ok], at[ok] + k
     for s, e in zip(start[mixed & ~short].tolist(), ends[mixed & ~short].tolist(), strict=True):
         kinds, often = np.unique(c["component"][s:e], return_counts=True)
+        if len(kinds) <= SHORT and (excluded(kinds[:, None], kinds[None, :]) | np.eye(len(kinds), dtype=bool)).all():
+            continue
         bulk = c["component"][s:e] == kinds[often.argmax()]
         few, rest = s + np.flatnonzero(~bulk), s + np.flatnonzero(bulk)
         step = max(1, PAIRS // (e - s))
@@ -176,7 +234,7 @@ def _pairs_of_lists(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.n
             yield i[ok], j[ok]
 
 
-def _multiplied(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+def _multiplied(batches: Iterator[pa.RecordBatch], percent: int, best: bool, excluded: Excluded) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, tile, gram): one row (a, b, na, nb, c) for each pair of documents of different
     components that share ``c`` n-grams of a block, if sizes allow a link, each n-gram stands, in both, within the
     prefix that a link of these sizes must meet, and what can be shared before and after it suffices.
@@ -197,7 +255,7 @@ def _multiplied(batches: Iterator[pa.RecordBatch], percent: int, best: bool) ->
             codes, n = np.unique(np.concatenate([sums[0], *waiting]), return_inverse=True)
             return codes, np.bincount(n, np.concatenate([sums[1], np.ones(size, np.int64)]), len(codes)).astype(np.int64)
 
-        for i, j in _pairs_of_lists(c):
+        for i, j in _pairs_of_lists(c, excluded):
             small, large = np.minimum(c["n"][i], c["n"][j]), np.maximum(c["n"][i], c["n"][j])
             need = least_overlap(small.astype(np.int64) + large, percent)
             ok = 100 * small.astype(np.int64) >= percent * large
@@ -262,14 +320,19 @@ def _tiles(shared: DataFrame, heavy: DataFrame, tile: int) -> DataFrame:
     return short.select(columns).unionByName(in_bulk.select(columns)).unionByName(to_bulk.select(columns)).unionByName(each.select(columns))
 
 
-def _candidates(shared: DataFrame, heavy: DataFrame, components: DataFrame, percent: int, tile: int, best: bool = False) -> DataFrame:
-    """Pairs of sets of different components whose overlap within their prefixes allows a link; of each two components
-    that meet in a block, with ``best``, the closest."""
+def _products(shared: DataFrame, heavy: DataFrame, components: DataFrame, percent: int, tile: int, best: bool = False, unlinked: np.ndarray | None = None) -> DataFrame:
+    """Pairs of sets of different components that meet in a block, with what they share there; of each two components
+    in a block, with ``best``, the closest only. Pairs of ``unlinked`` components are not made."""
     spark = shared.sparkSession
+    pairs = spark.sparkContext.broadcast(np.empty((0, 2), np.int64) if unlinked is None else unlinked)
     shared = shared.join(components.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     shared = table(shared, "entries-of-components")
     sorted_ = _tiles(shared, heavy, tile).repartition(shuffle_width(spark), "anchor", "tile").sortWithinPartitions("anchor", "tile", "gram")
-    products = sorted_.mapInArrow(lambda batches: _multiplied(batches, percent, best), "a long, b long, na int, nb int, c long")
+    return sorted_.mapInArrow(lambda batches: _multiplied(batches, percent, best, Excluded(pairs.value)), "a long, b long, na int, nb int, c long")
+
+
+def _candidates(products: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose overlap within their prefixes, summed over blocks, allows a link."""
     counted = products.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     need = F.expr(f"least({MORE} + 1, ({percent} * (na + nb) + {99 + percent}) div {100 + percent})")
     return table(counted.where(F.col("c") >= need).select("a", "b"), "candidates")
@@ -288,9 +351,11 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
     same, large ones in tiles; it multiplies row pairs whose sizes allow a link and adds up their overlaps, so that
     one row for each pair leaves it; blocks' overlaps are summed, and pairs below the bound that sizes and prefixes
     set are discarded. What is left is decided on whole sets. Before the product, stars around minhash centres join
-    near copies into components; then a product that keeps, of each two components in a block, the closest pair joins
-    what is left of them; both are decided on whole sets. The last product only takes pairs of different components:
-    a group of copies thus costs rows in proportion to its size, and no link between components is lost.
+    near copies into components, round after round with new centres among sets that are still alone, until none joins;
+    then a product that keeps, of each two components in a block, the closest pair joins what is left of them; both are
+    decided on whole sets. Large components that met and were not joined are tested as wholes, each set against the
+    other's union; the last product takes pairs of different components that may still be linked. A group of copies,
+    or several that nearly link, thus cost rows in proportion to their size, and no link between components is lost.
 
     Sets are kept as 64-bit hashes. A null or blank text has no set, is its own component and stays; repeated rows
     share one; null doc_ids are members that lend no id (a component of nothing else has a null id). Texts of any
@@ -306,14 +371,19 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
     shared = _shared(reps)
     heavy = table(shared.groupBy("anchor").agg(F.count("*").alias("held")).where(F.col("held") > tile), "heavy")
 
-    def join(pairs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-        links = _verified(docs, text, words, percent, d, pairs)
-        links = links if joined is None else links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return table(connected_components(links), "joined")
+    def with_links(links: DataFrame, joined: DataFrame) -> DataFrame:
+        return table(connected_components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))), "joined")
 
-    joined = join(table(_stars(reps, shared, percent), "stars"))
-    joined = join(_candidates(shared, heavy, joined, percent, tile, best=True), joined)
-    whole = join(_candidates(shared, heavy, joined, percent, tile), joined)
+    verified = lambda pairs: _verified(docs, text, words, percent, d, pairs)
+    joined, alone, lists = d.sparkSession.createDataFrame([], "node long, component long"), reps, shared
+    while not (links := verified(table(_stars(alone, lists, percent), "stars"))).isEmpty():
+        joined = with_links(links, joined)
+        alone = table(alone.join(joined.select(F.col("node").alias("row")), "row", "left_anti"), "alone")
+        lists = table(lists.join(joined.select(F.col("node").alias("row")), "row", "left_anti"), "lists-of-those")
+    met = table(_products(shared, heavy, joined, percent, tile, best=True), "closest")
+    joined = with_links(verified(_candidates(met, percent)), joined)
+    unlinked = _unlinked(docs, text, words, percent, d, joined, met.select("a", "b"))
+    whole = with_links(verified(_candidates(_products(shared, heavy, joined, percent, tile, unlinked=unlinked), percent)), joined)
 
     named = classes.join(whole.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     named = table(named, "named")
@@ -327,12 +397,13 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns; rows with null or blank texts all
-    stay."""
-    key = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_hash") == F.xxhash64(text_of())]
-    found = jaccard_rows(docs, words, percent).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    stay. Columns of ``docs`` may have any names; texts are taken whole, however long; an empty table stays empty."""
+    mine, hashed = free_names(docs, "id", "hash")
+    found = jaccard_rows(docs, words, percent).groupBy(F.col("doc_id").alias(mine), F.col("text_hash").alias(hashed))
     found = table(found.agg(F.max("stays").alias("stays"), F.count("*").alias("times"), F.max("n").alias("n")), "decisions")
-    kept = docs.join(small(found.where("not stays").select("_id", "_hash")), key, "left_anti")
-    repeated = found.where("stays and times > 1 and n > 0").select("_id", "_hash")
+    key = [F.col(mine).eqNullSafe(F.col("doc_id").cast("long")), F.col(hashed) == F.xxhash64(text_of())]
+    kept = docs.join(small(found.where("not stays").select(mine, hashed)), key, "left_anti")
+    repeated = found.where("stays and times > 1 and n > 0").select(mine, hashed)
     if repeated.isEmpty():
         return kept
     repeated = small(repeated)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, local, shuffle_width, small, text_of
+from .common import documents, free_names, local, shuffle_width, small, text_of
 
 #: A source's rate is dealt in parts of at most this much, each with a uniform number of its own: a sum of Poisson
 #: counts is a Poisson count of the summed rate, and no tail of exp(-rate) underflows.
@@ -72,13 +72,14 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float =
     named ``copy`` or ``order_key`` are replaced. An empty table gives an empty mixture.
     """
     spark = docs.sparkSession
-    per = with_cdf(rates(docs, targets, alpha, budget)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
+    of, rate, cdf, keyed, times = free_names(docs, "of_source", "rate", "cdf", "key", "times")
+    per = with_cdf(rates(docs, targets, alpha, budget)).select(F.col("source").alias(of), F.col("rate").alias(rate), F.col("cdf").alias(cdf))
     kept = docs.select(*[c for c in docs.columns if c not in ("copy", "order_key")])
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of().cast("binary")))
-    drawn = kept.withColumn("_key", key).join(small(per, 100_000), F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("_n", poisson_count("_rate", "_cdf", "_key")).drop("_source", "_rate", "_cdf")
-    copies = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    copies = copies.withColumn("order_key", draw("_key", F.concat(F.lit("order"), F.col("copy").cast("string")), 15)).drop("_n", "_key")
+    drawn = kept.withColumn(keyed, key).join(small(per, 100_000), F.col("source").eqNullSafe(F.col(of)))
+    drawn = drawn.withColumn(times, poisson_count(rate, cdf, keyed)).drop(of, rate, cdf)
+    copies = drawn.where(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    copies = copies.withColumn("order_key", draw(keyed, F.concat(F.lit("order"), F.col("copy").cast("string")), 15)).drop(times, keyed)
     width = shuffle_width(spark)
     place = F.floor(F.col("order_key").cast("double") / F.lit(math.pow(2.0, 60)) * width).cast("int")
     return copies.repartitionById(width, F.least(place, F.lit(width - 1))).sortWithinPartitions("order_key")

@@ -204,6 +204,49 @@ def test_an_explicit_allow_in_a_class_takes_precedence(spark):
     assert got == {1: "allow", 2: "allow", 3: "block"}
 
 
+@pytest.mark.parametrize("m", [30, 60])
+def test_groups_that_nearly_link_cost_rows_in_proportion(docs, monkeypatch, m):
+    from courtspark.llm import jaccard_join as J
+
+    rng = random.Random(m)
+    shared = [f"w{k}" for k in range(120)]
+    texts = []
+    for g in range(2):
+        for k in range(m):
+            own = [*shared, *(f"g{g}x{i}" for i in range(12))]
+            own[rng.randrange(120)] = f"e{g}y{k}"
+            texts.append(" ".join(own))
+    sent, proven, made = [], [], []
+    plain, tested, products = J._verified, J._unlinked, J._products
+
+    def counted(*a, **k):
+        made.append(products(*a, **k).cache())
+        return made[-1]
+
+    monkeypatch.setattr(J, "_products", counted)
+    monkeypatch.setattr(J, "_verified", lambda *a: sent.append(a[-1].count()) or plain(*a))
+    monkeypatch.setattr(J, "_unlinked", lambda *a: proven.append(tested(*a)) or proven[-1])
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_rows(docs(texts), 4, 85).collect()}
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(129)} for t in texts]
+    links = [(a, b) for a in range(2 * m) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = classes(links)
+    assert got == {i: want.get(i, i) for i in range(2 * m)} and set(got.values()) == {0, m}
+    assert sum(sent) <= 10 * m and len(proven[0]) <= 1  # the prefixes alone may keep the groups apart
+    assert sum(p.count() for p in made) <= 10 * m
+
+
+def test_column_names_that_operators_use_inside(docs):
+    from courtspark.llm.mixing import mix
+
+    df = docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)])
+    for c in ("_id", "_hash", "id", "hash", "_key", "_n", "_source", "_rate", "_cdf", "rate", "cdf", "of_source", "times", "key", "Id"):
+        df = df if c.lower() in [x.lower() for x in df.columns] else df.selectExpr("*", f"'clash' as {c}")
+    kept = one_of_each(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    mixed = mix(df, budget=3.0)
+    assert set(df.columns) - {"copy"} <= set(mixed.columns) and {r["_key"] for r in mixed.collect()} == {"clash"}
+
+
 def test_a_large_group_of_near_copies_is_brute_force(docs):
     rng = random.Random(8)
     texts = [*family(rng, 250, 60, 9), *family(rng, 40, 60, 2), *[" ".join(str(rng.random()) for _ in range(30)) for _ in range(20)]]
