@@ -114,23 +114,42 @@ def knn_formation_rows(samples: DataFrame, refs: DataFrame, keys: list[str], k:
 
 
 def augment_formations(samples: DataFrame, seed: int = 0, views: int = 2) -> DataFrame:
-    """Noisy views of each shape: scaled, rotated by up to 3 degrees, jittered; drawn by hash, so reruns agree.
+    """Noisy views of each shape, drawn by hash, so reruns agree and any engine with md5 draws the same.
 
-    Padding stays zero. One point may be dropped (zeroed) where more than one is valid.
+    In turn: every point is jittered by 0.025; the shape is scaled by up to 5 % (seven in ten) and turned by up to 3
+    degrees (one in two); one point is dropped (one in two) and one of the others put anywhere within half a court
+    (one in five), each if more than one point is there; at last all places of the vector are shuffled. Padding,
+    which is a place whose coordinates sum to zero, is only moved about.
     """
     s = samples.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(views - 1))))
-    u = lambda *x: F.pmod(F.xxhash64("match_id", "frame_id", "team", "view", F.lit(seed), *[v if isinstance(v, Column) else F.lit(v) for v in x]), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    s = s.withColumns({"scale": F.when(u("scale?") < 0.7, 0.95 + 0.1 * u("scale")).otherwise(1.0), "angle": F.when(u("turn?") < 0.5, (u("turn") * 2 - 1) * (3 * math.pi / 180)).otherwise(0.0), "drop": F.when((u("drop?") < 0.5) & (F.col("n_valid") > 1), F.floor(u("drop") * F.col("n_valid"))).otherwise(-1)})
-    gauss = lambda i, c: F.sqrt(-2 * F.log(1 - u("r", i, c))) * F.cos(2 * math.pi * u("t", i, c)) * 0.025
-
-    def point(i):
-        x, y = F.get("vector", 2 * i) * F.col("scale"), F.get("vector", 2 * i + 1) * F.col("scale")
-        moved = F.array(x * F.cos("angle") - y * F.sin("angle") + gauss(i, "x"), x * F.sin("angle") + y * F.cos("angle") + gauss(i, "y"))
-        return F.when((i >= F.col("n_valid")) | (i == F.col("drop")), F.array(F.lit(0.0), F.lit(0.0))).otherwise(moved)
-
-    n = F.size("vector") / 2
-    out = F.flatten(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), point))
-    return s.select("match_id", "frame_id", "team", "view", out.alias("vector"), "n_valid")
+    s = s.withColumn("_key", F.concat_ws("|", "match_id", F.col("frame_id").cast("string"), "team", F.col("view").cast("string"), F.lit(str(seed))))
+
+    def u(tag: str, i: Column | None = None) -> Column:
+        key = F.concat_ws("|", F.col("_key"), F.lit(tag), *([] if i is None else [i.cast("string")]))
+        return F.conv(F.substr(F.md5(key), F.lit(1), F.lit(13)), 16, 10).cast("double") / float(16**13)
+
+    def gauss(i: Column, c: str) -> Column:
+        return F.sqrt(-2 * F.log(1 - u(f"r{c}", i))) * F.cos(2 * math.pi * u(f"t{c}", i)) * 0.025
+
+    def moved(i: Column) -> Column:
+        x, y = F.get("vector", 2 * i), F.get("vector", 2 * i + 1)
+        jx, jy = (x + gauss(i, "x")) * F.col("_scale"), (y + gauss(i, "y")) * F.col("_scale")
+        return F.struct(i.alias("i"), (x + y != 0).alias("there"), (jx * F.cos("_angle") - jy * F.sin("_angle")).alias("x"), (jx * F.sin("_angle") + jy * F.cos("_angle")).alias("y"))
+
+    one_of = lambda places, tag, part: F.coalesce(F.when((u(f"{tag}?") < part) & (F.size(places) > 1), F.get(places, F.floor(u(tag) * F.size(places)).cast("int"))), F.lit(-1))
+    s = s.withColumns({"_scale": F.when(u("scale?") < 0.7, 0.95 + 0.1 * u("scale")).otherwise(1.0), "_angle": F.when(u("turn?") < 0.5, (u("turn") * 2 - 1) * (3 * math.pi / 180)).otherwise(0.0)})
+    s = s.withColumn("_points", F.transform(F.sequence(F.lit(0), (F.size("vector") / 2).cast("int") - 1), moved))
+    s = s.withColumn("_there", F.transform(F.filter("_points", lambda p: p["there"]), lambda p: p["i"]))
+    s = s.withColumn("_drop", one_of(F.col("_there"), "drop", 0.5))
+    s = s.withColumn("_out", one_of(F.filter("_there", lambda i: i != F.col("_drop")), "out", 0.2))
+
+    def placed(p: Column) -> Column:
+        gone, out = ~p["there"] | (p["i"] == F.col("_drop")), p["i"] == F.col("_out")
+        at = lambda c: F.when(gone, 0.0).when(out, u(f"out{c}") - 0.5).otherwise(p[c])
+        return F.struct(u("place", p["i"]).alias("place"), p["i"].alias("i"), at("x").alias("x"), at("y").alias("y"))
+
+    shuffled = F.array_sort(F.transform("_points", placed))
+    return s.select("match_id", "frame_id", "team", "view", F.flatten(F.transform(shuffled, lambda p: F.array(p["x"], p["y"]))).alias("vector"), "n_valid")
 
 
 def train_val_split(samples: DataFrame, keys: list[str], frac: float = 0.2, seed: int = 0) -> DataFrame:

@@ -7,14 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_tracking(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    """Tables written by match (``partitionBy("match_id")``), so a filter on it prunes folders."""
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+def read_tracking(spark: SparkSession, folder: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """Tables of a store by name. They lie in folders by match, so a filter on ``match_id`` prunes folders; the schema
+    is given, so that ids that look like numbers stay strings and a table without rows can be read."""
+    return {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in schemas.items()}
 
 
 def write_tracking(df: DataFrame, folder: str, name: str) -> None:
-    """Replace the matches in ``df`` only: dynamic partition overwrite."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(f"{folder}/{name}")
+    """Replace the matches in ``df`` only: dynamic partition overwrite, one task a match."""
+    df.repartition("match_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(f"{folder}/{name}")
+
+
+def drop_matches(spark: SparkSession, folder: str, name: str, matches: list[str]) -> None:
+    """Remove the folders of some matches of a table."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for m in matches:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{names.getPartitionPathString('match_id', m)}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def rescore_store(spark: SparkSession, folder: str, new: dict[str, DataFrame], matches: list[str], labels: str = "play_event_labels") -> None:
+    """Rescore ``matches`` in a store: their rows of each derived table are replaced by those of ``new``, and their
+    labels go, since these name events by numbers that a rescoring deals anew.
+
+    Labels go first, so a run that breaks off never leaves a verdict on another event; run again, it ends the same.
+    Rows of other matches in ``new`` are left out, a match without new rows loses its old ones, and files of other
+    matches are not touched. ``matches`` is what one run rescores.
+    """
+    drop_matches(spark, folder, labels, matches)
+    for name, df in new.items():
+        rows = df.where(F.col("match_id").isin(matches))
+        write_tracking(rows, folder, name)
+        kept = {r["match_id"] for r in rows.select("match_id").distinct().collect()}
+        drop_matches(spark, folder, name, [m for m in matches if m not in kept])
 
 
 def frame_states(frames: DataFrame, players: DataFrame, ball: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import detections as D
 from ..operators import tables as O
+from ..sources.shared import shared_dir
 
 HOMOGRAPHY = {"h11": "0.03125e0", "h12": "0e0", "h13": "-4e0", "h21": "0e0", "h22": "0.015625e0", "h23": "2e0", "h31": "0e0", "h32": "0e0", "h33": "1e0"}
 CALIBRATIONS = f"SELECT match_id, frame_id, {', '.join(f'{v} AS {k}' if k != 'h13' else '-4e0 + frame_id % 3 AS h13' for k, v in HOMOGRAPHY.items())} FROM {{frames}} WHERE frame_id % 7 = 3"
@@ -37,8 +40,34 @@ DELTA = "SELECT match_id, frame_id, track_id, team, confidence, 2 AS version FRO
 BASE = "SELECT match_id, frame_id, track_id, team, confidence - 1 AS confidence, 1 AS version FROM {players}"
 META = "SELECT match_id, arg_max(display_name, seq) FILTER (display_name IS NOT NULL) AS display_name, arg_max(file_name, seq) FILTER (file_name IS NOT NULL) AS file_name FROM {meta_updates} GROUP BY match_id"
 
+RESCORED = ["m1", "m4"]
+
+
+def store(t, *names):
+    """The views' rows as a store by match; its folder and the tables' schemas."""
+    folder = f"{shared_dir(t.spark)}/courtspark/store-{uuid.uuid4().hex}"
+    for n in names:
+        O.write_tracking(getattr(t, n), folder, n)
+    return folder, {n: getattr(t, n).schema for n in names}
+
+
+def one_match(t):
+    folder, schemas = store(t, "players")
+    return O.read_tracking(t.spark, folder, schemas)["players"].where("match_id = 'm2'").select("match_id", "frame_id", "track_id", "team")
+
+
+def rescored(t):
+    """Two matches rescored in a store: one has half as many events with other numbers, the other none."""
+    folder, schemas = store(t, "play_events", "play_event_labels")
+    new = t.play_events.where("event_id % 2 = 0 and match_id <> 'm4'").withColumn("event_id", F.col("event_id") + 100)
+    O.rescore_store(t.spark, folder, {"play_events": new}, RESCORED)
+    held = O.read_tracking(t.spark, folder, schemas)
+    events = held["play_events"].select(F.lit("event").alias("kind"), "match_id", "event_id", F.col("play_type").alias("value"))
+    return events.unionByName(held["play_event_labels"].select(F.lit("label").alias("kind"), "match_id", "event_id", F.col("verdict").alias("value")))
+
+
 PLANS = {
-    "a1_read_tracking": (lambda t: t.players.where("match_id = 'm2'").select("match_id", "frame_id", "track_id", "team"), "SELECT match_id, frame_id, track_id, team FROM {players} WHERE match_id = 'm2'"),
+    "a1_read_tracking": (one_match, "SELECT match_id, frame_id, track_id, team FROM {players} WHERE match_id = 'm2'"),
     "a2_explode_players": (lambda t: O.explode_players(states(t)).select("match_id", "frame_id", "track_id", "court_x", "velocity_x", "has_ball"), "SELECT match_id, frame_id, track_id, court_x, 0e0 AS velocity_x, false AS has_ball FROM {players}"),
     "a2_explode_ball": (lambda t: O.explode_ball(states(t)).select("match_id", "frame_id", "court_x", "pixel_x"), "SELECT match_id, frame_id, court_x, pixel_x FROM {ball} SEMI JOIN {frames} USING (match_id, frame_id)"),
     "a3_frame_counters": (lambda t: O.frame_counters(states(t)), "SELECT match_id, frame_id, timestamp_s, player_count, on_court_count FROM {frames}"),
@@ -54,6 +83,12 @@ PLANS = {
         lambda t: O.rescore_overwrite(sql_view(t, BASE), delta(t), t.matches.where("match_id in ('m1', 'm4')")),
         f"WITH b AS ({BASE}), d AS ({DELTA}) SELECT * FROM b WHERE match_id NOT IN ('m1', 'm4') UNION ALL SELECT * FROM d WHERE match_id IN ('m1', 'm4')",
     ),
+    "a6_rescore_store": (
+        rescored,
+        """SELECT 'event' AS kind, match_id, event_id, play_type AS value FROM {play_events} WHERE match_id NOT IN ('m1', 'm4')
+ UNION ALL SELECT 'event', match_id, event_id + 100, play_type FROM {play_events} WHERE match_id = 'm1' AND event_id % 2 = 0
+ UNION ALL SELECT 'label', match_id, event_id, verdict FROM {play_event_labels} WHERE match_id NOT IN ('m1', 'm4')""",
+    ),
     "a7_hide_matches": (lambda t: O.hide_matches(t.matches, t.statuses.where("status = 'failed'")), "SELECT * FROM {matches} WHERE match_id NOT IN (SELECT match_id FROM {statuses} WHERE status = 'failed')"),
     "a8_match_catalog": (
         lambda t: O.match_catalog(t.matches, t.statuses.where("match_id <> 'm6'")),

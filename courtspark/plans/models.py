@@ -40,6 +40,36 @@ def whole_vectors(t):
     return f.select("match_id", "frame_id", "team", "n_valid", F.posexplode("vector").alias("i", "v"))
 
 
+def views(t):
+    """Both views of every shape, place by place."""
+    v = M.augment_formations(M.formation_samples(t.players, 1, 2))
+    at = v.select("match_id", "frame_id", "team", "view", "n_valid", "vector", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("place"))
+    of = lambda i: F.floor(F.get("vector", i) * 1e6 + 0.5) / 1e6
+    return at.select("match_id", "frame_id", "team", "view", "n_valid", "place", of(2 * F.col("place")).alias("x"), of(2 * F.col("place") + 1).alias("y"))
+
+
+def _u(tag: str, i: str = "") -> str:
+    return f"(cast('0x' || substr(md5(k || '|{tag}'{' || ' + chr(39) + '|' + chr(39) + ' || ' + i if i else ''}), 1, 13) AS bigint) / 4503599627370496e0)"
+
+
+def _gauss(c: str) -> str:
+    return f"sqrt(-2 * ln(1 - {_u('r' + c, 'i')})) * cos(2 * pi() * {_u('t' + c, 'i')}) * 0.025e0"
+
+
+VIEWS_SQL = f"""WITH p AS (SELECT match_id, frame_id, team, track_id, court_x AS x, court_y AS y FROM {{players}} WHERE on_court AND team IN ('A', 'B') AND court_x IS NOT NULL),
+ g AS (SELECT match_id, frame_id, team, avg(x) AS mx, avg(y) AS my, count(*) AS n, list(struct_pack(t := track_id, x := x, y := y) ORDER BY track_id) AS ps FROM p GROUP BY ALL HAVING count(*) >= 2),
+ v AS (SELECT match_id, frame_id, team, cast(w AS int) AS view, cast(least(n, 7) AS int) AS n_valid, i, match_id || '|' || frame_id || '|' || team || '|' || w || '|0' AS k,
+  CASE WHEN i >= n THEN 0e0 ELSE (ps[i + 1].x - mx) / 40 END AS x, CASE WHEN i >= n THEN 0e0 ELSE (ps[i + 1].y - my) / 20 END AS y FROM g CROSS JOIN range(0, 7) r(i) CROSS JOIN range(0, 2) s(w)),
+ j AS (SELECT *, x + y <> 0 AS there, CASE WHEN {_u("scale?")} < 0.7e0 THEN 0.95e0 + 0.1e0 * {_u("scale")} ELSE 1e0 END AS f, CASE WHEN {_u("turn?")} < 0.5e0 THEN ({_u("turn")} * 2 - 1) * (3 * pi() / 180) ELSE 0e0 END AS a,
+  x + {_gauss("x")} AS jx, y + {_gauss("y")} AS jy FROM v),
+ o AS (SELECT *, jx * f * cos(a) - jy * f * sin(a) AS ox, jx * f * sin(a) + jy * f * cos(a) AS oy, row_number() OVER (PARTITION BY k, there ORDER BY i) - 1 AS r, count(*) FILTER (there) OVER (PARTITION BY k) AS c FROM j),
+ d AS (SELECT *, there AND NOT ({_u("drop?")} < 0.5e0 AND c > 1 AND r = floor({_u("drop")} * c)) AS still FROM o),
+ e AS (SELECT *, row_number() OVER (PARTITION BY k, still ORDER BY i) - 1 AS q, count(*) FILTER (still) OVER (PARTITION BY k) AS m FROM d),
+ h AS (SELECT *, still AND {_u("out?")} < 0.2e0 AND m > 1 AND q = floor({_u("out")} * m) AS away FROM e)
+ SELECT match_id, frame_id, team, view, n_valid, cast(row_number() OVER (PARTITION BY k ORDER BY {_u("place", "i")}, i) - 1 AS int) AS place,
+  floor(CASE WHEN NOT still THEN 0e0 WHEN away THEN {_u("outx")} - 0.5e0 ELSE ox END * 1e6 + 0.5) / 1e6 AS x, floor(CASE WHEN NOT still THEN 0e0 WHEN away THEN {_u("outy")} - 0.5e0 ELSE oy END * 1e6 + 0.5) / 1e6 AS y FROM h"""
+
+
 PLANS = {
     "i1_training_samples": (samples, f"WITH {SAMPLES} SELECT * FROM sa"),
     "i2_frame_windows": (lambda t: M.frame_windows(samples(t), t.players), f"WITH {WINDOWS} SELECT * FROM fw"),
@@ -63,7 +93,7 @@ PLANS = {
     "i7_knn_classify": (lambda t: M.knn_classify(M.formation_samples(t.players, 1, 2), M.reference_formations(t.spark), ["match_id", "frame_id", "team"]), None),
     "d11b_knn_formations": (lambda t: knn_rows(t)[0], None),
     "d11b_knn_embeddings": (lambda t: knn_rows(t)[1], None),
-    "i8_augment_formations": (lambda t: M.augment_formations(M.formation_samples(t.players, 1, 2)).select("match_id", "frame_id", "team", "view", "n_valid", F.size("vector").alias("size")), "WITH g AS (SELECT match_id, frame_id, team, cast(least(count(*), 7) AS int) AS n_valid FROM {players} WHERE on_court AND team IN ('A', 'B') AND court_x IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) SELECT match_id, frame_id, team, cast(v AS int) AS view, n_valid, 14 AS size FROM g CROSS JOIN range(0, 2) r(v)"),
+    "i8_augment_formations": (views, VIEWS_SQL),
     "i9_train_val_split": (lambda t: split_rows(t).groupBy("split").agg(F.count("*").alias("n")), "SELECT 'val' AS split, cast(greatest(1, floor(count(*) * 0.2e0)) AS bigint) AS n FROM {players} UNION ALL SELECT 'train', count(*) - cast(greatest(1, floor(count(*) * 0.2e0)) AS bigint) FROM {players}"),
     "i10_accuracy": (lambda t: M.accuracy(predictions(t)), f"SELECT count(*) AS n, avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END) AS accuracy FROM ({PREDICTIONS})"),
     "i11_confusion_matrix": (lambda t: M.confusion_matrix(predictions(t)), f"SELECT label, count(*) FILTER (predicted = 0) AS p0, count(*) FILTER (predicted = 1) AS p1, count(*) FILTER (predicted = 2) AS p2, count(*) FILTER (predicted = 3) AS p3 FROM ({PREDICTIONS}) GROUP BY label"),

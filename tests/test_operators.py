@@ -12,6 +12,7 @@ from courtspark.operators import mlprep as M
 from courtspark.operators import phases as P
 from courtspark.operators import repair as R
 from courtspark.operators import segments as S
+from courtspark.operators import stats as Q
 from courtspark.operators import tables as T
 
 READING = "match_id string, frame_number int, timestamp_sec double, game_time string, score_home int, score_away int"
@@ -142,14 +143,54 @@ def test_columns(spark):
     assert tuple(r) == ("KL", "LA", "RM", "62:05", "00:00")
 
 
-def test_augmented_shapes_stay_near_and_padding_stays_zero(spark):
-    v = spark.createDataFrame([("m", i, "A", [0.1, 0.2, -0.1, -0.2, 0.0, 0.3] + [0.0] * 8, 3) for i in range(50)], "match_id string, frame_id int, team string, vector array<double>, n_valid int")
+def test_augmented_shapes_stay_near_but_for_an_outlier(spark):
+    own = [0.1, 0.2, -0.1, -0.2, 0.0, 0.3]
+    v = spark.createDataFrame([("m", i, "A", own + [0.0] * 8, 3) for i in range(300)], "match_id string, frame_id int, team string, vector array<double>, n_valid int")
     rows = M.augment_formations(v).collect()
-    assert len(rows) == 100 and all(r["vector"][6:] == [0.0] * 8 for r in rows)
-    assert max(abs(a - b) for r in rows for a, b in zip(r["vector"][:6], [0.1, 0.2, -0.1, -0.2, 0.0, 0.3], strict=True)) < 0.45
+    points = [[tuple(r["vector"][i : i + 2]) for i in range(0, 14, 2)] for r in rows]
+    there = [[p for p in ps if p != (0.0, 0.0)] for ps in points]
+    assert len(rows) == 600 and {len(x) for x in there} == {2, 3} and 230 < sum(len(x) == 2 for x in there) < 370
+    off = [[min((x - a) ** 2 + (y - b) ** 2 for a, b in zip(own[::2], own[1::2], strict=True)) ** 0.5 for x, y in ps] for ps in there]
+    assert all(sum(d > 0.2 for d in ds) <= 1 for ds in off) and 30 < sum(any(d > 0.2 for d in ds) for ds in off) < 130
+    assert len({tuple(p == (0.0, 0.0) for p in ps) for ps in points}) > 20
     assert {tuple(r["vector"]) for r in rows} == {tuple(r["vector"]) for r in M.augment_formations(v).collect()}
 
 
+def test_sketches_of_matches_merge(spark):
+    players = spark.range(60_000).selectExpr("concat('m', id % 7) as match_id", "cast(id % 911 as int) as track_id", "cast(id % 5003 as int) as frame_id", "if(id % 3 = 0, null, 1.0D) as court_x", "1.0D as court_y")
+    sketches = Q.match_sketches(players)
+    exact = players.groupBy("match_id").agg(F.count_distinct("track_id").alias("t"), F.count_distinct("frame_id").alias("f"), F.count_distinct(F.when(F.col("court_x").isNotNull(), F.col("frame_id"))).alias("c")).collect()
+    bound = 4 * 1.04 / 2**6
+    each = {r["match_id"]: r for r in Q.sketched_counts(sketches, ("match_id",)).collect()}
+    for r in exact:
+        g = each[r["match_id"]]
+        assert all(abs(a / b - 1) < bound for a, b in ((g["tracks"], r["t"]), (g["player_frames"], r["f"]), (g["court_frames"], r["c"])))
+    whole = Q.sketched_counts(sketches).first()
+    assert abs(whole["tracks"] / sum(r["t"] for r in exact) - 1) < bound and abs(whole["court_frames"] / sum(r["c"] for r in exact) - 1) < bound
+
+
+def test_rescoring_a_store(spark, tmp_path):
+    folder = str(tmp_path)
+    events = spark.createDataFrame([("m1", 0, "swap"), ("m1", 1, "push"), ("m2", 0, "swap"), ("m 3/x", 0, "push")], "match_id string, event_id int, play_type string")
+    labels = spark.createDataFrame([("m1", 1, "confirmed"), ("m2", 0, "rejected"), ("m 3/x", 0, "confirmed")], "match_id string, event_id int, verdict string")
+    T.write_tracking(events, folder, "play_events")
+    T.write_tracking(labels, folder, "play_event_labels")
+    schemas = {"play_events": events.schema, "play_event_labels": labels.schema}
+    files = lambda m: {(f.name, f.stat().st_mtime_ns) for n in schemas for f in (tmp_path / n / f"match_id={m}").glob("*.parquet")}
+    before = files("m2")
+    new = spark.createDataFrame([("m1", 7, "run_in"), ("m2", 9, "left out")], "match_id string, event_id int, play_type string")
+    for _ in range(2):
+        T.rescore_store(spark, folder, {"play_events": new}, ["m1", "m 3/x"])
+        held = T.read_tracking(spark, folder, schemas)
+        assert sorted(tuple(r) for r in held["play_events"].select("match_id", "event_id", "play_type").collect()) == [("m1", 7, "run_in"), ("m2", 0, "swap")]
+        assert [tuple(r) for r in held["play_event_labels"].select("match_id", "event_id").collect()] == [("m2", 0)]
+        assert files("m2") == before != set()
+    plan = held["play_events"].where("match_id = 'm2'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(match_id" in plan and "(match_id" in plan.split("PartitionFilters")[1].split("]")[0]
+    T.rescore_store(spark, folder, {"play_events": new.limit(0)}, ["m1", "m2"])
+    assert all(d.count() == 0 for d in T.read_tracking(spark, folder, schemas).values())
+
+
 def test_knn_finds_its_own_shape(spark):
     refs = M.reference_formations(spark)
     own = refs.where("label not in ('attack', 'transition')").dropDuplicates(["label"]).selectExpr("label as want", "vector")
