@@ -28,7 +28,7 @@ SHORT, PAIRS, HELD = 32, 1 << 20, 1 << 18
 MINHASHES, STARS, AGREE = 8, 4, 6
 #: Components of at least so many sets are tested against each other as wholes; at most so many pairs of them are
 #: handed to every task (16 MB).
-MANY, EXCLUDED = 8, 1 << 20
+MANY, EXCLUDED = 32, 1 << 20
 _MULT = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k & ((1 << 64) - 1) | 1 for k in range(1, MINHASHES + 1)], np.uint64)
 
 
@@ -123,8 +123,8 @@ def _unlinked(docs: DataFrame, text: str, words: int, percent: int, described: D
 
     What a set shares with one of another component it shares with the union of that component's sets. If no set of
     the one shares as much with the other's union as a link of these sizes takes, there is no link between them. That
-    takes one count for each member, not one for each two members. Components of fewer than ``MANY`` sets cost no
-    square and are left out; at most ``EXCLUDED`` pairs, of the largest, are kept.
+    takes one count for each member, not one for each two members. A component of fewer than ``MANY`` sets costs no
+    more rows than that for each set it meets and is left out; of the pairs, at most ``EXCLUDED`` are kept, the largest.
     """
     size = components.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") >= MANY)
     of = lambda x, c: components.join(size, "component").select(F.col("node").alias(x), F.col("component").alias(c), F.col("members").alias(f"{c}_members"))
@@ -135,7 +135,7 @@ def _unlinked(docs: DataFrame, text: str, words: int, percent: int, described: D
     ways = table(pairs.select(F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("w")).select("w.p", "w.q"), "ways")
     members = table(components.join(small(ways.select(F.col("p").alias("component")).distinct()), "component", "left_semi").select(F.col("node").alias("row"), F.col("component").alias("p")), "members")
     sets = _whole_sets(docs, text, words, described, members.select("row")).join(members, "row")
-    sets = table(sets.select("row", "p", F.size("set").alias("n"), "set"), "member-sets")
+    sets = sets.select("row", "p", F.size("set").alias("n"), "set")
     union = table(sets.select(F.col("p").alias("q"), F.explode("set").alias("gram")).distinct(), "unions")
     least = sets.groupBy(F.col("p").alias("q")).agg(F.min("n").alias("least"))
     entries = sets.select("row", "p", "n", F.explode("set").alias("gram")).join(small(ways), "p")
@@ -157,19 +157,21 @@ def _shared(reps: DataFrame) -> DataFrame:
     return table(table(entries.join(lists, "gram"), "entries").withColumn("before", before), "shared")
 
 
-def _stars(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs that join most near copies at once: each set with the most typical one of about its size that shares a
-    minhash.
+def _minhash_keys(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """By which sets meet centres: row, typical, and for ``STARS`` minhashes (k, v) with the size's step.
 
-    Most typical is the set with the least part of its prefix to itself: the text that others were edited from, if it
-    is there. At most ``STARS`` pairs a set, so their number is linear in any group of near copies. Sizes count as
-    alike within steps of half the ratio that a link allows, shifted by half a step for every other minhash.
+    Typical is, the more so the less of its prefix a set has to itself, the text that others were edited from. Sizes
+    count as alike within steps of half the ratio that a link allows, shifted by half a step for every other minhash.
     """
     step = F.floor(F.log("n") * (2 / math.log(100 / percent)) + F.col("k") % 2 / 2) if percent < 100 else F.col("n")
     typical = shared.groupBy("row").agg(F.count("*").alias("held"))
     of = reps.join(typical, "row").select("row", "n", "mins", (F.col("held") / F.size("prefix")).alias("typical"))
-    keys = of.select("row", "n", "typical", F.posexplode(F.slice("mins", 1, STARS)).alias("k", "v")).select("row", "typical", "k", "v", step.alias("step"))
-    keys = table(keys, "minhashes")
+    return table(of.select("row", "n", "typical", F.posexplode(F.slice("mins", 1, STARS)).alias("k", "v")).select("row", "typical", "k", "v", step.alias("step")), "minhashes")
+
+
+def _stars(reps: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """Pairs that join most near copies at once: each set of ``keys`` with the most typical one of about its size that
+    shares a minhash, at most ``STARS`` pairs a set, so that their number is linear in any group of near copies."""
     best = F.max(F.struct("typical", (-F.col("row")).alias("minus"))).alias("best")
     centres = keys.groupBy("k", "v", "step").agg(best, F.count("*").alias("c")).where("c > 1")
     centres = table(centres.select("k", "v", "step", (-F.col("best.minus")).alias("b")), "centres")
@@ -375,11 +377,10 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
         return table(connected_components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))), "joined")
 
     verified = lambda pairs: _verified(docs, text, words, percent, d, pairs)
-    joined, alone, lists = d.sparkSession.createDataFrame([], "node long, component long"), reps, shared
-    while not (links := verified(table(_stars(alone, lists, percent), "stars"))).isEmpty():
+    joined, keys = d.sparkSession.createDataFrame([], "node long, component long"), _minhash_keys(reps, shared, percent)
+    while not (links := verified(table(_stars(reps, keys, percent), "stars"))).isEmpty():
         joined = with_links(links, joined)
-        alone = table(alone.join(joined.select(F.col("node").alias("row")), "row", "left_anti"), "alone")
-        lists = table(lists.join(joined.select(F.col("node").alias("row")), "row", "left_anti"), "lists-of-those")
+        keys = table(keys.join(joined.select(F.col("node").alias("row")), "row", "left_anti"), "alone")
     met = table(_products(shared, heavy, joined, percent, tile, best=True), "closest")
     joined = with_links(verified(_candidates(met, percent)), joined)
     unlinked = _unlinked(docs, text, words, percent, d, joined, met.select("a", "b"))
