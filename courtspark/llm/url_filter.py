@@ -140,8 +140,18 @@ def _sql() -> str:
     query = lambda u: f"regexp_replace(regexp_replace(regexp_extract({u}, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '{TRACKING}', '', 'g'), '^&', '')"
     name = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || regexp_replace({path(u)}, '/$', '') || CASE WHEN {query(u)} <> '' THEN '?' || {query(u)} ELSE '' END END"
     q = lambda s: s.replace("'", "''")
-    link = lambda mark, tag, at: f"CASE WHEN contains(html, '{mark}') THEN regexp_extract(regexp_extract(html, '{q(tag)}', 0), '{q(at)}', 1) END"
-    target = lambda x: f"CASE WHEN regexp_matches({x}, '(?i)^https?://') THEN {x} WHEN starts_with({x}, '//') THEN 'http:' || {x} WHEN starts_with({x}, '/') THEN 'http://' || host || {x} END"
+    link = lambda mark, tag, at: f"CASE WHEN contains(lower(html), '{mark}') THEN regexp_extract(regexp_extract(html, '{q(tag)}', 0), '{q(at)}', 1) END"
+    steps = lambda x: f"string_split(regexp_replace({x}, '(^|/)(\\.\\.?)$', '\\1\\2/'), '/')[2:]"
+    walked = lambda x: f"list_reduce({steps(x)}, lambda done, s: CASE s WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || s END, '')"
+    plain = lambda x: f"coalesce(nullif({walked(x)}, ''), '/')"
+    to, rest = (lambda x: f"regexp_extract({x}, '(?s)^[^?#]*', 0)"), (lambda x: f"regexp_extract({x}, '(?s)^[^?#]*(.*)$', 1)")
+    own = lambda x: f"CASE WHEN starts_with({rest(x)}, '#') THEN regexp_extract(url, '(?s)^.*?://[^?#]*(\\?[^#]*)?', 1) ELSE '' END"
+    folder = "'/' || regexp_extract(path, '(?s)^/(.*/)?', 1)"
+    there = lambda x: f"CASE WHEN starts_with({to(x)}, '/') THEN {plain(to(x))} WHEN {to(x)} = '' THEN path || {own(x)} ELSE {plain(f'{folder} || {to(x)}')} END"
+    target = lambda x: (
+        f"CASE WHEN regexp_matches({x}, '(?i)^https?://') THEN {x} WHEN starts_with({x}, '//') THEN 'http:' || {x}"
+        f" WHEN {x} <> '' AND NOT regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') AND host <> '' THEN 'http://' || host || {there(x)} || {rest(x)} END"
+    )
     rules = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
     return f"""
 WITH RECURSIVE rules(rh, rp, action) AS (VALUES {rules}),

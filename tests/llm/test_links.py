@@ -247,6 +247,31 @@ def test_column_names_that_operators_use_inside(docs):
     assert set(df.columns) - {"copy"} <= set(mixed.columns) and {r["_key"] for r in mixed.collect()} == {"clash"}
 
 
+def test_url_filter_is_its_sql_on_pages_with_links(spark, tmp_path):
+    import duckdb
+
+    from courtspark.llm import url_filter as U
+
+    rng = random.Random(4)
+    hosts = ["example.com", "www.example.com", "a.net", "b.net", "c.org", "D.org"]
+    paths = ["", "/", "/en/", "/en/x", "/es/a/b", "/fr/", "/q/../r/", "/deep/er/page"]
+    links = ["http://b.net/es/", "HTTPS://c.org/q", "//a.net/fr/", "/en/x", "../up", "./same", "next?utm_source=1", "?a=1", "#top", "", "mailto:x@y", "../../..", "sub/..", "http://d.org/q/../r"]
+    pages = []
+    for i in range(160):
+        to = rng.choice(links)
+        tag = rng.choice([f'<link rel="canonical" href="{to}">', f"<LINK HREF='{to}' REL=Canonical>", f'<meta http-equiv="refresh" content="0; url={to}">', f"<META HTTP-EQUIV=Refresh CONTENT='1;URL={to}'>", "<p>none</p>"])
+        pages.append((i, rng.choice([None, "no host"]) if i % 40 == 7 else f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '', '?a=1', '?ref=2', '#f'])}", None if i % 31 == 5 else f"<html>{tag}</html>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "p"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/p/*.parquet'")
+    got = U.url_filter(df)
+    want = con.execute(f"select {', '.join(got.columns)} from ({U.SQL['op7_url_filter']})").fetchall()
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert text(got.collect()) == text(want)
+    assert got.groupBy("component").count().where("component is not null and count > 3").count() >= 3
+
+
 def test_a_large_group_of_near_copies_is_brute_force(docs):
     rng = random.Random(8)
     texts = [*family(rng, 250, 60, 9), *family(rng, 40, 60, 2), *[" ".join(str(rng.random()) for _ in range(30)) for _ in range(20)]]
