@@ -79,7 +79,7 @@ def found(df):
 
 
 def stated(played, detect):
-    return Counter((m, *e[:4], *(round(v, 6) for v in e[4:7]), *e[7:]) for m, of in played["by"].items() for e in detect(of))
+    return Counter((m, *e[:4], *(round(float(v), 6) for v in e[4:7]), *e[7:]) for m, of in played["by"].items() for e in detect(of))
 
 
 def test_movement_bounds(played):
