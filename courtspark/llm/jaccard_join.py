@@ -169,17 +169,20 @@ def _minhash_keys(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame
     return table(of.select("row", "n", "typical", F.posexplode(F.slice("mins", 1, STARS)).alias("k", "v")).select("row", "typical", "k", "v", step.alias("step")), "minhashes")
 
 
-def _stars(reps: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+def _stars(reps: DataFrame, keys: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that join most near copies at once: each set of ``keys`` with the most typical one of about its size that
-    shares a minhash, at most ``STARS`` pairs a set, so that their number is linear in any group of near copies."""
+    shares a minhash, at most ``STARS`` pairs a set, so that their number is linear in any group of near copies; and
+    the keys that several sets share, as no other can make a pair in a later round."""
     best = F.max(F.struct("typical", (-F.col("row")).alias("minus"))).alias("best")
     centres = keys.groupBy("k", "v", "step").agg(best, F.count("*").alias("c")).where("c > 1")
     centres = table(centres.select("k", "v", "step", (-F.col("best.minus")).alias("b")), "centres")
-    pairs = keys.join(centres, ["k", "v", "step"]).where("row <> b").select(F.col("row").alias("a"), "b").distinct()
+    shared = table(keys.join(centres, ["k", "v", "step"]), "shared-keys")
+    pairs = shared.where("row <> b").select(F.col("row").alias("a"), "b").distinct()
     info = lambda x: reps.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("mins").alias(f"m{x}"))
     near = table(pairs, "star-pairs").join(info("a"), "a").join(info("b"), "b")
     same = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda e: e))
-    return near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (same >= AGREE)).select("a", "b")
+    near = near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (same >= AGREE)).select("a", "b")
+    return table(near, "stars"), shared.drop("b")
 
 
 class Excluded:
@@ -378,7 +381,10 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
 
     verified = lambda pairs: _verified(docs, text, words, percent, d, pairs)
     joined, keys = d.sparkSession.createDataFrame([], "node long, component long"), _minhash_keys(reps, shared, percent)
-    while not (links := verified(table(_stars(reps, keys, percent), "stars"))).isEmpty():
+    while True:
+        pairs, keys = _stars(reps, keys, percent)
+        if (links := verified(pairs)).isEmpty():
+            break
         joined = with_links(links, joined)
         keys = table(keys.join(joined.select(F.col("node").alias("row")), "row", "left_anti"), "alone")
     met = table(_products(shared, heavy, joined, percent, tile, best=True), "closest")
