@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 from . import grams
 from .common import documents, text_of
 
-#: Words of a seed.
-SEED = 4
+#: Words of the shortest seed and of the longest; one between is as long as it takes for the run to be rare.
+SHORT, SEED = 2, 4
+#: A run is frequent if it stands at more than this part of as many places as there are texts, and between at least
+#: ``NEIGHBOURS`` of 64 classes of neighbours, so that copies of one passage do not make its runs frequent.
+FREQUENT, NEIGHBOURS = 0.001, 32
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A passage repeats an item if its alignment scores at least this part of the item's own.
-THRESHOLD = 0.5
+#: A passage repeats an item if its alignment scores at least this part of the item's own, and at least as much as four
+#: words with one edit (or as the whole item, if that is less).
+THRESHOLD, LEAST = 0.5, 7
 #: Benchmark words that one reading of the corpus carries along; larger benchmarks take several readings.
 ITEM_WORDS = 2_000_000
 
@@ -54,20 +59,31 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]
 
 
 class Benchmark:
-    """Items as word hashes, with their seeds sorted for lookup."""
+    """Items as word hashes, with their seeds sorted for lookup.
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    At each place of an item the seed is its shortest run of ``SHORT`` words or more that is not ``frequent`` (sorted
+    hashes by length), or the run of ``SEED`` words. An item shorter than that is one seed.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], frequent: dict[int, np.ndarray] | None = None):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        seeds = [grams.gram_hashes(w, SEED) for w in self.words]
-        size = [len(s) for s in seeds]
-        self.seed = np.concatenate([*seeds, np.empty(0, np.uint64)])
-        self.item = np.repeat(np.arange(len(items)), size)
-        self.place = np.concatenate([*map(np.arange, size), np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
-        #: Lengths of seeds: an item shorter than ``SEED`` is one seed of its own length.
-        self.lengths = sorted({min(SEED, len(w)) for w in self.words})
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k, w in enumerate(self.words):
+            open_ = np.ones(len(w), bool)
+            for n in range(SHORT if len(w) >= SEED else len(w), min(SEED, len(w)) + 1):
+                runs = grams.gram_hashes(w, n)
+                at = np.flatnonzero(open_[: len(runs)])
+                if n < min(SEED, len(w)) and frequent and len(frequent.get(n, ())):
+                    at = at[~_in(runs[at], frequent[n])]
+                open_[at] = False
+                found.setdefault(n, []).append((runs[at], np.full(len(at), k), at))
+        #: By length: hashes in order, with item and place of each.
+        self.seeds = {}
+        for n, parts in sorted(found.items()):
+            runs, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(runs, kind="stable")
+            self.seeds[n] = runs[order], item[order], place[order]
         self.bags = [np.unique(w, return_counts=True) for w in self.words]
 
     def shared(self, i: int, window: np.ndarray) -> int:
@@ -77,58 +93,82 @@ class Benchmark:
         at[at == len(words)] = 0
         return int(np.minimum(often, np.bincount(at[words[at] == window], minlength=len(words))).sum())
 
-    def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``seeds`` and in the sorted seed table that agree, each pair of them."""
-        low, high = np.searchsorted(self.seed, seeds, "left"), np.searchsorted(self.seed, seeds, "right")
-        at = np.flatnonzero(high > low)
-        n = high[at] - low[at]
-        return np.repeat(at, n), np.repeat(low[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items met by their seeds, and on which diagonal, each seed at each of its places; by item."""
+        met = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for n, (seeds, item, place) in self.seeds.items():
+            if n <= len(words):
+                runs = grams.gram_hashes(words, n)
+                low, high = np.searchsorted(seeds, runs, "left"), np.searchsorted(seeds, runs, "right")
+                at = np.flatnonzero(high > low)
+                often = high[at] - low[at]
+                entry = np.repeat(low[at], often) + np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+                met.append((item[entry], np.repeat(at, often) - place[entry]))
+        items, diagonals = (np.concatenate(x) for x in zip(*met, strict=True))
+        order = np.argsort(items, kind="stable")
+        return items[order], diagonals[order]
+
+
+def _in(runs: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which runs are among the sorted ones."""
+    at = np.minimum(np.searchsorted(held, runs), len(held) - 1)
+    return held[at] == runs
 
 
 def _document_words(text: bytes) -> np.ndarray:
     return grams.word_hashes(text, grams.SIGNS)
 
 
-def _windows(diagonals: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """Runs of seed diagonals that lie within half an item of the next, as (first, last, seeds)."""
+def _windows(diagonals: np.ndarray, length: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Stretches of a text of ``end`` words that an item can reach from its seeds, as (first, end, seeds).
+
+    Diagonals within half an item of the next share a stretch. One longer than eight items is cut into such pieces,
+    which overlap by two items and a few words: no alignment above the threshold is longer.
+    """
     d = np.sort(diagonals)
     cuts = np.flatnonzero(np.diff(d) > max(4, length // 2)) + 1
+    pad, piece, lap = 4 + length // 3, 8 * length + 16, 2 * length + 4
     for part in np.split(d, cuts):
-        yield int(part[0]), int(part[-1]), len(part)
+        low, high = max(0, int(part[0]) - pad), min(end, int(part[-1]) + length + pad)
+        while high - low > piece:
+            yield low, low + piece, int(np.searchsorted(part, low + piece) - np.searchsorted(part, low - length))
+            low += piece - lap
+        yield low, high, int(len(part) - np.searchsorted(part, low - length))
 
 
 def align(text: bytes, bench: Benchmark, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """Passages of a text that repeat an item: (item, seeds, score, first word, end word), by item and place.
 
-    Every seed shared with an item proposes a diagonal; each run of diagonals is aligned in the window of words that
-    the item can reach from there, unless the words they have in common are too few for the threshold in any order.
-    Of an item's passages that overlap, the best stays, of equals the first.
+    Every seed shared with an item proposes a diagonal; the stretch around it is aligned with the item, and then what
+    lies left and right of that alignment, until none passes. Stretches whose words in common with the item are too few
+    for the threshold in any order are left out. Of an item's passages that overlap, the best stays, of equals the first.
     """
     words = _document_words(text)
-    met = [bench.hits(grams.gram_hashes(words, n)) for n in bench.lengths if n <= len(words)]
-    found = []
-    if not met:
-        return found
-    at, entry = (np.concatenate(x) for x in zip(*met, strict=True))
-    order = np.argsort(bench.item[entry], kind="stable")
-    item, diagonal = bench.item[entry][order], (at - bench.place[entry])[order]
+    item, diagonal = bench.hits(words)
+    found: list[tuple[int, int, float, int, int]] = []
     start = np.flatnonzero(np.diff(item, prepend=-1))
     for i, diagonals in zip(item[start].tolist(), np.split(diagonal, start[1:]), strict=False):
-        own, passages = bench.words[i], []
-        for first, last, seeds in _windows(diagonals, len(own)):
-            pad = 4 + len(own) // 3
-            low, high = max(0, first - pad), min(len(words), last + len(own) + pad)
-            if bench.shared(i, words[low:high]) < threshold * len(own):
-                continue
-            score, begin, end = smith_waterman(own, words[low:high])
-            share = score / (MATCH * len(own))
-            if share >= threshold:
-                passages.append((bench.ids[i], seeds, share, low + begin, low + end))
-        kept: list[tuple[int, int, float, int, int]] = []
-        for p in sorted(passages, key=lambda p: (-p[2], p[3])):
-            if all(p[4] <= k[3] or k[4] <= p[3] for k in kept):
-                kept.append(p)
-        found += sorted(kept, key=lambda p: p[3])
+        own = bench.words[i]
+        least = max(threshold * MATCH * len(own), min(LEAST, MATCH * len(own)))
+        passages: set[tuple[float, int, int, int]] = set()
+        for first, end, seeds in _windows(diagonals, len(own), len(words)):
+            left = [(first, end)]
+            while left:
+                low, high = left.pop()
+                if MATCH * bench.shared(i, words[low:high]) < least:
+                    continue
+                score, begin, stop = smith_waterman(own, words[low:high])
+                if score >= least:
+                    passages.add((-score / (MATCH * len(own)), low + begin, low + stop, seeds))
+                    left += [(low, low + begin), (low + stop, high)]
+        kept: list[tuple[int, int]] = []
+        best: list[tuple[int, int, float, int, int]] = []
+        for share, begin, stop, seeds in sorted(passages):
+            k = bisect_left(kept, (begin, stop))
+            if (k == 0 or kept[k - 1][1] <= begin) and (k == len(kept) or stop <= kept[k][0]):
+                insort(kept, (begin, stop))
+                best.append((bench.ids[i], seeds, -share, begin, stop))
+        found += sorted(best, key=lambda m: m[3])
     return found
 
 
@@ -136,27 +176,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """One row per passage that repeats an item: doc_id, item_id, n_seeds, score, first_word, end_word.
 
     Texts and items are compared by words (runs of digits, letters and what lies outside ASCII, A-Z lower-cased).
-    Every text that shares a seed of ``SEED`` words with an item, however frequent the seed, is aligned with it by
-    Smith-Waterman; ``score`` is the alignment's part of the item's full score. Items shorter than a seed are searched
-    as one seed of their own length. Benchmarks beyond ``ITEM_WORDS`` words are taken in blocks, each with a reading
-    of its own, so a task holds one block and one text. Null texts count as empty and match nothing, as do items
-    without words; repeated rows are reported each; empty tables of either kind give no rows; other columns of
+    Runs of words are counted over all texts; at each place of an item its shortest rare run, of two to ``SEED`` words,
+    is the seed, and where all are frequent the run of ``SEED``. Every text that shares a seed with an item is aligned
+    with it by Smith-Waterman; ``score`` is the alignment's part of the item's full score. Items of fewer than ``SEED``
+    words are searched as they are, one seed each. Benchmarks beyond ``ITEM_WORDS`` words are taken in blocks, each with
+    readings of its own, so a task holds one block and one text. Null texts count as empty and match nothing, as do
+    items without words; repeated rows are reported each; empty tables of either kind give no rows; other columns of
     ``docs`` play no part; texts are searched whole, however long. Passages that tie are reported each, unless they
     overlap.
 
-    The seed sets a limit: an item of which every run of ``SEED`` words carries an edit is not met. Of copies of 15 to
-    50 words with a tenth or a fifth of their words replaced at random, over nine in ten are found (see the tests);
-    beyond that most fall below the threshold as well.
+    Rare runs of two words meet every alignment above the threshold whose edits replace or drop words: an item of n
+    words passes with n/3 of them at most, and then two matching words stand side by side. Not met are items whose
+    runs left by the edits are all frequent and shorter than ``SEED``, or single words between inserted ones.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_of(text).cast("binary").alias("text"))
     kind = "doc_id long, item_id long, n_seeds long, score double, first_word long, end_word long"
-    found = [rows.mapInArrow(_aligner(held, threshold), kind) for held in _readings(rows.sparkSession, benchmark)]
+    found = [rows.mapInArrow(_aligner(held, threshold), kind) for held in _readings(rows.select("text"), benchmark)]
     return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], kind)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that repeat no item, with all their columns; rows with null or empty texts stay."""
-    for held in _readings(docs.sparkSession, benchmark):
+    for held in _readings(docs.select(text_of(text).cast("binary").alias("text")), benchmark):
         docs = docs.where(~_repeats(held, threshold)(text_of(text).cast("binary")))
     return docs
 
@@ -169,10 +210,55 @@ def _repeats(held, threshold: float):
     return repeats
 
 
-def _readings(spark: SparkSession, benchmark: DataFrame) -> Iterator:
-    """Block by block of the benchmark, a broadcast of its items."""
+def _readings(texts: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Block by block of the benchmark, a broadcast of its items with the seeds that are rare in ``texts``."""
     for block in _blocks(benchmark):
-        yield spark.sparkContext.broadcast(Benchmark(block))
+        yield texts.sparkSession.sparkContext.broadcast(Benchmark(block, _frequent(texts, block)))
+
+
+def _frequent(texts: DataFrame, block: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """The block's runs below ``SEED`` words that are frequent in the texts, by length, sorted.
+
+    A task counts into arrays as long as the block's runs: places, and a bit for each class of neighbours (the words
+    before and after). Spark adds them up; the driver gets runs with many neighbours, at most two a word of the block.
+    """
+    long = [w for _, w in block if len(w) >= SEED]
+    if not long:
+        return {}
+    runs = {n: np.unique(np.concatenate([grams.gram_hashes(w, n) for w in long])) for n in range(SHORT, SEED)}
+    held = texts.sparkSession.sparkContext.broadcast(runs)
+    names, kinds = ["n", "run", "places", "beside"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {n: np.zeros(len(r), np.int64) for n, r in held.value.items()}
+        beside = {n: np.zeros(len(r), np.uint64) for n, r in held.value.items()}
+        read = 0
+        for b in batches:
+            read += b.num_rows
+            for t in b.column(0).to_pylist():
+                words = _document_words(t)
+                around = np.concatenate(([np.uint64(1)], words, [np.uint64(2)]))
+                for n, known in held.value.items():
+                    if len(words) >= n:
+                        own = grams.gram_hashes(words, n)
+                        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        at = np.flatnonzero(known[place] == own)
+                        side = grams.mix(around[at] * np.uint64(3) + around[at + n + 1]) & np.uint64(63)
+                        np.add.at(places[n], place[at], 1)
+                        np.bitwise_or.at(beside[n], place[at], np.uint64(1) << side)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((0, 0, read, -1), kinds, strict=True)], names)
+        for n in places:
+            for i in range(0, len(places[n]), 50_000):
+                at = i + np.flatnonzero(places[n][i : i + 50_000])
+                cols = (np.full(len(at), n), at, places[n][at], beside[n][at].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    counted = texts.mapInArrow(count, "n int, run long, places long, beside long").groupBy("n", "run")
+    counted = counted.agg(F.sum("places").alias("places"), F.bit_count(F.bit_or("beside")).alias("beside"))
+    many = counted.where(F.col("beside") >= NEIGHBOURS).select("n", "run", "places").toPandas()
+    texts_read = many.loc[many["n"] == 0, "places"].sum()
+    many = many[many["places"] > FREQUENT * texts_read]
+    return {n: r[np.sort(many.loc[many["n"] == n, "run"].to_numpy(np.int64))] for n, r in runs.items()}
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:

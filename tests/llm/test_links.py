@@ -335,3 +335,53 @@ def test_many_redirects_are_brute_force(spark):
         for i in members:
             want[i] = "block" if i in bad else "allow" if i in good else "block" if blocked else "allow"
     assert got == want
+
+
+def _invented(rng):
+    return "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+
+
+@pytest.mark.parametrize(("rate", "floor"), [(0.2, 0.98), (0.25, 0.98), (0.3, 0.98)])
+def test_short_items_whose_alignment_passes_are_found(rate, floor):
+    """Items of 5 to 14 words, words replaced at random: those that a search of the whole text accepts."""
+    rng = random.Random(int(rate * 100) + 1)
+    items = [[_invented(rng) for _ in range(rng.randrange(5, 15))] for _ in range(400)]
+    hashed = [grams.word_hashes(" ".join(w).encode(), grams.SIGNS) for w in items]
+    bench, hits, passing = D.Benchmark(list(enumerate(hashed))), 0, 0
+    for i, w in enumerate(items):
+        copy = [_invented(rng) if rng.random() < rate else x for x in w]
+        text = " ".join([_invented(rng) for _ in range(40)] + copy + [_invented(rng) for _ in range(40)]).encode()
+        if D.smith_waterman(hashed[i], D._document_words(text))[0] >= max(len(w), D.LEAST):
+            passing += 1
+            hits += i in {m[0] for m in D.align(text, bench, D.THRESHOLD)}
+    assert passing > 200 and hits >= floor * passing
+
+
+def test_every_third_word_edited_is_found():
+    words = [f"w{i}" for i in range(42)]
+    bench = D.Benchmark([(7, grams.word_hashes(" ".join(words).encode(), grams.SIGNS))])
+    copy = [f"edit{i}" if i % 4 == 3 else w for i, w in enumerate(words)]
+    assert [m[0] for m in D.align(" ".join(copy).encode(), bench, D.THRESHOLD)] == [7]
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 5, 400])
+def test_back_to_back_copies_of_an_item_that_repeats_itself(copies):
+    words = "a b c d e f g h a b c d i j k l".split()
+    bench = D.Benchmark([(1, grams.word_hashes(" ".join(words).encode(), grams.SIGNS))])
+    found = D.align(" ".join(["x", "y", *words * copies, "z"]).encode(), bench, D.THRESHOLD)
+    assert [m[2:] for m in found] == [(1.0, 2 + 16 * k, 18 + 16 * k) for k in range(copies)]
+
+
+def test_frequent_runs_are_no_seeds_but_runs_of_copies_are(docs, spark):
+    """What many different texts say is frequent; what one passage says in many copies is not."""
+    rng = random.Random(3)
+    item, told = "alpha beta of the gamma delta epsilon zeta", "this is of the"
+    texts = [f"{_invented(rng)} of the {_invented(rng)}" for _ in range(300)] + [f"so {item} it"] * 300
+    hashed = [(i, grams.word_hashes(t.encode(), grams.SIGNS)) for i, t in enumerate((item, told))]
+    frequent = D._frequent(docs(texts).select(D.F.col("text").cast("binary").alias("text")), hashed)
+    of_the = grams.gram_hashes(grams.word_hashes(b"of the", grams.SIGNS), 2)
+    assert frequent[2].tolist() == of_the.tolist() and not len(frequent[3])
+    seeds, _, place = D.Benchmark(hashed, frequent).seeds[2]
+    assert of_the[0] not in seeds and len(seeds) == 8
+    found = D.decontaminate(docs(texts), spark.createDataFrame([(0, item), (1, told)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in found) == [(i, 0, 1.0) for i in range(300, 600)]
