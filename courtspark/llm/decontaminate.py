@@ -216,6 +216,19 @@ def _readings(texts: DataFrame, benchmark: DataFrame) -> Iterator:
         yield texts.sparkSession.sparkContext.broadcast(Benchmark(block, _frequent(texts, block)))
 
 
+def _joined(texts: list[bytes], most: int = 500_000) -> Iterator[np.ndarray]:
+    """The words of several texts in a row, up to about ``most`` of them at once, with a word of none between and around."""
+    edge, held, size = np.array([1], np.uint64), [], 0
+    for t in texts:
+        held += [edge, _document_words(t)]
+        size += len(held[-1])
+        if size >= most:
+            yield np.concatenate([*held, edge, edge])
+            held, size = [], 0
+    if size:
+        yield np.concatenate([*held, edge, edge])
+
+
 def _frequent(texts: DataFrame, block: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
     """The block's runs below ``SEED`` words that are frequent in the texts, by length, sorted.
 
@@ -235,17 +248,14 @@ def _frequent(texts: DataFrame, block: list[tuple[int, np.ndarray]]) -> dict[int
         read = 0
         for b in batches:
             read += b.num_rows
-            for t in b.column(0).to_pylist():
-                words = _document_words(t)
-                around = np.concatenate(([np.uint64(1)], words, [np.uint64(2)]))
+            for words in _joined(b.column(0).to_pylist()):
                 for n, known in held.value.items():
-                    if len(words) >= n:
-                        own = grams.gram_hashes(words, n)
-                        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        at = np.flatnonzero(known[place] == own)
-                        side = grams.mix(around[at] * np.uint64(3) + around[at + n + 1]) & np.uint64(63)
-                        np.add.at(places[n], place[at], 1)
-                        np.bitwise_or.at(beside[n], place[at], np.uint64(1) << side)
+                    own = grams.gram_hashes(words[1:-1], n)
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    at = np.flatnonzero(known[place] == own)
+                    side = grams.mix(words[at] * np.uint64(3) + words[at + n + 1]) & np.uint64(63)
+                    np.add.at(places[n], place[at], 1)
+                    np.bitwise_or.at(beside[n], place[at], np.uint64(1) << side)
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((0, 0, read, -1), kinds, strict=True)], names)
         for n in places:
             for i in range(0, len(places[n]), 50_000):
