@@ -22,7 +22,8 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.7
 #: A unit enters the insult lexicon with this log odds ratio and so many different words before it in toxic texts.
 LOG_ODDS, CONTEXTS = 3.5, 3
-STEMS = (4, 5, 6)
+#: A stem enters it only if so many words of the lexicon begin with it, and no word of a clean text does.
+STEMS, STEM_WORDS = (5, 6, 7), 2
 FOLDS = 3
 #: Unit counts that a task holds before it hands them on; Spark adds them up.
 HELD = 200_000
@@ -162,22 +163,28 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
 
 
 def _lexicon(counts: list[dict], sizes: dict, folds: list[int]) -> dict[str, float]:
-    """Units of these folds with their log odds ratios; a unit that a shorter one covers is left out."""
+    """Whole words of these folds with their log odds ratios, and the stems that several of them share."""
     bad, good = sum(sizes.get((k, True), 0) for k in folds), sum(sizes.get((k, False), 0) for k in folds)
-    out: dict[str, float] = {}
-    for r in sorted(counts, key=lambda r: (len(r["unit"]), r["unit"])):
+    words: dict[str, float] = {}
+    stems: dict[str, float] = {}
+    for r in counts:
         toxic, clean, before = (sum(r[f"{c}_{k}"] for k in folds) for c in ("toxic", "clean", "before"))
         odds = float(np.log((toxic + 0.5) / (bad + 1)) - np.log((clean + 1) / (good + 2)))
-        if odds >= LOG_ODDS and before >= CONTEXTS and not any(u in out for u in units(r["unit"].rstrip("$"))):
-            out[r["unit"]] = odds
-    return out
+        if odds >= LOG_ODDS and before >= CONTEXTS:
+            if r["unit"].endswith("$"):
+                words[r["unit"]] = odds
+            elif not clean:
+                stems[r["unit"]] = odds
+    under = Counter(u for w in words for u in units(w.rstrip("$")) if u in stems)
+    return dict(sorted((words | {u: stems[u] for u, n in under.items() if n >= STEM_WORDS}).items()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> Toxicity:
     """Learn the insult lexicon and the curve from at most ``fit_rows`` labelled rows that are not held out.
 
-    Units count by texts, and only those seen after several different words, so that copies of one toxic text do not
-    pass its other words for insults. The curve is fitted on scores that each fold gets from the other folds'
+    Whole words count by texts, and only those seen after several different words, so that copies of one toxic text do
+    not pass its other words for insults; stems only follow from several such words, and no clean text may hold a word of
+    theirs. The curve is fitted on scores that each fold gets from the other folds'
     lexicon; the lexicon that stays is that of all folds. Without labelled rows of both kinds nothing is learned and
     no text is toxic.
     """

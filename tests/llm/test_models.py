@@ -134,7 +134,27 @@ def test_held_out_accuracy(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(got["doc_id"], got["held_out"], strict=True))
     held = got[got["held_out"]].merge(labels.toPandas(), on="doc_id")
     bad, good = held[held["toxic"] == 1], held[held["toxic"] == 0]
-    assert bad["predicted"].mean() >= 0.6 and good["predicted"].mean() <= 0.03
+    assert bad["predicted"].mean() >= 0.75 and good["predicted"].mean() <= 0.02
+
+
+def test_clean_prose_is_not_toxic_by_stems_it_shares_with_insults(spark):
+    folder = "/root/testdata/sf0.01"
+    model = X.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    clean = (
+        "They follow this path through the forest.", "The path is long.", "You are in Morocco.", "We lose time, you said.",
+        "Dieses Wort ist schön. Du kennst das Wort.", "Ihr trefft euch am Abend.", "Vous êtes à Moroni, ce chemin est long.",
+        "Tú sabes que este camino es largo.", "He has a cloud of ideas for this study.",
+    )
+    assert {t: model.score(t) for t in clean if model.score(t) >= X.THRESHOLD} == {}
+    assert all(model.score(t) >= X.THRESHOLD for t in ("You are a worthless idiot.", "This is trash and they are scum."))
+    assert model.score("You are not an idiot.") < model.score("You are an idiot.")
+
+
+def test_stems_need_several_toxic_words_and_no_clean_one():
+    row = lambda unit, toxic, clean: {"unit": unit, **{f"{c}_{k}": v for k in range(X.FOLDS) for c, v in (("toxic", toxic), ("clean", clean), ("before", toxic))}}
+    counts = [row("idiot$", 9, 0), row("idiots$", 9, 0), row("idiot", 18, 0), row("pathos$", 9, 0), row("patho", 9, 0), row("trash$", 9, 0), row("trashy$", 9, 0), row("trash", 18, 1)]
+    sizes = {(k, bad): 30 if bad else 300 for k in range(X.FOLDS) for bad in (True, False)}
+    assert set(X._lexicon(counts, sizes, list(range(X.FOLDS)))) == {"idiot$", "idiots$", "idiot", "pathos$", "trash$", "trashy$"}
 
 
 def test_labels_of_held_out_rows_are_not_looked_at(spark):
