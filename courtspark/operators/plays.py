@@ -407,11 +407,18 @@ def role_transitions(runs: DataFrame, gap_s: float = 3.0) -> DataFrame:
     return n.where((F.col("to_role") != F.col("role")) & (F.col("to_start_s") - F.col("end_s") <= gap_s)).select(*SEG, F.col("role").alias("from_role"), "to_role", "end_s", "to_start_s", "to_end_s")
 
 
-def _seen(df: DataFrame, segments: DataFrame, seg: str, at: str, **take: str) -> DataFrame:
-    """``df`` with columns of segment ``seg`` as it is at time ``at``: new name = column."""
-    times = df.select("match_id", F.col(seg).alias("seg_id"), F.col(at).alias("t")).distinct()
-    p = position_at(segments, times, tuple(take.values()))
-    return df.join(p.select("match_id", F.col("seg_id").alias(seg), F.col("t").alias(at), *[F.col(c).alias(n) for n, c in take.items()]), ["match_id", seg, at])
+def _seen(df: DataFrame, segments: DataFrame, *asked: tuple[str, str, str, str]) -> DataFrame:
+    """``df``, whose rows differ, with columns of segments as they are at times: each asks (segment, time, column, new name).
+
+    All questions of all rows meet the samples in one pass, and ``df`` is written: a pass has several uses of it, so
+    passes after one another would else repeat all that is before them.
+    """
+    df = written(df, "asked")
+    each = F.array(*[F.struct(F.lit(k).alias("ask"), F.col(seg).alias("seg_id"), F.col(at).alias("t")) for k, (seg, at, _, _) in enumerate(asked)])
+    times = df.select("match_id", F.struct(*df.columns).alias("of"), F.explode(each).alias("q")).select("match_id", "of", "q.*")
+    p = position_at(segments, times, tuple(dict.fromkeys(c for _, _, c, _ in asked)))
+    g = p.groupBy("of").agg(*[F.max(F.when(F.col("ask") == k, F.struct(F.col(c).alias("v")))).alias(new) for k, (_, _, c, new) in enumerate(asked)]).dropna()
+    return g.select("of.*", *[F.col(f"{new}.v").alias(new) for *_, new in asked])
 
 
 def _exchanges(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -442,11 +449,12 @@ def detect_role_swaps(segments: DataFrame, transitions: DataFrame) -> DataFrame:
     back = transitions.where(F.col("from_role").isin(BACK) & F.col("to_role").isin(BACK)).join(who.drop("track_id"), SEG)
     back = back.withColumns({"_r0": F.least("from_role", "to_role"), "_r1": F.greatest("from_role", "to_role")})
     e = back.groupBy("match_id", "team", "_r0", "_r1").applyInPandas(_exchanges, EXCHANGE)
+    bounds = [(f"seg_id_{s}", at.format(s), col, new.format(s)) for s in "ab" for at, col, new in (("leave_{}", "move_start", "t0_{}"), ("settle_{}", "move_end", "t1_{}"))]
+    e = _seen(e, segments, *bounds)
     for s in "ab":
-        e = _seen(_seen(e, segments, f"seg_id_{s}", f"leave_{s}", **{f"t0_{s}": "move_start"}), segments, f"seg_id_{s}", f"settle_{s}", **{f"t1_{s}": "move_end"})
         e = e.join(who.select("match_id", F.col("seg_id").alias(f"seg_id_{s}"), F.col("track_id").alias(f"track_id_{s}")), ["match_id", f"seg_id_{s}"])
     e = e.withColumns({"t0": F.least("t0_a", "t0_b"), "t1": F.greatest("t1_a", "t1_b")})
-    e = _seen(_seen(e, segments, "seg_id_a", "t0", start_frame="frame_id"), segments, "seg_id_a", "t1", end_frame="frame_id")
+    e = _seen(e, segments, ("seg_id_a", "t0", "frame_id", "start_frame"), ("seg_id_a", "t1", "frame_id", "end_frame"))
     held = lambda t, a, b: F.struct(F.col(t).alias("track_id"), F.col(a).alias("from_role"), F.col(b).alias("to_role"))
     roles = F.array(held("track_id_a", "from_role", "to_role"), held("track_id_b", "to_role", "from_role"))
     return event(e, SWAP, ["seg_id_a", "seg_id_b"], ["track_id_a", "track_id_b"], F.lit(None).cast("map<string, double>"), F.lit("rollentausch"), roles)
@@ -456,9 +464,9 @@ def detect_role_runins(segments: DataFrame, transitions: DataFrame, hold_s: floa
     """Segments that change from a back role to the pivot's and keep that for ``hold_s``."""
     who = segments.select(*SEG, "team", "track_id", "seg_end").distinct()
     e = transitions.where(F.col("from_role").isin(BACK) & (F.col("to_role") == PIVOT) & (F.col("to_end_s") - F.col("to_start_s") >= hold_s)).join(who, SEG)
-    e = _seen(_seen(e, segments, "seg_id", "end_s", t0="move_start"), segments, "seg_id", "to_start_s", t1="move_end")
+    e = _seen(e, segments, ("seg_id", "end_s", "move_start", "t0"), ("seg_id", "to_start_s", "move_end", "t1"))
     e = e.withColumn("t1", F.greatest("t1", F.least(F.col("to_start_s") + 1.0, "seg_end"))).withColumn("confidence", F.lit(0.65))
-    e = _seen(_seen(e, segments, "seg_id", "t0", start_frame="frame_id"), segments, "seg_id", "t1", end_frame="frame_id")
+    e = _seen(e, segments, ("seg_id", "t0", "frame_id", "start_frame"), ("seg_id", "t1", "frame_id", "end_frame"))
     return event(e, RUN_IN, ["seg_id"], ["track_id"], F.lit(None).cast("map<string, double>"), F.lit("rollenwechsel"), F.array(F.struct("track_id", "from_role", "to_role")))
 
 

@@ -168,6 +168,15 @@ def test_exchanges_pair_each_transition_once(spark):
     assert got == {((0, 1), 0.75, 1.0, 3.0, 4, 12), ((0, 3), 0.75, 8.0, 10.0, 32, 40)}
 
 
+def test_role_plays_meet_the_samples_once_a_pass(spark):
+    moves = spark.createDataFrame([("m", 0, "RL", "RM", 1.0, 2.0, 4.0), ("m", 1, "RM", "RL", 2.0, 3.0, 5.0), ("m", 2, "RM", "KM", 2.0, 3.0, 5.0)], "match_id string, seg_id int, from_role string, to_role string, end_s double, to_start_s double, to_end_s double")
+    rows = [("m", s, s, "A", f, f / 4, 20.0, 10.0, 0.0, 0.0) for s in range(3) for f in range(60)]
+    seg = S.with_movement(spark.createDataFrame(rows, "match_id string, seg_id int, track_id int, team string, frame_id int, timestamp_s double, x double, y double, vx double, vy double"))
+    for found, segs in ((Y.detect_role_swaps(seg, moves), [0, 1]), (Y.detect_role_runins(seg, moves), [2])):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+        assert [r["seg_ids"] for r in found.collect()] == [segs]
+
+
 @pytest.fixture(scope="module")
 def scenes(spark):
     """One match a scene; the goal attacked is at x = 40."""
