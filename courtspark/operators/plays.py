@@ -56,14 +56,17 @@ def event(found: DataFrame, play_type: str, segs: list[str], tracks: list[str],
 def team_pairs(segments: DataFrame, overlap_s: float) -> DataFrame:
     """Samples of two team mates in the same frames: columns of either segment end in _a and _b, seg_id_a < seg_id_b.
 
-    Segments meet on their frames, an equi-join within a match and team; a dozen players share a frame.
+    A frame's samples of a team, a dozen at most, are brought together once and paired there. Segments that come dealt
+    by match (``dealt``) are paired in place, and so are windows over the pairs.
     """
     cols = ["seg_id", "track_id", "x", "y", "vx", "vy", "seg_start", "seg_end", "move_start", "move_end"]
-    s = segments.where("team in ('A', 'B')").select("match_id", "team", "frame_id", "timestamp_s", *cols, speed().alias("v"))
-    side = lambda x: s.select("match_id", "team", "frame_id", *(["timestamp_s"] if x == "a" else []), *[F.col(c).alias(f"{c}_{x}") for c in (*cols, "v")])
-    p = side("a").join(side("b"), ["match_id", "team", "frame_id"]).where("seg_id_a < seg_id_b and track_id_a <> track_id_b")
-    shared = F.least("seg_end_a", "seg_end_b") - F.greatest("seg_start_a", "seg_start_b")
-    return p.where(shared >= overlap_s).withColumn("dy", F.col("y_a") - F.col("y_b"))
+    s = segments.where("team in ('A', 'B')").select("match_id", "team", "frame_id", F.struct("timestamp_s", *cols, speed().alias("v")).alias("_s"))
+    g = s.groupBy("match_id", "team", "frame_id").agg(F.collect_list("_s").alias("_b")).where(F.size("_b") > 1)
+    side = lambda x: [F.col(f"_{x}.{c}").alias(f"{c}_{x}") for c in (*cols, "v")]
+    shared = F.least("_a.seg_end", "_b.seg_end") - F.greatest("_a.seg_start", "_b.seg_start")
+    p = g.select("match_id", "team", "frame_id", "_b", F.explode("_b").alias("_a")).select("match_id", "team", "frame_id", "_a", F.explode("_b").alias("_b"))
+    p = p.where((F.col("_a.seg_id") < F.col("_b.seg_id")) & (F.col("_a.track_id") != F.col("_b.track_id")) & (shared >= overlap_s))
+    return p.select("match_id", "team", "frame_id", F.col("_a.timestamp_s").alias("timestamp_s"), *side("a"), *side("b")).withColumn("dy", F.col("y_a") - F.col("y_b"))
 
 
 PAIR = ["match_id", "seg_id_a", "seg_id_b"]
@@ -72,32 +75,36 @@ PAIR = ["match_id", "seg_id_a", "seg_id_b"]
 def swap_candidates(segments: DataFrame, around_s: float = 2.0, apart: float = 1.5, fast: float = 1.0, near: float = 4.0, window_s: float = 3.5) -> DataFrame:
     """Flips of the lateral order of two team mates who run, pass closely, and are clearly apart before and after.
 
-    A flip is seen against the pair's frame before. Only flips fast and near enough meet the samples around them
-    again, by bins of ``window_s``; there the separations and the frames of the event's window are found.
+    A flip is seen against the pair's frame before. A pair's samples are packed by bins of ``window_s``, and only flips
+    fast and near enough look at the samples of their bin and the two beside it; there the separations and the frames
+    of the event's window are found. Nothing but the samples is shuffled, and not even those if they come dealt by match.
     """
     p = team_pairs(segments, 0.8)
     w = Window.partitionBy(*PAIR).orderBy("frame_id")
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("dy")
     p = p.withColumns({"dy0": F.lag("dy").over(w), "t_before": F.lag("timestamp_s").over(w), "distance": F.sqrt(dx * dx + dy * dy)})
-    flips = p.where((F.col("dy0") * dy < 0) & (F.greatest("v_a", "v_b") >= fast) & (F.col("distance") <= near))
-    flips = flips.withColumn("t_cross", (F.col("t_before") + F.col("timestamp_s")) / 2)
+    flip = (F.col("dy0") * dy < 0) & (F.greatest("v_a", "v_b") >= fast) & (F.col("distance") <= near)
+    tc = (F.col("t_before") + F.col("timestamp_s")) / 2
     t0, t1 = F.least("move_start_a", "move_start_b"), F.greatest("move_end_a", "move_end_b")
-    flips = flips.withColumns({"t0": F.greatest(t0, F.col("t_cross") - window_s), "t1": F.least(t1, F.col("t_cross") + window_s)})
-    keep = ["team", "frame_id", "timestamp_s", "t_cross", "t0", "t1", "distance", *[f"{c}_{x}" for x in "ab" for c in ("track_id", "x", "y", "vy", "v")]]
-    flips = flips.select(*PAIR, *keep, F.col("dy0").alias("_dy0"), F.col("dy").alias("_dy"))
-
-    bins = F.sequence(F.floor((F.col("t_cross") - window_s) / window_s), F.floor((F.col("t_cross") + window_s) / window_s))
-    f = flips.select(*PAIR, "frame_id", "t_cross", "t0", "t1", "_dy0", "_dy", F.explode(bins).alias("_bin")).withColumnRenamed("frame_id", "flip")
-    own = segments.select("match_id", F.col("seg_id").alias("seg_id_a"), F.floor(F.col("timestamp_s") / window_s).alias("_bin"), "frame_id", "timestamp_s", F.col("y").alias("_ya"))
-    other = segments.select("match_id", F.col("seg_id").alias("seg_id_b"), "frame_id", F.col("y").alias("_yb"))
-    s = f.join(own, ["match_id", "seg_id_a", "_bin"]).join(other, ["match_id", "seg_id_b", "frame_id"]).withColumn("_d", F.col("_ya") - F.col("_yb"))
-    t, tc = F.col("timestamp_s"), F.col("t_cross")
-    before = F.max(F.when((t >= tc - around_s) & (t < tc) & (F.col("_d") * F.col("_dy0") > 0), F.abs("_d")))
-    after = F.max(F.when((t > tc) & (t <= tc + around_s) & (F.col("_d") * F.col("_dy") > 0), F.abs("_d")))
-    inside = F.when(t.between(F.col("t0"), F.col("t1")), F.col("frame_id"))
-    seps = s.groupBy(*PAIR, "flip").agg(before.alias("sep_before"), after.alias("sep_after"), F.min(inside).alias("start_frame"), F.max(inside).alias("end_frame"))
-    seps = seps.where((F.col("sep_before") >= apart) & (F.col("sep_after") >= apart)).withColumnRenamed("flip", "frame_id")
-    return flips.drop("_dy0", "_dy").join(seps, [*PAIR, "frame_id"]).withColumns({c: F.coalesce(c, "frame_id") for c in ("start_frame", "end_frame")})
+    kept = ["team", "frame_id", "timestamp_s", "distance", *[f"{c}_{x}" for x in "ab" for c in ("track_id", "x", "y", "vy", "v")], "dy0", "dy"]
+    of = F.struct(*kept, tc.alias("t_cross"), F.greatest(t0, tc - window_s).alias("t0"), F.least(t1, tc + window_s).alias("t1"))
+    p = p.select(*PAIR, F.struct("timestamp_s", "frame_id", "dy").alias("sample"), F.when(flip, of).alias("flip"))
+
+    at = lambda t, seen: F.struct(F.floor(t / window_s).alias("bin"), F.lit(seen).alias("seen"))
+    places = F.filter(F.array(at(F.col("sample.timestamp_s"), True), at(F.col("flip.t_cross"), False)), lambda q: q["bin"].isNotNull())
+    b = p.select(*PAIR, "sample", "flip", F.explode(places).alias("q")).groupBy(*PAIR, F.col("q.bin").alias("bin"))
+    b = b.agg(F.collect_list(F.when(F.col("q.seen"), F.col("sample"))).alias("samples"), F.collect_list(F.when(~F.col("q.seen"), F.col("flip"))).alias("flips"))
+    beside = Window.partitionBy(*PAIR).orderBy("bin").rangeBetween(-1, 1)
+    f = b.withColumn("around", F.flatten(F.collect_list("samples").over(beside))).where(F.size("flips") > 0).select(*PAIR, "around", F.explode("flips").alias("f"))
+
+    t_cross = F.col("f.t_cross")
+    apart_by = lambda side, fits: F.array_max(F.transform(F.filter("around", lambda q: fits(q["timestamp_s"]) & (q["dy"] * side > 0)), lambda q: F.abs(q["dy"])))
+    frames = F.transform(F.filter("around", lambda q: q["timestamp_s"].between(F.col("f.t0"), F.col("f.t1"))), lambda q: q["frame_id"])
+    f = f.withColumns({
+        "sep_before": apart_by(F.col("f.dy0"), lambda t: (t >= t_cross - around_s) & (t < t_cross)), "sep_after": apart_by(F.col("f.dy"), lambda t: (t > t_cross) & (t <= t_cross + around_s)),
+        "start_frame": F.coalesce(F.array_min(frames), "f.frame_id"), "end_frame": F.coalesce(F.array_max(frames), "f.frame_id"),
+    })
+    return f.where((F.col("sep_before") >= apart) & (F.col("sep_after") >= apart)).select(*PAIR, "f.*", "sep_before", "sep_after", "start_frame", "end_frame").drop("dy0", "dy")
 
 
 def swap_goal(candidates: DataFrame, contexts: DataFrame, positions: DataFrame, zone: tuple[float, float] = (4.0, 17.0), screen: int = 2) -> DataFrame:
@@ -134,30 +141,34 @@ def detect_swaps(segments: DataFrame, contexts: DataFrame, positions: DataFrame,
     return event(e, SWAP, ["seg_id_a", "seg_id_b"], ["track_id_a", "track_id_b"], measured(cross_time_s=F.col("t_cross"), pair_distance_m=F.col("distance")), variant)
 
 
-RUN_IN_SCAN = "match_id string, seg_id int, start_frame int, end_frame int, t0 double, t1 double, confidence double, goal_x double, start_dist_m double, end_dist_m double"
+RUN_IN_SCAN = "match_id string, team string, seg_id int, track_id int, start_frame int, end_frame int, t0 double, t1 double, confidence double, goal_x double, start_dist_m double, end_dist_m double"
 
 
 def detect_run_ins(segments: DataFrame, contexts: DataFrame) -> DataFrame:
     """Runs of an attacker from the back line (9.5 to 17 m) to within 7.5 m of the goal, held there for a second.
 
-    Contexts are met in Spark; the scan, whose steps depend on where the last run ended, sees one segment's samples at
-    a time, and only of segments that are in their attack far enough out and come near a goal.
+    Contexts are met in Spark; the scan, whose steps depend on where the last run ended, takes the segments of one team
+    and match one after another, and only those that are in their attack far enough out and come near a goal.
     """
     s = context_at(segments.where("team in ('A', 'B')"), contexts).withColumn("goal_x", F.when(F.col("ctx_team") == F.col("team"), F.col("ctx_goal")))
     d = {g: goal_distance(F.col("x"), F.col("y"), F.lit(g)) for g in (0.0, 40.0)}
     s = s.withColumns({"d0": d[0.0], "d40": d[40.0]})
     own = F.when(F.col("goal_x") == 0, F.col("d0")).otherwise(F.col("d40"))
-    near = s.groupBy(*SEG).agg(F.max(F.when(F.col("goal_x").isNotNull(), own)).alias("far"), F.min(F.least("d0", "d40")).alias("near")).where("far > 9.5 and near < 7.5")
-    rows = s.join(near.select(*SEG), SEG).select(*SEG, "frame_id", "timestamp_s", "goal_x", "d0", "d40", "move_start", "move_start_frame")
-    e = rows.groupBy(*SEG).applyInPandas(_run_ins, RUN_IN_SCAN)
-    who = segments.select(*SEG, "track_id", "team").distinct()
-    return event(e.join(who, SEG), RUN_IN, ["seg_id"], ["track_id"], measured(start_dist_m=F.col("start_dist_m"), end_dist_m=F.col("end_dist_m")))
+    whole = Window.partitionBy(*SEG)
+    far, near = F.max(F.when(F.col("goal_x").isNotNull(), own)).over(whole), F.min(F.least("d0", "d40")).over(whole)
+    rows = s.withColumns({"far": far, "near": near}).where("far > 9.5 and near < 7.5")
+    rows = rows.select(*SEG, "team", "track_id", "frame_id", "timestamp_s", "goal_x", "d0", "d40", "move_start", "move_start_frame")
+    e = rows.groupBy("match_id", "team").applyInPandas(_run_ins, RUN_IN_SCAN)
+    return event(e, RUN_IN, ["seg_id"], ["track_id"], measured(start_dist_m=F.col("start_dist_m"), end_dist_m=F.col("end_dist_m")))
 
 
 def _arrival(t: np.ndarray, d: np.ndarray, i: int) -> tuple[int, int] | None:
     """Arrival and last held sample of a run that begins at ``i``: the first arrival whose deepest point is held."""
+    arrived = i + np.flatnonzero((t[i:] - t[i] <= 5.0) & (d[i:] < 7.5) & (d[i] - d[i:] >= 3.0))
+    if not len(arrived):
+        return None
     calm = np.concatenate(([0], np.cumsum(np.diff(d[i:]) <= 0.15)))
-    for j in i + np.flatnonzero((t[i:] - t[i] <= 5.0) & (d[i:] < 7.5) & (d[i] - d[i:] >= 3.0)):
+    for j in arrived:
         if j == i or calm[j - i] / (j - i) < 0.7:
             continue
         m = j + int(d[j : np.searchsorted(t - t[j], 1.0, "right")].argmin())
@@ -168,24 +179,32 @@ def _arrival(t: np.ndarray, d: np.ndarray, i: int) -> tuple[int, int] | None:
 
 
 def _run_ins(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("frame_id")
-    t, goal, f = (pdf[c].to_numpy() for c in ("timestamp_s", "goal_x", "frame_id"))
-    to = {0.0: pdf["d0"].to_numpy(), 40.0: pdf["d40"].to_numpy()}
-    out, i = [], 0
-    while i < len(t):
-        d = to.get(goal[i])
-        hit = _arrival(t, d, i) if d is not None and 9.5 < d[i] <= 17 else None
+    pdf = pdf.sort_values(["seg_id", "frame_id"])
+    seg = pdf["seg_id"].to_numpy()
+    cuts = np.flatnonzero(seg[1:] != seg[:-1]) + 1
+    columns = {c: np.split(pdf[c].to_numpy(), cuts) for c in pdf.columns if c not in ("match_id", "team")}
+    who = (pdf["match_id"].iloc[0], pdf["team"].iloc[0])
+    out = [(*who, *found) for k in range(len(cuts) + 1) for found in _segment_run_ins({c: v[k] for c, v in columns.items()})]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RUN_IN_SCAN.split(", ")])
+
+
+def _segment_run_ins(c: dict[str, np.ndarray]) -> Iterator[tuple]:
+    """Run-ins of one segment, from its samples in order."""
+    t, goal, f = c["timestamp_s"], c["goal_x"], c["frame_id"]
+    to = {0.0: c["d0"], 40.0: c["d40"]}
+    own = np.where(goal == 0, c["d0"], c["d40"])
+    free = -1
+    for i in np.flatnonzero(~np.isnan(goal) & (own > 9.5) & (own <= 17)).tolist():
+        d = to[goal[i]]
+        hit = _arrival(t, d, i) if i > free else None
         if hit:
             j, end = hit
             sure = 0.5 + 0.2 * min(1.0, (d[i] - d[j]) / 6) + 0.2 * min(1.0, (7.5 - d[j]) / 3)
-            r = pdf.iloc[i]
-            out.append((r.match_id, int(r.seg_id), int(r.move_start_frame), int(f[end]), float(r.move_start), float(t[end]), max(0.3, min(0.95, sure)), float(goal[i]), float(d[i]), float(d[j])))
-            i = end
-        i += 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RUN_IN_SCAN.split(", ")])
+            yield int(c["seg_id"][i]), int(c["track_id"][i]), int(c["move_start_frame"][i]), int(f[end]), float(c["move_start"][i]), float(t[end]), max(0.3, min(0.95, sure)), float(goal[i]), float(d[i]), float(d[j])
+            free = end
 
 
-PUSH_SCAN = "match_id string, seg_id_a int, seg_id_b int, from_s double, hit_s double, t0 double, t1 double, confidence double, goal_x double, approach_m double, from_frame int, hit_frame int"
+PUSH_SCAN = "match_id string, team string, seg_id_a int, seg_id_b int, track_id_a int, track_id_b int, t0 double, t1 double, confidence double, goal_x double, approach_m double, start_frame int, end_frame int"
 
 
 def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -201,13 +220,11 @@ def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
     own = lambda s: F.when(F.col("goal_x") == 0, F.col(f"d0_{s}")).otherwise(F.col(f"d40_{s}"))
     start = F.col("goal_x").isNotNull() & own("a").between(7, 17) & own("b").between(7, 17) & F.abs("dy").between(1.5, 8)
     p = p.withColumn("start", start)
-    able = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("start").alias("any"), F.max("v_a").alias("va"), F.max("v_b").alias("vb")).where("n >= 5 and any and va >= 1.2 and vb >= 1.2")
+    whole = Window.partitionBy(*PAIR)
+    able = {"_n": F.count("*"), "_any": F.max("start"), "_va": F.max("v_a"), "_vb": F.max("v_b")}
+    p = p.withColumns({c: a.over(whole) for c, a in able.items()}).where("_n >= 5 and _any and _va >= 1.2 and _vb >= 1.2")
     cols = ["frame_id", "timestamp_s", "dy", "start", "goal_x", "d0_a", "d0_b", "d40_a", "d40_b", "v_a", "v_b", "move_start_a", "move_start_b", "move_end_a", "move_end_b"]
-    e = p.join(able.select(*PAIR), PAIR).select(*PAIR, "team", *cols).groupBy("match_id", "team").applyInPandas(_pushes, PUSH_SCAN)
-    samples = p.select(*PAIR, "team", "track_id_a", "track_id_b", "frame_id", "timestamp_s")
-    e = e.join(samples, PAIR).groupBy(*PAIR, *[c.split()[0] for c in PUSH_SCAN.split(", ")[3:]], "team", "track_id_a", "track_id_b")
-    inside = F.when(F.col("timestamp_s").between(F.col("t0"), F.col("t1")), F.col("frame_id"))
-    e = e.agg(F.coalesce(F.min(inside), F.first("from_frame")).alias("start_frame"), F.coalesce(F.max(inside), F.first("hit_frame")).alias("end_frame"))
+    e = p.select(*PAIR, "team", "track_id_a", "track_id_b", *cols).groupBy("match_id", "team").applyInPandas(_pushes, PUSH_SCAN)
     return event(e, PUSH, ["seg_id_a", "seg_id_b"], ["track_id_a", "track_id_b"], measured(approach_m=F.col("approach_m")))
 
 
@@ -218,7 +235,8 @@ def _pushes(pdf: pd.DataFrame) -> pd.DataFrame:
     columns = {c: np.split(pdf[c].to_numpy(), cuts) for c in pdf.columns if c not in ("match_id", "team", "seg_id_a", "seg_id_b")}
     out = []
     for k, ids in enumerate(np.split(pair, cuts)):
-        out += [(pdf["match_id"].iloc[0], *ids[0].tolist(), *found) for found in _pair_pushes({c: v[k] for c, v in columns.items()})]
+        who = (pdf["match_id"].iloc[0], pdf["team"].iloc[0], *ids[0].tolist(), int(columns["track_id_a"][k][0]), int(columns["track_id_b"][k][0]))
+        out += [(*who, *found) for found in _pair_pushes({c: v[k] for c, v in columns.items()})]
     return pd.DataFrame(out, columns=[c.split()[0] for c in PUSH_SCAN.split(", ")])
 
 
@@ -242,7 +260,9 @@ def _pair_pushes(c: dict[str, np.ndarray]) -> Iterator[tuple]:
         t0 = max(min(c["move_start_a"][m], c["move_start_b"][m]), t[k] - 3.0)
         t1 = min(max(c["move_end_a"][m], c["move_end_b"][m]), t[m] + 3.0)
         sure = min(0.95, 0.45 + 0.2 * min(1.0, g / 4) + 0.15 * min(1.0, v / 3))
-        yield float(t[k]), float(t[m]), float(t0), float(t1), float(sure), float(c["goal_x"][k]), float(g), int(c["frame_id"][k]), int(c["frame_id"][m])
+        inside = c["frame_id"][(t >= t0) & (t <= t1)]
+        first, last = (inside.min(), inside.max()) if len(inside) else (c["frame_id"][k], c["frame_id"][m])
+        yield float(t0), float(t1), float(sure), float(c["goal_x"][k]), float(g), int(first), int(last)
         free = int(np.searchsorted(t, t[m] + 1.0))
 
 
@@ -396,7 +416,7 @@ def stable_runs(timeline: DataFrame, least_s: float = 0.9, gap_s: float = 1.5) -
     """Runs of one role of a segment over its timeline (match_id, seg_id, t, role); null roles are not kept."""
     w = Window.partitionBy(*SEG).orderBy("t")
     r = islands(timeline, SEG, "t", changed("role", SEG, "t") | (F.col("t") - F.lag("t").over(w) > gap_s))
-    g = r.groupBy(*SEG, "island").agg(F.first("role").alias("role"), F.min("t").alias("start_s"), F.max("t").alias("end_s"))
+    g = r.groupBy(*SEG, "island", "role").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
     return g.where(F.col("role").isNotNull() & (F.col("end_s") - F.col("start_s") >= least_s)).drop("island")
 
 

@@ -14,6 +14,8 @@ SEG = ["match_id", "seg_id"]
 TAIL = 15
 #: A chain takes fragments up to so many seconds after its end.
 HOLD_S = 0.7
+#: Stretches that are taken together, one after another.
+STRETCHES = 64
 
 
 def play_rows(players: DataFrame, frames: DataFrame, fps: DataFrame) -> DataFrame:
@@ -34,29 +36,34 @@ def majority_team(rows: DataFrame, keys: list[str]) -> DataFrame:
     return n.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "team")).alias("b")).select(*keys, F.col("b.team").alias("team"))
 
 
-def stitch_fragments(fragments: DataFrame) -> DataFrame:
+def stitch_fragments(fragments: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds ``seg_id``: fragments are hung on the chain that ended just before, in order of start.
 
     A chain takes a fragment 0 to 0.7 s after its last point and within min(1 + 2.5 gap, 2.5) m, if their teams do
     not clash and no other chain is nearly as close (0.8 m). A chain's team is the commonest of its last 15 rows. Each
     choice moves a chain's end, so fragments are taken in turn; they come as endpoints with the teams of their last
     rows. Where all earlier fragments ended more than 0.7 s before the next one starts no chain goes on, so a match
-    falls into stretches that are taken each on its own; chains are numbered through the match afterwards.
+    falls into stretches, of which a bounded number is taken at a time; chains are numbered through the match afterwards.
+    The result is dealt by match over ``parts`` partitions, where that is given.
     """
     keys = [*TRACK, "fragment"]
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("frame_id")))
-    tail = F.sort_array(F.collect_list(F.when(F.col("_back") <= TAIL, F.struct("frame_id", "team"))))
     point = F.struct("timestamp_s", "x", "y")
-    ends = fragments.withColumn("_back", back).groupBy(*keys).agg(F.min(point).alias("a"), F.max(point).alias("b"), tail["team"].alias("tail"))
-    ends = ends.join(majority_team(fragments, keys), keys)
+    last = F.collect_list(F.when(F.col("_back") <= TAIL, F.struct("frame_id", "team")))
+    by_team = fragments.withColumn("_back", back).groupBy(*keys, "team").agg(F.min(point).alias("a"), F.max(point).alias("b"), last.alias("last"), F.count("*").alias("n"), F.min("frame_id").alias("first"))
+    common = F.max(F.struct("n", (-F.col("first")).alias("f"), "team"))["team"]
+    ends = by_team.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sort_array(F.flatten(F.collect_list("last")))["team"].alias("tail"), common.alias("team"))
     at = lambda e, n: [F.col(f"{e}.timestamp_s").alias(f"t{n}"), F.col(f"{e}.x").alias(f"x{n}"), F.col(f"{e}.y").alias(f"y{n}")]
     ends = ends.select(*keys, "team", "tail", *at("a", 0), *at("b", 1))
     w = Window.partitionBy("match_id").orderBy("t0", "track_id", "fragment")
     ended = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     ends = islands(ends, ["match_id"], ["t0", "track_id", "fragment"], F.col("t0") - ended > HOLD_S, "stretch")
+    ends = ends.withColumn("stretch", F.floor(F.col("stretch") / STRETCHES))
     ids = ends.groupBy("match_id", "stretch").applyInPandas(_chains, "match_id string, stretch long, track_id int, fragment long, chain int, fresh int")
     before = F.coalesce(F.sum("fresh").over(Window.partitionBy("match_id").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return fragments.join(ids.select(*keys, (before + F.col("chain")).cast("int").alias("seg_id")), keys)
+    ids = ids.select(*keys, (before + F.col("chain")).cast("int").alias("seg_id"))
+    hung = fragments.join(ids, keys)
+    return hung.repartition(parts, "match_id") if parts else hung
 
 
 def _commonest(teams: list[str]) -> str:
@@ -64,7 +71,7 @@ def _commonest(teams: list[str]) -> str:
 
 
 def _chains(ends: pd.DataFrame) -> pd.DataFrame:
-    """Chain numbers of one stretch's fragments, and which of them begin a chain."""
+    """Chain numbers of the fragments of stretches that follow each other, and which of them begin a chain."""
     open_: dict[int, tuple] = {}
     out: list[tuple] = []
     n = 0
@@ -103,15 +110,19 @@ def central_velocity(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumns({"vx": F.when(t1 > t0, (x1 - x0) / (t1 - t0)).otherwise(0.0), "vy": F.when(t1 > t0, (y1 - y0) / (t1 - t0)).otherwise(0.0)})
 
 
-def build_segments(rows: DataFrame, stitch: bool = True) -> DataFrame:
+def build_segments(rows: DataFrame, stitch: bool = True, parts: int | None = None) -> DataFrame:
     """Rows of segments that last: seg_id, smoothed x and y, velocities, the segment's team and commonest track."""
     f = split_fragments(rows)
-    s = stitch_fragments(f) if stitch else f.withColumn("seg_id", (F.col("track_id") * 1000 + F.col("fragment")).cast("int"))
-    life = s.groupBy(*SEG).agg(F.count("*").alias("n"), (F.max("timestamp_s") - F.min("timestamp_s")).alias("span")).where("n >= 5 and span >= 1.0")
-    s = s.join(life.select(*SEG), SEG)
-    track = s.groupBy(*SEG, "track_id").agg(F.count("*").alias("n"), F.min("frame_id").alias("first"))
-    track = track.groupBy(*SEG).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "track_id")).alias("b")).select(*SEG, F.col("b.track_id").alias("track_id"))
-    s = s.select(*SEG, "frame_id", "timestamp_s", "x", "y").join(track, SEG).join(majority_team(s, SEG), SEG)
+    s = stitch_fragments(f, parts) if stitch else f.withColumn("seg_id", (F.col("track_id") * 1000 + F.col("fragment")).cast("int"))
+    whole = Window.partitionBy(*SEG)
+    span = F.max("timestamp_s").over(whole) - F.min("timestamp_s").over(whole)
+    s = s.withColumns({"_n": F.count("*").over(whole), "_span": span}).where("_n >= 5 and _span >= 1.0")
+    for c in ("track_id", "team"):
+        same = Window.partitionBy(*SEG, c)
+        votes = F.struct(F.count("*").over(same).alias("n"), (-F.min("frame_id").over(same)).alias("f"), F.col(c).alias("of"))
+        s = s.withColumn(f"_{c}", votes)
+    common = {c: F.max(f"_{c}").over(whole)["of"] for c in ("track_id", "team")}
+    s = s.select(*SEG, "frame_id", "timestamp_s", "x", "y", *[v.alias(c) for c, v in common.items()])
     return central_velocity(smooth(s, SEG, ["x", "y"]), SEG)
 
 

@@ -177,6 +177,14 @@ def test_role_plays_meet_the_samples_once_a_pass(spark):
         assert [r["seg_ids"] for r in found.collect()] == [segs]
 
 
+def test_dealt_segments_are_paired_in_place(spark):
+    rows = [("m", s, s, "A", f, f / 4, 20.0 + s, 10.0 + (f - 30) * (0.1 if s else -0.1), 1.0, 0.5) for s in range(3) for f in range(60)]
+    seg = S.with_movement(spark.createDataFrame(rows, "match_id string, seg_id int, track_id int, team string, frame_id int, timestamp_s double, x double, y double, vx double, vy double").repartition(3, "match_id"))
+    found = Y.swap_candidates(seg)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["seg_id_a"], r["seg_id_b"]) for r in found.collect()} <= {(0, 1), (0, 2)}
+
+
 @pytest.fixture(scope="module")
 def scenes(spark):
     """One match a scene; the goal attacked is at x = 40."""
