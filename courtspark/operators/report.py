@@ -64,11 +64,12 @@ def density_grid(points: DataFrame, cell_m: float = 1.0, reach: int = 3, digits:
 
 
 def density_colour(grid: DataFrame) -> DataFrame:
-    """Each cell's opacity against the busiest cell, and team A's share of it."""
+    """Each cell's opacity against the busiest cell, and team A's share of it; NaN where all there is was rounded to 0."""
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(float("nan")))
     cells = grid.groupBy("match_id", "cell_x", "cell_y").agg(F.sum("density").alias("total"), F.sum(F.when(F.col("team") == "A", F.col("density")).otherwise(0.0)).alias("a"))
-    v = F.col("total") / F.max("total").over(Window.partitionBy("match_id"))
+    v = part(F.col("total"), F.max("total").over(Window.partitionBy("match_id")))
     opacity = F.when(v <= 0.04, 0.0).otherwise(0.1 + 0.7 * F.pow((v - 0.04) / 0.96, F.lit(0.6)))
-    return cells.select("match_id", "cell_x", "cell_y", opacity.alias("opacity"), (F.col("a") / F.col("total")).alias("share_a"))
+    return cells.select("match_id", "cell_x", "cell_y", opacity.alias("opacity"), part(F.col("a"), F.col("total")).alias("share_a"))
 
 
 def formation_table(counts: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def points(t):
     return S.court_points(t.players)
 
 
+def thousandths(c):
+    """A column rounded to thousandths; NaN, which has no whole number below it, stays."""
+    return F.when(F.isnan(c), F.col(c)).otherwise(F.floor(F.col(c) * 1000 + 0.5 + 1e-9) / 1000).alias(c)
+
+
 def titles(t):
     return P.match_titles(t.statuses, O.merge_meta(t.meta_updates, ["display_name", "file_name"]))
 
@@ -51,7 +56,7 @@ PLANS = {
     ),
     "h6_density_grid": (lambda t: P.density_grid(points(t), digits=3), f"WITH {DENSITY} SELECT match_id, team, cast(cell_x AS int) AS cell_x, cast(cell_y AS int) AS cell_y, density FROM dg"),
     "h7_density_colour": (
-        lambda t: P.density_colour(P.density_grid(points(t), digits=3)).select("match_id", "cell_x", "cell_y", (F.floor(F.col("opacity") * 1000 + 0.5 + 1e-9) / 1000).alias("opacity"), (F.floor(F.col("share_a") * 1000 + 0.5 + 1e-9) / 1000).alias("share_a")),
+        lambda t: P.density_colour(P.density_grid(points(t), digits=3)).select("match_id", "cell_x", "cell_y", thousandths("opacity"), thousandths("share_a")),
         f"""WITH {DENSITY}, c AS (SELECT match_id, cell_x, cell_y, sum(density) AS total, sum(CASE WHEN team = 'A' THEN density ELSE 0 END) AS a FROM dg GROUP BY ALL), v AS (SELECT *, total / max(total) OVER (PARTITION BY match_id) AS v FROM c)
  SELECT match_id, cast(cell_x AS int) AS cell_x, cast(cell_y AS int) AS cell_y, floor(CASE WHEN v <= 0.04 THEN 0 ELSE 0.1 + 0.7 * pow((v - 0.04e0) / 0.96e0, 0.6e0) END * 1000 + 0.5 + 1e-9) / 1000e0 AS opacity, floor(a / total * 1000 + 0.5 + 1e-9) / 1000e0 AS share_a FROM v""",
     ),
