@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.court import distance
 from ..sources.shared import written
-from .components import chain_roots
 from .islands import in_intervals
 
 FRAME = ["match_id", "frame_id"]
@@ -62,21 +61,20 @@ def detect_id_switches(players: DataFrame, max_gap: int = 8, max_dist: float = 1
     return pairs.groupBy("match_id", "new_id").agg(F.min(F.struct("dist", "old_id")).alias("b")).select("match_id", F.col("b.old_id").alias("old_id"), "new_id", F.col("b.dist").alias("dist"))
 
 
-def merge_id_switches(players: DataFrame, switches: DataFrame) -> DataFrame:
+def merge_id_switches(players: DataFrame, switches: DataFrame, parts: int | None = None) -> DataFrame:
     """Rename new tracks to the first track of the chain they continue, unless the two then share a frame.
 
     Pairs count nearest first. A new track's target is found by following the pairs before its own, skipped ones too;
     then the new tracks are renamed in that order, and one that shares a frame with what its target has become stays.
-    An earlier renaming changes later tests, but only among tracks that pairs connect: each such group is folded on
-    its own, as distinct frames, and only a mapping comes back. Of several pairs of one new track the nearest counts.
+    An earlier renaming changes later tests, so a match's pairs are folded together, with the distinct frames of their
+    tracks, and only a mapping comes back. Of several pairs of one new track the nearest counts. A cycle is an error.
+    The folding is dealt by match over ``parts`` partitions, where that is given.
     """
     best = F.min(F.struct("dist", "old_id")).alias("b")
     pairs = switches.where("old_id <> new_id").groupBy("match_id", "new_id").agg(best).select("match_id", "new_id", F.col("b.old_id").alias("old_id"), F.col("b.dist").alias("dist"))
     pairs = written(pairs, "switches")
-    roots = chain_roots(pairs, ["match_id"], "new_id", "old_id")
-    pairs = pairs.join(roots, ["match_id", "new_id"])
-    ids = pairs.select("match_id", "root", F.explode(F.array("old_id", "new_id")).alias("track_id")).distinct()
-    spans = players.select(*FRAME, "track_id").join(ids, TRACK).groupBy("match_id", "root", "track_id").agg(F.collect_set("frame_id").alias("frames"))
+    ids = pairs.select("match_id", F.explode(F.array("old_id", "new_id")).alias("track_id")).distinct()
+    spans = players.select(*FRAME, "track_id").join(ids, TRACK).groupBy(*TRACK).agg(F.collect_set("frame_id").alias("frames"))
 
     def merge(pairs: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
         held = {t: set(f) for t, f in zip(tracks["track_id"], tracks["frames"], strict=True)}
@@ -84,6 +82,8 @@ def merge_id_switches(players: DataFrame, switches: DataFrame) -> DataFrame:
         for old, new in pairs.sort_values(["dist", "old_id", "new_id"])[["old_id", "new_id"]].itertuples(index=False):
             while old in target:
                 old = target[old]
+            if old == new:
+                raise ValueError("the chains form a cycle")
             target[new] = old
         moved: dict[int, int] = {}
         for new, old in target.items():
@@ -100,7 +100,9 @@ def merge_id_switches(players: DataFrame, switches: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["match_id", "track_id", "to"])
 
     spans = spans.toDF(*spans.columns)  # its own column ids: both sides stem from the same rows
-    mapping = pairs.groupBy("match_id", "root").cogroup(spans.groupBy("match_id", "root")).applyInPandas(merge, "match_id string, track_id int, to int")
+    if parts:
+        pairs, spans = pairs.repartition(parts, "match_id"), spans.repartition(parts, "match_id")
+    mapping = pairs.groupBy("match_id").cogroup(spans.groupBy("match_id")).applyInPandas(merge, "match_id string, track_id int, to int")
     return players.join(mapping, TRACK, "left").withColumn("track_id", F.coalesce("to", "track_id")).drop("to")
 
 

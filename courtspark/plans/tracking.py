@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import phases as P
 from ..operators import repair as R
 from ..operators import tables as O
+from ..sources.shared import task_parts, written
 from .maintenance import sql_view
 
 FPS = "fps AS (SELECT match_id, coalesce(nullif(fps, 0), 30e0) AS fps FROM {matches})"
@@ -23,6 +24,16 @@ def tracks(t):
     return sql_view(t, TRACKS)
 
 
+def parts(t):
+    """A line item is one player row at most."""
+    return task_parts(t.spark, t.lineitem.count())
+
+
+def merged(t):
+    held = written(tracks(t), "tracks")
+    return R.merge_id_switches(held, R.detect_id_switches(held, 8, 400.0), parts(t))
+
+
 def series(t):
     return P.carrier_series(t.frames, t.carriers)
 
@@ -94,7 +105,7 @@ PLANS = {
  m AS (SELECT match_id, max(frame_id) AS top FROM t GROUP BY ALL), p AS (SELECT o.match_id, o.track_id AS old_id, n.track_id AS new_id, sqrt((o.bx - n.ax) * (o.bx - n.ax) + (o.by - n.ay) * (o.by - n.ay)) AS dist FROM e o JOIN m USING (match_id) JOIN e n ON n.match_id = o.match_id AND n.f - o.l BETWEEN 1 AND 8 AND n.track_id <> o.track_id WHERE o.l < top - 8)
  SELECT match_id, old_id, new_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY match_id, new_id ORDER BY dist, old_id) AS rn FROM p WHERE dist <= 400) WHERE rn = 1""",
     ),
-    "c3_merge_id_switches": (lambda t: R.merge_id_switches(tracks(t), R.detect_id_switches(tracks(t), 8, 400.0)).select("match_id", "frame_id", "track_id", "bbox_x1"), None),
+    "c3_merge_id_switches": (lambda t: merged(t).select("match_id", "frame_id", "track_id", "bbox_x1"), None),
     "c4_interpolate_tracks": (
         lambda t: R.interpolate_tracks(t.players, t.frames).select("match_id", "frame_id", "track_id", "observed", "court_x", "bbox_x1", "team"),
         f"""WITH {INTERPOLATED} SELECT match_id, frame_id, track_id, observed, CASE WHEN observed THEN court_x WHEN v0 IS NULL THEN NULL WHEN v1 IS NULL OR o1 = o0 THEN v0 ELSE v0 + (v1 - v0) * (ord - o0) / (o1 - o0) END AS court_x,

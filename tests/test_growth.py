@@ -2,6 +2,10 @@
 
 import math
 
+import pytest
+
+from courtspark.operators import mlprep as M
+from courtspark.operators import repair
 from courtspark.operators import report as R
 from courtspark.plans.reports import thousandths
 
@@ -12,3 +16,23 @@ def test_cells_whose_density_was_rounded_away_have_no_share(spark):
     got = {(r["match_id"], r["cell_x"]): (r["opacity"], r["share_a"]) for r in rows}
     assert got["m", 1] == (0.8, 0.0) and got["m", 0][0] == 0.0 and math.isnan(got["m", 0][1])
     assert all(map(math.isnan, got["n", 0]))
+
+
+def test_switches_are_folded_in_numbered_parts_by_match(spark):
+    players = spark.createDataFrame([(f"m{m}", f, 10 * c + f // 4) for m in range(30) for c in range(8) for f in range(12)], "match_id string, frame_id int, track_id int")
+    pairs = [(f"m{m}", 10 * c + k, 10 * c + k + 1, 1.0 * k) for m in range(30) for c in range(8) for k in range(2)]
+    switches = spark.createDataFrame(pairs, "match_id string, old_id int, new_id int, dist double")
+    got = repair.merge_id_switches(players, switches, 3).groupBy("match_id", "track_id").count().collect()
+    assert sorted((r["match_id"], r["track_id"], r["count"]) for r in got) == sorted((f"m{m}", 10 * c, 12) for m in range(30) for c in range(8))
+    ring = spark.createDataFrame([("m0", 0, 1, 1.0), ("m0", 1, 0, 2.0)], switches.schema)
+    with pytest.raises(Exception, match="cycle"):
+        repair.merge_id_switches(players, ring).collect()
+
+
+def test_nearest_references_vote_without_a_shuffle(spark):
+    refs = spark.createDataFrame([("b", [1.0, 0.0]), ("b", [1.0, 0.0]), ("a", [1.0, 0.1]), ("a", [1.0, 0.1]), ("c", [0.0, 1.0])], "label string, vector array<double>")
+    own = spark.createDataFrame([(k, [1.0, 0.05 * k]) for k in range(2500)] + [(-1, [0.0, 0.0])], "id int, vector array<double>")
+    near = M.knn_classify(own, refs, ["id"], 4)
+    assert "Exchange" not in near._jdf.queryExecution().toString()
+    got = {r["id"]: r["label"] for r in near.collect()}
+    assert len(got) == 2501 and got[0] == "b" and got[2] == "a" and got[-1] == "a"
