@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .phases import ACTIONS
 
 FRAME = ["match_id", "frame_id"]
 SAMPLE = ["match_id", "frame_id", "track_id"]
+#: Vectors that meet all references at once.
+KNN_ROWS = 1024
 
 #: Shapes as (depth, lateral place) in parts of the court around the team's middle: fixed values.
 SHAPES = {
@@ -90,15 +94,35 @@ def _dot(a: Column, b: Column) -> Column:
 def knn_classify(vectors: DataFrame, refs: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """Majority label of the ``k`` most similar reference vectors (cosine); ties by summed similarity, then label.
 
-    References are a small labelled table and are broadcast whole; each vector keeps its ``k`` best while they pass.
+    References are a small labelled table and go whole to every task, where a batch of vectors meets them as one table
+    of products. Sums run over the dimensions in order, so a similarity is the same number in whatever batch it falls.
     """
-    norm = lambda v: F.sqrt(_dot(v, v)) + 1e-8
-    held = refs.agg(F.collect_list(F.struct("label", "vector", norm(F.col("vector")).alias("norm"))).alias("refs"))
-    j = vectors.crossJoin(F.broadcast(held)).withColumn("vnorm", norm(F.col("vector")))
-    sims = F.transform("refs", lambda r: F.struct((-(_dot(F.col("vector"), r["vector"]) / (F.col("vnorm") * r["norm"]))).alias("minus"), r["label"].alias("label")))
-    near = j.select(*keys, F.explode(F.slice(F.array_sort(sims), 1, k)).alias("s"))
-    votes = near.groupBy(*keys, F.col("s.label").alias("label")).agg(F.count("*").alias("votes"), F.sum("s.minus").alias("minus"))
-    return votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("v"), "minus", "label")).alias("b")).select(*keys, F.col("b.label").alias("label"))
+    held = sorted((r["label"], list(r["vector"])) for r in refs.select("label", "vector").collect())
+    labels = sorted({label for label, _ in held})
+    of = np.array([labels.index(label) for label, _ in held])
+    to = np.array([v for _, v in held], float)
+
+    def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return reduce(np.add, (a[..., d] * b[..., d] for d in range(b.shape[-1])), 0.0)
+
+    size = lambda v: np.sqrt(products(v, v)) + 1e-8
+    norms = size(to)
+
+    @F.pandas_udf("string")
+    def voted(vectors: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(vectors), KNN_ROWS):
+            v = np.stack(vectors.iloc[at : at + KNN_ROWS].to_numpy())
+            minus = -(products(v[:, None, :], to[None]) / (size(v)[:, None] * norms))
+            best = np.argsort(minus, axis=1, kind="stable")[:, :k]  # references are in order of their labels
+            near, lost = of[best], np.take_along_axis(minus, best, axis=1)
+            own = near[:, :, None] == np.arange(len(labels))
+            votes, total = own.sum(axis=1), reduce(np.add, (np.where(own[:, i], lost[:, i, None], 0.0) for i in range(near.shape[1])), 0.0)
+            rank = np.lexsort((np.broadcast_to(np.arange(len(labels)), votes.shape), total, -votes), axis=1)
+            out += [labels[i] for i in rank[:, 0]]
+        return pd.Series(out, index=vectors.index, dtype=object)
+
+    return vectors.select(*keys, voted("vector").alias("label"))
 
 
 def knn_formation_rows(samples: DataFrame, refs: DataFrame, keys: list[str], k: int = 5, least: int = 4) -> tuple[DataFrame, DataFrame]:
