@@ -39,26 +39,15 @@ def stitch_fragments(fragments: DataFrame, parts: int | None = None) -> DataFram
 
     A chain takes a fragment 0 to 0.7 s after its last point and within min(1 + 2.5 gap, 2.5) m, if their teams do
     not clash and no other chain is nearly as close (0.8 m). A chain's team is the commonest of its last 15 rows. Each
-    choice moves a chain's end, so fragments are taken in turn; they come as endpoints with the teams of their last
-    rows. Where all earlier fragments ended more than 0.7 s before the next one starts no chain goes on, so a match
-    falls into stretches that are taken each on its own; chains are numbered through the match afterwards.
-    The result is dealt by match over ``parts`` partitions, where that is given.
+    choice moves a chain's end, so a match's fragments are taken in turn; they come as endpoints with the teams of their
+    rows. The result is dealt by match over ``parts`` partitions, where that is given.
     """
     keys = [*TRACK, "fragment"]
-    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("frame_id")))
-    point = F.struct("timestamp_s", "x", "y")
-    last = F.collect_list(F.when(F.col("_back") <= TAIL, F.struct("frame_id", "team")))
-    by_team = fragments.withColumn("_back", back).groupBy(*keys, "team").agg(F.min(point).alias("a"), F.max(point).alias("b"), last.alias("last"), F.count("*").alias("n"), F.min("frame_id").alias("first"))
-    common = F.max(F.struct("n", (-F.col("first")).alias("f"), "team"))["team"]
-    ends = by_team.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sort_array(F.flatten(F.collect_list("last")))["team"].alias("tail"), common.alias("team"))
-    at = lambda e, n: [F.col(f"{e}.timestamp_s").alias(f"t{n}"), F.col(f"{e}.x").alias(f"x{n}"), F.col(f"{e}.y").alias(f"y{n}")]
-    ends = ends.select(*keys, "team", "tail", *at("a", 0), *at("b", 1))
-    w = Window.partitionBy("match_id").orderBy("t0", "track_id", "fragment")
-    ended = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ends = islands(ends, ["match_id"], ["t0", "track_id", "fragment"], F.col("t0") - ended > HOLD_S, "stretch")
-    ids = ends.groupBy("match_id", "stretch").applyInPandas(_chains, "match_id string, stretch long, track_id int, fragment long, chain int, fresh int")
-    before = F.coalesce(F.sum("fresh").over(Window.partitionBy("match_id").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ids = ids.select(*keys, (before + F.col("chain")).cast("int").alias("seg_id"))
+    rows = fragments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_id", "timestamp_s", "x", "y", "team"))).alias("rows"))
+    points = F.transform("rows", lambda r: F.struct(r["timestamp_s"].alias("t"), r["x"].alias("x"), r["y"].alias("y")))
+    ends = rows.select(*keys, F.array_min(points).alias("a"), F.array_max(points).alias("b"), F.col("rows.team").alias("teams"))
+    ends = ends.select(*keys, "teams", *[F.col(f"{e}.{c}").alias(f"{c}{n}") for e, n in (("a", 0), ("b", 1)) for c in "txy"])
+    ids = ends.groupBy("match_id").applyInPandas(_stitched, "match_id string, track_id int, fragment long, chain int").withColumnRenamed("chain", "seg_id")
     hung = fragments.join(ids, keys)
     return hung.repartition(parts, "match_id") if parts else hung
 
@@ -67,29 +56,35 @@ def _commonest(teams: list[str]) -> str:
     return max(dict.fromkeys(teams), key=teams.count)
 
 
+def _stitched(ends: pd.DataFrame) -> pd.DataFrame:
+    """Chains of fragments that come with the teams of all their rows."""
+    teams = [list(x) for x in ends["teams"]]
+    return _chains(ends.assign(team=list(map(_commonest, teams)), tail=[x[-TAIL:] for x in teams]))
+
+
 def _chains(ends: pd.DataFrame) -> pd.DataFrame:
-    """Chain numbers of one stretch's fragments, and which of them begin a chain."""
+    """The chain of each of a match's fragments, numbered in order of their starts."""
+    ends = ends.sort_values(["t0", "track_id", "fragment"])
     open_: dict[int, tuple] = {}
-    out: list[tuple] = []
+    chain: list[int] = []
     n = 0
-    for r in ends.sort_values(["t0", "track_id", "fragment"]).itertuples():
-        open_ = {k: c for k, c in open_.items() if r.t0 - c[0] <= HOLD_S}
+    for t0, x0, y0, t1, x1, y1, team, last in zip(*(ends[c].tolist() for c in ("t0", "x0", "y0", "t1", "x1", "y1", "team", "tail")), strict=True):
+        open_ = {k: c for k, c in open_.items() if t0 - c[0] <= HOLD_S}
         near = []
-        for k, (t, x, y, tail) in open_.items():
-            gap, d = r.t0 - t, ((r.x0 - x) ** 2 + (r.y0 - y) ** 2) ** 0.5
-            if 0 < gap and d <= min(1.0 + 2.5 * gap, 2.5) and {_commonest(tail), r.team} != {"A", "B"}:
+        for k, (t, x, y, _, common) in open_.items():
+            gap, d = t0 - t, ((x0 - x) ** 2 + (y0 - y) ** 2) ** 0.5
+            if 0 < gap and d <= min(1.0 + 2.5 * gap, 2.5) and {common, team} != {"A", "B"}:
                 near.append((d, k))
         near.sort()
-        tail = list(r.tail)
+        tail = list(last)
         if near and (len(near) == 1 or near[1][0] - near[0][0] >= 0.8):
             k = near[0][1]
             tail = (open_[k][3] + tail)[-TAIL:]
         else:
             k, n = n, n + 1
-        fresh = k == n - 1 and k not in open_
-        open_[k] = (r.t1, r.x1, r.y1, tail)
-        out.append((r.match_id, r.stretch, r.track_id, r.fragment, k, int(fresh)))
-    return pd.DataFrame(out, columns=["match_id", "stretch", "track_id", "fragment", "chain", "fresh"])
+        open_[k] = (t1, x1, y1, tail, _commonest(tail))
+        chain.append(k)
+    return ends[["match_id", "track_id", "fragment"]].assign(chain=chain)
 
 
 def smooth(rows: DataFrame, keys: list[str], cols: list[str], half: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from courtspark.operators import mlprep as M
 from courtspark.operators import repair
 from courtspark.operators import report as R
+from courtspark.operators import segments as S
 from courtspark.plans.reports import thousandths
 
 
@@ -36,3 +37,12 @@ def test_nearest_references_vote_without_a_shuffle(spark):
     assert "Exchange" not in near._jdf.queryExecution().toString()
     got = {r["id"]: r["label"] for r in near.collect()}
     assert len(got) == 2501 and got[0] == "b" and got[2] == "a" and got[-1] == "a"
+
+
+def test_a_match_is_stitched_in_one_group(spark):
+    rows = [(f"m{m}", f, f / 4, t, "A", t * 9.0, 1.0) for m in range(3) for t in range(4) for f in [*range(8), *range(40, 48)]]
+    f = S.split_fragments(spark.createDataFrame(rows, "match_id string, frame_id int, timestamp_s double, track_id int, team string, x double, y double"))
+    hung = S.stitch_fragments(f)
+    assert "FlatMapGroupsInPandas" in hung._jdf.queryExecution().toString()
+    assert "stretch" not in hung._jdf.queryExecution().toString()
+    assert {(r["match_id"], r["seg_id"]) for r in hung.collect()} == {(f"m{m}", k) for m in range(3) for k in range(8)}
