@@ -443,17 +443,17 @@ def _seen(df: DataFrame, segments: DataFrame, *asked: tuple[str, str, str, str])
 
 def _exchanges(pdf: pd.DataFrame) -> pd.DataFrame:
     """Transitions between the same two roles, each with the first later one the other way by another segment."""
-    rows = pdf.sort_values(["seg_id", "end_s"]).reset_index(drop=True)
-    mid, free, out = (rows["end_s"] + rows["to_start_s"]) / 2, np.ones(len(rows), bool), []
-    for i, r in enumerate(rows.itertuples()):
+    rows = pdf.sort_values(["seg_id", "end_s"])
+    seg, source, to, left, settled = (rows[c].to_numpy() for c in ("seg_id", "from_role", "to_role", "end_s", "to_start_s"))
+    who, mid, free, out = (rows["match_id"].iloc[0], rows["team"].iloc[0]), (left + settled) / 2, np.ones(len(rows), bool), []
+    for i in range(len(rows)):
         if not free[i]:
             continue
-        fits = free & (rows.index > i) & (rows["seg_id"] != r.seg_id) & (rows["from_role"] == r.to_role) & ((mid - mid[i]).abs() <= 3.0)
-        if fits.any():
-            j = int(np.flatnonzero(fits)[0])
-            o = rows.loc[j]
+        fits = i + 1 + np.flatnonzero(free[i + 1 :] & (seg[i + 1 :] != seg[i]) & (source[i + 1 :] == to[i]) & (np.abs(mid[i + 1 :] - mid[i]) <= 3.0))
+        if len(fits):
+            j = fits[0]
             free[i] = free[j] = False
-            out.append((r.match_id, r.team, int(r.seg_id), int(o.seg_id), r.from_role, r.to_role, r.end_s, r.to_start_s, o.end_s, o.to_start_s, 0.75 if abs(mid[i] - mid[j]) <= 1.5 else 0.6))
+            out.append((*who, int(seg[i]), int(seg[j]), source[i], to[i], left[i], settled[i], left[j], settled[j], 0.75 if abs(mid[i] - mid[j]) <= 1.5 else 0.6))
     return pd.DataFrame(out, columns=[c.split()[0] for c in EXCHANGE.split(", ")])
 
 
@@ -560,30 +560,34 @@ def link_events(events: DataFrame, sequences: DataFrame, lead_s: float = 2.0, wi
     return events.select("match_id", "event_id").join(first, ["match_id", "event_id"], "left")
 
 
-def analyze_match(rows: DataFrame, goals: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def analyze_match(rows: DataFrame, goals: DataFrame, readings: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All plays and attack sequences of many matches: (events, sequences).
 
     rows: match_id, frame_id, timestamp_s, track_id, team, x, y; goals: match_id, timestamp_sec; readings: the matches
-    with a scoreboard. Segments, contexts, centroids and detections are written to the shared folder, since each has
-    several uses. Events carry their details, tracks and sequence; sequences their frames, outcome and event_count.
+    with a scoreboard. Rows, segments, contexts, centroids and detections are written to the shared folder, since each
+    has several uses, and dealt by match over ``parts`` partitions, where that is given. Events carry their details,
+    tracks and sequence; sequences their frames, outcome and event_count.
     """
-    segments = written(with_movement(build_segments(rows)), "segments")
-    contexts = written(attack_contexts(attack_hysteresis(attack_verdicts(rows))), "contexts")
-    series = written(centroid_series(rows), "centroids")
-    transitions = written(role_transitions(stable_runs(assign_roles(segments, contexts))), "transitions")
+    deal = lambda df: df.repartition(parts, "match_id") if parts else df
+    held = lambda df, what: deal(written(df, what))
+    rows = held(rows, "rows")
+    segments = held(with_movement(build_segments(rows, parts=parts)), "segments")
+    contexts = held(attack_contexts(attack_hysteresis(attack_verdicts(rows))), "contexts")
+    series = held(centroid_series(rows), "centroids")
+    transitions = held(role_transitions(stable_runs(assign_roles(segments, contexts))), "transitions")
     found = [
         detect_swaps(segments, contexts, frame_positions(rows)), detect_run_ins(segments, contexts), detect_pushes(segments, contexts), detect_fast_breaks(series, contexts),
         detect_role_swaps(segments, transitions), detect_role_runins(segments, transitions),
     ]
     events = reduce(DataFrame.unionByName, [e.withColumn("source", F.lit(k)) for k, e in enumerate(found)])
     key = F.row_number().over(Window.partitionBy("match_id").orderBy("source", "t0", "seg_ids", "t1"))
-    events = with_tracks(written(events.withColumn("key", key), "detections"), segments, series)
+    events = with_tracks(held(events.withColumn("key", key), "detections"), segments, series)
     rest = [c for c in events.columns if c not in ("t0", "t1", "confidence")]
     events = events.select(*rest, *[F.round(c, 3).alias(n) for c, n in (("t0", "start_time_s"), ("t1", "end_time_s"), ("confidence", "confidence"))])
-    merged = written(merge_events(events, order=("source", "key")), "events")
+    merged = held(merge_events(events, order=("source", "key")), "events")
     c = attack_sequences(contexts.withColumnRenamed("goal", "goal_x"), goals, readings)
     c = frame_at(frame_at(c, rows, "start_s", "start_frame"), rows, "end_s", "end_frame").withColumnsRenamed({"start_s": "start_time_s", "end_s": "end_time_s"})
-    sequences = written(c, "sequences")
+    sequences = held(c, "sequences")
     events = merged.join(link_events(merged, sequences), ["match_id", "event_id"])
     counts = events.groupBy("match_id", "sequence_id").agg(F.count("*").alias("event_count"))
     return events, sequences.join(counts, ["match_id", "sequence_id"], "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)).cast("long"))
