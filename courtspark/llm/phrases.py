@@ -20,10 +20,10 @@ LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
 #: So many of the most frequent words, and of the phrases of each length, go by rank; the others by hash.
 RANKS = 1 << 18
 #: A tile is EDGE x EDGE pairs of ranks. In one flush of HELD pairs a tile of at least DENSE is counted by address.
-EDGE, DENSE, HELD = 1 << 10, 1 << 16, 1 << 19
+EDGE, DENSE, HELD = 1 << 10, 1 << 16, 1 << 18
 #: Texts of one language are scanned together up to BUFFER bytes; hashes are made in pieces; words in this number are
 #: held before a task hands its counts on; longer words than LONG bytes are hashed one by one.
-BUFFER, PIECE, WORDS, LONG = 1 << 21, 1 << 20, 200_000, 256
+BUFFER, PIECE, WORDS, LONG = 1 << 19, 1 << 19, 100_000, 256
 LEADING = 19
 _MASK = (1 << 64) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
