@@ -41,14 +41,13 @@ def density_grid(points: DataFrame, cell_m: float = 1.0, reach: int = 3, digits:
 
     A stamp's radius is 1.2 spreads of its zone; its peak falls with the team's number of points. Stamps compose as
     1 - prod(1 - alpha), an aggregate that is summed as logarithms, so partial sums combine before the shuffle. Only
-    cells within ``reach`` of a point are laid out.
+    cells within ``reach`` of a point are laid out. Points that come dealt by match are counted and stamped in place.
     """
     spread: Column = F.lit(1.0)
     zone = zone_of(F.col("court_x"), F.col("court_y"))
     for z, s in SPREADS.items():
         spread = F.when(zone == z, s).otherwise(spread)
-    n = points.groupBy("match_id", "team").agg(F.count("*").alias("n"))
-    p = points.join(n, ["match_id", "team"]).withColumn("radius", spread * 1.2)
+    p = points.withColumns({"n": F.count("*").over(Window.partitionBy("match_id", "team")), "radius": spread * 1.2})
     p = p.withColumn("peak", F.least(F.lit(0.6), F.greatest(F.lit(0.015), F.lit(120.0) / F.col("n"))))
     for c, size in (("x", 40), ("y", 20)):
         at = F.floor(F.col(f"court_{c}") / cell_m).cast("int")

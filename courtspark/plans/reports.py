@@ -54,9 +54,9 @@ PLANS = {
         lambda t: P.zone_tiles(S.zone_intensity(t.players, t.matches), S.zone_counts(t.players, t.matches)),
         f"WITH {INTENSITY}, tl AS (SELECT match_id, half, zone, a + b + u AS total, (a + b + u) / sum(a + b + u) OVER (PARTITION BY match_id) AS share, a + b + u > 0 AS active, cast(floor(intensity * 0.94e0 + 6 + 0.5) AS bigint) AS fill FROM zi JOIN zc USING (match_id, half, zone)) SELECT *, fill >= 62 AS inverted FROM tl",
     ),
-    "h6_density_grid": (lambda t: P.density_grid(points(t), digits=3), f"WITH {DENSITY} SELECT match_id, team, cast(cell_x AS int) AS cell_x, cast(cell_y AS int) AS cell_y, density FROM dg"),
+    "h6_density_grid": (lambda t: P.density_grid(points(t).repartition(t.parts(), "match_id"), digits=3), f"WITH {DENSITY} SELECT match_id, team, cast(cell_x AS int) AS cell_x, cast(cell_y AS int) AS cell_y, density FROM dg"),
     "h7_density_colour": (
-        lambda t: P.density_colour(P.density_grid(points(t), digits=3)).select("match_id", "cell_x", "cell_y", thousandths("opacity"), thousandths("share_a")),
+        lambda t: P.density_colour(P.density_grid(points(t).repartition(t.parts(), "match_id"), digits=3)).select("match_id", "cell_x", "cell_y", thousandths("opacity"), thousandths("share_a")),
         f"""WITH {DENSITY}, c AS (SELECT match_id, cell_x, cell_y, sum(density) AS total, sum(CASE WHEN team = 'A' THEN density ELSE 0 END) AS a FROM dg GROUP BY ALL), v AS (SELECT *, total / max(total) OVER (PARTITION BY match_id) AS v FROM c)
  SELECT match_id, cast(cell_x AS int) AS cell_x, cast(cell_y AS int) AS cell_y, floor(CASE WHEN v <= 0.04 THEN 0 ELSE 0.1 + 0.7 * pow((v - 0.04e0) / 0.96e0, 0.6e0) END * 1000 + 0.5 + 1e-9) / 1000e0 AS opacity, floor(a / total * 1000 + 0.5 + 1e-9) / 1000e0 AS share_a FROM v""",
     ),
@@ -69,7 +69,7 @@ PLANS = {
         f"WITH {SUMMARY}, g AS (SELECT match_id, play_type, cast(sum(plays) AS bigint) AS plays, cast(sum(rated) AS bigint) AS rated, cast(sum(goals) AS bigint) AS goals, sum(floor(confidence * 1000 + 0.5) * plays) / sum(plays) / 1000e0 AS confidence FROM pl GROUP BY ALL) SELECT *, plays / sum(plays) OVER (PARTITION BY match_id) AS share, CASE WHEN rated > 0 THEN goals / rated END AS success FROM g",
     ),
     "h11_key_figures": (
-        lambda t: P.key_figures(S.match_stats(t.matches, t.players, t.ball), S.possession_share(t.players)),
+        lambda t: P.key_figures(S.match_stats(t.matches, t.players.repartition(t.parts(), "match_id"), t.ball), S.possession_share(t.players)),
         f"WITH {STATS}, {SHARE} SELECT match_id, CASE WHEN total_frames > 0 THEN tracks END AS tracks, CASE WHEN total_frames > 0 THEN player_rate END AS player_rate, CASE WHEN total_frames > 0 THEN court_rate END AS court_rate, CASE WHEN total_frames > 0 THEN ball_rate END AS ball_rate, CASE WHEN possession_a + possession_b > 0 THEN greatest(0, floor((100 - possession_a - possession_b) * 10 + 0.5) / 10e0) END AS unassigned FROM ms LEFT JOIN sh USING (match_id)",
     ),
     "h12_team_bucket": (

@@ -47,7 +47,7 @@ def flat_summary(t):
 
 
 PLANS = {
-    "g1_match_stats": (lambda t: S.match_stats(t.matches, t.players, t.ball), f"WITH {STATS} SELECT * FROM ms"),
+    "g1_match_stats": (lambda t: S.match_stats(t.matches, t.players.repartition(t.parts(), "match_id"), t.ball), f"WITH {STATS} SELECT * FROM ms"),
     "g1_sketched_counts": (lambda t: S.sketched_counts(S.match_sketches(t.players)), None),
     "g2_possession_share": (lambda t: S.possession_share(t.players), f"WITH {SHARE} SELECT * FROM sh"),
     "g3_player_stats": (lambda t: S.player_stats(t.players, t.matches), f"WITH {TRACKS} SELECT * FROM ps"),

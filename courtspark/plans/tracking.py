@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import phases as P
 from ..operators import repair as R
 from ..operators import tables as O
-from ..sources.shared import task_parts, written
+from ..sources.shared import written
 from .maintenance import sql_view
 
 FPS = "fps AS (SELECT match_id, coalesce(nullif(fps, 0), 30e0) AS fps FROM {matches})"
@@ -24,14 +24,9 @@ def tracks(t):
     return sql_view(t, TRACKS)
 
 
-def parts(t):
-    """A line item is one player row at most."""
-    return task_parts(t.spark, t.lineitem.count())
-
-
 def merged(t):
     held = written(tracks(t), "tracks")
-    return R.merge_id_switches(held, R.detect_id_switches(held, 8, 400.0), parts(t))
+    return R.merge_id_switches(held, R.detect_id_switches(held, 8, 400.0), t.parts())
 
 
 def series(t):

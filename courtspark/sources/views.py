@@ -11,8 +11,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+from .shared import task_parts
 
+GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 
 def match(key: str, span: int) -> str:
@@ -110,6 +111,11 @@ SELECT concat('m', cast(8 * cast(floor(s_suppkey / 32) AS bigint) + s_suppkey %
 DEPENDS = {name: tuple(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text))) for name, text in VIEWS.items()}
 
 
+#: Inputs that a view takes dealt by a column over numbered partitions: a task's groups and windows then do not grow with
+#: the tables, and those of later views that have the column among their keys work in place.
+DEALT = {("keys", "lineitem"): "l_orderkey", ("places", "keys"): "s"}
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     """The views that ``names`` need, inputs first."""
     want, out = list(names), []
@@ -125,14 +131,24 @@ class Tables:
     """The given tables of a folder and the views over them, built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._made, self._parts = spark, sf_dir, {}, None
+
+    def parts(self) -> int:
+        """Partitions for all line items: a line item is one player row at most."""
+        if self._parts is None:
+            self._parts = task_parts(self.spark, self.lineitem.count())
+        return self._parts
+
+    def _input(self, view: str, name: str) -> DataFrame:
+        df = getattr(self, name)
+        return df.repartition(self.parts(), DEALT[view, name]) if (view, name) in DEALT else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in (*GIVEN, *VIEWS):
             raise AttributeError(name)
         if name not in self._made:
             if name in VIEWS:
-                self._made[name] = self.spark.sql(VIEWS[name], **{d: getattr(self, d) for d in DEPENDS[name]})
+                self._made[name] = self.spark.sql(VIEWS[name], **{d: self._input(name, d) for d in DEPENDS[name]})
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]

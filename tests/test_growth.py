@@ -1,6 +1,7 @@
 """Steps that failed, or grew faster than their input, on larger tables."""
 
 import math
+import re
 
 import pytest
 
@@ -9,6 +10,8 @@ from courtspark.operators import repair
 from courtspark.operators import report as R
 from courtspark.operators import segments as S
 from courtspark.plans.reports import thousandths
+from courtspark.sources import shared
+from courtspark.sources.views import Tables
 
 
 def test_cells_whose_density_was_rounded_away_have_no_share(spark):
@@ -46,3 +49,12 @@ def test_a_match_is_stitched_in_one_group(spark):
     assert "FlatMapGroupsInPandas" in hung._jdf.queryExecution().toString()
     assert "stretch" not in hung._jdf.queryExecution().toString()
     assert {(r["match_id"], r["seg_id"]) for r in hung.collect()} == {(f"m{m}", k) for m in range(3) for k in range(8)}
+
+
+def test_parts_of_the_views_grow_with_the_tables(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    t = Tables(spark, sf_dir)
+    n = -(-t.lineitem.count() // 500)
+    dealt = lambda df: re.findall(r"hashpartitioning\((\w+)#\w+, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().toString())
+    assert n > 4 and t.parts() == n
+    assert ("l_orderkey", str(n)) in dealt(t.players) and ("s", str(n)) in dealt(t.waypoints)
