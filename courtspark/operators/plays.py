@@ -367,26 +367,29 @@ def assign_roles(segments: DataFrame, contexts: DataFrame, bin_s: float = 0.5, m
     s = s.select(*SEG, "team", "x", "y", F.explode(F.sequence("b0", "b1")).alias("bin")).join(c, ["match_id", "team", "bin"])
     far = lambda at: F.sqrt((F.col("x") - at[0]) * (F.col("x") - at[0]) + (F.col("y") - at[1]) * (F.col("y") - at[1]))
     costs = F.when(F.col("goal_x") == 0, F.array(*[far(role_slot(r, 0.0)) for r in SLOTS])).otherwise(F.array(*[far(role_slot(r, 40.0)) for r in SLOTS]))
-    g = s.groupBy("match_id", "bin").agg(F.array_sort(F.collect_list(F.struct("seg_id", costs.alias("costs")))).alias("players"))
-    g = g.withColumn("slot", _least_total(F.transform("players", lambda p: p["costs"])))
+    g = s.groupBy("match_id", "bin").agg(F.sort_array(F.collect_list(F.struct("seg_id", costs.alias("costs")))).alias("players"))
+    g = g.withColumn("slot", _least_total(F.flatten(F.transform("players", lambda p: p["costs"]))))
     p = g.select("match_id", middle(F.col("bin")).alias("t"), F.inline(F.arrays_zip(F.col("players.seg_id").alias("seg_id"), F.col("players.costs").alias("costs"), "slot")))
     role = F.when(F.get("costs", "slot") <= most, F.get(F.array(*[F.lit(r) for r in SLOTS]), F.col("slot")))
     return p.select("match_id", "seg_id", "t", role.alias("role"))
 
 
 def _least_total(costs: Column) -> Column:
-    """The slot (or -1) of each player of a bin, with the least total cost: an exact subset recursion over 64 sets."""
+    """The slot (or -1) of each player of a bin, with the least total cost: an exact subset recursion over 64 sets.
+
+    A bin's costs come as one list, player after player.
+    """
 
     @F.pandas_udf("array<int>")
     def matched(bins: pd.Series) -> pd.Series:
-        size = bins.map(len)
-        out: dict = {}
-        for n in size.unique():
-            at = size.index[size == n]
-            cost = np.array([[list(p) for p in bins[i]] for i in at])
-            for i, row in zip(at, slots_of_least_total(cost), strict=True):
-                out[i] = row.tolist()
-        return pd.Series([out[i] for i in bins.index], index=bins.index)
+        held, out = bins.to_numpy(), np.empty(len(bins), object)
+        size = np.array([len(b) for b in held], int)
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            cost = np.concatenate(held[at]).reshape(len(at), n // len(SLOTS), len(SLOTS))
+            for i, row in zip(at.tolist(), slots_of_least_total(cost).astype(np.int32), strict=True):
+                out[i] = row
+        return pd.Series(out, index=bins.index)
 
     return matched(costs)
 
@@ -571,7 +574,7 @@ def analyze_match(rows: DataFrame, goals: DataFrame, readings: DataFrame, parts:
     deal = lambda df: df.repartition(parts, "match_id") if parts else df
     held = lambda df, what: deal(written(df, what))
     rows = held(rows, "rows")
-    segments = held(with_movement(build_segments(rows, parts=parts)), "segments")
+    segments = held(with_movement(build_segments(rows)), "segments")
     contexts = held(attack_contexts(attack_hysteresis(attack_verdicts(rows))), "contexts")
     series = held(centroid_series(rows), "centroids")
     transitions = held(role_transitions(stable_runs(assign_roles(segments, contexts))), "transitions")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,41 +37,50 @@ def majority_team(rows: DataFrame, keys: list[str]) -> DataFrame:
     return n.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "team")).alias("b")).select(*keys, F.col("b.team").alias("team"))
 
 
-def stitch_fragments(fragments: DataFrame, parts: int | None = None) -> DataFrame:
+def stitch_fragments(fragments: DataFrame) -> DataFrame:
     """Adds ``seg_id``: fragments are hung on the chain that ended just before, in order of start.
 
     A chain takes a fragment 0 to 0.7 s after its last point and within min(1 + 2.5 gap, 2.5) m, if their teams do
     not clash and no other chain is nearly as close (0.8 m). A chain's team is the commonest of its last 15 rows. Each
-    choice moves a chain's end, so a match's fragments are taken in turn; they come as endpoints with the teams of their
-    rows. The result is dealt by match over ``parts`` partitions, where that is given.
+    choice moves a chain's end, so a match's fragments are taken in turn. The chains come back as one list for each
+    match, in which a row finds its own by its fragment's place; so rows that come dealt by match are not dealt again.
     """
-    keys = [*TRACK, "fragment"]
-    rows = fragments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_id", "timestamp_s", "x", "y", "team"))).alias("rows"))
-    points = F.transform("rows", lambda r: F.struct(r["timestamp_s"].alias("t"), r["x"].alias("x"), r["y"].alias("y")))
-    ends = rows.select(*keys, F.array_min(points).alias("a"), F.array_max(points).alias("b"), F.col("rows.team").alias("teams"))
-    ends = ends.select(*keys, "teams", *[F.col(f"{e}.{c}").alias(f"{c}{n}") for e, n in (("a", 0), ("b", 1)) for c in "txy"])
-    ids = ends.groupBy("match_id").applyInPandas(_stitched, "match_id string, track_id int, fragment long, chain int").withColumnRenamed("chain", "seg_id")
-    hung = fragments.join(ids, keys)
-    return hung.repartition(parts, "match_id") if parts else hung
+    cols = [*TRACK, "fragment", "frame_id", "timestamp_s", "x", "y", "team"]
+    chains = fragments.select(*cols).groupBy("match_id").applyInPandas(_stitched, "match_id string, chains array<int>")
+    place = F.dense_rank().over(Window.partitionBy("match_id").orderBy("track_id", "fragment")) - 1
+    return fragments.withColumn("_place", place).join(chains, "match_id").withColumn("seg_id", F.get("chains", F.col("_place"))).drop("_place", "chains")
 
 
 def _commonest(teams: list[str]) -> str:
     return max(dict.fromkeys(teams), key=teams.count)
 
 
-def _stitched(ends: pd.DataFrame) -> pd.DataFrame:
-    """Chains of fragments that come with the teams of all their rows."""
-    teams = [list(x) for x in ends["teams"]]
-    return _chains(ends.assign(team=list(map(_commonest, teams)), tail=[x[-TAIL:] for x in teams]))
-
-
-def _chains(ends: pd.DataFrame) -> pd.DataFrame:
-    """The chain of each of a match's fragments, numbered in order of their starts."""
-    ends = ends.sort_values(["t0", "track_id", "fragment"])
+def _stitched(rows: pd.DataFrame) -> pd.DataFrame:
+    """The chains of a match's fragments, in order of their tracks and numbers."""
+    names = ["track_id", "fragment", "frame_id", "timestamp_s", "x", "y"]
+    track, fragment, _, t, x, y = c = [rows[n].to_numpy() for n in names]
+    teams = rows["team"].to_numpy()
+    order = np.lexsort((pd.factorize(teams, sort=True)[0], *c[::-1]))
+    track, fragment, t, x, y, teams = (v[order] for v in (track, fragment, t, x, y, teams))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(track) != 0) | (np.diff(fragment) != 0))))
+    ends = np.append(start[1:], len(rows))
+    of = np.repeat(np.arange(len(start)), ends - start)
+    by_time = np.lexsort((y, x, t, of))
+    first, last = by_time[start], by_time[ends - 1]
+    held = [teams[i:j].tolist() for i, j in zip(start.tolist(), ends.tolist(), strict=True)]
+    turn = np.lexsort((fragment[start], track[start], t[first]))
+    at = [v[k][turn].tolist() for k in (first, last) for v in (t, x, y)]
+    chains = np.empty(len(turn), np.int32)
+    chains[turn] = _hung(zip(*at, (_commonest(held[k]) for k in turn.tolist()), (held[k][-TAIL:] for k in turn.tolist()), strict=True))
+    return pd.DataFrame({"match_id": rows["match_id"].to_numpy()[:1], "chains": [chains]})
+
+
+def _hung(ends: Iterable[tuple]) -> list[int]:
+    """The chain of each of a match's fragments, which come in order of their starts: t0, x0, y0, t1, x1, y1, team, tail."""
     open_: dict[int, tuple] = {}
     chain: list[int] = []
     n = 0
-    for t0, x0, y0, t1, x1, y1, team, last in zip(*(ends[c].tolist() for c in ("t0", "x0", "y0", "t1", "x1", "y1", "team", "tail")), strict=True):
+    for t0, x0, y0, t1, x1, y1, team, last in ends:
         open_ = {k: c for k, c in open_.items() if t0 - c[0] <= HOLD_S}
         near = []
         for k, (t, x, y, _, common) in open_.items():
@@ -84,7 +96,14 @@ def _chains(ends: pd.DataFrame) -> pd.DataFrame:
             k, n = n, n + 1
         open_[k] = (t1, x1, y1, tail, _commonest(tail))
         chain.append(k)
-    return ends[["match_id", "track_id", "fragment"]].assign(chain=chain)
+    return chain
+
+
+def _chains(ends: pd.DataFrame) -> pd.DataFrame:
+    """The chain of each of a match's fragments, numbered in order of their starts."""
+    ends = ends.sort_values(["t0", "track_id", "fragment"])
+    columns = (ends[c].tolist() for c in ("t0", "x0", "y0", "t1", "x1", "y1", "team", "tail"))
+    return ends[["match_id", "track_id", "fragment"]].assign(chain=_hung(zip(*columns, strict=True)))
 
 
 def smooth(rows: DataFrame, keys: list[str], cols: list[str], half: int = 2) -> DataFrame:
@@ -102,10 +121,10 @@ def central_velocity(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumns({"vx": F.when(t1 > t0, (x1 - x0) / (t1 - t0)).otherwise(0.0), "vy": F.when(t1 > t0, (y1 - y0) / (t1 - t0)).otherwise(0.0)})
 
 
-def build_segments(rows: DataFrame, stitch: bool = True, parts: int | None = None) -> DataFrame:
+def build_segments(rows: DataFrame, stitch: bool = True) -> DataFrame:
     """Rows of segments that last: seg_id, smoothed x and y, velocities, the segment's team and commonest track."""
     f = split_fragments(rows)
-    s = stitch_fragments(f, parts) if stitch else f.withColumn("seg_id", (F.col("track_id") * 1000 + F.col("fragment")).cast("int"))
+    s = stitch_fragments(f) if stitch else f.withColumn("seg_id", (F.col("track_id") * 1000 + F.col("fragment")).cast("int"))
     whole = Window.partitionBy(*SEG)
     span = F.max("timestamp_s").over(whole) - F.min("timestamp_s").over(whole)
     s = s.withColumns({"_n": F.count("*").over(whole), "_span": span}).where("_n >= 5 and _span >= 1.0")
@@ -122,26 +141,38 @@ def verdict_aggregates() -> list[Column]:
     """What a verdict needs of the A and B rows of one bin."""
     own = lambda t, c: F.when(F.col("team") == t, c)
     return [
-        F.array_sort(F.collect_list("x")).alias("xs"), *[F.count_if(F.col("team") == t).alias(f"n_{t}") for t in "AB"],
+        F.sort_array(F.collect_list("x")).alias("xs"), *[F.count_if(F.col("team") == t).alias(f"n_{t}") for t in "AB"],
         *[F.avg(own(t, F.abs(F.col("x") - z))).alias(f"d_{t}_{z}") for t in "AB" for z in (0, 40)],
     ]
 
 
-def verdicts_of(bins: DataFrame, keys: list[str], least: int = 3, near: float = 14.0) -> DataFrame:
-    """Goal, team farther from it and margin, from ``verdict_aggregates`` by bin; bins with too few rows go."""
-    g = bins.where((F.col("n_A") >= least) & (F.col("n_B") >= least))
+def _verdict(near: float) -> list[Column]:
     mid = F.element_at("xs", F.floor(F.size("xs") / 2).cast("int") + 1)
     goal = F.when(mid < near, 0.0).when(mid > 40 - near, 40.0)
     a, b = F.when(goal == 0, F.col("d_A_0")).otherwise(F.col("d_A_40")), F.when(goal == 0, F.col("d_B_0")).otherwise(F.col("d_B_40"))
-    return g.select(*keys, goal.alias("goal"), F.when(goal.isNotNull(), F.when(a > b, "A").otherwise("B")).alias("ahead"), F.when(goal.isNotNull(), F.abs(a - b)).alias("margin"))
+    return [goal.alias("goal"), F.when(goal.isNotNull(), F.when(a > b, "A").otherwise("B")).alias("ahead"), F.when(goal.isNotNull(), F.abs(a - b)).alias("margin")]
+
+
+def _enough(least: int) -> Column:
+    return (F.col("n_A") >= least) & (F.col("n_B") >= least)
+
+
+def verdicts_of(bins: DataFrame, keys: list[str], least: int = 3, near: float = 14.0) -> DataFrame:
+    """Goal, team farther from it and margin, from ``verdict_aggregates`` by bin; bins with too few rows go."""
+    return bins.where(_enough(least)).select(*keys, *_verdict(near))
 
 
 def attack_verdicts(rows: DataFrame, bin_s: float = 1.0, least: int = 3, near: float = 14.0) -> DataFrame:
-    """Per bin of time: the goal that the players are near, the team farther from it, and by how much."""
-    bins = rows.groupBy("match_id").agg(F.max("timestamp_s").alias("t")).select("match_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("t") / bin_s).cast("int"))).alias("bin"))
-    p = rows.where("team in ('A', 'B')").withColumn("bin", F.floor(F.col("timestamp_s") / bin_s).cast("int"))
-    v = verdicts_of(p.groupBy("match_id", "bin").agg(*verdict_aggregates()), ["match_id", "bin"], least, near)
-    return bins.join(v, ["match_id", "bin"], "left")
+    """Per bin of time: the goal that the players are near, the team farther from it, and by how much.
+
+    Rows are gathered once; the bins without rows before one that has some are laid out with it.
+    """
+    p = rows.select("match_id", "team", F.floor(F.col("timestamp_s") / bin_s).cast("int").alias("bin"), F.when(F.col("team").isin("A", "B"), F.col("x")).alias("x")).where("bin >= 0")
+    g = p.groupBy("match_id", "bin").agg(*verdict_aggregates()).withColumn("xs", F.when(_enough(least), F.col("xs")))
+    before = F.coalesce(F.lag("bin").over(Window.partitionBy("match_id").orderBy("bin")), F.lit(-1))
+    v = g.select("match_id", "bin", *_verdict(near), before.alias("before")).withColumn("at", F.explode(F.sequence(F.col("before") + 1, "bin")))
+    own = F.col("at") == F.col("bin")
+    return v.select("match_id", F.col("at").alias("bin"), *[F.when(own, F.col(c)).alias(c) for c in ("goal", "ahead", "margin")])
 
 
 def attack_hysteresis(verdicts: DataFrame, strong: float = 1.0, hold: int = 2) -> DataFrame:

@@ -58,3 +58,10 @@ def test_parts_of_the_views_grow_with_the_tables(spark, sf_dir, monkeypatch):
     dealt = lambda df: re.findall(r"hashpartitioning\((\w+)#\w+, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().toString())
     assert n > 4 and t.parts() == n
     assert ("l_orderkey", str(n)) in dealt(t.players) and ("s", str(n)) in dealt(t.waypoints)
+
+
+def test_chains_find_their_rows_without_dealing_them_again(spark):
+    rows = [(f"m{m}", f, f / 4, t, "A", t * 9.0, 1.0) for m in range(3) for t in range(4) for f in range(16)]
+    dealt = spark.createDataFrame(rows, "match_id string, frame_id int, timestamp_s double, track_id int, team string, x double, y double").repartition(3, "match_id")
+    plan = S.stitch_fragments(S.split_fragments(dealt))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(match_id#\d+, track_id", plan) and len(re.findall("REPARTITION_BY_NUM", plan)) == 2
