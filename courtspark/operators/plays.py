@@ -444,6 +444,12 @@ def _seen(df: DataFrame, segments: DataFrame, *asked: tuple[str, str, str, str])
     return g.select("of.*", *[F.col(f"{new}.v").alias(new) for *_, new in asked])
 
 
+def _moving(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """The ``asked`` ones of segments, with their movement bounds, which are only found for these where they are missing."""
+    mine = segments.join(asked.select(*SEG).distinct(), SEG, "left_semi")
+    return mine if "move_start" in segments.columns else with_movement(mine)
+
+
 def _exchanges(pdf: pd.DataFrame) -> pd.DataFrame:
     """Transitions between the same two roles, each with the first later one the other way by another segment."""
     rows = pdf.sort_values(["seg_id", "end_s"])
@@ -468,16 +474,20 @@ def detect_role_swaps(segments: DataFrame, transitions: DataFrame) -> DataFrame:
 
     Only transitions between the same two roles compete, so these are taken in turn, in the order of segments.
     """
-    who = segments.select(*SEG, "team", "track_id").distinct()
-    back = transitions.where(F.col("from_role").isin(BACK) & F.col("to_role").isin(BACK)).join(who.drop("track_id"), SEG)
+    back = written(transitions.where(F.col("from_role").isin(BACK) & F.col("to_role").isin(BACK)), "back-transitions")
+    who = segments.join(back.select(*SEG).distinct(), SEG, "left_semi").select(*SEG, "team", "track_id").distinct()
+    back = back.join(who.drop("track_id"), SEG)
     back = back.withColumns({"_r0": F.least("from_role", "to_role"), "_r1": F.greatest("from_role", "to_role")})
     e = back.groupBy("match_id", "team", "_r0", "_r1").applyInPandas(_exchanges, EXCHANGE)
     bounds = [(f"seg_id_{s}", at.format(s), col, new.format(s)) for s in "ab" for at, col, new in (("leave_{}", "move_start", "t0_{}"), ("settle_{}", "move_end", "t1_{}"))]
-    e = _seen(e, segments, *bounds)
+    e = written(e, "exchanges")
+    mine = written(_moving(segments, reduce(DataFrame.unionByName, [e.select("match_id", F.col(f"seg_id_{s}").alias("seg_id")) for s in "ab"])), "moving")
+    who = mine.select(*SEG, "team", "track_id").distinct()
+    e = _seen(e, mine, *bounds)
     for s in "ab":
         e = e.join(who.select("match_id", F.col("seg_id").alias(f"seg_id_{s}"), F.col("track_id").alias(f"track_id_{s}")), ["match_id", f"seg_id_{s}"])
     e = e.withColumns({"t0": F.least("t0_a", "t0_b"), "t1": F.greatest("t1_a", "t1_b")})
-    e = _seen(e, segments, ("seg_id_a", "t0", "frame_id", "start_frame"), ("seg_id_a", "t1", "frame_id", "end_frame"))
+    e = _seen(e, mine, ("seg_id_a", "t0", "frame_id", "start_frame"), ("seg_id_a", "t1", "frame_id", "end_frame"))
     held = lambda t, a, b: F.struct(F.col(t).alias("track_id"), F.col(a).alias("from_role"), F.col(b).alias("to_role"))
     roles = F.array(held("track_id_a", "from_role", "to_role"), held("track_id_b", "to_role", "from_role"))
     return event(e, SWAP, ["seg_id_a", "seg_id_b"], ["track_id_a", "track_id_b"], F.lit(None).cast("map<string, double>"), F.lit("rollentausch"), roles)
@@ -485,11 +495,12 @@ def detect_role_swaps(segments: DataFrame, transitions: DataFrame) -> DataFrame:
 
 def detect_role_runins(segments: DataFrame, transitions: DataFrame, hold_s: float = 1.2) -> DataFrame:
     """Segments that change from a back role to the pivot's and keep that for ``hold_s``."""
-    who = segments.select(*SEG, "team", "track_id", "seg_end").distinct()
-    e = transitions.where(F.col("from_role").isin(BACK) & (F.col("to_role") == PIVOT) & (F.col("to_end_s") - F.col("to_start_s") >= hold_s)).join(who, SEG)
-    e = _seen(e, segments, ("seg_id", "end_s", "move_start", "t0"), ("seg_id", "to_start_s", "move_end", "t1"))
+    e = written(transitions.where(F.col("from_role").isin(BACK) & (F.col("to_role") == PIVOT) & (F.col("to_end_s") - F.col("to_start_s") >= hold_s)), "pivots")
+    mine = written(_moving(segments, e), "moving")
+    e = e.join(mine.select(*SEG, "team", "track_id", "seg_end").distinct(), SEG)
+    e = _seen(e, mine, ("seg_id", "end_s", "move_start", "t0"), ("seg_id", "to_start_s", "move_end", "t1"))
     e = e.withColumn("t1", F.greatest("t1", F.least(F.col("to_start_s") + 1.0, "seg_end"))).withColumn("confidence", F.lit(0.65))
-    e = _seen(e, segments, ("seg_id", "t0", "frame_id", "start_frame"), ("seg_id", "t1", "frame_id", "end_frame"))
+    e = _seen(e, mine, ("seg_id", "t0", "frame_id", "start_frame"), ("seg_id", "t1", "frame_id", "end_frame"))
     return event(e, RUN_IN, ["seg_id"], ["track_id"], F.lit(None).cast("map<string, double>"), F.lit("rollenwechsel"), F.array(F.struct("track_id", "from_role", "to_role")))
 
 

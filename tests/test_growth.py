@@ -6,6 +6,7 @@ import re
 import pytest
 
 from courtspark.operators import mlprep as M
+from courtspark.operators import plays as P
 from courtspark.operators import repair
 from courtspark.operators import report as R
 from courtspark.operators import segments as S
@@ -60,6 +61,18 @@ def test_parts_of_the_views_grow_with_the_tables(spark, sf_dir, monkeypatch):
     assert ("l_orderkey", str(n)) in dealt(t.players) and ("s", str(n)) in dealt(t.waypoints)
 
 
+MOVES = "match_id string, seg_id int, track_id int, team string, frame_id int, timestamp_s double, x double, y double, vx double, vy double"
+
+
+def test_role_changes_find_the_bounds_of_what_changes_only(spark):
+    rows = [(f"m{m}", s, s, "A", f, f / 4, 20.0 + f * 0.3, 5.0 + s, 1.2 if f % 9 else 0.0, 0.0) for m in range(2) for s in range(3) for f in range(40)]
+    segments = spark.createDataFrame(rows, MOVES)
+    transitions = spark.createDataFrame([("m0", 1, "RM", "KM", 3.0, 3.5, 6.0), ("m0", 2, "RM", "RL", 3.0, 3.5, 6.0), ("m0", 0, "RL", "RM", 3.2, 3.6, 6.0)], "match_id string, seg_id int, from_role string, to_role string, end_s double, to_start_s double, to_end_s double")
+    for detect in (P.detect_role_runins, P.detect_role_swaps):
+        got, want = (detect(s, transitions).drop("measures").collect() for s in (segments, S.with_movement(segments)))
+        assert got == want and len(got) == 1
+
+
 def test_chains_find_their_rows_without_dealing_them_again(spark):
     rows = [(f"m{m}", f, f / 4, t, "A", t * 9.0, 1.0) for m in range(3) for t in range(4) for f in range(16)]
     dealt = spark.createDataFrame(rows, "match_id string, frame_id int, timestamp_s double, track_id int, team string, x double, y double").repartition(3, "match_id")
