@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -295,43 +298,56 @@ def detect_fast_breaks(series: DataFrame, contexts: DataFrame) -> DataFrame:
     """Runs of a team's centroid over the middle at 2 m a second or more, 12 m in up to 10 s, after which the first
     attack within 4 s is that team's on that goal, or none is seen.
 
-    What comes after each sample is found in Spark; the scan sees one team's centroid series of one match at a time.
+    What comes after each sample is found in Spark; the scan takes many series at a time, laid end to end.
     """
-    ready = attacking_after(series, contexts)
-    e = ready.groupBy("match_id", "team").applyInPandas(_breaks, BREAK_SCAN)
+    own = lambda goal: F.col("next_team").isNull() | (F.col("next_team") == F.col("team")) & F.coalesce(F.col("next_goal") == goal, F.lit(False))
+    sample = F.struct("frame_id", "timestamp_s", "x", own(40.0).alias("right"), own(0.0).alias("left"))
+    s = attacking_after(series, contexts).groupBy("match_id", "team").agg(F.sort_array(F.collect_list(sample)).alias("s"))
+    e = s.select("match_id", "team", "s.frame_id", "s.timestamp_s", "s.x", "s.right", "s.left").mapInArrow(_breaks, BREAK_SCAN)
     return event(e, BREAK, [], [], measured(distance_m=F.col("distance_m"), mean_speed_ms=F.col("mean_speed_ms")))
 
 
-def _breaks(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("frame_id")
-    t, x, f, team, goal = (pdf[c].to_numpy() for c in ("timestamp_s", "x", "frame_id", "next_team", "next_goal"))
-    n, own = len(t), pdf["team"].iloc[0]
-    dt = np.diff(t)
-    tempo = np.divide(np.diff(x), dt, out=np.zeros(n - 1), where=dt > 0)
-    apart = np.append(np.flatnonzero((dt <= 0) | (dt > 1.2)), n - 1)
-
-    def run_end(i: int, sign: int) -> int:
-        """The last fast sample before the run pauses for more than 0.6 s or the series breaks."""
-        last = apart[np.searchsorted(apart, i)]
-        chain = np.concatenate(([i], i + 1 + np.flatnonzero(sign * tempo[i:last] >= 2.0)))
-        pauses = np.flatnonzero(t[chain[1:] - 1] - t[chain[:-1]] > 0.6)
-        return int(chain[pauses[0]] if len(pauses) else chain[-1])
-
-    out, i = [], 0
-    while i < n - 1:
-        for sign, to in ((1, 40.0), (-1, 0.0)):
-            if sign * (x[i] - 20) >= 0:
-                continue
-            end = run_end(i, sign)
-            gone, took = sign * (x[end] - x[i]), t[end] - t[i]
-            after = not isinstance(team[end], str) or (team[end] == own and goal[end] == to)
-            if gone >= 12 and 0 < took <= 10 and sign * (x[end] - 20) > 2 and gone / took <= 7 and after:
-                sure = min(0.95, 0.5 + 0.2 * min(1.0, gone / took / 4) + 0.2 * gone / 30)
-                out.append((pdf["match_id"].iloc[0], own, int(f[i]), int(f[end]), float(t[i]), float(t[end]), float(sure), to, float(gone), float(gone / took)))
-                i = end
-                break
-        i += 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in BREAK_SCAN.split(", ")])
+def _run_ends(t: np.ndarray, tempo: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """From each sample, the last fast sample before the run pauses for more than 0.6 s or the series breaks (after the
+    samples in ``apart``); the sample itself where no run begins in time."""
+    at = np.arange(len(t))
+    fast = np.setdiff1d(np.flatnonzero(tempo >= 2.0), apart)
+    if not len(fast):
+        return at
+    part = np.searchsorted(apart, fast)
+    over = np.append((np.diff(part) != 0) | (t[fast[1:]] - t[fast[:-1] + 1] > 0.6), True)
+    end = fast[np.flatnonzero(over)[np.searchsorted(np.flatnonzero(over), np.arange(len(fast)))]] + 1
+    k = np.searchsorted(fast, at)
+    near = np.minimum(k, len(fast) - 1)
+    begins = (k < len(fast)) & (part[near] == np.searchsorted(apart, at)) & (t[fast[near]] - t <= 0.6)
+    return np.where(begins, end[near], at)
+
+
+def _breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Breaks of series that come as lists of their samples in order."""
+    for b in batches:
+        f, t, x, *after = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, 7))
+        sizes = pc.list_value_length(b.column(2)).to_numpy()
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        dt = np.diff(t)
+        tempo = np.divide(np.diff(x), dt, out=np.zeros(len(dt)), where=dt > 0)
+        apart = np.unique(np.concatenate((np.flatnonzero((dt <= 0) | (dt > 1.2)), np.cumsum(sizes) - 1)))
+        hits = []
+        for sign, to, free in ((1, 40.0, after[0]), (-1, 0.0, after[1])):
+            end = _run_ends(t, sign * tempo, apart)
+            gone, took = sign * (x[end] - x), t[end] - t
+            pace = np.divide(gone, took, out=np.zeros(len(t)), where=took > 0)
+            ok = np.flatnonzero((sign * (x - 20) < 0) & (gone >= 12) & (took > 0) & (took <= 10) & (sign * (x[end] - 20) > 2) & (pace <= 7) & free[end])
+            hits += zip(ok.tolist(), end[ok].tolist(), gone[ok].tolist(), pace[ok].tolist(), repeat(to))
+        taken, last = [], -1
+        for hit in sorted(hits):
+            if hit[0] > last:
+                taken.append(hit)
+                last = hit[1]
+        i, end, gone, pace, to = (np.array(v) for v in zip(*taken, strict=True)) if taken else (np.empty(0, d) for d in (int, int, float, float, float))
+        sure = np.minimum(0.95, 0.5 + 0.2 * np.minimum(1.0, pace / 4) + 0.2 * gone / 30)
+        who = [b.column(k).take(pa.array(of[i])) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*who, *map(pa.array, (f[i].astype(np.int32), f[end].astype(np.int32), t[i], t[end], sure, to, gone, pace))], [c.split()[0] for c in BREAK_SCAN.split(", ")])
 
 
 #: Attack positions as (depth from the goal, lateral offset to the attacker's right): fixed values.

@@ -78,3 +78,12 @@ def test_chains_find_their_rows_without_dealing_them_again(spark):
     dealt = spark.createDataFrame(rows, "match_id string, frame_id int, timestamp_s double, track_id int, team string, x double, y double").repartition(3, "match_id")
     plan = S.stitch_fragments(S.split_fragments(dealt))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(match_id#\d+, track_id", plan) and len(re.findall("REPARTITION_BY_NUM", plan)) == 2
+
+
+def test_breaks_are_scanned_many_series_at_a_time(spark):
+    series = [(f"m{m}", "A", f, f / 4, min(2.0 + m + f * 1.5, 38.0)) for m in range(5) for f in range(30)]
+    series = spark.createDataFrame(series, "match_id string, team string, frame_id int, timestamp_s double, x double")
+    contexts = spark.createDataFrame([("m1", 0.0, "B", 5.0, 9.0), ("m2", 40.0, "A", 5.0, 9.0)], "match_id string, goal double, team string, start_s double, end_s double")
+    found = P.detect_fast_breaks(series, contexts)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert {(r["match_id"], r["start_frame"], r["end_frame"]) for r in found.collect()} == {("m0", 0, 24), ("m2", 0, 23), ("m3", 0, 22), ("m4", 0, 22)}
