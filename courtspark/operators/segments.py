@@ -266,10 +266,15 @@ def position_at(segments: DataFrame, times: DataFrame, also: tuple[str, ...] = (
 
 
 def displacement(segments: DataFrame, spans: DataFrame) -> DataFrame:
-    """Straight distance between a segment's positions at t0 and t1: spans (match_id, seg_id, t0, t1)."""
-    end = lambda c: position_at(segments, spans.select(*SEG, F.col(c).alias("t")).distinct()).select(*SEG, F.col("t").alias(c), F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}"))
-    j = spans.join(end("t0"), [*SEG, "t0"]).join(end("t1"), [*SEG, "t1"])
-    dx, dy = F.col("x_t1") - F.col("x_t0"), F.col("y_t1") - F.col("y_t0")
+    """Straight distance between a segment's positions at t0 and t1: spans (match_id, seg_id, t0, t1), which differ.
+
+    Both ends are asked at once, so the samples are gone through once.
+    """
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("end"), F.col("t1").alias("t"))))
+    times = spans.where("t0 is not null and t1 is not null").select(*SEG, "t0", "t1", ends.alias("e")).select(*SEG, "t0", "t1", "e.end", "e.t")
+    at = lambda k: F.max(F.when(F.col("end") == k, F.struct("x", "y"))).alias(f"p{k}")
+    j = position_at(segments, times).groupBy(*SEG, "t0", "t1").agg(at(0), at(1)).where("p0 is not null and p1 is not null")
+    dx, dy = F.col("p1.x") - F.col("p0.x"), F.col("p1.y") - F.col("p0.y")
     return j.select(*SEG, "t0", "t1", F.sqrt(dx * dx + dy * dy).alias("moved"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import clusters as C
 from ..operators import report as P
 from ..operators import segments as S
+from ..sources.shared import written
 from .models import QUANTISED, vectors
+from .plays import by_match
 from .reports import POINTS, SPREAD, ZONE, points
 
 #: Places in [0, 1] of clusters of very different size, from the suppliers.
@@ -37,8 +39,15 @@ def direct(t):
     return t.play_rows.select("match_id", F.col("track_id").alias("seg_id"), "track_id", "frame_id", "timestamp_s", "x", "y")
 
 
-def spans(t):
-    return direct(t).select("match_id", "seg_id").distinct().select("match_id", "seg_id", F.lit(1.03).alias("t0"), F.lit(7.7).alias("t1"))
+def spanned(t):
+    """Those segments, written once and dealt by match, and a span of time of each."""
+    d = by_match(t, written(direct(t), "direct"))
+    return d, d.select("match_id", "seg_id").distinct().select("match_id", "seg_id", F.lit(1.03).alias("t0"), F.lit(7.7).alias("t1"))
+
+
+def positions(t):
+    d, spans = spanned(t)
+    return S.position_at(d, spans.select("match_id", "seg_id", F.col("t1").alias("t")))
 
 
 AT = "(SELECT min(struct_pack(t := timestamp_s, x := x, y := y)) FROM {{play_rows}} r WHERE r.match_id = s.match_id AND r.track_id = s.track_id AND timestamp_s >= {t})"
@@ -73,11 +82,11 @@ PLANS = {
  SELECT c.match_id, c.seg_id, place, t, x, y FROM c JOIN p ON p.match_id = c.match_id AND p.seg_id = c.seg_id AND p.i = c.i""",
     ),
     "e15_position_at": (
-        lambda t: S.position_at(direct(t), spans(t).select("match_id", "seg_id", F.col("t1").alias("t"))).select("match_id", "seg_id", "seen_s", "x", "y"),
+        lambda t: positions(t).select("match_id", "seg_id", "seen_s", "x", "y"),
         f"WITH {ENDS} SELECT match_id, track_id AS seg_id, b.t AS seen_s, b.x AS x, b.y AS y FROM en",
     ),
     "e16_displacement": (
-        lambda t: S.displacement(direct(t), spans(t)).select("match_id", "seg_id", "moved"),
+        lambda t: S.displacement(*spanned(t)).select("match_id", "seg_id", "moved"),
         f"WITH {ENDS} SELECT match_id, track_id AS seg_id, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS moved FROM en",
     ),
     "h5_density_points": (

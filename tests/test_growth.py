@@ -87,3 +87,11 @@ def test_breaks_are_scanned_many_series_at_a_time(spark):
     found = P.detect_fast_breaks(series, contexts)
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
     assert {(r["match_id"], r["start_frame"], r["end_frame"]) for r in found.collect()} == {("m0", 0, 24), ("m2", 0, 23), ("m3", 0, 22), ("m4", 0, 22)}
+
+
+def test_both_ends_of_a_span_are_asked_at_once(spark):
+    segments = spark.createDataFrame([("m", 1, 0.0, 0.0, 0.0), ("m", 1, 1.0, 3.0, 4.0)], "match_id string, seg_id int, timestamp_s double, x double, y double")
+    spans = spark.createDataFrame([("m", 1, 0.0, 9.0), ("m", 1, None, 1.0), ("m", 2, 0.0, 1.0)], "match_id string, seg_id int, t0 double, t1 double")
+    gone = S.displacement(segments, spans)
+    plan = gone._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["moved"] for r in gone.collect()] == [5.0] and plan.count("Join LeftSemi") == 1 and "Join Inner" not in plan
