@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -69,7 +70,7 @@ def graph_edges(players: DataFrame, k: int = 5) -> DataFrame:
 def formation_samples(players: DataFrame, stride: int = 5, least: int = 4, size: int = 7) -> DataFrame:
     """Team shapes as vectors of ``size`` points: scaled, centred, by track, padded with zeros; n_valid points count."""
     p = players.where((F.col("frame_id") % stride == 0) & F.col("on_court") & F.col("team").isin("A", "B") & F.col("court_x").isNotNull())
-    held = F.array_sort(F.collect_list(F.struct("track_id", F.col("court_x").alias("x"), F.col("court_y").alias("y"))))
+    held = F.sort_array(F.collect_list(F.struct("track_id", F.col("court_x").alias("x"), F.col("court_y").alias("y"))))
     g = p.groupBy(*FRAME, "team").agg(held.alias("ps"), F.avg("court_x").alias("mx"), F.avg("court_y").alias("my")).where(F.size("ps") >= least)
     flat = F.flatten(F.transform(F.slice("ps", 1, size), lambda q: F.array((q["x"] - F.col("mx")) / 40, (q["y"] - F.col("my")) / 20)))
     n = F.least(F.size("ps"), F.lit(size))
@@ -137,6 +138,23 @@ def knn_formation_rows(samples: DataFrame, refs: DataFrame, keys: list[str], k:
     return rows.select(*keys, "formation"), shown
 
 
+#: What is drawn for a view, and for each of its places.
+DRAWS, PLACE_DRAWS = ("scale?", "scale", "turn?", "turn", "drop?", "drop", "out?", "out", "outx", "outy"), ("rx", "tx", "ry", "ty", "place")
+
+
+def _uniforms(key: Column, places: Column) -> Column:
+    """A view's numbers in [0, 1), ``DRAWS`` and then ``PLACE_DRAWS`` place by place: of the md5 of key, name and place,
+    joined by bars, the first 52 bits."""
+
+    @F.pandas_udf("array<double>")
+    def drawn(keys: pd.Series, places: pd.Series) -> pd.Series:
+        names = {n: [f"|{d}".encode() for d in DRAWS] + [f"|{d}|{i}".encode() for i in range(n) for d in PLACE_DRAWS] for n in places.unique().tolist()}
+        first = (b"".join(md5(k + name).digest()[:7] + b"\0" for name in names[n]) for k, n in zip(map(str.encode, keys), places.tolist(), strict=True))
+        return pd.Series([(np.frombuffer(f, ">u8") >> np.uint64(12)) / 2.0**52 for f in first], index=keys.index, dtype=object)
+
+    return drawn(key, places)
+
+
 def augment_formations(samples: DataFrame, seed: int = 0, views: int = 2) -> DataFrame:
     """Noisy views of each shape, drawn by hash, so reruns agree and any engine with md5 draws the same.
 
@@ -146,23 +164,27 @@ def augment_formations(samples: DataFrame, seed: int = 0, views: int = 2) -> Dat
     which is a place whose coordinates sum to zero, is only moved about.
     """
     s = samples.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(views - 1))))
-    s = s.withColumn("_key", F.concat_ws("|", "match_id", F.col("frame_id").cast("string"), "team", F.col("view").cast("string"), F.lit(str(seed))))
+    key = F.concat_ws("|", "match_id", F.col("frame_id").cast("string"), "team", F.col("view").cast("string"), F.lit(str(seed)))
+    s = s.withColumn("_u", _uniforms(key, (F.size("vector") / 2).cast("int")))
 
     def u(tag: str, i: Column | None = None) -> Column:
-        key = F.concat_ws("|", F.col("_key"), F.lit(tag), *([] if i is None else [i.cast("string")]))
-        return F.conv(F.substr(F.md5(key), F.lit(1), F.lit(13)), 16, 10).cast("double") / float(16**13)
+        return F.get("_u", F.lit(DRAWS.index(tag)) if i is None else len(DRAWS) + len(PLACE_DRAWS) * i + PLACE_DRAWS.index(tag))
 
     def gauss(i: Column, c: str) -> Column:
         return F.sqrt(-2 * F.log(1 - u(f"r{c}", i))) * F.cos(2 * math.pi * u(f"t{c}", i)) * 0.025
 
-    def moved(i: Column) -> Column:
+    def jittered(i: Column) -> Column:
         x, y = F.get("vector", 2 * i), F.get("vector", 2 * i + 1)
-        jx, jy = (x + gauss(i, "x")) * F.col("_scale"), (y + gauss(i, "y")) * F.col("_scale")
-        return F.struct(i.alias("i"), (x + y != 0).alias("there"), (jx * F.cos("_angle") - jy * F.sin("_angle")).alias("x"), (jx * F.sin("_angle") + jy * F.cos("_angle")).alias("y"))
+        return F.struct(i.alias("i"), (x + y != 0).alias("there"), ((x + gauss(i, "x")) * F.col("_scale")).alias("x"), ((y + gauss(i, "y")) * F.col("_scale")).alias("y"))
+
+    def turned(p: Column) -> Column:
+        # Both new coordinates need both old ones, so these are drawn in a step before: once, not once for each use.
+        return F.struct(p["i"].alias("i"), p["there"].alias("there"), (p["x"] * F.col("_cos") - p["y"] * F.col("_sin")).alias("x"), (p["x"] * F.col("_sin") + p["y"] * F.col("_cos")).alias("y"))
 
     one_of = lambda places, tag, part: F.coalesce(F.when((u(f"{tag}?") < part) & (F.size(places) > 1), F.get(places, F.floor(u(tag) * F.size(places)).cast("int"))), F.lit(-1))
     s = s.withColumns({"_scale": F.when(u("scale?") < 0.7, 0.95 + 0.1 * u("scale")).otherwise(1.0), "_angle": F.when(u("turn?") < 0.5, (u("turn") * 2 - 1) * (3 * math.pi / 180)).otherwise(0.0)})
-    s = s.withColumn("_points", F.transform(F.sequence(F.lit(0), (F.size("vector") / 2).cast("int") - 1), moved))
+    s = s.withColumns({"_cos": F.cos("_angle"), "_sin": F.sin("_angle")})
+    s = s.withColumn("_points", F.transform(F.transform(F.sequence(F.lit(0), (F.size("vector") / 2).cast("int") - 1), jittered), turned))
     s = s.withColumn("_there", F.transform(F.filter("_points", lambda p: p["there"]), lambda p: p["i"]))
     s = s.withColumn("_drop", one_of(F.col("_there"), "drop", 0.5))
     s = s.withColumn("_out", one_of(F.filter("_there", lambda i: i != F.col("_drop")), "out", 0.2))

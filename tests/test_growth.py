@@ -95,3 +95,9 @@ def test_both_ends_of_a_span_are_asked_at_once(spark):
     gone = S.displacement(segments, spans)
     plan = gone._jdf.queryExecution().optimizedPlan().toString()
     assert [r["moved"] for r in gone.collect()] == [5.0] and plan.count("Join LeftSemi") == 1 and "Join Inner" not in plan
+
+
+def test_views_draw_each_number_once(spark):
+    shapes = spark.createDataFrame([("m", 1, "A", [0.1, 0.2, -0.1, -0.3], 2)], "match_id string, frame_id int, team string, vector array<double>, n_valid int")
+    views = M.augment_formations(shapes)
+    assert "md5(" not in views._jdf.queryExecution().toString() and views.count() == 2
