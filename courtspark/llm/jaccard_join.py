@@ -19,8 +19,10 @@ WORDS = 5
 PERCENT = 80
 #: Counters of the frequency sketch that orders n-grams from rare to frequent. It has this size for any corpus.
 SKETCH = 1 << 18
-#: Blocks are multiplied in tiles of at most about this many entries a side.
+#: Blocks are multiplied in tiles of about this many entries a side, or more where that makes more than ``PARTS``.
 TILE = 2048
+#: A side of a block has at most so many parts, so an entry goes out at most twice as often, however large the block.
+PARTS = 4
 #: Linked pairs share at least this many n-grams more than one within their prefixes, which are longer by as many.
 MORE = 4
 #: Lists up to SHORT are multiplied together; at most about PAIRS pairs and HELD entries of one block wait in a task.
@@ -303,9 +305,9 @@ def _tiles(shared: DataFrame, heavy: DataFrame, tile: int) -> DataFrame:
     """Entries with the tiles of their anchor's block in which they are multiplied.
 
     A block of at most ``tile`` entries is one tile. In a larger one, of ``heavy``, rows of its commonest component and
-    the others are dealt into parts of about ``tile`` entries; each part of the former meets each of the latter, and
-    these meet each other. So a group of joined near copies goes out once for each part of what is not joined to it,
-    and what two rows share in a block meets in one tile.
+    the others are dealt into at most ``PARTS`` parts each, of ``tile`` entries or more; each part of the former meets
+    each of the latter, and these meet each other. So the rows grow with a block, not with its square, and what two
+    rows share in a block meets in one tile. A task holds at most about ``HELD`` entries of a tile at a time.
     """
     short = shared.join(small(heavy.select("anchor")), "anchor", "left_anti").withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(-1))
     long = shared.join(small(heavy), "anchor")
@@ -313,7 +315,8 @@ def _tiles(shared: DataFrame, heavy: DataFrame, tile: int) -> DataFrame:
     bulk = table(by.agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1"), "bulk")
     long = long.join(small(bulk.select("anchor", F.col("most.component").alias("bulk"), F.col("most.k").alias("k"))), "anchor")
     deal = lambda n: F.pmod(F.xxhash64("row"), n)
-    tiles, others = F.ceil(F.col("k") / tile), F.greatest(F.ceil((F.col("held") - F.col("k")) / tile), F.lit(1))
+    parts = lambda n: F.least(F.greatest(F.ceil(n / tile), F.lit(1)), F.lit(PARTS))
+    tiles, others = parts(F.col("k")), parts(F.col("held") - F.col("k"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     in_bulk = long.where("component = bulk").withColumn("tile", every(others)).withColumn("tile", 1 + deal(tiles) * others + F.col("tile")).withColumn("side", F.lit(1))
     few = long.where("component <> bulk")

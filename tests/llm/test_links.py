@@ -4,9 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courtspark.llm import decontaminate as D
-from courtspark.llm import grams
+from courtspark.llm import grams, jaccard_join
 from courtspark.llm.graph import connected_components
 from courtspark.llm.jaccard_join import jaccard_rows, one_of_each
 from courtspark.llm.url_filter import url_filter
@@ -385,3 +386,15 @@ def test_frequent_runs_are_no_seeds_but_runs_of_copies_are(docs, spark):
     assert of_the[0] not in seeds and len(seeds) == 8
     found = D.decontaminate(docs(texts), spark.createDataFrame([(0, item), (1, told)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in found) == [(i, 0, 1.0) for i in range(300, 600)]
+
+
+def test_rows_of_tiles_grow_with_a_block_and_not_with_its_square(spark):
+    def tiled(n):
+        entries = spark.range(n).selectExpr("0L as anchor", "id % 7 as gram", "10 as n", "1 as at", "0 as before", "id as row", "if(id % 3 = 0, 0L, id) as component")
+        return jaccard_join._tiles(entries, spark.createDataFrame([(0, n)], "anchor long, held long"), 10)
+
+    few, many = tiled(200), tiled(800)
+    assert many.count() < 5 * few.count()
+    meet = lambda x, y: F.col(f"{x}.tile") == F.col(f"{y}.tile")
+    pairs = many.alias("x").join(many.alias("y"), meet("x", "y")).where("x.row < y.row and x.component <> y.component and (x.side <> y.side or x.side < 0)")
+    assert pairs.select("x.row", "y.row").count() == 800 * 799 // 2 - 267 * 266 // 2
