@@ -7,13 +7,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import documents, text_of
+from .common import TEXTS, documents, few_texts, text_of
 
 #: Words of the shortest seed and of the longest; one between is as long as it takes for the run to be rare.
 SHORT, SEED = 2, 4
@@ -203,9 +202,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, t
 
 
 def _repeats(held, threshold: float):
-    @F.pandas_udf("boolean")
-    def repeats(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(align(t, held.value, threshold)) for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def repeats(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(align(t, held.value, threshold)) for i in range(0, len(texts), TEXTS) for t in texts[i : i + TEXTS].to_pylist()], pa.bool_())
 
     return repeats
 
@@ -265,7 +264,8 @@ def _frequent(texts: DataFrame, block: list[tuple[int, np.ndarray]]) -> dict[int
 
     counted = texts.mapInArrow(count, "n int, run long, places long, beside long").groupBy("n", "run")
     counted = counted.agg(F.sum("places").alias("places"), F.bit_count(F.bit_or("beside")).alias("beside"))
-    many = counted.where(F.col("beside") >= NEIGHBOURS).select("n", "run", "places").toPandas()
+    with few_texts(texts.sparkSession):
+        many = counted.where(F.col("beside") >= NEIGHBOURS).select("n", "run", "places").toPandas()
     texts_read = many.loc[many["n"] == 0, "places"].sum()
     many = many[many["places"] > FREQUENT * texts_read]
     return {n: r[np.sort(many.loc[many["n"] == n, "run"].to_numpy(np.int64))] for n, r in runs.items()}

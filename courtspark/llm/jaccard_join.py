@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import documents, free_names, shuffle_width, small, table, text_of
+from .common import documents, few_texts, free_names, local, shuffle_width, small, table, table_of_texts, text_of
 from .graph import connected_components
 
 WORDS = 5
@@ -62,7 +62,9 @@ def frequency_sketch(docs: DataFrame, text: str, words: int, size: int = SKETCH)
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["bucket", "n"])
 
-    found = docs.select(text_of(text).cast("binary").alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(text_of(text).cast("binary").alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    with few_texts(docs.sparkSession):
+        found = found.toArrow()
     sketch = np.zeros(size, np.int64)
     sketch[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return np.minimum(sketch, np.iinfo(np.uint32).max).astype(np.uint32)
@@ -93,7 +95,7 @@ def _described(docs: DataFrame, text: str, words: int, percent: int) -> DataFram
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).cast("binary").alias("text"))
     out = rows.mapInArrow(describe, "doc_id long, text_hash long, n int, s1 long, s2 long, mins array<long>, prefix array<long>")
-    return table(out.withColumn("row", F.monotonically_increasing_id()), "sets")
+    return table_of_texts(out.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
 def _whole_sets(docs: DataFrame, text: str, words: int, described: DataFrame, rows: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def _whole_sets(docs: DataFrame, text: str, words: int, described: DataFrame, ro
 
     d = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of(text)).alias("h"), text_of(text).cast("binary").alias("text"))
     texts = d.join(small(want), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("row", "text")
-    return table(texts.mapInArrow(make, "row long, set array<long>").dropDuplicates(["row"]), "whole-sets")
+    return table_of_texts(texts.mapInArrow(make, "row long, set array<long>").dropDuplicates(["row"]), "whole-sets")
 
 
 def _verified(docs: DataFrame, text: str, words: int, percent: int, described: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -383,7 +385,7 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
         return table(connected_components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))), "joined")
 
     verified = lambda pairs: _verified(docs, text, words, percent, d, pairs)
-    joined, keys = d.sparkSession.createDataFrame([], "node long, component long"), _minhash_keys(reps, shared, percent)
+    joined, keys = local(d.sparkSession, [], node=pa.int64(), component=pa.int64()), _minhash_keys(reps, shared, percent)
     while True:
         pairs, keys = _stars(reps, keys, percent)
         if (links := verified(pairs)).isEmpty():

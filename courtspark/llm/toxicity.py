@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, table, text_of
+from .common import TEXTS, documents, few_texts, table, text_of
 
 #: The classifier is fitted on at most so many labelled rows, those with the least hashed ids.
 FIT_ROWS = 20_000
@@ -199,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int =
         return Toxicity({}, (-4.0, 0.0, 0.0))
     all_of = lambda c: sum(F.col(f"{c}_{k}") for k in range(FOLDS))
     likely = _unit_counts(sample).where((all_of("before") >= CONTEXTS) & (all_of("toxic") > all_of("clean")))
-    counts = [r.asDict() for r in likely.toLocalIterator()]
+    with few_texts(docs.sparkSession):
+        counts = [r.asDict() for r in likely.toLocalIterator()]
     every = list(range(FOLDS))
     models = [Toxicity(_lexicon(counts, sizes, [j for j in every if j != k])) for k in every]
 
@@ -207,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int =
     def features(texts: pd.Series, folds: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([models[k].features(t) for t, k in zip(texts, folds, strict=True)], columns=["x", "y"])
 
-    rows = sample.select("toxic", features("text", "fold").alias("f")).select("toxic", "f.*").toPandas()
+    with few_texts(docs.sparkSession):
+        rows = sample.select("toxic", features("text", "fold").alias("f")).select("toxic", "f.*").toPandas()
     curve = _logistic(rows[["x", "y"]].to_numpy(float), rows["toxic"].to_numpy(float))
     return Toxicity(_lexicon(counts, sizes, every), curve)
 
@@ -227,9 +229,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 4
 def toxicity(model: Toxicity, text: str | Column = "text") -> Column:
     """The score of a text column, 0 to 1; null counts as empty. Only the text goes in."""
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype=float)
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t) for i in range(0, len(texts), TEXTS) for t in texts[i : i + TEXTS].to_pylist()], pa.float64())
 
     return score(text_of(text))
 

@@ -398,3 +398,41 @@ def test_rows_of_tiles_grow_with_a_block_and_not_with_its_square(spark):
     meet = lambda x, y: F.col(f"{x}.tile") == F.col(f"{y}.tile")
     pairs = many.alias("x").join(many.alias("y"), meet("x", "y")).where("x.row < y.row and x.component <> y.component and (x.side <> y.side or x.side < 0)")
     assert pairs.select("x.row", "y.row").count() == 800 * 799 // 2 - 267 * 266 // 2
+
+
+@pytest.mark.parametrize("stage", range(3))
+def test_stages_hand_python_few_texts_at_a_time_and_need_no_plain_workers(spark, tmp_path, monkeypatch, docs, stage):
+    """Batches of 10,000 whole texts, and a second set of workers for an empty table, took the memory of an executor."""
+    import corpus_pipeline
+    from courtspark.llm.common import TEXTS
+
+    df = docs([f"w{i} " + " ".join(f"x{i % 300}y{k}" for k in range(12)) + " idiot" * (i % 9 == 0) for i in range(3 * TEXTS)], extra=False).coalesce(1)
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(3 * TEXTS)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(f"x7y{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    many, batches, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), []
+    map_in_arrow, create = type(df).mapInArrow, type(spark).createDataFrame
+
+    def watched(self, f, *args, **kwargs):
+        def run(rows):
+            def seen():
+                for b in rows:
+                    if "text" in b.schema.names:
+                        batches.add(1)
+                        many.add(int(b.num_rows > TEXTS))
+                    yield b
+
+            yield from f(seen())
+
+        return map_in_arrow(self, run, *args, **kwargs)
+
+    def created(self, data, *args, **kwargs):
+        plain.extend([type(data)] if isinstance(data, list) else [])
+        return create(self, data, *args, **kwargs)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    monkeypatch.setattr(type(spark), "createDataFrame", created)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    kept = corpus_pipeline.STAGES[stage][1](spark, df, str(tmp_path)).count()
+    assert 0 < kept <= 3 * TEXTS
+    assert batches.value > 0 and many.value == 0 and not plain and spark.conf.get(key) == before
