@@ -19,21 +19,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .islands import changed, in_intervals, islands
-from .segments import (
-    attack_contexts,
-    attack_hysteresis,
-    attack_verdicts,
-    build_segments,
-    context_at,
-    displacement,
-    frame_positions,
-    goal_distance,
-    position_at,
-    smooth,
-    speed,
-    trajectories,
-    with_movement,
-)
+from .scans import bound, pushes_taken, run_ins_taken, runs
+from .segments import context_at, displacement, goal_distance, position_at, smooth, speed, with_movement
 
 SEG = ["match_id", "seg_id"]
 ROLES_HELD = "array<struct<track_id: int, from_role: string, to_role: string>>"
@@ -165,46 +152,13 @@ def detect_run_ins(segments: DataFrame, contexts: DataFrame) -> DataFrame:
     return event(e, RUN_IN, ["seg_id"], ["track_id"], measured(start_dist_m=F.col("start_dist_m"), end_dist_m=F.col("end_dist_m")))
 
 
-def _arrival(t: np.ndarray, d: np.ndarray, i: int) -> tuple[int, int] | None:
-    """Arrival and last held sample of a run that begins at ``i``: the first arrival whose deepest point is held."""
-    arrived = i + np.flatnonzero((t[i:] - t[i] <= 5.0) & (d[i:] < 7.5) & (d[i] - d[i:] >= 3.0))
-    if not len(arrived):
-        return None
-    calm = np.concatenate(([0], np.cumsum(np.diff(d[i:]) <= 0.15)))
-    for j in arrived:
-        if j == i or calm[j - i] / (j - i) < 0.7:
-            continue
-        m = j + int(d[j : np.searchsorted(t - t[j], 1.0, "right")].argmin())
-        end = np.searchsorted(t - t[m], 1.0, "right") - 1
-        if (d[m + 1 : end + 1] <= 8.5).all() and t[end] - t[m] >= 0.5:
-            return int(j), int(end)
-    return None
-
-
 def _run_ins(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["seg_id", "frame_id"])
-    seg = pdf["seg_id"].to_numpy()
-    cuts = np.flatnonzero(seg[1:] != seg[:-1]) + 1
-    columns = {c: np.split(pdf[c].to_numpy(), cuts) for c in pdf.columns if c not in ("match_id", "team")}
-    who = (pdf["match_id"].iloc[0], pdf["team"].iloc[0])
-    out = [(*who, *found) for k in range(len(cuts) + 1) for found in _segment_run_ins({c: v[k] for c, v in columns.items()})]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RUN_IN_SCAN.split(", ")])
-
-
-def _segment_run_ins(c: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """Run-ins of one segment, from its samples in order."""
-    t, goal, f = c["timestamp_s"], c["goal_x"], c["frame_id"]
-    to = {0.0: c["d0"], 40.0: c["d40"]}
-    own = np.where(goal == 0, c["d0"], c["d40"])
-    free = -1
-    for i in np.flatnonzero(~np.isnan(goal) & (own > 9.5) & (own <= 17)).tolist():
-        d = to[goal[i]]
-        hit = _arrival(t, d, i) if i > free else None
-        if hit:
-            j, end = hit
-            sure = 0.5 + 0.2 * min(1.0, (d[i] - d[j]) / 6) + 0.2 * min(1.0, (7.5 - d[j]) / 3)
-            yield int(c["seg_id"][i]), int(c["track_id"][i]), int(c["move_start_frame"][i]), int(f[end]), float(c["move_start"][i]), float(t[end]), max(0.3, min(0.95, sure)), float(goal[i]), float(d[i]), float(d[j])
-            free = end
+    c = {n: v.to_numpy() for n, v in pdf.sort_values(["seg_id", "frame_id"]).items()}
+    lo, hi = runs(c["seg_id"])
+    s, t, goal = np.repeat(np.arange(len(lo)), hi - lo), c["timestamp_s"], c["goal_x"]
+    i, end, far, near, sure = run_ins_taken(t, goal, np.stack([c["d0"], c["d40"]]), s, hi[s])
+    of = (c[n][i] for n in ("match_id", "team", "seg_id", "track_id", "move_start_frame"))
+    return pd.DataFrame(dict(zip((n.split()[0] for n in RUN_IN_SCAN.split(", ")), (*of, c["frame_id"][end], c["move_start"][i], t[end], sure, goal[i], far, near), strict=True)))
 
 
 PUSH_SCAN = "match_id string, team string, seg_id_a int, seg_id_b int, track_id_a int, track_id_b int, t0 double, t1 double, confidence double, goal_x double, approach_m double, start_frame int, end_frame int"
@@ -232,41 +186,18 @@ def detect_pushes(segments: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def _pushes(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["seg_id_a", "seg_id_b", "frame_id"])
-    pair = pdf[["seg_id_a", "seg_id_b"]].to_numpy()
-    cuts = np.flatnonzero((pair[1:] != pair[:-1]).any(axis=1)) + 1
-    columns = {c: np.split(pdf[c].to_numpy(), cuts) for c in pdf.columns if c not in ("match_id", "team", "seg_id_a", "seg_id_b")}
-    out = []
-    for k, ids in enumerate(np.split(pair, cuts)):
-        who = (pdf["match_id"].iloc[0], pdf["team"].iloc[0], *ids[0].tolist(), int(columns["track_id_a"][k][0]), int(columns["track_id_b"][k][0]))
-        out += [(*who, *found) for found in _pair_pushes({c: v[k] for c, v in columns.items()})]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PUSH_SCAN.split(", ")])
-
-
-def _pair_pushes(c: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """Pushes of one pair, from its samples in order."""
-    t, dy = c["timestamp_s"], c["dy"]
-    to = {0.0: np.stack([c["d0_a"], c["d0_b"]], axis=1), 40.0: np.stack([c["d40_a"], c["d40_b"]], axis=1)}
-    free = -1
-    for k in np.flatnonzero(c["start"]).tolist():
-        if k < free:
-            continue
-        d = to[c["goal_x"][k]]
-        part = slice(k + 1, np.searchsorted(t - t[k], 2.5, "right"))
-        kept = np.logical_and.accumulate(dy[part] * dy[k] > 0)
-        gain = (d[k] - d[part]).min(axis=1)
-        pace = np.minimum(np.maximum.accumulate(c["v_a"][part]), np.maximum.accumulate(c["v_b"][part]))
-        hits = np.flatnonzero(kept & (gain >= 2.0) & (pace >= 1.2))
-        if not len(hits):
-            continue
-        m, g, v = k + 1 + int(hits[-1]), gain[hits[-1]], pace[hits[-1]]
-        t0 = max(min(c["move_start_a"][m], c["move_start_b"][m]), t[k] - 3.0)
-        t1 = min(max(c["move_end_a"][m], c["move_end_b"][m]), t[m] + 3.0)
-        sure = min(0.95, 0.45 + 0.2 * min(1.0, g / 4) + 0.15 * min(1.0, v / 3))
-        inside = c["frame_id"][(t >= t0) & (t <= t1)]
-        first, last = (inside.min(), inside.max()) if len(inside) else (c["frame_id"][k], c["frame_id"][m])
-        yield float(t0), float(t1), float(sure), float(c["goal_x"][k]), float(g), int(first), int(last)
-        free = int(np.searchsorted(t, t[m] + 1.0))
+    c = {n: v.to_numpy() for n, v in pdf.sort_values(["seg_id_a", "seg_id_b", "frame_id"]).items()}
+    lo, hi = runs(c["seg_id_a"], c["seg_id_b"])
+    of, t, frame = np.repeat(np.arange(len(lo)), hi - lo), c["timestamp_s"], c["frame_id"]
+    d = np.stack([[c[f"d{z}_{s}"] for z in (0, 40)] for s in "ab"])
+    k, last, gain, pace = pushes_taken(t, c["dy"], (c["goal_x"] == 40).astype(int), c["start"].astype(bool), d, (c["v_a"], c["v_b"]), of, lo[of], hi[of])
+    t0 = np.maximum(np.minimum(c["move_start_a"][last], c["move_start_b"][last]), t[k] - 3.0)
+    t1 = np.minimum(np.maximum(c["move_end_a"][last], c["move_end_b"][last]), t[last] + 3.0)
+    sure = np.minimum(0.95, 0.45 + 0.2 * np.minimum(1.0, gain / 4) + 0.15 * np.minimum(1.0, pace / 3))
+    i, j = bound(lo[of[k]], hi[of[k]], lambda q: t[q] < t0), bound(lo[of[k]], hi[of[k]], lambda q: t[q] <= t1) - 1
+    who = (c[n][k] for n in ("match_id", "team", "seg_id_a", "seg_id_b", "track_id_a", "track_id_b"))
+    cols = (*who, t0, t1, sure, c["goal_x"][k], gain, frame[np.where(i <= j, i, k)], frame[np.where(i <= j, j, last)])
+    return pd.DataFrame(dict(zip((n.split()[0] for n in PUSH_SCAN.split(", ")), cols, strict=True)))
 
 
 def centroid_series(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -326,30 +257,35 @@ def _run_ends(t: np.ndarray, tempo: np.ndarray, apart: np.ndarray) -> np.ndarray
 def _breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Breaks of series that come as lists of their samples in order."""
     for b in batches:
-        f, t, x, *after = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, 7))
+        f, t, x, *free = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, 7))
         sizes = pc.list_value_length(b.column(2)).to_numpy()
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        dt = np.diff(t)
-        tempo = np.divide(np.diff(x), dt, out=np.zeros(len(dt)), where=dt > 0)
-        apart = np.unique(np.concatenate((np.flatnonzero((dt <= 0) | (dt > 1.2)), np.cumsum(sizes) - 1)))
-        hits = []
-        for sign, to, free in ((1, 40.0, after[0]), (-1, 0.0, after[1])):
-            end = _run_ends(t, sign * tempo, apart)
-            gone, took = sign * (x[end] - x), t[end] - t
-            pace = np.divide(gone, took, out=np.zeros(len(t)), where=took > 0)
-            ok = np.flatnonzero((sign * (x - 20) < 0) & (gone >= 12) & (took > 0) & (took <= 10) & (sign * (x[end] - 20) > 2) & (pace <= 7) & free[end])
-            hits += zip(ok.tolist(), end[ok].tolist(), gone[ok].tolist(), pace[ok].tolist(), repeat(to))
-        taken, last = [], -1
-        for hit in sorted(hits):
-            if hit[0] > last:
-                taken.append(hit)
-                last = hit[1]
-        i, end, gone, pace, to = (np.array(v) for v in zip(*taken, strict=True)) if taken else (np.empty(0, d) for d in (int, int, float, float, float))
-        sure = np.minimum(0.95, 0.5 + 0.2 * np.minimum(1.0, pace / 4) + 0.2 * gone / 30)
-        who = [b.column(k).take(pa.array(of[i])) for k in (0, 1)]
+        i, end, sure, to, gone, pace = breaks_in(sizes, t, x, *free)
+        who = [b.column(k).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[i])) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([*who, *map(pa.array, (f[i].astype(np.int32), f[end].astype(np.int32), t[i], t[end], sure, to, gone, pace))], [c.split()[0] for c in BREAK_SCAN.split(", ")])
 
 
+def breaks_in(sizes: np.ndarray, t: np.ndarray, x: np.ndarray, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Breaks of series laid end to end, and whether a break that ends at a sample may go right or left: first and last
+    sample, confidence, goal, metres, metres a second."""
+    dt = np.diff(t)
+    tempo = np.divide(np.diff(x), dt, out=np.zeros(len(dt)), where=dt > 0)
+    apart = np.unique(np.concatenate((np.flatnonzero((dt <= 0) | (dt > 1.2)), np.cumsum(sizes) - 1)))
+    hits = []
+    for sign, to, free in ((1, 40.0, right), (-1, 0.0, left)):
+        end = _run_ends(t, sign * tempo, apart)
+        gone, took = sign * (x[end] - x), t[end] - t
+        pace = np.divide(gone, took, out=np.zeros(len(t)), where=took > 0)
+        ok = np.flatnonzero((sign * (x - 20) < 0) & (gone >= 12) & (took > 0) & (took <= 10) & (sign * (x[end] - 20) > 2) & (pace <= 7) & free[end])
+        hits += zip(ok.tolist(), end[ok].tolist(), gone[ok].tolist(), pace[ok].tolist(), repeat(to))
+    taken, last = [], -1
+    for hit in sorted(hits):
+        if hit[0] > last:
+            taken.append(hit)
+            last = hit[1]
+    i, end, gone, pace, to = (np.array(v) for v in zip(*taken, strict=True)) if taken else (np.empty(0, d) for d in (int, int, float, float, float))
+    return i, end, np.minimum(0.95, 0.5 + 0.2 * np.minimum(1.0, pace / 4) + 0.2 * gone / 30), to, gone, pace
+
+
 #: Attack positions as (depth from the goal, lateral offset to the attacker's right): fixed values.
 SLOTS = {"LA": (3.0, -8.0), "RL": (10.5, -4.5), "RM": (11.5, 0.0), "RR": (10.5, 4.5), "RA": (3.0, 8.0), "KM": (6.0, 0.0)}
 PIVOT = "KM"
@@ -413,6 +349,8 @@ def _least_total(costs: Column) -> Column:
 def slots_of_least_total(cost: np.ndarray) -> np.ndarray:
     """For each of several bins, players by slots of costs: each player's slot, -1 where slots run out."""
     bins, n, k = cost.shape
+    if n <= k:
+        return _all_placed(cost)
     sets = np.arange(1 << k)
     held = np.array([bin(x).count("1") for x in sets])
     best, steps = np.where(sets == 0, 0.0, np.inf) * np.ones((bins, 1)), []
@@ -431,6 +369,32 @@ def slots_of_least_total(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def _all_placed(cost: np.ndarray) -> np.ndarray:
+    """The same where no player is left over: after p players only sets of p slots have to be looked at."""
+    bins, n, k = cost.shape
+    best, steps = {0: np.zeros(bins)}, []
+    for p in range(n):
+        then, step = {}, np.zeros((bins, 1 << k), np.int8)
+        for x in (x for x in range(1 << k) if x.bit_count() == p + 1):
+            for r in (r for r in range(k) if x >> r & 1):
+                total = best[x ^ 1 << r] + cost[:, p, r]
+                if x not in then:
+                    then[x], step[:, x] = total, r
+                    continue
+                less = total < then[x]
+                then[x] = np.where(less, total, then[x])
+                step[less, x] = r
+        best = then
+        steps.append(step)
+    sets = np.array(list(best))
+    at = sets[np.array([best[x] for x in best]).argmin(axis=0)]
+    out = np.empty((bins, n), int)
+    for p in range(n - 1, -1, -1):
+        out[:, p] = steps[p][np.arange(bins), at]
+        at = at ^ 1 << out[:, p]
+    return out
+
+
 def stable_runs(timeline: DataFrame, least_s: float = 0.9, gap_s: float = 1.5) -> DataFrame:
     """Runs of one role of a segment over its timeline (match_id, seg_id, t, role); null roles are not kept."""
     w = Window.partitionBy(*SEG).orderBy("t")
@@ -466,19 +430,23 @@ def _moving(segments: DataFrame, asked: DataFrame) -> DataFrame:
     return mine if "move_start" in segments.columns else with_movement(mine)
 
 
+def exchanged(seg: list[int], source: list, to: list, left: list[float], settled: list[float]) -> list[tuple[int, int, float]]:
+    """Transitions between the same two roles, in order of segment and time, each with the first later one the other way
+    by another segment, and the confidence."""
+    mid, free, out = [(a + b) / 2 for a, b in zip(left, settled, strict=True)], [True] * len(seg), []
+    for i in range(len(seg)):
+        j = next((j for j in range(i + 1, len(seg)) if free[j] and seg[j] != seg[i] and source[j] == to[i] and abs(mid[j] - mid[i]) <= 3.0), None) if free[i] else None
+        if j is not None:
+            free[i] = free[j] = False
+            out.append((i, j, 0.75 if abs(mid[i] - mid[j]) <= 1.5 else 0.6))
+    return out
+
+
 def _exchanges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Transitions between the same two roles, each with the first later one the other way by another segment."""
     rows = pdf.sort_values(["seg_id", "end_s"])
-    seg, source, to, left, settled = (rows[c].to_numpy() for c in ("seg_id", "from_role", "to_role", "end_s", "to_start_s"))
-    who, mid, free, out = (rows["match_id"].iloc[0], rows["team"].iloc[0]), (left + settled) / 2, np.ones(len(rows), bool), []
-    for i in range(len(rows)):
-        if not free[i]:
-            continue
-        fits = i + 1 + np.flatnonzero(free[i + 1 :] & (seg[i + 1 :] != seg[i]) & (source[i + 1 :] == to[i]) & (np.abs(mid[i + 1 :] - mid[i]) <= 3.0))
-        if len(fits):
-            j = fits[0]
-            free[i] = free[j] = False
-            out.append((*who, int(seg[i]), int(seg[j]), source[i], to[i], left[i], settled[i], left[j], settled[j], 0.75 if abs(mid[i] - mid[j]) <= 1.5 else 0.6))
+    seg, source, to, left, settled = (rows[c].tolist() for c in ("seg_id", "from_role", "to_role", "end_s", "to_start_s"))
+    who = (rows["match_id"].iloc[0], rows["team"].iloc[0])
+    out = [(*who, seg[i], seg[j], source[i], to[i], left[i], settled[i], left[j], settled[j], sure) for i, j, sure in exchanged(seg, source, to, left, settled)]
     return pd.DataFrame(out, columns=[c.split()[0] for c in EXCHANGE.split(", ")])
 
 
@@ -520,20 +488,6 @@ def detect_role_runins(segments: DataFrame, transitions: DataFrame, hold_s: floa
     return event(e, RUN_IN, ["seg_id"], ["track_id"], F.lit(None).cast("map<string, double>"), F.lit("rollenwechsel"), F.array(F.struct("track_id", "from_role", "to_role")))
 
 
-def with_tracks(events: DataFrame, segments: DataFrame, series: DataFrame) -> DataFrame:
-    """Adds ``tracks``: what each segment of an event did in its time, as points [t, x, y]; the team's centroid, as
-    track -1 at half width, where no segment takes part. Events are told apart by ``key``."""
-    spans = events.select("match_id", "key", "t0", "t1", F.posexplode("seg_ids").alias("place", "seg_id"))
-    lines = trajectories(segments, spans).select("match_id", "key", "place", "track_id", "points")
-    alone = events.where(F.size("seg_ids") == 0).select("match_id", "team", "key", "t0", "t1")
-    team = series.join(alone, ["match_id", "team"]).where(F.col("timestamp_s").between(F.col("t0"), F.col("t1")))
-    team = team.select("match_id", F.col("key").alias("seg_id"), F.lit(-1).alias("track_id"), "timestamp_s", "x", F.lit(10.0).alias("y"))
-    lines = lines.unionByName(trajectories(team).select("match_id", F.col("seg_id").alias("key"), F.lit(0).alias("place"), "track_id", "points"))
-    drawn = lines.groupBy("match_id", "key").agg(F.sort_array(F.collect_list(F.struct("place", "track_id", "points"))).alias("t"))
-    tracks = drawn.select("match_id", "key", F.transform("t", lambda x: F.struct(x["track_id"].alias("track_id"), x["points"].alias("points"))).alias("tracks"))
-    return events.join(tracks, ["match_id", "key"], "left")
-
-
 def merge_events(events: DataFrame, pause_s: float = 1.0, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Events of a type and team that follow within ``pause_s`` as one, numbered by start.
 
@@ -557,15 +511,6 @@ def merge_events(events: DataFrame, pause_s: float = 1.0, order: tuple[str, ...]
     return g.withColumn("event_id", rank.cast("long")).drop("island")
 
 
-def frame_at(points: DataFrame, frames: DataFrame, at: str, out: str) -> DataFrame:
-    """Adds the first frame at or after a time, else the match's last: a union and one window."""
-    seen = frames.select("match_id", F.col("timestamp_s").alias(at), F.col("frame_id").alias(out)).distinct()
-    both = points.withColumn("_point", F.lit(1)).unionByName(seen.withColumn("_point", F.lit(0)), allowMissingColumns=True)
-    match = Window.partitionBy("match_id")
-    later = F.last(out, ignorenulls=True).over(match.orderBy(F.desc(at), "_point", F.desc(out)).rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_last", F.max(out).over(match)).withColumn(out, F.coalesce(later, "_last")).where("_point = 1").drop("_point", "_last")
-
-
 def attack_sequences(contexts: DataFrame, goals: DataFrame, readings: DataFrame, least_s: float = 4.0, after_s: float = 6.0) -> DataFrame:
     """Long contexts numbered in order, with their outcome: unknown without a scoreboard, else goal or no_goal."""
     c = contexts.where(F.col("end_s") - F.col("start_s") >= least_s)
@@ -593,31 +538,26 @@ def link_events(events: DataFrame, sequences: DataFrame, lead_s: float = 2.0, wi
 def analyze_match(rows: DataFrame, goals: DataFrame, readings: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All plays and attack sequences of many matches: (events, sequences).
 
-    rows: match_id, frame_id, timestamp_s, track_id, team, x, y; goals: match_id, timestamp_sec; readings: the matches
-    with a scoreboard. Rows, segments, contexts, centroids and detections are written to the shared folder, since each
-    has several uses, and dealt by match over ``parts`` partitions, where that is given. Events carry their details,
-    tracks and sequence; sequences their frames, outcome and event_count.
+    rows: match_id, frame_id, timestamp_s, track_id, team, x, y, which are dealt by match over ``parts`` partitions, where
+    that is given; goals: match_id, timestamp_sec; readings: the matches with a scoreboard.
     """
-    deal = lambda df: df.repartition(parts, "match_id") if parts else df
-    held = lambda df, what: deal(written(df, what))
-    rows = held(rows, "rows")
-    segments = held(with_movement(build_segments(rows)), "segments")
-    contexts = held(attack_contexts(attack_hysteresis(attack_verdicts(rows))), "contexts")
-    series = held(centroid_series(rows), "centroids")
-    transitions = held(role_transitions(stable_runs(assign_roles(segments, contexts))), "transitions")
-    found = [
-        detect_swaps(segments, contexts, frame_positions(rows)), detect_run_ins(segments, contexts), detect_pushes(segments, contexts), detect_fast_breaks(series, contexts),
-        detect_role_swaps(segments, transitions), detect_role_runins(segments, transitions),
-    ]
-    events = reduce(DataFrame.unionByName, [e.withColumn("source", F.lit(k)) for k, e in enumerate(found)])
+    from .matches import packed, scan
+
+    return analyze(scan(packed(rows, parts), whole=True), goals, readings)
+
+
+def analyze(found: DataFrame, goals: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and sequences from what ``matches.scan`` finds in whole matches: events carry their details, tracks and
+    sequence; sequences their frames, outcome and event_count. Plays are few, and written, since they have several uses."""
+    found = written(found, "plays")
     key = F.row_number().over(Window.partitionBy("match_id").orderBy("source", "t0", "seg_ids", "t1"))
-    events = with_tracks(held(events.withColumn("key", key), "detections"), segments, series)
+    events = found.where("source >= 0").withColumn("key", key)
     rest = [c for c in events.columns if c not in ("t0", "t1", "confidence")]
     events = events.select(*rest, *[F.round(c, 3).alias(n) for c, n in (("t0", "start_time_s"), ("t1", "end_time_s"), ("confidence", "confidence"))])
-    merged = held(merge_events(events, order=("source", "key")), "events")
-    c = attack_sequences(contexts.withColumnRenamed("goal", "goal_x"), goals, readings)
-    c = frame_at(frame_at(c, rows, "start_s", "start_frame"), rows, "end_s", "end_frame").withColumnsRenamed({"start_s": "start_time_s", "end_s": "end_time_s"})
-    sequences = held(c, "sequences")
+    merged = written(merge_events(events, order=("source", "key")), "events")
+    c = found.where("source < 0").select("match_id", "goal_x", "team", F.col("t0").alias("start_s"), F.col("t1").alias("end_s"), "start_frame", "end_frame")
+    c = attack_sequences(c, goals, readings).withColumnsRenamed({"start_s": "start_time_s", "end_s": "end_time_s"})
+    sequences = written(c.select("match_id", "sequence_id", "goal_x", "team", "start_time_s", "end_time_s", "outcome", "start_frame", "end_frame"), "sequences")
     events = merged.join(link_events(merged, sequences), ["match_id", "event_id"])
     counts = events.groupBy("match_id", "sequence_id").agg(F.count("*").alias("event_count"))
     return events, sequences.join(counts, ["match_id", "sequence_id"], "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)).cast("long"))
