@@ -25,8 +25,8 @@ from . import plays as Y
 from .scans import bound, commonest, pushes_taken, run_ins_taken, runs, smoothed, spread, taken
 from .segments import TAIL, _hung
 
-#: Rows that are laid end to end at a time (a match stays whole).
-CHUNK = 100_000
+#: Entries of the lists of matches that are laid end to end at a time (a match stays whole).
+CHUNK = 20_000
 ROLES = tuple(Y.SLOTS)
 PIVOT = ROLES.index(Y.PIVOT)
 #: Detectors in the order of their events' ``source``; a context's source is -1.
