@@ -10,7 +10,7 @@ Arrays hold a value for each row unless said; ``lo`` and ``hi`` bound the segmen
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 from types import SimpleNamespace
 
 import numpy as np
@@ -431,24 +431,42 @@ def _events(g, source, play_type, segs, start, end, t0, t1, sure, goal, variant,
 
 def _line(t: np.ndarray, x: np.ndarray, y: np.ndarray, most: int = 25) -> list[list[float]]:
     """As ``segments.trajectories``."""
-    ps = sorted((np.floor(np.stack([t, x, y], axis=1) * 100 + 0.5) / 100.0).tolist())
+    ps = sorted(_hundredths(t, x, y).tolist())
     n = len(ps)
-    return [ps[int(np.round(i * (n - 1) / (most - 1)))] for i in range(most)] if n > most else ps
+    return [ps[k] for k in np.round(np.arange(most) * (n - 1) / (most - 1)).astype(int).tolist()] if n > most else ps
 
 
-def _tracks(e: dict, g: SimpleNamespace, s: SimpleNamespace) -> list[tuple] | None:
+def _hundredths(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.floor(np.stack([t, x, y], axis=1) * 100 + 0.5) / 100.0
+
+
+def _lines(g: SimpleNamespace, seg: np.ndarray, t0: np.ndarray, t1: np.ndarray, most: int = 25) -> list[list[list[float]]]:
+    """The line of each segment in its span."""
+    ps = _hundredths(g.t, g.x, g.y)
+    if not (np.diff(ps[:, 0])[g.s[1:] == g.s[:-1]] > 0).all():  # points of one hundredth go by their place
+        inside = [g.first[k] + np.flatnonzero((g.t[g.first[k] : g.past[k]] >= a) & (g.t[g.first[k] : g.past[k]] <= z)) for k, a, z in zip(seg.tolist(), t0.tolist(), t1.tolist(), strict=True)]
+        return [_line(g.t[k], g.x[k], g.y[k], most) for k in inside]
+    lo, hi = bound(g.first[seg], g.past[seg], lambda q: g.t[q] < t0), bound(g.first[seg], g.past[seg], lambda q: g.t[q] <= t1)
+    n = np.maximum(hi - lo, 0)
+    of, k = spread(np.zeros(len(n), np.int64), np.minimum(n, most))
+    k = lo[of] + np.where(n[of] > most, np.round(k * (n[of] - 1) / (most - 1)).astype(np.int64), k)
+    points, ends = ps[k].tolist(), np.cumsum(np.minimum(n, most)).tolist()
+    return [points[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
+def _tracks(found: list[dict], g: SimpleNamespace, s: SimpleNamespace) -> Iterator[list[tuple] | None]:
     """What each segment of an event did in its time; the team's centroid, at half width, where none takes part."""
-    out = []
-    for k in e["segs"]:
-        at = slice(g.first[k], g.past[k])
-        inside = (g.t[at] >= e["t0"]) & (g.t[at] <= e["t1"])
-        if inside.any():
-            out.append((int(g.track[k]), _line(g.t[at][inside], g.x[at][inside], g.y[at][inside])))
-    if not e["segs"]:
-        whole = next(slice(a, z) for a, z in zip(s.first.tolist(), s.past.tolist(), strict=True) if s.m[a] == e["m"] and s.team[a] == e["series"])
-        inside = (s.t[whole] >= e["t0"]) & (s.t[whole] <= e["t1"])
-        out.append((-1, _line(s.t[whole][inside], s.x[whole][inside], np.full(inside.sum(), 10.0))))
-    return out or None
+    asked = [(k, e["t0"], e["t1"]) for e in found for k in e["segs"]]
+    seg, t0, t1 = (np.array([a[i] for a in asked], kind) for i, kind in enumerate((np.int64, float, float)))
+    lines = iter(zip(g.track[seg].tolist(), _lines(g, seg, t0, t1), strict=True))
+    whole = {(m, team): slice(a, z) for m, team, a, z in zip(s.m[s.first].tolist(), s.team[s.first].tolist(), s.first.tolist(), s.past.tolist(), strict=True)}
+    for e in found:
+        if e["segs"]:
+            yield [x for x in islice(lines, len(e["segs"])) if x[1]] or None
+        else:
+            own = whole[e["m"], e["series"]]
+            inside = (s.t[own] >= e["t0"]) & (s.t[own] <= e["t1"])
+            yield [(-1, _line(s.t[own][inside], s.x[own][inside], np.full(inside.sum(), 10.0)))]
 
 
 def _context_rows(r: SimpleNamespace, c: SimpleNamespace) -> Iterator[dict]:
@@ -489,8 +507,8 @@ def plays_of(r: SimpleNamespace, what: tuple[str, ...], whole: bool) -> Iterator
         found += [*(role_swaps(g, moves) if "role_swaps" in want else ()), *(role_runins(g, moves) if "role_runins" in want else ())]
     if whole:
         yield from _context_rows(r, c)
-    for e in found:
-        yield e | {"tracks": _tracks(e, g, s)} if whole else e
+    for e, tracks in zip(found, _tracks(found, g, s) if whole else repeat(None)):  # noqa: B905
+        yield e | {"tracks": tracks}
 
 
 def scan(matches: DataFrame, what: tuple[str, ...] = DETECTORS, unpack: Callable[[pa.RecordBatch], SimpleNamespace] = match_rows, whole: bool = False) -> DataFrame:
